@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pieces, simhash, toxicity
+from . import chat, decontaminate, pieces, simhash, surrogates, toxicity
 
 #: Path of a public vocabulary file; another one is given by setting this or by calling the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +29,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(documents)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op5_surrogates": op5_surrogates, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -221,12 +222,19 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
 
 
 def scores(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """One row per document row: doc_id, held_out, score, predicted.
+    """One row per document row: doc_id, held_out, score, predicted (1 if score >= 0.5). See scored()."""
+    found = scored(documents.select("doc_id", "text"), labels, "score", folds, fold, sample)
+    return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def scored(documents: DataFrame, labels: DataFrame, column: str, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> DataFrame:
+    """Every row of documents with a further column, the score: 0 to 1, higher if label 1 is likelier.
 
     Labels are learned from at most sample labelled documents (those of the lowest hash) outside the held-out fold; the
     character model reads all documents. labels: doc_id, toxic (null: no label; repeated: the highest). Null and empty
     texts have no words and get the score of a text without evidence. Without labels of both kinds every score is the
-    labels' mean, or 0. A null doc_id counts as an empty one. Only doc_id and text are read of documents.
+    labels' mean, or 0. A null doc_id counts as an empty one. documents needs doc_id and
+    text; its other columns pass.
     """
     spark = documents.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
@@ -288,12 +296,14 @@ def scores(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
     mean = t / n if n else 0.0
     learned = spark.sparkContext.broadcast((weights, coefficients, 0 < t < n))
 
+    at = documents.columns.index("text")
+
     def score(batches):
         weights, w, both = learned.value
         scorer = Scorer(reading(sent.value), weights, floor)
         for batch in batches:
-            got = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(w[:3], scorer.evidence(x.as_py())) + w[3]))))) if both else mean for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
+            got = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(w[:3], scorer.evidence(x.as_py())) + w[3]))))) if both else mean for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, column])
 
-    scored = documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    kinds = T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())])
+    return documents.mapInArrow(score, kinds)
