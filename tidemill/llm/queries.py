@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pieces, simhash, surrogates, toxicity
+from . import chat, decontaminate, embeddings, pieces, simhash, surrogates, toxicity
 
 #: Path of a public vocabulary file; another one is given by setting this or by calling the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,8 +51,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op5_surrogates": op5_surrogates, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op5_surrogates": op5_surrogates, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
