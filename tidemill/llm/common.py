@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +53,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("id", "component")
         if jumped.where("moved").isEmpty():
             return labels
+
+
+#: Members of a block, and rows that one call of a pair comparison gets on average.
+BLOCK, BIN_ROWS = 512, 4096
+
+
+def paired_blocks(members: DataFrame, keys: list[str], item: str, block: int | None = None) -> DataFrame:
+    """members with bin, group and side: what has to be compared with what, for buckets of any size.
+
+    members has distinct (*keys, item). A bucket of one has no rows. A large bucket is cut into blocks by the items' hash;
+    each pair of blocks (and each block alone) is a group, so that no group grows with its bucket. side is 0 or 1 for the
+    two blocks of a pair, 2 for a block alone. bin deals the groups out evenly, BIN_ROWS rows each.
+    """
+    sizes = members.groupBy(keys).agg(F.count("*").alias("~size")).where(F.col("~size") > 1).withColumn("~blocks", F.ceil(F.col("~size") / (block or BLOCK)).cast("int"))
+    own = members.join(sizes, keys).withColumn("~own", F.pmod(F.xxhash64(item), F.col("~blocks")).cast("int"))
+    spread = own.withColumn("~against", F.explode(F.sequence(F.lit(0), F.col("~blocks") - 1)))
+    low, high = F.least("~own", "~against"), F.greatest("~own", "~against")
+    side = F.when(low == high, F.lit(2)).when(F.col("~own") == low, F.lit(0)).otherwise(1)
+    spread = stored(spread.select(*members.columns, F.xxhash64(*keys, low, high).alias("group"), side.alias("side")), "blocks")
+    bins = max(1, spread.count() // BIN_ROWS)
+    return spread.withColumn("bin", F.pmod("group", F.lit(bins)))
+
+
+def least_linked(near: np.ndarray, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each id the smallest id that it hangs together with; near[i, j] links ids[one[i]] with ids[two[j]]."""
+    least, before, top = ids.copy(), None, np.iinfo(np.int64).max
+    while before is None or not np.array_equal(before, least):
+        before = least.copy()
+        least[one] = np.minimum(least[one], np.where(near, least[two][None], top).min(axis=1))
+        least[two] = np.minimum(least[two], np.where(near, least[one][:, None], top).min(axis=0))
+    return least

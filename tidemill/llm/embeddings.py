@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, least_linked, paired_blocks, stored
 
 #: 28 tables of 18 bits: a pair at cosine 0.98 differs in a bit with probability 0.0638, shares a table with 1 - (1 - 0.305)^28 > 0.9999.
 TABLES, BITS, SEED, LEAST = 28, 18, 7, 0.98
-BLOCK = 512  # classes in a block
+BLOCK = 512  # classes in a block of a large bucket
 
 
 def planes(dims: int, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -78,12 +78,7 @@ def compared(table: int, block: pd.DataFrame, least: float) -> pd.DataFrame:
     np.add.at(links, one, near @ n[two])
     if not np.array_equal(one, two):
         np.add.at(links, two, near.T @ n[one])
-    least_id, before = ids.copy(), None
-    while before is None or not np.array_equal(before, least_id):
-        before = least_id.copy()
-        top = np.iinfo(np.int64).max
-        least_id[one] = np.minimum(least_id[one], np.where(near, least_id[two][None], top).min(axis=1))
-        least_id[two] = np.minimum(least_id[two], np.where(near, least_id[one][:, None], top).min(axis=0))
+    least_id = least_linked(near, one, two, ids)
     told = np.flatnonzero(links)
     return pd.DataFrame({"class_id": ids[told], "other": least_id[told], "links": links[told]})
 
@@ -100,13 +95,13 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, tables: int = T
     found = stored(signed(classes(rows), tables, bits), "classes")
     where = ["label", "dims", "table_id", "bucket"]
     many = found.select("class_id", "label", "dims", F.posexplode("signs").alias("table_id", "bucket"))
-    sizes = many.groupBy(where).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = many.join(sizes, where).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    spread = members.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(*where, F.least("own", "against").alias("low"), F.greatest("own", "against").alias("high"), "own", "class_id")
-    side = F.when(F.col("low") == F.col("high"), F.lit(2)).when(F.col("own") == F.col("low"), F.lit(0)).otherwise(1)
-    spread = spread.withColumn("side", side).join(found.select("class_id", "vector", "signs", "n"), "class_id")
-    told = spread.groupBy(*where, "low", "high").applyInPandas(lambda key, block: compared(int(key[2]), block, least), "class_id long, other long, links long")
+    spread = paired_blocks(many, where, "class_id", BLOCK).join(found.select("class_id", "vector", "signs", "n"), "class_id")
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [compared(int(block["table_id"].iloc[0]), block, least) for _, block in frame.groupby("group", sort=False)]
+        return pd.concat(parts, ignore_index=True)
+
+    told = spread.groupBy("bin").applyInPandas(links, "class_id long, other long, links long")
     told = stored(told, "links")
     counts = told.groupBy("class_id").agg(F.sum("links").alias("links"))
     named = connected_components(told.select(F.col("class_id").alias("a"), F.col("other").alias("b")))

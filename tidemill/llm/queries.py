@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, pieces, simhash, surrogates, toxicity
+from . import chat, decontaminate, embeddings, language_model, licences, passages, pieces, simhash, surrogates, toxicity
 
 #: Path of a public vocabulary file; another one is given by setting this or by calling the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,11 +29,19 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replaced(documents)
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,8 +63,12 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op5_surrogates": op5_surrogates, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op4_licences": op4_licences, "op5_surrogates": op5_surrogates, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings, "op10_language_model": op10_language_model}
 
 
 def oracle_sql() -> dict[str, str]:

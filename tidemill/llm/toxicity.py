@@ -31,10 +31,11 @@ STRIPPED = ".,;:?!\"'()[]{}…«»“”‘’¿¡"
 READ, WILD, STAYS, AGAIN, JOINED, SPLIT = 1.0, 2.5, 7.0, 0.5, 1.0, 3.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 END, OTHER = 26, 27  # classes beside the letters: word's end, any other letter
-SAMPLE = 20_000  # labelled documents that the classifier is fitted on, at most
+SAMPLE = 8_000  # labelled documents that the classifier is fitted on, at most
 MARGIN = 0.7  # log odds by which a part must exceed the labels' mean
 Z = 3.0  # deviations by which a part's share of toxic documents is lowered
 CACHED = 400_000
+REPEATED = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S(?!\S)){2,}")
 _base: dict[str, int] = {}
 
@@ -104,41 +105,51 @@ def restore(word: str, language: Language) -> str:
 
 def squeezed(word: str) -> str:
     """Base letters, repeated ones once: spelling variants of a word agree in this."""
-    return re.sub(r"(.)\1+", r"\1", "".join(unicodedata.normalize("NFD", c)[0] for c in word))
+    if not word.isascii():
+        word = "".join(unicodedata.normalize("NFD", c)[0] for c in word)
+    return REPEATED.sub(r"\1", word)
 
 
-def parts(word: str) -> set[str]:
-    """What is counted of a restored word: itself, its beginnings of three to six letters, its runs of four and five."""
+def parts(word: str) -> list[str]:
+    """What is counted of a restored word: itself and its beginnings of three to six letters."""
     w = squeezed(word)
-    if len(w) < 3:
-        return set()
-    inside = {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)}
-    return inside | {f"^{w[:n]}" for n in range(3, min(6, len(w)) + 1)} | ({f"^{w}$"} if len(w) < 40 else set())
+    return [] if len(w) < 3 else [w[:n] for n in range(3, min(6, len(w)) + 1)] + ([f"{w}$"] if len(w) < 40 else [])
 
 
 class Reader:
-    """Gives a text's distinct restored words. Words without signs or repetitions have one path and stay."""
+    """Restores a text's words. Words without signs or repetitions have one path and stay."""
 
     def __init__(self, language: Language):
-        self.language, self.cache = language, {}
-
-    def of(self, word: str) -> tuple[str, ...]:
-        got = self.cache.get(word)
-        if got is None:
-            bare = word.strip(STRIPPED)
-            got = tuple(restore(bare, self.language).split()) if ambiguous(bare) else (bare,) if bare.isalpha() else ()
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+        self.language = language
+
+    def of(self, word: str) -> list[str]:
+        bare = word.strip(STRIPPED)
+        if bare.isalpha() and not ambiguous(bare):
+            return [bare]
+        return restore(bare, self.language).split() if ambiguous(bare) else []
+
+    def spaced(self, low: str) -> list[str]:
+        """Readings of runs of single letters."""
+        runs = (m[0] for m in SPACED.finditer(low))
+        return [w for run in runs if sum(map(str.isalpha, run)) > 1 for w in restore(re.sub(r"\s+", " ", run), self.language).split()]
 
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
-        found = {r for w in set(low.split()) for r in self.of(w)}
-        for run in SPACED.finditer(low):
-            if sum(map(str.isalpha, run[0])) > 1:
-                found.update(restore(re.sub(r"\s+", " ", run[0]), self.language).split())
-        return found
+        return {r for w in set(low.split()) for r in self.of(w)} | set(self.spaced(low))
+
+
+class Cached(dict):
+    """A dict that asks of() for what it lacks and holds a bounded number of answers."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        if len(self) >= CACHED:
+            self.clear()
+        got = self[key] = self.of(key)
+        return got
 
 
 def logit(toxic: float, all_: float) -> float:
@@ -151,25 +162,29 @@ def logit(toxic: float, all_: float) -> float:
 
 
 class Scorer:
-    """Evidence of a text: how far its two highest words stand above the labels' mean, and how many words tell."""
-
-    def __init__(self, language: Language, weights: dict[str, float], floor: float):
-        self.reader, self.weights, self.floor, self.cache = Reader(language), weights, floor, {}
-
-    def weight(self, word: str) -> float:
-        got = self.cache.get(word)
-        if got is None:
-            get = self.weights.get
-            got = max((get(p, self.floor) for p in parts(word)), default=self.floor)
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+    """Evidence of a text under one or more tables of weights.
+
+    For each table: how far the two highest words stand above the labels' mean, and how many words tell.
+    """
 
-    def evidence(self, text: str | None) -> tuple[float, float, float]:
-        best = sorted(map(self.weight, self.reader.words(text)), reverse=True)
-        top = [*best[:2], self.floor, self.floor]
-        return top[0] - self.floor, top[1] - self.floor, math.log1p(sum(w > self.floor for w in best[:50]))
+    def __init__(self, language: Language, tables: list[dict[str, float]], floor: float):
+        self.reader, self.tables, self.floor = Reader(language), tables, floor
+        self.weights = Cached(lambda token: self.best(self.reader.of(token)))
+
+    def best(self, words: list[str]) -> tuple[float, ...]:
+        """The highest weight of the words' parts, less the mean's, in each table."""
+        found = [p for w in words for p in parts(w)]
+        return tuple(max((t[p] for p in found if p in t), default=self.floor) - self.floor for t in self.tables)
+
+    def evidence(self, text: str | None) -> list[tuple[float, float, float]]:
+        low = (text or "").lower()
+        told = [*map(self.weights.__getitem__, set(low.split())), *(self.best([w]) for w in self.reader.spaced(low))]
+        out = []
+        for k in range(len(self.tables)):
+            best = sorted((w[k] for w in told if w[k] > 0), reverse=True)
+            top = [*best[:2], 0.0, 0.0]
+            out.append((top[0], top[1], math.log1p(min(len(best), 50))))
+        return out
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -252,15 +267,13 @@ def scored(documents: DataFrame, labels: DataFrame, column: str, folds: int = 5,
 
     def count(batches):
         reader, seen = Reader(reading(sent.value)), {}
-        known_parts: dict[str, set[str]] = {}
+        known = Cached(lambda token: [p for w in reader.of(token) for p in parts(w)])
         for batch in batches:
             for text, toxic, rank in zip(*(batch.column(k) for k in range(3)), strict=True):
                 k = 2 * (rank.as_py() & 1)
-                found: set[str] = set()
-                for word in reader.words(text.as_py()):
-                    if word not in known_parts:
-                        known_parts[word] = parts(word)
-                    found |= known_parts[word]
+                low = (text.as_py() or "").lower()
+                found = {p for w in set(low.split()) for p in known[w]}
+                found.update(p for w in reader.spaced(low) for p in parts(w))
                 t = int(toxic.as_py() > 0)
                 for p in found:
                     if (n := seen.get(p)) is None:
@@ -286,9 +299,9 @@ def scored(documents: DataFrame, labels: DataFrame, column: str, folds: int = 5,
         halves = spark.sparkContext.broadcast(by_fold)
 
         def weigh(batches):
-            scorers = [Scorer(reading(sent.value), w, floor) for w in halves.value]
+            scorer = Scorer(reading(sent.value), halves.value, floor)
             for batch in batches:
-                got = [scorers[r.as_py() & 1].evidence(x.as_py()) for x, r in zip(batch.column(0), batch.column(2), strict=True)]
+                got = [scorer.evidence(x.as_py())[r.as_py() & 1] for x, r in zip(batch.column(0), batch.column(2), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.float64()), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3))], ["toxic", "a", "b", "c"])
 
         rows = chosen.select("text", "toxic", "rank").mapInArrow(weigh, "toxic double, a double, b double, c double").toPandas()  # at most sample rows of four numbers
@@ -300,9 +313,9 @@ def scored(documents: DataFrame, labels: DataFrame, column: str, folds: int = 5,
 
     def score(batches):
         weights, w, both = learned.value
-        scorer = Scorer(reading(sent.value), weights, floor)
+        scorer = Scorer(reading(sent.value), [weights], floor)
         for batch in batches:
-            got = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(w[:3], scorer.evidence(x.as_py())) + w[3]))))) if both else mean for x in batch.column(at)]
+            got = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(w[:3], scorer.evidence(x.as_py())[0]) + w[3]))))) if both else mean for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, column])
 
     kinds = T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())])
