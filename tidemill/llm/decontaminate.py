@@ -12,24 +12,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
+from .common import lower_ascii, small, stored
 
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows up to which a table goes to every executor: some 30 MB. Beyond it the same join shuffles.
-BROADCAST_ROWS = 400_000
-
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z only) runs of digits, letters and non-ASCII characters; null has none."""
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_A_WORD), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows, counted, are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 @dataclass
 class Windows:
     """Test windows: terms (term, term_id), at (window_id, off, term_id), items (window_id, item_id), sizes (window_id, n)."""

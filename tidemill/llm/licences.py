@@ -14,8 +14,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored
-from .decontaminate import small, words
+from .common import lower_ascii, small, stored
+from .decontaminate import words
 
 SHINGLE, BANDS, CONTAINED = 5, 24, 0.8
 #: Public licence notices and opening sentences. More are given as a parameter.

@@ -15,11 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, least_linked, paired_blocks, stored
+from .common import connected_components, least_linked, paired_blocks, small, stored
 
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
-#: Three MinHashes a band. A paragraph has 10 bands (a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999), a run has 3 (0.88; equal runs share all).
-ROWS, BANDS, RUN_BANDS = 3, 10, 3
+#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999. A run has one band of
+#: 9: equal runs share it always, runs that overlap in their own text seldom; what is edited is left to the paragraphs.
+ROWS, BANDS, RUN_ROWS = 3, 10, 9
 CACHED = 500_000
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -59,45 +60,62 @@ class Text:
 
     def unit(self, start: int, end: int) -> int:
         """The name of the words from start to end."""
-        return xxhash.xxh64_intdigest(self.words[start:end].tobytes(), 1) - (1 << 63)
+        return int(mixed(np.array([(self.words[start:end] * powers(end - start)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
 
 
-def signatures(mins: list[np.ndarray]) -> np.ndarray:
-    """Bands of (n,) MinHashes, ROWS of them each: (n, bands)."""
+POWERS = [np.cumprod(np.full(1024, BASE[0]), dtype=np.uint64)]
+
+
+def powers(n: int) -> np.ndarray:
+    if n > len(POWERS[0]):
+        POWERS[0] = np.cumprod(np.full(2 * n, BASE[0]), dtype=np.uint64)
+    return POWERS[0][:n]
+
+
+def signatures(mins: list[np.ndarray], rows: int) -> np.ndarray:
+    """Bands of (n,) MinHashes, rows of them each: (n, bands)."""
     out = []
-    for band in range(len(mins) // ROWS):
-        key = np.full(len(mins[0]), band + 1, np.uint64)
-        for m in mins[band * ROWS : (band + 1) * ROWS]:
+    for band in range(len(mins) // rows):
+        key = np.full(len(mins[0]), 1000 * rows + band, np.uint64)
+        for m in mins[band * rows : (band + 1) * rows]:
             key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + m)
         out.append(key.view(np.int64))
     return np.stack(out, axis=1)
 
 
-def units_of(text: str, hashes: WordHashes) -> list[tuple[int, int, int, np.ndarray]]:
-    """(first character, character after the last, unit, bands) of each unit of a text."""
+def places(shingles: np.ndarray) -> np.ndarray:
+    """Where a shingle is the least of some SPAN in a row, by doubling; of fewer, the least one's place."""
+    n = len(shingles)
+    if n < SPAN:
+        return np.array([int(shingles.argmin())])
+    low, step = shingles, 1
+    while step < SPAN:
+        low, step = np.minimum(low[: len(low) - step], low[step:]), step * 2
+    high, step = np.concatenate([np.zeros(SPAN - 1, np.uint64), low, np.zeros(SPAN - 1, np.uint64)]), 1
+    while step < SPAN:
+        high, step = np.maximum(high[: len(high) - step], high[step:]), step * 2
+    return np.flatnonzero(high == shingles)
+
+
+def units_of(text: str, hashes: WordHashes) -> list[tuple[np.ndarray, ...]]:
+    """Arrays (first character, character after the last, unit, (n, bands)) of a text's paragraphs and of its runs."""
     t = Text(text, hashes)
-    n = len(t.shingles)
+    n, out = len(t.shingles), []
     if n == 0 or len(t.words) < LEAST:
-        return []
-    lines = [(a, b) for a, b in zip(t.breaks, t.breaks[1:], strict=False) if b - a >= LEAST]
-    out = []
-    values = [(t.shingles * MULTIPLY[k] + ADD[k]) >> np.uint64(32) for k in range(ROWS * (BANDS if lines else RUN_BANDS))]
-    if lines:
-        cuts = np.array([x for a, b in lines for x in (a, b - SHINGLE + 1)])
-        if cuts[-1] >= n:
-            cuts = cuts[:-1]
-        bands = signatures([np.minimum.reduceat(v, cuts)[::2] for v in values])
-        out += [(t.starts[a], t.ends[b - 1], t.unit(a, b), bands[i]) for i, (a, b) in enumerate(lines)]
-    if n >= SPAN:
-        views = np.lib.stride_tricks.sliding_window_view(t.shingles, SPAN)
-        first = np.unique(np.arange(len(views)) + views.argmin(axis=1))
-    else:
-        first = np.array([int(t.shingles.argmin())])
+        return out
+    lines = np.array([(a, b) for a, b in zip(t.breaks, t.breaks[1:], strict=False) if b - a >= LEAST], np.int64).reshape(-1, 2)
+    values = [(t.shingles * MULTIPLY[k] + ADD[k]) >> np.uint64(32) for k in range(ROWS * BANDS if len(lines) else RUN_ROWS)]
+    if len(lines):
+        cuts = np.stack([lines[:, 0], lines[:, 1] - SHINGLE + 1], axis=1).ravel()
+        cuts = cuts[:-1] if cuts[-1] >= n else cuts
+        bands = signatures([np.minimum.reduceat(v, cuts)[::2] for v in values], ROWS)
+        out.append((t.starts[lines[:, 0]], t.ends[lines[:, 1] - 1], np.array([t.unit(a, b) for a, b in lines], np.int64), bands))
+    first = places(t.shingles)
     first = first[first + WORDS <= len(t.words)]
     if len(first):
         at = first[:, None] + np.arange(WORDS - SHINGLE + 1)
-        bands = signatures([v[at].min(axis=1) for v in values[: ROWS * RUN_BANDS]])
-        out += [(t.starts[a], t.ends[a + WORDS - 1], t.unit(a, a + WORDS), bands[i]) for i, a in enumerate(first)]
+        names = mixed((t.words[first[:, None] + np.arange(WORDS)] * powers(WORDS)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        out.append((t.starts[first], t.ends[first + WORDS - 1], names, signatures([v[at].min(axis=1) for v in values[:RUN_ROWS]], RUN_ROWS)))
     return out
 
 
@@ -109,12 +127,13 @@ def units(documents: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [(d, *u) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for u in units_of(x.as_py() or "", hashes)]
-                if rows:
-                    ids, starts, ends, names, bands = zip(*rows, strict=True)
-                    sizes = np.cumsum([0, *map(len, bands)], dtype=np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(bands)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(starts, np.int32)), pa.array(np.array(ends, np.int32)), pa.array(names, pa.int64()), lists], ["doc_id", "start", "until", "unit", "bands"])
+                found = [(d, u) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for u in units_of(x.as_py() or "", hashes)]
+                if found:
+                    ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(u[2]) for _, u in found])
+                    starts, ends, names = (np.concatenate([u[k] for _, u in found]) for k in range(3))
+                    sizes = np.concatenate([np.full(len(u[2]), u[3].shape[1]) for _, u in found])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([u[3].ravel() for _, u in found])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(names), lists], ["doc_id", "start", "until", "unit", "bands"])
 
     return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, "doc_id long, start int, until int, unit long, bands array<long>")
 
@@ -164,7 +183,7 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     table = stored(units(documents), "units")
     bands = table.select("unit", F.explode("bands").alias("band"))
     mixed_bands = bands.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("band")
-    members = stored(bands.join(stored(mixed_bands, "bands"), "band").distinct(), "members")
+    members = stored(bands.join(small(stored(mixed_bands, "bands")), "band").distinct(), "members")
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     every = table.select("doc_id", "start", "until", "unit").join(again.union(members.select("unit")).distinct(), "unit")
     every = stored(every, "repeated")
