@@ -1,0 +1,113 @@
+"""Event clusters: candidate keys, pair scores, complete-link assignment within connected parts."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import texts
+
+MODEL = r"\b([A-Za-z]{2,}[- ]?[0-9]+(?:\.[0-9]+)+)\b"
+NUMBER = r"(?<![A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?(?:%|x|k|m|b)?)(?![A-Za-z0-9_])"
+PER_KEY, PER_RECORD = 50, 80
+#: Shares of terms and anchors in a pair's score, and the least score with and without a shared model or entity.
+TERMS, ANCHORS, NEAR, FAR = 0.72, 0.28, 0.30, 0.42
+
+
+def features(articles: DataFrame, entities: list[str], stop: list[str] = ()) -> DataFrame:
+    """article_id, ord, title_key, terms, models, entities, numbers, anchors of articles (article_id, ord, title, text)."""
+    low = F.lower(F.concat_ws("\n", "title", "text"))
+    named = F.filter(F.array(*map(F.lit, entities)), lambda e: F.array_contains(F.col("tokens"), e)) if entities else F.array().cast("array<string>")
+    out = articles.select("article_id", "ord", texts.title_key(F.col("title")).alias("title_key"), texts.latin_tokens(F.col("title"), stop).alias("words"), texts.latin_tokens(low, stop).alias("tokens"), F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(MODEL), F.lit(1)), lambda m: F.replace(m, F.lit(" "), F.lit("-")))).alias("models"), F.array_distinct(F.regexp_extract_all(low, F.lit(NUMBER), F.lit(1))).alias("numbers"), F.array_distinct(F.concat(texts.grams(low, 2), texts.grams(low, 3))).alias("grams"))
+    out = out.withColumn("entities", named)
+    return out.select("article_id", "ord", "title_key", F.array_distinct(F.concat("words", "grams")).alias("terms"), "models", "entities", "numbers", F.array_distinct(F.concat("models", "entities", "numbers")).alias("anchors"))
+
+
+def keys(found: DataFrame) -> DataFrame:
+    """(article_id, ord, place, key): candidate keys in order of strength."""
+    tagged = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), v))
+    title = F.when(F.length("title_key") >= 6, F.array(F.col("title_key"))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(tagged("t", title), tagged("m", F.col("models")), tagged("e", F.col("entities")), tagged("n", F.col("numbers")), tagged("w", F.filter("terms", lambda t: F.length(t) >= 6))))
+    return found.select("article_id", "ord", F.posexplode(every).alias("place", "key"))
+
+
+def candidates(found: DataFrame, per_key: int = PER_KEY, per_record: int = PER_RECORD) -> DataFrame:
+    """(later, earlier): a record meets the first per_key records of each of its keys, at most per_record of them.
+
+    A hot key costs per_key rows times its records, never their square: the bucket is cut before the join.
+    """
+    listed = keys(found)
+    bucket = listed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("ord"))).where(F.col("n") <= per_key)
+    met = listed.alias("l").join(bucket.alias("b"), (F.col("l.key") == F.col("b.key")) & (F.col("b.ord") < F.col("l.ord")))
+    first = met.groupBy(F.col("l.article_id").alias("later"), F.col("b.article_id").alias("earlier")).agg(F.min(F.struct("l.place", "b.ord")).alias("at"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("later").orderBy("at"))).where(F.col("n") <= per_record).select("later", "earlier")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(later, earlier, score) of pairs that don't contradict and reach the least score."""
+    a, b = found.alias("a"), found.alias("b")
+    both = pairs.join(a, F.col("later") == F.col("a.article_id")).join(b, F.col("earlier") == F.col("b.article_id"))
+    clash = F.lit(False)
+    for kind in ("models", "entities", "numbers"):
+        clash = clash | ((F.size(f"a.{kind}") > 0) & (F.size(f"b.{kind}") > 0) & ~F.arrays_overlap(f"a.{kind}", f"b.{kind}"))
+    core = F.arrays_overlap("a.models", "b.models") | F.arrays_overlap("a.entities", "b.entities")
+    shared = F.size(F.array_intersect("a.anchors", "b.anchors"))
+    score = TERMS * jaccard(F.col("a.terms"), F.col("b.terms")) + ANCHORS * jaccard(F.col("a.anchors"), F.col("b.anchors"))
+    out = both.select("later", "earlier", clash.alias("clash"), core.alias("core"), shared.alias("shared"), score.alias("score"))
+    return out.where(~F.col("clash") & (F.col("core") | (F.col("shared") >= 2)) & (F.col("score") >= F.when(F.col("core"), NEAR).otherwise(FAR))).select("later", "earlier", "score")
+
+
+def complete_link(records: pd.DataFrame, scored: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """(article, group) in order: each joins the group of the highest mean score in which it is scored with every member."""
+    groups: list[list[int]] = []
+    place = {}
+    for article in records:
+        best, at = -1.0, None
+        for g in {place[o] for o in (e for (l, e) in scored if l == article) if o in place}:
+            got = [scored.get((article, m)) for m in groups[g]]
+            if None not in got and sum(got) / len(got) > best:
+                best, at = sum(got) / len(got), g
+        if at is None:
+            at = len(groups)
+            groups.append([])
+        groups[at].append(article)
+        place[article] = at
+    return [(article, groups[g][0]) for article, g in place.items() if len(groups[g]) > 1]
+
+
+def assigned(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(article_id, cluster_id): complete-link groups; parts (article_id, part) are the pairs' connected components.
+
+    The order of joining matters, so one part is one task's; a part has the records that share candidate keys and reach the
+    least score with each other.
+    """
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        scored = {(l, e): s for l, e, s in frame[["later", "earlier", "score"]].itertuples(index=False)}
+        got = complete_link(sorted({x for k in scored for x in k}), scored)
+        return pd.DataFrame(got, columns=["article_id", "cluster_id"]).astype("int64")
+
+    return pairs.join(parts.withColumnRenamed("article_id", "later"), "later").groupBy("part").applyInPandas(work, "article_id long, cluster_id long")
+
+
+def connected(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+    """(article_id, part): the smallest article_id that is reachable, by label propagation with checkpoints."""
+    both = pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")).union(pairs.select("earlier", "later")).distinct()
+    spark = pairs.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))  # tests only: a cluster names its own
+    both = both.checkpoint()
+    labels = both.groupBy(F.col("a").alias("article_id")).agg(F.least(F.min("a"), F.min("b")).alias("part"))
+    while True:
+        near = both.join(labels.withColumnRenamed("article_id", "b"), "b").groupBy(F.col("a").alias("article_id")).agg(F.min("part").alias("near"))
+        step = labels.join(near, "article_id").select("article_id", F.least("part", "near").alias("part"), (F.col("near") < F.col("part")).alias("moved")).checkpoint()
+        labels = step.select("article_id", "part")
+        if step.where("moved").isEmpty():
+            return labels

@@ -1,0 +1,99 @@
+"""Evidence, direction scores and classification over a lexicon table; the content filter; origin tracing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import texts, times, urls
+from tidemill.plans.vocabulary import CAPPED, FULL, HALF, complete
+
+
+def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
+    """(doc_id, direction, dimension, score, quote): 5 for a strong term in a sentence that denies nothing, 2.5 for two
+    different weak ones, no row for less.
+
+    lexicon: direction, dimension, kind (strong, weak), term (one ASCII token in lower case); a table of a few thousand
+    rows whose size is the editors', not the data's. Sentences are cut once and their tokens meet all terms in one
+    equality join, so that work grows with the text and not with text times terms.
+    """
+    cut = documents.select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("no", "sentence"))
+    cut = cut.select("doc_id", "no", "sentence", texts.latin_tokens(F.col("sentence")).alias("tokens")).where(~F.arrays_overlap("tokens", F.array(*map(F.lit, negations))))
+    hits = cut.select("doc_id", "no", "sentence", F.explode("tokens").alias("term")).join(F.broadcast(lexicon), "term")
+    strong, at = F.col("kind") == "strong", F.struct("no", "sentence")
+    found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(~strong, F.col("term"))).alias("weak"), F.min(F.when(strong, at))["sentence"].alias("quote"))
+    score = F.when(F.col("strong") > 0, FULL).when(F.col("weak") >= 2, HALF)
+    return found.withColumn("score", score).where(F.col("score").isNotNull()).select("doc_id", "direction", "dimension", "score", F.when(F.col("score") == FULL, F.col("quote")).alias("quote"))
+
+
+def direction_scores(found: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """(doc_id, direction, total_score, eligible, dimension_scores): weighted and capped, for directions with evidence."""
+    weights = dimensions.groupBy("direction").agg(F.sum(F.col("weight") * FULL).alias("all"))
+    summed = found.join(F.broadcast(dimensions), ["direction", "dimension"]).groupBy("doc_id", "direction").agg(F.sum(F.col("score") * F.col("weight")).alias("sum"), F.map_from_entries(F.collect_list(F.struct("dimension", "score"))).alias("dimension_scores"))
+    summed = summed.join(F.broadcast(weights), "direction")
+    eligible = complete(F.col("direction"), F.col("dimension_scores"))
+    raw = times.rounded(F.col("sum") / F.col("all") * 40).cast("int")
+    most = F.create_map(*(F.lit(x) for pair in CAPPED.items() for x in pair))[F.col("direction")]
+    total = F.when(eligible & (F.size("dimension_scores") >= 2), raw).otherwise(F.least(raw, most))
+    return summed.select("doc_id", "direction", total.alias("total_score"), eligible.alias("eligible"), "dimension_scores")
+
+
+def classified(scores: DataFrame, order: DataFrame, margin: int = 3) -> DataFrame:
+    """(doc_id, status, direction, best, margin): the best eligible direction, ambiguous if another is within margin."""
+    able = scores.where(F.col("eligible") & (F.col("total_score") > 0)).join(F.broadcast(order), "direction")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("total_score"), "direction_no"))
+    two = able.withColumn("rank", rank).where("rank <= 2").groupBy("doc_id").agg(F.max(F.when(F.col("rank") == 1, F.col("direction"))).alias("first"), F.max(F.when(F.col("rank") == 1, F.col("total_score"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("total_score"))).alias("next"))
+    gap = F.col("best") - F.coalesce("next", F.lit(0))
+    unsure = F.col("next").isNotNull() & (gap <= margin)
+    every = scores.select("doc_id").distinct().join(two, "doc_id", "left")
+    status = F.when(F.col("best").isNull(), "no_match").when(unsure, "ambiguous").otherwise("classified")
+    return every.select("doc_id", status.alias("status"), F.when(~unsure, F.col("first")).alias("direction"), "best", F.when(F.col("best").isNotNull(), gap).alias("margin"))
+
+
+def filter_decision(title: Column, content: Column, published_at: Column, as_of: Column, signals: str, spam: str, stale_days: int = 365, least: int = 40) -> Column:
+    """struct(decision, reason_code, quote): the first rule that holds. signals and spam are patterns of a lexicon."""
+    both = F.concat(title, F.lit("\n"), content)
+    bare = F.trim(F.regexp_replace(content, r"(?i)<[^>]*>|&nbsp;", ""))
+    sentence = lambda pattern: F.substring(F.get(F.filter(texts.sentences(both), lambda s: s.rlike(pattern)), 0), 1, 280)
+    said = lambda decision, code, quote: F.struct(F.lit(decision).alias("decision"), F.lit(code).alias("reason_code"), quote.alias("quote"))
+    return (
+        F.when(F.coalesce(title, F.lit("")) == "", said("reject", "missing_title", F.substring(F.trim(content), 1, 280)))
+        .when(F.coalesce(bare, F.lit("")) == "", said("reject", "empty_body", F.substring(F.trim(title), 1, 280)))
+        .when(both.rlike(spam), said("reject", "spam", sentence(spam)))
+        .when(~both.rlike(signals), said("reject", "non_topic", F.substring(F.get(texts.sentences(content), 0), 1, 280)))
+        .when(times.age_days(published_at, as_of) > stale_days, said("review", "stale_content", sentence(signals)))
+        .when(F.length(content) < least, said("review", "too_short", F.substring(F.trim(content), 1, 280)))
+        .otherwise(said("candidate", "eligible_content", sentence(signals)))
+    )
+
+
+def link_candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, url, kind, weight, at): canonical, og:url, JSON-LD and body links; a page's first kind of a URL counts."""
+    kinds = [
+        ("canonical", 100, r'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"'), ("og_url", 90, r'(?i)<meta[^>]+property="og:url"[^>]+content="([^"]+)"'),
+        ("json_ld", 80, r'(?is)<script[^>]+ld\+json[^>]*>[^<]*?"url"\s*:\s*"([^"]+)"'), ("body_link", 10, r'(?i)<a[^>]+href="(https?://[^"]+)"'),
+    ]
+    def of(kind: str, weight: int, pattern: str) -> Column:
+        named = lambda u: F.struct(urls.traced_url(u).alias("url"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))
+        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), named)
+
+    found = [of(*k) for k in kinds]
+    each = pages.select("page_id", F.col("url").alias("own"), F.posexplode(F.concat(*found)).alias("at", "link"))
+    first = each.select("page_id", "own", "at", "link.*").groupBy("page_id", "own", "url").agg(F.min(F.struct("at", "kind", "weight")).alias("x"))
+    return first.select("page_id", "own", "url", "x.kind", "x.weight", "x.at")
+
+
+def origins(pages: DataFrame, static: str = r"(?i)\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|pdf|zip|xml|rss|atom|json)$") -> DataFrame:
+    """(page_id, origin, kind, needs_review): the heaviest safe link to another site; a body link needs a review."""
+    links = link_candidates(pages)
+    other = (urls.host(F.col("url")) != urls.host(F.col("own"))) & ~F.coalesce(urls.part(F.col("url"), "PATH"), F.lit("")).rlike(static) & urls.unsafe_reason(F.col("url")).isNull()
+    best = links.where(other).groupBy("page_id").agg(F.min_by(F.struct("url", "kind"), F.struct((-F.col("weight")).alias("w"), "at")).alias("x"))
+    return best.select("page_id", F.col("x.url").alias("origin"), F.col("x.kind").alias("kind"), (F.col("x.kind") == "body_link").alias("needs_review"))
+
+
+def merged_scores(rows: DataFrame) -> DataFrame:
+    """(article_id, direction, total_score, dimension_scores): the greatest total and the greatest of each dimension."""
+    totals = rows.groupBy("article_id", "direction").agg(F.max("total_score").alias("total_score"))
+    each = rows.select("article_id", "direction", F.explode("dimension_scores").alias("dimension", "score")).groupBy("article_id", "direction", "dimension").agg(F.max("score").alias("score"))
+    maps = each.groupBy("article_id", "direction").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "score")))).alias("dimension_scores"))
+    return totals.join(maps, ["article_id", "direction"], "left")

@@ -1,0 +1,210 @@
+"""DuckDB SQL that answers what plans.queries answers, on the same tables."""
+
+from __future__ import annotations
+
+from tidemill.functions.urls import TRACKING, TRACKING_FIRST
+from tidemill.plans.vocabulary import ALIASES, CAPPED, NAMES, STORIES, dimension_rows
+
+DAY0, NOW = 1704067200, 1704067200 + 20 * 86400
+
+
+def texts(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def at(seconds: str) -> str:
+    return f"make_timestamp(CAST(({seconds}) AS BIGINT) * 1000000)"
+
+
+def stamp(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+SP = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trimmed(c: str) -> str:
+    return rf"regexp_replace({c}, '^{SP}+|{SP}+\z', '', 'g')"
+
+
+def collapsed(c: str) -> str:
+    return trimmed(f"regexp_replace({c}, '{SP}+', ' ', 'g')")
+
+
+def decoded(c: str) -> str:
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{sign}')"
+    return c
+
+
+def title(c: str) -> str:
+    return collapsed(decoded(f"regexp_extract({c}, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+
+
+def plain_html(c: str) -> str:
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "template"):
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
+    c = rf"regexp_replace({c}, '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g')"
+    c = decoded(f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')")
+    c = rf"regexp_replace(regexp_replace({c}, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({c}, '\n+', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')"
+
+
+def piece(c: str, name: str) -> str:
+    got = {"scheme": r"^([A-Za-z][A-Za-z0-9+.\-]*)://", "host": r"^[^:]+://([^/?#:]*)", "port": r"^[^:]+://[^/?#]*:([0-9]+)", "path": r"^[^:]+://[^/?#]*([^?#]*)", "query": r"\?([^#]*)"}[name]
+    out = f"regexp_extract({c}, '{got}', 1)"
+    return f"lower({out})" if name in ("scheme", "host") else out
+
+
+def url(c: str, dropped: list[str], fold: bool, order: bool) -> str:
+    name = "lower(split_part(p, '=', 1))" if fold else "split_part(p, '=', 1)"
+    kept = f"list_filter(string_split({piece(c, 'query')}, '&'), lambda p: p <> '' AND NOT list_contains({texts(dropped)}, {name}))"
+    kept = f"list_sort({kept})" if order else kept
+    scheme, port = piece(c, "scheme"), piece(c, "port")
+    shown = f"CASE WHEN {port} = '' OR {port} = CASE {scheme} WHEN 'http' THEN '80' ELSE '443' END THEN '' ELSE ':' || {port} END"
+    path = f"CASE WHEN {piece(c, 'path')} = '' THEN '/' ELSE {piece(c, 'path')} END"
+    query = f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
+    return f"CASE WHEN {scheme} IN ('http', 'https') AND {piece(c, 'host')} <> '' THEN {scheme} || '://' || {piece(c, 'host')} || {shown} || {path} || {query} END"
+
+
+def canonical(c: str) -> str:
+    return f"coalesce({url(c, TRACKING, True, True)}, '')"
+
+
+def host(c: str) -> str:
+    return rf"regexp_replace({piece(c, 'host')}, '^www\.', '')"
+
+
+def title_key(c: str) -> str:
+    return rf"regexp_replace(lower({collapsed(c)}), '^[\p{{P}}\p{{S}}\s]+|[\p{{P}}\p{{S}}\s]+\z', '', 'g')"
+
+
+def sentences(c: str, marks: str = r"[。！？!?\n]+") -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({c}, '{marks}'), lambda s: {trimmed('s')}), lambda s: s <> '')"
+
+
+ARTICLES = f"""articles AS (
+  SELECT d.doc_id AS article_id, left(split_part(d.text, chr(10), 1), 80) AS title, d.text, d.source AS source_name, CAST(substr(d.source, 4) AS INT) AS source_no,
+    {at(f'{DAY0} + d.doc_id * 977 % 2592000')} AS published_at, {at(f'{DAY0} + d.doc_id * 1511 % 2592000')} AS collected_at,
+    CASE WHEN d.doc_id % 10 < 6 THEN 'published' WHEN d.doc_id % 10 < 8 THEN 'draft' WHEN d.doc_id % 10 = 8 THEN 'pending_review' ELSE 'blocked' END AS status,
+    CASE WHEN d.doc_id % 11 <> 0 THEN {texts(NAMES)}[d.doc_id % 9 + 1] END AS direction, CAST(d.doc_id * 37 % 101 AS INT) AS score,
+    CASE WHEN d.doc_id % 3 <> 0 THEN 'c' || (d.doc_id // 6) END AS cluster_id, d.doc_id % 5 <> 0 AS ai_processed, l.quality
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+SOURCES = f"""sources AS (
+  SELECT source_name, n AS source_no, ['authoritative', 'validation', 'signal'][n % 3 + 1] AS tier, ['first_party', 'editorial', 'aggregator'][n % 4 + 1] AS origin_policy,
+    n % 7 <> 0 AS enabled, CASE WHEN n % 3 <> 0 THEN {at(f'{DAY0} + n * 86400')} END AS next_fetch_at, ['media_analysis', 'lab', 'community'][n % 3 + 1] AS category
+  FROM (SELECT DISTINCT source AS source_name, CAST(substr(source, 4) AS INT) AS n FROM documents))"""
+ITEMS = f"""items AS (
+  SELECT page_id AS item_id, CASE WHEN page_id % 41 <> 0 THEN {title('html')} END AS title,
+    CASE WHEN page_id % 53 = 0 THEN '' WHEN page_id % 59 = 0 THEN 'ftp://x/y' ELSE 'HTTPS://' || {host('url')} || ':443/a/' || (page_id % 97) || '?utm_source=x&b=' || (page_id % 3) || '&a=1#top' END AS url,
+    CASE WHEN page_id % 61 <> 0 THEN {plain_html('html')} END AS content, 'src' || (page_id % 20) AS source_name,
+    page_id % 20 % 3 AS tier, page_id % 20 % 4 AS origin
+  FROM pages), reasons AS (
+  SELECT item_id, CASE WHEN coalesce({collapsed('title')}, '') = '' THEN 'title' WHEN coalesce(trim(url), '') = '' THEN 'url_missing' WHEN {canonical('url')} = '' THEN 'url_invalid' WHEN coalesce({collapsed('content')}, '') = '' THEN 'content' END AS drop_reason,
+    {collapsed(decoded('title'))} AS title, url, content, source_name, tier, origin, {canonical('url')} AS dedup_url FROM items), normal AS (
+  SELECT *, md5(title || chr(10) || dedup_url) AS content_hash FROM reasons WHERE drop_reason IS NULL)"""
+HEALTH = """attempts AS (
+  SELECT 'src' || (user_id % 20) AS source_name, ts, event_id, event_type <> 'error' AS ok, event_type = 'error' AND value > 200 AS gone FROM events), runs AS (
+  SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ts DESC, event_id DESC) AS back, sum(ok::INT) OVER (PARTITION BY source_name ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS since FROM attempts), health AS (
+  SELECT *, CASE WHEN consecutive_failures < 3 THEN NULL WHEN gone THEN 604800 ELSE least(604800, 7200 * pow(2, least(consecutive_failures - 3, 12)))::INT END AS cooldown_seconds FROM (
+    SELECT source_name, count(*) AS fetches, count(*) FILTER (ok) AS successes, count(*) FILTER (since = 0) AS consecutive_failures, bool_or(gone) FILTER (back = 1) AS gone,
+      floor(count(*) FILTER (ok) / count(*) * 10000 + 0.5) / 100 AS success_rate FROM runs GROUP BY source_name))"""
+LADDER = f"""ladder AS (
+  SELECT a.article_id, a.direction, a.title, CASE WHEN a.article_id % 4 = 0 AND floor(({NOW} - epoch(a.published_at)) / 86400) > 7 THEN 'stale' WHEN h.fetches >= 3 AND h.consecutive_failures >= 2 THEN 'source_unreliable'
+    WHEN a.article_id % 13 = 0 THEN 'link_dead' WHEN a.article_id % 17 = 0 THEN 'link_probe_review' END AS reason
+  FROM articles a LEFT JOIN health h USING (source_name) WHERE a.status = 'published')"""
+DIMENSIONS = "dimensions(direction, direction_no, dimension, dimension_no, weight) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}', {d}, {e})" for a, b, c, d, e in dimension_rows()) + ")"
+EVIDENCE = rf"""{DIMENSIONS}, words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_+#.\-]*[a-z0-9])', 1)) AS term FROM benchmark), dealt AS (
+  SELECT term, row_number() OVER (ORDER BY md5(term), term) - 1 AS no FROM words WHERE length(term) >= 4), lexicon AS (
+  SELECT s.direction, s.dimension, CASE WHEN (no // 71) % 3 = 0 THEN 'strong' ELSE 'weak' END AS kind, term FROM dealt JOIN (SELECT *, row_number() OVER (ORDER BY direction_no, dimension_no) - 1 AS slot FROM dimensions) s ON no % 71 = slot), cut AS (
+  SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS no FROM (SELECT doc_id, {sentences('text')} AS ss FROM documents)), tokens AS (
+  SELECT doc_id, no, sentence, list_distinct(regexp_extract_all(lower(sentence), '([a-z0-9][a-z0-9_+#.\-]*[a-z0-9])', 1)) AS t FROM cut), hits AS (
+  SELECT doc_id, no, sentence, unnest(t) AS term FROM tokens WHERE NOT list_has_any(t, ['not', 'no', 'nicht', 'pas', 'never'])), evidence AS (
+  SELECT *, CASE WHEN strong > 0 THEN 5.0 WHEN weak >= 2 THEN 2.5 END AS score FROM (
+    SELECT doc_id, direction, dimension, count(*) FILTER (kind = 'strong') AS strong, count(DISTINCT term) FILTER (kind = 'weak') AS weak, arg_min(sentence, no) FILTER (kind = 'strong') AS quote
+    FROM hits JOIN lexicon USING (term) GROUP BY ALL))"""
+
+
+def story(direction: str, ways: list[list[str]]) -> str:
+    one = lambda name: f"coalesce(max(score) FILTER (dimension = '{name.lstrip('~')}'), 0) >= {2.5 if name[0] == '~' else 5}"
+    return f"(direction = '{direction}' AND (" + " OR ".join("(" + " AND ".join("(" + " OR ".join(map(one, any_of.split("|"))) + ")" for any_of in way) + ")" for way in ways) + "))"
+
+
+SCORES = f"""{EVIDENCE}, totals AS (
+  SELECT doc_id, direction, CAST(floor(sum(score * weight) / any_value(all_weight) * 40 + 0.5) AS INT) AS raw, count(*) AS n,
+    count(*) FILTER (score >= 5) >= 3 AND ({' OR '.join(story(d, w) for d, w in STORIES.items())}) AS eligible
+  FROM evidence JOIN dimensions USING (direction, dimension) JOIN (SELECT direction, sum(weight * 5) AS all_weight FROM dimensions GROUP BY 1) USING (direction) WHERE score IS NOT NULL GROUP BY doc_id, direction), scores AS (
+  SELECT doc_id, direction, eligible, CASE WHEN eligible AND n >= 2 THEN raw ELSE least(raw, CASE direction {' '.join(f"WHEN '{d}' THEN {m}" for d, m in CAPPED.items())} END) END AS total_score FROM totals)"""
+SIGNALS, SPAM = r"\b(?:tion|thing|inter|moron|idiot)", r"\b(?:password|token)\b"
+
+
+def first_with(c: str, pattern: str) -> str:
+    return f"left(list_filter({sentences(c)}, lambda s: regexp_matches(s, '{pattern}'))[1], 280)"
+
+
+LINKS = rf"""raw AS (
+  SELECT page_id, url AS own, x.kind, x.weight, regexp_replace(x.u, '[.,;:!?)\]}}>]+\z', '') AS bare, x.pos AS pos FROM (
+    SELECT page_id, url, unnest(list_transform(regexp_extract_all(html, '(?i)<a[^>]+href="(https?://[^"]+)"', 1), lambda u, i: {{'kind': 'body_link', 'weight': 10, 'u': u, 'pos': i}})) AS x FROM pages)), links AS (
+  SELECT page_id, own, kind, weight, pos, {url('bare', TRACKING_FIRST, False, False)} || CASE WHEN contains(bare, '#') THEN '#' || split_part(bare, '#', -1) ELSE '' END AS url FROM raw), firsts AS (
+  SELECT page_id, own, url, arg_min(kind, pos) AS kind, arg_min(weight, pos) AS weight, min(pos) AS pos FROM links GROUP BY ALL)"""
+
+ORACLE = {
+    "page_winners": f"WITH {ITEMS}, won AS (SELECT * FROM normal QUALIFY row_number() OVER (PARTITION BY dedup_url ORDER BY origin, tier, length(content) DESC, source_name, title, content_hash, url) = 1) SELECT {host('url')} AS host, count(*) AS n, max(length(title)) AS longest FROM won GROUP BY 1",
+    "canonical_url": f"SELECT page_id, {canonical('url')} AS dedup_url, coalesce({url('url', TRACKING_FIRST, False, False)}, url) AS cleaned, {host('url')} AS host FROM pages",
+    "url_safety": "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'local_host' WHEN 1 THEN 'private_address' WHEN 2 THEN 'private_address' WHEN 3 THEN 'local_host' WHEN 4 THEN 'userinfo' WHEN 5 THEN 'port' END AS reason FROM pages",
+    "redirect_target": "SELECT page_id, url AS target FROM pages",
+    "content_hash": f"WITH {ARTICLES} SELECT article_id, md5(title || chr(10) || source_name) AS content_hash, {title_key('title')} AS title_key FROM articles",
+    "html_to_text": f"SELECT page_id, {title('html')} AS title, md5({plain_html('html')}) AS text_md5, length({plain_html('html')}) AS n_chars FROM pages",
+    "sentence_stats": f"WITH s AS (SELECT doc_id, unnest({sentences('text')}) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest, min(s) AS least FROM s GROUP BY doc_id",
+    "rule_summary": f"WITH {ARTICLES}, l AS (SELECT article_id, title, list_filter({sentences('text', '[。！？.!?]+')}, lambda s: length(s) > 10) AS l FROM articles), j AS (SELECT *, array_to_string(l[1:2], '。') AS j FROM l) SELECT article_id, CASE WHEN len(l) = 0 THEN title WHEN length(j) > 200 THEN left(j, 200) || '...' ELSE j END AS summary FROM j",
+    "language_tag": r"""WITH t AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN '模型训练' || left(text, 3) WHEN 1 THEN '模型' || text ELSE text END AS t FROM documents), c AS (SELECT lang, length(regexp_replace(t, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS zh, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS la FROM t)
+        SELECT CASE WHEN zh = 0 THEN 'non_zh' WHEN zh >= la THEN 'zh' ELSE 'mixed' END AS tag, lang, count(*) AS n FROM c GROUP BY ALL""",
+    "shanghai_day": "SELECT CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "age_days": f"WITH {ARTICLES} SELECT article_id, CAST(greatest(0, floor(({NOW} - epoch(published_at)) / 86400)) AS INT) AS age_days FROM articles",
+    "source_health": f"WITH {HEALTH} SELECT source_name, fetches, successes, consecutive_failures, success_rate, cooldown_seconds FROM health",
+    "direction_normalize": f"WITH r AS (SELECT {texts([*ALIASES, *NAMES, 'other'])}[user_id % 15 + 1] AS raw FROM events), n AS (SELECT CASE raw {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in ALIASES.items())} ELSE raw END AS d FROM r) SELECT CASE WHEN d IN ({', '.join(f'''{n!r}''' for n in NAMES)}) THEN d END AS direction, count(*) AS n FROM n GROUP BY 1",
+    "drop_reasons": f"WITH {ITEMS} SELECT drop_reason, count(*) AS n FROM reasons GROUP BY 1",
+    "dedup_batch": f"WITH {ITEMS} SELECT item_id, dedup_url, content_hash FROM normal QUALIFY row_number() OVER (PARTITION BY dedup_url ORDER BY origin, tier, length(content) DESC, source_name, title, content_hash, url) = 1",
+    "dedup_vs_history": f"WITH {ITEMS} SELECT item_id, dedup_url FROM normal n WHERE item_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM normal h WHERE h.item_id % 6 = 1 AND (h.dedup_url = n.dedup_url OR h.content_hash = n.content_hash))",
+    "snapshot_upsert": f"WITH {ARTICLES} SELECT article_id, CAST(CASE WHEN article_id % 3 = 0 THEN score + 1000 ELSE score END AS INT) AS score, status FROM articles WHERE article_id % 3 = 0 OR article_id % 4 <> 0",
+    "duplicate_gate": f"""WITH {ITEMS}, k AS (SELECT item_id AS a, dedup_url AS u, {title_key('title')} AS t, item_id * 613 % 86400 AS c, item_id % 5 AS g FROM normal WHERE item_id % 5 < 2), o AS (
+        SELECT a, g, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 1 AND b.u = k.u) AS ou, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 1 AND b.t = k.t AND k.t <> '') AS ot, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 0 AND b.u = k.u) AS nu, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 0 AND b.t = k.t AND k.t <> '') AS nt FROM k)
+        SELECT a AS article_id, CASE WHEN ou <> a THEN 'same_url' WHEN ot <> a THEN 'same_title' WHEN nu <> a THEN 'same_batch_url' WHEN nt <> a THEN 'same_batch_title' END AS reason FROM o WHERE g = 0 AND (ou <> a OR ot <> a OR nu <> a OR nt <> a)""",
+    "eligible_sources": f"WITH {SOURCES} SELECT source_name, tier, {stamp('next_fetch_at')} AS next_fetch_at FROM sources WHERE enabled AND (next_fetch_at IS NULL OR next_fetch_at <= {at(str(DAY0 + 9 * 86400))})",
+    "origin_policy": rf"""WITH h AS (SELECT page_id, {host('url')} AS h FROM pages), f AS (SELECT page_id, regexp_matches(h, '(^|\.)example\.net$') AS b, regexp_matches(h, '(^|\.)example\.com$') AS a, regexp_matches(h, '(^|\.)example\.org$') AS e FROM h)
+        SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'editorial' WHEN b THEN 'aggregator' WHEN a THEN 'first_party' WHEN page_id % 5 = 0 OR e THEN 'editorial' ELSE 'aggregator' END AS policy FROM f""",
+    "hot_articles_page": f"WITH {ARTICLES}, {SOURCES}, page AS (SELECT * FROM articles WHERE status = 'published' AND score >= 75 AND direction IS NOT NULL ORDER BY score DESC, published_at DESC, article_id LIMIT 20 OFFSET 20) SELECT article_id, title, score, direction, tier, CASE WHEN cluster_id IS NULL THEN 1 ELSE (SELECT count(*) FROM articles b WHERE b.cluster_id = page.cluster_id) END AS cluster_size FROM page LEFT JOIN sources USING (source_name)",
+    "workbench_overview": f"WITH {ARTICLES} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("published", "draft", "pending_review", "blocked")) + ", count(*) FILTER (ai_processed) AS ai_processed FROM articles",
+    "workbench_articles": f"WITH {ARTICLES} SELECT article_id, title, score, {stamp('published_at')} AS published_at FROM (SELECT * FROM articles WHERE status = 'draft' AND direction = 'coding' ORDER BY published_at DESC, article_id LIMIT 50)",
+    "score_merge": f"""WITH {ARTICLES}, r AS (SELECT article_id, direction, score, run FROM articles, (VALUES (0), (1)) v(run) WHERE direction IS NOT NULL), t AS (SELECT article_id, direction, CAST(max(score + run * (article_id % 7)) AS INT) AS total_score FROM r GROUP BY ALL), e AS (
+        SELECT article_id, direction, 'first' AS k, score % 3 * 2.5 AS v FROM r UNION ALL SELECT article_id, direction, 'second', (score + run) % 3 * 2.5 FROM r UNION ALL SELECT article_id, direction, 'own' || run, 5.0 FROM r), m AS (SELECT article_id, direction, k, max(v) AS v FROM e GROUP BY ALL)
+        SELECT article_id, direction, total_score, string_agg(k || '=' || CAST(CAST(v AS DECIMAL(3,1)) AS VARCHAR), ',' ORDER BY k) AS dimensions FROM m JOIN t USING (article_id, direction) GROUP BY ALL""",
+    "quality_ladder": f"WITH {ARTICLES}, {HEALTH}, {LADDER} SELECT article_id, reason FROM ladder",
+    "quality_gate_list": f"WITH {ARTICLES}, {HEALTH}, {LADDER} SELECT reason, direction, count(*) AS n, min(title) AS first_title FROM ladder WHERE reason IS NOT NULL GROUP BY ALL",
+    "review_list": f"WITH {ARTICLES}, r AS (SELECT doc_id + CASE WHEN doc_id % 19 = 0 THEN 1000000000 ELSE 0 END AS article_id FROM labels WHERE quality = 0) SELECT article_id, coalesce(title, '') AS title, coalesce(status, '') AS status FROM r LEFT JOIN articles USING (article_id)",
+    "auto_approve": f"WITH {ARTICLES} SELECT article_id, score FROM articles WHERE status = 'pending_review' AND score >= 60 AND collected_at < {at(str(NOW - 86400))} AND article_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id % 2 = 0)",
+    "revalidation": f"WITH {ARTICLES} SELECT article_id, {stamp('collected_at')} AS collected_at FROM (SELECT * FROM articles WHERE status = 'published' ORDER BY collected_at, article_id LIMIT 200)",
+    "digest_day": f"WITH {ARTICLES}, d AS (SELECT *, CAST(CAST(published_at + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day FROM articles WHERE status = 'published' AND direction IS NOT NULL AND score > 0), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, article_id) AS n FROM d) SELECT day, count(*) AS article_count, string_agg(n || '. ' || title, '；' ORDER BY n) FILTER (n <= 10) AS summary FROM n GROUP BY day",
+    "ai_admission": f"""WITH {ARTICLES}, {SOURCES}, a AS (SELECT article_id, source_name, source_no % 3 AS tier, ai_processed, status FROM articles), used AS (SELECT source_name, count(*) AS n FROM a WHERE ai_processed AND status = 'blocked' GROUP BY 1), c AS (
+        SELECT article_id, tier, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY source_name ORDER BY tier, article_id) AS turn FROM a LEFT JOIN used USING (source_name) WHERE NOT ai_processed), o AS (SELECT *, row_number() OVER (ORDER BY tier, n, article_id) AS seat FROM c WHERE turn + n <= 30)
+        SELECT article_id, CAST(turn AS INT) AS turn, CAST(seat AS INT) AS seat FROM o WHERE seat + coalesce((SELECT sum(n) FROM used), 0) <= 500""",
+    "publish_gate": f"""WITH {ARTICLES} SELECT article_id, direction IS NOT NULL AND status NOT IN ('pending_review', 'blocked') AND (article_id % 3 < 2 OR article_id % 10 = 2) AND (article_id % 4 = 0 OR ai_processed) AND score >= 50 AND NOT (article_id % 3 = 2 AND article_id % 2 = 1) AS publish FROM articles""",
+    "cluster_representatives": f"WITH {ARTICLES} SELECT coalesce(cluster_id, 'article:' || article_id) AS cluster_key, article_id, score FROM articles WHERE status = 'published' QUALIFY row_number() OVER (PARTITION BY coalesce(cluster_id, 'article:' || article_id) ORDER BY score DESC, published_at DESC, article_id) = 1",
+    "content_filter": f"""WITH {ARTICLES}, x AS (SELECT article_id, published_at, CASE WHEN article_id % 29 <> 0 THEN title ELSE '' END AS t, CASE WHEN article_id % 31 <> 0 THEN text ELSE '<p>&nbsp;</p>' END AS c FROM articles), b AS (SELECT *, t || chr(10) || c AS both_ FROM x), d AS (
+        SELECT *, CASE WHEN t = '' THEN 'missing_title' WHEN trim(regexp_replace(c, '(?i)<[^>]*>|&nbsp;', '', 'g')) = '' THEN 'empty_body' WHEN regexp_matches(both_, '{SPAM}') THEN 'spam' WHEN NOT regexp_matches(both_, '{SIGNALS}') THEN 'non_topic' WHEN floor(({NOW} - epoch(published_at)) / 86400) > 12 THEN 'stale_content' WHEN length(c) < 40 THEN 'too_short' ELSE 'eligible_content' END AS reason_code FROM b)
+        SELECT article_id, CASE WHEN reason_code IN ('stale_content', 'too_short') THEN 'review' WHEN reason_code = 'eligible_content' THEN 'candidate' ELSE 'reject' END AS decision, reason_code,
+          md5(coalesce(CASE reason_code WHEN 'missing_title' THEN left(trim(c), 280) WHEN 'empty_body' THEN left(trim(t), 280) WHEN 'spam' THEN {first_with('both_', SPAM)} WHEN 'non_topic' THEN left(({sentences('c')})[1], 280) WHEN 'too_short' THEN left(trim(c), 280) ELSE {first_with('both_', SIGNALS)} END, '')) AS quote_md5 FROM d""",
+    "evidence_by_dimension": f"WITH {EVIDENCE} SELECT direction, dimension, CAST(score AS DOUBLE) AS score, count(*) AS n, count(*) FILTER (score = 5) AS n_quotes, sum(length(quote)) FILTER (score = 5) AS quote_chars FROM evidence WHERE score IS NOT NULL GROUP BY direction, dimension, score",
+    "direction_scores": f"WITH {SCORES} SELECT doc_id, direction, total_score, eligible FROM scores",
+    "classify": f"""WITH {SCORES}, r AS (SELECT doc_id, direction, total_score, row_number() OVER (PARTITION BY doc_id ORDER BY total_score DESC, direction_no) AS r FROM scores JOIN (SELECT DISTINCT direction, direction_no FROM dimensions) USING (direction) WHERE eligible AND total_score > 0), t AS (
+        SELECT doc_id, max(direction) FILTER (r = 1) AS first, max(total_score) FILTER (r = 1) AS best, max(total_score) FILTER (r = 2) AS next FROM r GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN best IS NULL THEN 'no_match' WHEN next IS NOT NULL AND best - next <= 3 THEN 'ambiguous' ELSE 'classified' END AS status, CASE WHEN NOT (next IS NOT NULL AND best - coalesce(next, 0) <= 3) THEN first END AS direction, best, best - coalesce(next, 0) AS margin FROM (SELECT DISTINCT doc_id FROM scores) LEFT JOIN t USING (doc_id)""",
+    "link_candidates": f"WITH {LINKS} SELECT page_id, kind, count(*) AS n, min(url) AS first_url FROM firsts GROUP BY ALL",
+    "origin_trace": rf"""WITH {LINKS}, o AS (SELECT * FROM firsts WHERE {host('url')} <> {host('own')} AND NOT regexp_matches({piece('url', 'path')}, '(?i)\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|pdf|zip|xml|rss|atom|json)$')) SELECT page_id, arg_min(url, pos) AS origin, 'body_link' AS kind, true AS needs_review FROM o GROUP BY page_id""",
+    "api_items": f"SELECT event_id // 10 AS source_id, event_type AS title, 'https://x.example/' || event_id AS url, props AS content, {stamp('date_trunc(''second'', ts)').replace(chr(39)*4, chr(39)*2)} AS published_at FROM events",
+    "hotlist_rank": "SELECT * FROM (SELECT event_type AS kind, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INT) AS rank, 'a b ' || user_id AS title, 'https://search.example/?q=a%20b%20' || user_id AS url FROM events WHERE event_id % 9 <> 0 AND event_id % 7 <> 0) WHERE rank <= 50",
+    "source_categories": f"WITH {SOURCES} SELECT category, tier, count(*) AS n, count(*) FILTER (enabled) AS enabled FROM sources GROUP BY ALL",
+}
+ORACLE["api_items"] = "SELECT event_id // 10 AS source_id, event_type AS title, 'https://x.example/' || event_id AS url, props AS content, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS published_at FROM events"

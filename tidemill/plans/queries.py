@@ -1,0 +1,363 @@
+"""The engine's queries over the given tables: (spark, sf_dir) -> DataFrame, with columns named as in plans.oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.functions import texts, times, urls
+from tidemill.operators import articles as A
+from tidemill.operators import clusters, scoring
+from tidemill.plans import tables as T
+from tidemill.plans import vocabulary as V
+from tidemill.sources import parse
+
+NOW_SECONDS = T.DAY0 + 20 * 86400
+ENTITIES = ["the", "der", "les", "los", "apache"]
+NEGATIONS = ["not", "no", "nicht", "pas", "never"]
+SIGNALS, SPAM = r"(?<![A-Za-z0-9_])(?:tion|thing|inter|moron|idiot)", r"(?<![A-Za-z0-9_])(?:password|token)(?![A-Za-z0-9_])"
+QUERIES = {}
+
+
+def now():
+    """The queries' point in time: a parameter, never the clock."""
+    return F.timestamp_seconds(F.lit(NOW_SECONDS))
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def stamp(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query
+def page_winners(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: pages cleaned, canonical, deduplicated; per host how many stay and the longest title."""
+    won = A.batch_winners(A.normalized(T.items(spark, sf)).where("drop_reason IS NULL"))
+    return won.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.max(F.length("title")).alias("longest"))
+
+
+@query
+def canonical_url(spark, sf):
+    p, i = T.table(spark, sf, "pages"), F.col("url")
+    return p.select("page_id", urls.canonical_url(i).alias("dedup_url"), urls.cleaned_url(i).alias("cleaned"), urls.host(i).alias("host"))
+
+
+@query
+def url_safety(spark, sf):
+    p = T.table(spark, sf, "pages")
+    hosts = ["localhost", "10.1.2.3", "172.20.0.1", "metadata.google.internal", "user@example.com", "example.com:6379", "8.8.8.8"]
+    url = F.when(F.col("page_id") % 8 < 7, F.concat(F.lit("http://"), T.chosen(hosts, F.col("page_id") % 8), F.lit("/p"))).otherwise(F.col("url"))
+    return p.select("page_id", urls.unsafe_reason(url).alias("reason"))
+
+
+@query
+def redirect_target(spark, sf):
+    p = T.table(spark, sf, "pages")
+    wrapped = F.concat(F.lit("https://go.example/r?x=1&target="), F.url_encode(F.concat(F.lit("https://hop.example/?url="), F.url_encode("url"))))
+    return p.select("page_id", urls.unwrapped(wrapped).alias("target"))
+
+
+@query
+def content_hash(spark, sf):
+    a = T.articles(spark, sf)
+    return a.select("article_id", texts.content_hash(F.col("title"), F.col("source_name")).alias("content_hash"), texts.title_key(F.col("title")).alias("title_key"))
+
+
+@query
+def html_to_text(spark, sf):
+    return T.table(spark, sf, "pages").select("page_id", texts.page_title(F.col("html")).alias("title"), F.md5(texts.html_to_text(F.col("html"))).alias("text_md5"), F.length(texts.html_to_text(F.col("html"))).alias("n_chars"))
+
+
+@query
+def page_items(spark, sf):
+    return parse.page_items(T.table(spark, sf, "pages")).select("page_id", "title", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"), "content_kind", "blocked")
+
+
+@query
+def sentence_stats(spark, sf):
+    s = T.table(spark, sf, "documents").select("doc_id", F.explode(texts.sentences(F.col("text"))).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("s")).alias("longest"), F.min("s").alias("least"))
+
+
+@query
+def rule_summary(spark, sf):
+    return T.articles(spark, sf).select("article_id", texts.rule_summary(F.col("title"), F.col("text")).alias("summary"))
+
+
+@query
+def language_tag(spark, sf):
+    d = T.table(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("模型训练"), F.substring("text", 1, 3))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("模型"), F.col("text"))).otherwise(F.col("text")))
+    return d.groupBy(texts.language_tag(F.col("t")).alias("tag"), "lang").agg(F.count("*").alias("n"))
+
+
+@query
+def shanghai_day(spark, sf):
+    return T.table(spark, sf, "events").groupBy(times.shanghai_day(F.col("ts")).cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query
+def age_days(spark, sf):
+    return T.articles(spark, sf).select("article_id", times.age_days(F.col("published_at"), now()).alias("age_days"))
+
+
+@query
+def source_health(spark, sf):
+    return A.health(T.attempts(spark, sf))
+
+
+@query
+def direction_normalize(spark, sf):
+    raw = T.chosen([*V.ALIASES, *V.NAMES, "other"], F.col("user_id") % 15)
+    return T.table(spark, sf, "events").groupBy(V.normalized_direction(raw).alias("direction")).agg(F.count("*").alias("n"))
+
+
+@query
+def drop_reasons(spark, sf):
+    return A.normalized(T.items(spark, sf)).groupBy("drop_reason").agg(F.count("*").alias("n"))
+
+
+@query
+def dedup_batch(spark, sf):
+    return A.batch_winners(A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")).select("item_id", "dedup_url", "content_hash")
+
+
+@query
+def dedup_vs_history(spark, sf):
+    every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")
+    return A.fresh(every.where("item_id % 2 = 0"), every.where("item_id % 6 = 1")).select("item_id", "dedup_url")
+
+
+@query
+def snapshot_upsert(spark, sf):
+    a = T.articles(spark, sf).select("article_id", "score", "status")
+    new = a.where("article_id % 3 = 0").withColumn("score", F.col("score") + 1000)
+    return A.upserted(a.where("article_id % 4 <> 0"), new, ["article_id"])
+
+
+@query
+def duplicate_gate(spark, sf):
+    every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL").select(F.col("item_id").alias("article_id"), "dedup_url", "title", F.timestamp_seconds(T.DAY0 + F.col("item_id") * 613 % 86400).alias("collected_at"))
+    return A.duplicate_gates(every.where("article_id % 5 = 0"), every.where("article_id % 5 = 1"))
+
+
+@query
+def eligible_sources(spark, sf):
+    s = T.sources(spark, sf)
+    return s.where(F.col("enabled") & (F.col("next_fetch_at").isNull() | (F.col("next_fetch_at") <= F.timestamp_seconds(F.lit(T.DAY0 + 9 * 86400))))).select("source_name", "tier", stamp(F.col("next_fetch_at")).alias("next_fetch_at"))
+
+
+@query
+def origin_policy(spark, sf):
+    p = T.table(spark, sf, "pages")
+    explicit = F.when(F.col("page_id") % 7 == 0, "editorial")
+    policy = A.origin_policy(explicit, F.col("url"), F.when(F.col("page_id") % 5 == 0, "media_analysis"), ["example.net"], ["example.com"], ["example.org"])
+    return p.select("page_id", policy.alias("policy"))
+
+
+@query
+def hot_articles_page(spark, sf):
+    """The second page of published articles above the threshold, with their clusters' sizes and their sources' standing."""
+    a = T.articles(spark, sf)
+    page = a.where((F.col("status") == "published") & (F.col("score") >= 75) & F.col("direction").isNotNull()).orderBy(F.desc("score"), F.desc("published_at"), "article_id").offset(20).limit(20)
+    sizes = a.join(F.broadcast(page.select("cluster_id").where("cluster_id IS NOT NULL").distinct()), "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    out = page.join(F.broadcast(sizes), "cluster_id", "left").join(F.broadcast(T.sources(spark, sf).select("source_name", "tier")), "source_name", "left")
+    return out.select("article_id", "title", "score", "direction", "tier", F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"))
+
+
+@query
+def workbench_overview(spark, sf):
+    a = T.articles(spark, sf)
+    return a.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("published", "draft", "pending_review", "blocked")), F.count_if("ai_processed").alias("ai_processed"))
+
+
+@query
+def workbench_articles(spark, sf):
+    a = T.articles(spark, sf).where((F.col("status") == "draft") & (F.col("direction") == "coding"))
+    return a.orderBy(F.desc("published_at"), "article_id").limit(50).select("article_id", "title", "score", stamp(F.col("published_at")).alias("published_at"))
+
+
+def score_rows(spark, sf):
+    """direction_score rows: two runs of scores for each article's own and next direction."""
+    a = T.articles(spark, sf).where("direction IS NOT NULL")
+    run = F.explode(F.array(F.lit(0), F.lit(1))).alias("run")
+    rows = a.select("article_id", "direction", run, "score")
+    levels = F.create_map(F.lit("first"), F.col("score") % 3 * 2.5, F.lit("second"), (F.col("score") + F.col("run")) % 3 * 2.5, F.concat(F.lit("own"), F.col("run").cast("string")), F.lit(5.0))
+    return rows.select("article_id", "direction", (F.col("score") + F.col("run") * (F.col("article_id") % 7)).cast("int").alias("total_score"), levels.alias("dimension_scores"))
+
+
+@query
+def score_merge(spark, sf):
+    merged = scoring.merged_scores(score_rows(spark, sf))
+    return merged.select("article_id", "direction", "total_score", F.array_join(F.transform(F.map_entries("dimension_scores"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(3,1)").cast("string"))), ",").alias("dimensions"))
+
+
+@query
+def quality_ladder(spark, sf):
+    a, h = T.articles(spark, sf), A.health(T.attempts(spark, sf))
+    joined = a.where("status = 'published'").join(F.broadcast(h), "source_name", "left")
+    cols = {"published_at": F.col("published_at"), "revalidated": F.col("article_id") % 4 == 0, "fetches": F.col("fetches"), "consecutive_failures": F.col("consecutive_failures"), "probe_status": F.when(F.col("article_id") % 13 == 0, 404).when(F.col("article_id") % 17 == 0, 503).otherwise(200)}
+    return joined.select("article_id", A.quality_reason(cols, now(), 2).alias("reason"))
+
+
+@query
+def quality_gate_list(spark, sf):
+    gates = quality_ladder(spark, sf).where("reason IS NOT NULL")
+    return gates.join(T.articles(spark, sf), "article_id").groupBy("reason", "direction").agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
+
+
+@query
+def review_list(spark, sf):
+    """Review items (labelled documents of low quality) with their articles; what is missing is empty."""
+    labels = T.table(spark, sf, "labels").where("quality = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 19 == 0, 10**9).otherwise(0)).alias("article_id"))
+    return labels.join(T.articles(spark, sf).select("article_id", "title", "status"), "article_id", "left").select("article_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("status", F.lit("")).alias("status"))
+
+
+@query
+def auto_approve(spark, sf):
+    """Drafts and reviews above 60, collected over a day ago, without a pending review item."""
+    pending = T.table(spark, sf, "labels").where("quality = 0 AND doc_id % 2 = 0").select(F.col("doc_id").alias("article_id"))
+    old = F.col("collected_at") < now() - F.expr("INTERVAL 24 HOURS")
+    return T.articles(spark, sf).where((F.col("status") == "pending_review") & (F.col("score") >= 60) & old).join(pending, "article_id", "left_anti").select("article_id", "score")
+
+
+@query
+def revalidation(spark, sf):
+    return T.articles(spark, sf).where("status = 'published'").orderBy("collected_at", "article_id").limit(200).select("article_id", stamp(F.col("collected_at")).alias("collected_at"))
+
+
+@query
+def digest_day(spark, sf):
+    """Published and directed articles of each Shanghai day, as numbered lines of the best ten."""
+    from pyspark.sql import Window
+
+    a = T.articles(spark, sf).where("status = 'published' AND direction IS NOT NULL AND score > 0").withColumn("day", times.shanghai_day(F.col("published_at")).cast("string"))
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "article_id"))
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("title"))
+    top = a.withColumn("n", rank).where("n <= 10").groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "；").alias("summary"))
+    return top.join(a.groupBy("day").agg(F.count("*").alias("article_count")), "day")
+
+
+@query
+def ai_admission(spark, sf):
+    a = T.articles(spark, sf).join(F.broadcast(T.sources(spark, sf).select("source_name", "tier")), "source_name")
+    used = a.where("ai_processed AND status = 'blocked'").groupBy("source_name").agg(F.count("*").alias("n"))
+    return A.admitted(a.where("NOT ai_processed").select("article_id", "source_name", "tier"), used, 30, 500).select("article_id", "turn", "seat")
+
+
+@query
+def publish_gate(spark, sf):
+    a = T.articles(spark, sf)
+    scores = F.create_map(F.lit("entity"), F.col("article_id") % 3 * 2.5, F.lit("capability"), F.lit(5.0))
+    quotes = F.create_map(F.lit("entity"), F.when(F.col("article_id") % 2 == 0, "q").otherwise(""), F.lit("capability"), F.lit("c"))
+    cols = {"direction": F.col("direction"), "status": F.col("status"), "provenance": T.chosen(["traced", "first_party", "untraceable"], F.col("article_id") % 3), "override": F.col("article_id") % 10 == 2, "ai_processed": F.when(F.col("article_id") % 4 != 0, F.col("ai_processed")), "score": F.col("score"), "complete": F.lit(True), "dimension_scores": scores, "quotes": quotes}
+    return a.select("article_id", F.coalesce(A.publishable(cols, F.lit(50)), F.lit(False)).alias("publish"))
+
+
+@query
+def front_page(spark, sf):
+    a = T.articles(spark, sf).where("status = 'published' AND score >= 75")
+    return A.front_page(a)
+
+
+@query
+def cluster_representatives(spark, sf):
+    return A.representatives(T.articles(spark, sf).where("status = 'published'")).select("cluster_key", "article_id", "score")
+
+
+@query
+def content_filter(spark, sf):
+    a = T.articles(spark, sf)
+    title = F.when(F.col("article_id") % 29 != 0, F.col("title")).otherwise("")
+    content = F.when(F.col("article_id") % 31 != 0, F.col("text")).otherwise("<p>&nbsp;</p>")
+    d = scoring.filter_decision(title, content, F.col("published_at"), now(), SIGNALS, SPAM, stale_days=12)
+    return a.select("article_id", d.alias("d")).select("article_id", "d.decision", "d.reason_code", F.md5(F.coalesce("d.quote", F.lit(""))).alias("quote_md5"))
+
+
+def evidence_of(spark, sf):
+    return scoring.evidence(T.table(spark, sf, "documents").select("doc_id", "text"), T.lexicon(spark, sf), NEGATIONS)
+
+
+@query
+def evidence_by_dimension(spark, sf):
+    return evidence_of(spark, sf).groupBy("direction", "dimension", "score").agg(F.count("*").alias("n"), F.count("quote").alias("n_quotes"), F.sum(F.length("quote")).alias("quote_chars"))
+
+
+@query
+def direction_scores(spark, sf):
+    return scoring.direction_scores(evidence_of(spark, sf), V.dimensions(spark)).select("doc_id", "direction", "total_score", "eligible")
+
+
+@query
+def classify(spark, sf):
+    order = V.dimensions(spark).select("direction", "direction_no").distinct()
+    return scoring.classified(scoring.direction_scores(evidence_of(spark, sf), V.dimensions(spark)), order)
+
+
+@query
+def link_candidates(spark, sf):
+    return scoring.link_candidates(T.table(spark, sf, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
+
+
+@query
+def origin_trace(spark, sf):
+    return scoring.origins(T.table(spark, sf, "pages"))
+
+
+def cluster_pairs(spark, sf):
+    a = T.articles(spark, sf).select("article_id", F.col("article_id").alias("ord"), "title", "text")
+    found = clusters.features(a, ENTITIES)
+    return found, clusters.pair_scores(found, clusters.candidates(found))
+
+
+@query
+def cluster_features(spark, sf):
+    a = T.articles(spark, sf).select("article_id", F.col("article_id").alias("ord"), "title", "text")
+    return clusters.features(a, ENTITIES).select("article_id", F.size("terms").alias("n_terms"), F.size("numbers").alias("n_numbers"), F.array_join("entities", ",").alias("entities"))
+
+
+@query
+def cluster_pair_scores(spark, sf):
+    return cluster_pairs(spark, sf)[1].select("later", "earlier", F.round("score", 6).alias("score"))
+
+
+@query
+def cluster_assign(spark, sf):
+    pairs = cluster_pairs(spark, sf)[1]
+    return clusters.assigned(pairs, clusters.connected(pairs))
+
+
+@query
+def api_items(spark, sf):
+    """Payloads made of events: the parser finds the list and its fields."""
+    e = T.table(spark, sf, "events").withColumn("page", F.floor(F.col("event_id") / 10))
+    one = F.to_json(F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://x.example/"), F.col("event_id")).alias("url"), F.col("props").alias("summary"), F.unix_timestamp("ts").cast("string").alias("published_at")))
+    payload = e.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("x"))
+    found = parse.api_items(payload.select(F.col("page").alias("source_id"), F.concat(F.lit('{"meta":1,"items":['), F.col("x"), F.lit("]}")).alias("json")))
+    return found.select("source_id", "title", "url", "content", stamp(F.col("published_at")).alias("published_at"))
+
+
+@query
+def feed_items(spark, sf):
+    """Feeds made of documents: half RSS, half Atom."""
+    d = T.articles(spark, sf).where("article_id % 3 = 0")
+    bare = F.regexp_replace(F.regexp_replace("title", "[^A-Za-z ]", ""), " +", " ")
+    link = F.concat(F.lit("https://f.example/"), F.col("article_id"))
+    rss = F.concat(F.lit("<rss><channel><title>f</title><item><title>"), bare, F.lit("x</title><link>"), link, F.lit("</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>d</description></item><item><title>y</title><guid>g</guid></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><title>f</title><entry><title>"), bare, F.lit('x</title><link href="'), link, F.lit('"/><updated>2024-01-02T10:00:00Z</updated><summary>s</summary></entry></feed>'))
+    feeds = d.select(F.col("article_id").alias("source_id"), F.when(F.col("article_id") % 2 == 0, rss).otherwise(atom).alias("xml"))
+    return parse.feed_items(feeds).select("source_id", F.trim("title").alias("title"), "url", "content", "content_kind", stamp(F.col("published_at")).alias("published_at"))
+
+
+@query
+def hotlist_rank(spark, sf):
+    e = T.table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("position"), F.when(F.col("event_id") % 9 == 0, "").otherwise(F.concat(F.lit("a b "), F.col("user_id"))).alias("title"), (F.col("event_id") % 7 == 0).alias("is_ad"))
+    return parse.ranked_hotlist(e).where("rank <= 50")
+
+
+@query
+def source_categories(spark, sf):
+    return T.sources(spark, sf).groupBy(F.coalesce("category", F.lit("none")).alias("category"), "tier").agg(F.count("*").alias("n"), F.count_if("enabled").alias("enabled"))
