@@ -1,0 +1,107 @@
+"""Roles: steps with dependencies and failure policies, run as columns in one plan; evidence checks; event rules; evaluation."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from graphlib import TopologicalSorter
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.functions import texts
+
+#: What an error or missing evidence makes of an outcome, by policy.
+FAILED = {"closed": "rejected", "review": "review", "preserve": "degraded"}
+
+
+@dataclass(frozen=True)
+class Role:
+    """output is a struct column (value, quote) over the article's columns and those of the roles it depends on."""
+
+    name: str
+    output: Callable[[], Column]
+    policy: str = "closed"
+    needs_evidence: bool = True
+    after: tuple[str, ...] = field(default=())
+
+
+def idempotency_key(role: str, article_id: Column, title: Column, text: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\n", F.lit(role), article_id.cast("string"), title, text), 256), 1, 32)
+
+
+def run_roles(articles: DataFrame, roles: list[Role]) -> DataFrame:
+    """articles with a struct column per role: outcome, value, quote, key. A quote has to stand in the title or text.
+
+    Roles run in order of their dependencies; one after a role that was rejected is skipped. All are expressions over the
+    row, so that the whole graph is one projection without a shuffle.
+    """
+    by = {r.name: r for r in roles}
+    for name in TopologicalSorter({r.name: set(r.after) for r in roles}).static_order():
+        role, out = by[name], by[name].output()
+        source = F.concat_ws("\n", "title", "text")
+        fine = texts.grounded(F.coalesce(out["quote"], F.lit("")), source) if role.needs_evidence else F.lit(True)
+        stopped = F.lit(False)
+        for before in role.after:
+            stopped = stopped | F.col(before)["outcome"].isin("rejected", "skipped")
+        outcome = F.when(stopped, "skipped").when(out["value"].isNull() | ~fine, FAILED[role.policy]).otherwise("accepted")
+        column = F.struct(outcome.alias("outcome"), out["value"].alias("value"), F.when(fine, out["quote"]).alias("quote"), idempotency_key(name, F.col("article_id"), F.col("title"), F.col("text")).alias("key"))
+        articles = articles.withColumn(name, column)
+    return articles
+
+
+def valid_evidence(items: DataFrame, articles: DataFrame, requirements: DataFrame) -> DataFrame:
+    """items with score after checks: 0 without a literal quote, 2.5 where a full item lacks required fields in its quote.
+
+    items: article_id, direction, dimension, score, quote, fields map<string,string>; requirements: direction, dimension,
+    required array<string>, one_of array<string>. A field counts if its value stands in the quote, punctuation aside.
+    """
+    joined = items.join(articles.select("article_id", "title", "text"), "article_id").join(F.broadcast(requirements), ["direction", "dimension"])
+    quote = texts.plain(F.col("quote"))
+    told = lambda name: F.coalesce((texts.plain(F.try_element_at("fields", name)) != "") & quote.contains(texts.plain(F.try_element_at("fields", name))), F.lit(False))
+    literal = texts.grounded(F.col("quote"), F.concat_ws("\n", "title", "text"))
+    whole = F.forall("required", told) & ((F.size("one_of") == 0) | F.exists("one_of", told))
+    score = F.when(~F.coalesce(literal, F.lit(False)), 0.0).when((F.col("score") >= 5) & ~whole, 2.5).otherwise(F.col("score"))
+    return joined.select("article_id", "direction", "dimension", score.alias("score"), F.when(score > 0, F.col("quote")).alias("quote"))
+
+
+def combined(given: DataFrame, rules: DataFrame) -> DataFrame:
+    """Scores from outside with rule scores where they are zero or missing, and those at most 2.5."""
+    a, b = given.select("article_id", "direction", "dimension", F.col("score").alias("given")), rules.select("article_id", "direction", "dimension", F.col("score").alias("rule"))
+    both = a.join(b, ["article_id", "direction", "dimension"], "full")
+    score = F.when(F.coalesce("given", F.lit(0.0)) > 0, F.col("given")).otherwise(F.least(F.coalesce("rule", F.lit(0.0)), F.lit(2.5)))
+    return both.select("article_id", "direction", "dimension", score.alias("score"))
+
+
+#: Rules for kinds of events, the first that holds counts.
+EVENTS = [("funding", r"(?i)\b(?:funding|raises?|series [a-e])\b|融资"), ("acquisition", r"(?i)\bacqui(?:res?|sition)\b|收购"), ("release", r"(?i)\b(?:releas\w+|launch\w*)\b|发布|推出"), ("license", r"(?i)\blicensed?\b"), ("regulation", r"(?i)\bregulat\w+\b|监管")]
+
+
+def event_kind(title: Column, text: Column) -> Column:
+    both = F.concat_ws("\n", title, text)
+    return F.coalesce(*(F.when(both.rlike(p), F.lit(k)) for k, p in EVENTS), F.lit("other"))
+
+
+def evaluation(flags: dict[str, Column]) -> Column:
+    """struct(relevance, credibility, verifiability, completeness, impact, overall, passes): five parts of 0 to 20.
+
+    flags: topic, tier (0 to 10), has_number, has_name, has_url, n_chars, n_impact, negated, rumour, marketing.
+    """
+    part = lambda x: F.greatest(F.lit(0), F.least(F.lit(20), F.floor(x + 0.5))).cast("int")
+    relevance = part(F.when(flags["topic"], 16.0).otherwise(4.0) - F.when(flags["negated"], 6.0).otherwise(0.0))
+    credibility = part(flags["tier"] * 2.0 - F.when(flags["rumour"], 8.0).otherwise(0.0) - F.when(flags["marketing"], 4.0).otherwise(0.0))
+    verifiability = part(sum((F.when(flags[f], w).otherwise(0.0) for f, w in (("has_number", 8.0), ("has_name", 6.0), ("has_url", 6.0))), F.lit(0.0)))
+    completeness = part(flags["n_chars"] / 60.0)
+    impact = part(flags["n_impact"] * 5.0)
+    overall = relevance + credibility + verifiability + completeness + impact
+    passes = (overall >= 70) & (relevance >= 12) & (credibility >= 10) & (verifiability >= 12)
+    return F.struct(relevance.alias("relevance"), credibility.alias("credibility"), verifiability.alias("verifiability"), completeness.alias("completeness"), impact.alias("impact"), overall.alias("overall"), passes.alias("passes"))
+
+
+def reviewed(articles: DataFrame, actions: DataFrame) -> DataFrame:
+    """articles (article_id, status, override) after review actions (article_id, action): approve to draft, reject to blocked."""
+    last = actions.groupBy("article_id").agg(F.max_by("action", "at").alias("action"))
+    done = articles.join(last, "article_id", "left")
+    open_ = F.col("status") == "pending_review"
+    status = F.when(open_ & (F.col("action") == "approve"), "draft").when(open_ & (F.col("action") == "reject"), "blocked").otherwise(F.col("status"))
+    return done.select("article_id", status.alias("status"), (F.col("override") | F.coalesce(open_ & (F.col("action") == "approve"), F.lit(False))).alias("override"))

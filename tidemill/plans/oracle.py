@@ -208,3 +208,14 @@ ORACLE = {
     "source_categories": f"WITH {SOURCES} SELECT category, tier, count(*) AS n, count(*) FILTER (enabled) AS enabled FROM sources GROUP BY ALL",
 }
 ORACLE["api_items"] = "SELECT event_id // 10 AS source_id, event_type AS title, 'https://x.example/' || event_id AS url, props AS content, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS published_at FROM events"
+KIND = "CASE " + " ".join(f"WHEN regexp_matches(title || chr(10) || text, '{p}') THEN '{k}'" for k, p in (("funding", r"(?i)\b(?:funding|raises?|series [a-e])\b|融资"), ("acquisition", r"(?i)\bacqui(?:res?|sition)\b|收购"), ("release", r"(?i)\b(?:releas\w+|launch\w*)\b|发布|推出"), ("license", r"(?i)\blicensed?\b"), ("regulation", r"(?i)\bregulat\w+\b|监管"))) + " ELSE 'other' END"
+PART = lambda x: f"CAST(greatest(0, least(20, floor({x} + 0.5))) AS INT)"
+ORACLE |= {
+    "role_envelopes": f"""WITH {ARTICLES}, f AS (SELECT *, CASE WHEN article_id % 7 = 0 OR article_id % 5 = 0 OR len({sentences('text')}) = 0 THEN 'rejected' ELSE 'accepted' END AS filter, {KIND} AS kind FROM articles)
+        SELECT article_id, filter, CASE filter WHEN 'rejected' THEN 'skipped' ELSE 'accepted' END AS event, kind, CASE filter WHEN 'rejected' THEN 'skipped' ELSE 'accepted' END AS summary, left(sha256('filter' || chr(10) || article_id || chr(10) || title || chr(10) || text), 32) AS key FROM f""",
+    "content_evaluation": rf"""WITH {ARTICLES}, e AS (SELECT article_id, {PART("CASE WHEN contains(text, 'tion') THEN 16.0 ELSE 4.0 END - CASE WHEN contains(text, ' not ') THEN 6.0 ELSE 0.0 END")} AS relevance,
+        {PART("source_no % 11 * 2.0 - CASE WHEN contains(text, 'moron') THEN 8.0 ELSE 0 END - CASE WHEN contains(text, '!!') THEN 4.0 ELSE 0 END")} AS credibility, {PART("CASE WHEN regexp_matches(text, '[0-9]') THEN 8.0 ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z][a-z]+ [a-z]') THEN 6.0 ELSE 0 END + CASE WHEN contains(text, '@') THEN 6.0 ELSE 0 END")} AS verifiability,
+        {PART("CAST(length(text) AS DOUBLE) / 60")} AS completeness, {PART("len(regexp_extract_all(text, 'ing ')) * 5.0")} AS impact FROM articles), o AS (SELECT *, relevance + credibility + verifiability + completeness + impact AS overall FROM e) SELECT *, overall >= 70 AND relevance >= 12 AND credibility >= 10 AND verifiability >= 12 AS passes FROM o""",
+    "review_actions": f"WITH {ARTICLES} SELECT article_id, CASE WHEN status = 'pending_review' AND quality = 1 THEN 'draft' WHEN status = 'pending_review' AND quality = 0 THEN 'blocked' ELSE status END AS status, article_id % 10 = 2 OR coalesce(status = 'pending_review' AND quality = 1, false) AS override FROM articles",
+    "event_kinds": f"WITH {ARTICLES} SELECT {KIND} AS kind, status, count(*) AS n FROM articles GROUP BY ALL",
+}

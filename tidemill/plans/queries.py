@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.operators import articles as A
-from tidemill.operators import clusters, scoring
+from tidemill.operators import clusters, roles, scoring
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
 from tidemill.sources import parse
@@ -361,3 +361,45 @@ def hotlist_rank(spark, sf):
 @query
 def source_categories(spark, sf):
     return T.sources(spark, sf).groupBy(F.coalesce("category", F.lit("none")).alias("category"), "tier").agg(F.count("*").alias("n"), F.count_if("enabled").alias("enabled"))
+
+
+@query
+def role_envelopes(spark, sf):
+    """Three roles over articles: a filter, an event rule behind it, a summary that keeps what it has."""
+    first = lambda: F.get(texts.sentences(F.col("text")), 0)
+    graph = [
+        roles.Role("summary", lambda: F.struct(F.length(first()).alias("value"), first().alias("quote")), "preserve", after=("event",)),
+        roles.Role("event", lambda: F.struct(roles.event_kind(F.col("title"), F.col("text")).alias("value"), F.lit(None).cast("string").alias("quote")), "review", needs_evidence=False, after=("filter",)),
+        roles.Role("filter", lambda: F.struct(F.when(F.col("article_id") % 7 != 0, F.length("text")).alias("value"), F.when(F.col("article_id") % 5 != 0, first()).otherwise("absent from it").alias("quote"))),
+    ]
+    out = roles.run_roles(T.articles(spark, sf).select("article_id", "title", "text"), graph)
+    return out.select("article_id", F.col("filter.outcome").alias("filter"), F.col("event.outcome").alias("event"), F.col("event.value").alias("kind"), F.col("summary.outcome").alias("summary"), F.col("filter.key").alias("key"))
+
+
+@query
+def content_evaluation(spark, sf):
+    a, t = T.articles(spark, sf), F.col("text")
+    flags = {"topic": t.contains("tion"), "tier": F.col("source_no") % 11, "has_number": t.rlike("[0-9]"), "has_name": t.rlike("[A-Z][a-z]+ [a-z]"), "has_url": t.contains("@"), "n_chars": F.length("text"), "n_impact": F.regexp_count("text", F.lit("ing ")), "negated": t.contains(" not "), "rumour": t.contains("moron"), "marketing": t.contains("!!")}
+    return a.select("article_id", roles.evaluation(flags).alias("e")).select("article_id", "e.*")
+
+
+@query
+def evidence_validate(spark, sf):
+    """Evidence items that quote their document's first line, with fields that stand there or not."""
+    a = T.articles(spark, sf).where("title <> ''").withColumn("word", F.substring_index("title", " ", 1))
+    i = F.col("article_id")
+    items = a.select("article_id", F.when(i % 2 == 0, "model").otherwise("agent").alias("direction"), F.when(i % 2 == 0, "entity").otherwise("tool_call").alias("dimension"), F.when(i % 3 == 0, 2.5).otherwise(5.0).alias("score"), F.when(i % 5 == 0, "absent from it").otherwise(F.col("title")).alias("quote"), F.create_map(F.lit("model_name"), F.col("word"), F.lit("provider"), F.when(i % 4 == 0, F.col("word")).otherwise("zzz"), F.lit("tool"), F.col("word")).alias("fields"))
+    rules = spark.createDataFrame([("model", "entity", ["model_name", "provider"], []), ("agent", "tool_call", ["tool"], ["operation"])], "direction string, dimension string, required array<string>, one_of array<string>")
+    return roles.valid_evidence(items, a, rules).groupBy("direction", "score").agg(F.count("*").alias("n"), F.count("quote").alias("quoted"))
+
+
+@query
+def review_actions(spark, sf):
+    a = T.articles(spark, sf).select("article_id", "status", (F.col("article_id") % 10 == 2).alias("override"))
+    actions = T.table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("action"), F.col("doc_id").alias("at"))
+    return roles.reviewed(a, actions)
+
+
+@query
+def event_kinds(spark, sf):
+    return T.articles(spark, sf).groupBy(roles.event_kind(F.col("title"), F.col("text")).alias("kind"), "status").agg(F.count("*").alias("n"))
