@@ -35,6 +35,9 @@ SAMPLE = 8_000  # labelled documents that the classifier is fitted on, at most
 MARGIN = 0.7  # log odds by which a part must exceed the labels' mean
 Z = 3.0  # deviations by which a part's share of toxic documents is lowered
 CACHED = 400_000
+#: Signs around a word that decorate it: those that stand for no letter at an end, and others more than once.
+DECORATION = re.compile(r"""^(?:[.,;:?"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@!+0-9])\1+)+|(?:[.,;:?!"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@+])\2+)+$""")
+TRIPLE = re.compile(r"(.)\1\1")
 REPEATED = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S(?!\S)){2,}")
 _base: dict[str, int] = {}
@@ -62,38 +65,42 @@ class Language:
 def ambiguous(word: str) -> bool:
     """Whether a word has more than one path: letters beside signs, or a letter three times in a row."""
     if word.isalpha():
-        return len(word) > 2 and any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+        return TRIPLE.search(word) is not None
     return any(map(str.isalpha, word))
 
 
+def readings(c: str) -> list[tuple[int, str, float]]:
+    """(class, letter, cost) of each letter that a sign may stand for, and of the sign itself."""
+    cost = WILD if c == "*" else READ
+    return [(ord(x) - 97, x, cost) for x in LEET.get(c, "")] + ([] if c in APART else [(OTHER, c, STAYS)])
+
+
+READINGS = {c: readings(c) for c in [*LEET, *APART]}
+
+
 def restore(word: str, language: Language) -> str:
     """The best reading of an ambiguous word or of a run of single letters; it may hold spaces."""
     cost = language.costs
     beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(END, END): (0.0, None)}
-    for i, c in enumerate(word):
-        again, after = i > 0 and word[i - 1] == c and c not in APART, {}
-
-        def relax(state, total, path):
-            if state not in after or total < after[state][0]:
-                after[state] = (total, path)
-
+    last = ""
+    for c in word:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        options = [(letter(c), c, 0.0)] if c.isalpha() else READINGS.get(c) or readings(c)
+        again, apart, last = c == last and c not in APART, c in APART, c
         for (a, b), (total, path) in beam.items():
-            if c.isalpha():
-                k = letter(c)
-                relax((b, k), total + cost[a][b][k], (path, c))
-                if again:
-                    relax((a, b), total + AGAIN, path)
-                continue
-            for other in LEET.get(c, ""):
-                k = ord(other) - 97
-                relax((b, k), total + cost[a][b][k] + (WILD if c == "*" else READ), (path, other))
-            if c in APART:
-                relax((a, b), total + JOINED, path)
-                relax((END, END), total + SPLIT + (cost[a][b][END] if b != END else 0), (path, " "))
-            else:
-                relax((b, OTHER), total + STAYS, (path, c))
-                if again:
-                    relax((a, b), total + AGAIN, path)
+            costs = cost[a][b]
+            for k, x, more in options:
+                t = total + more + (costs[k] if k != OTHER or c.isalpha() else 0.0)
+                if (b, k) not in after or t < after[b, k][0]:
+                    after[b, k] = (t, (path, x))
+            if again or apart:
+                t = total + (JOINED if apart else AGAIN)
+                if (a, b) not in after or t < after[a, b][0]:
+                    after[a, b] = (t, path)
+            if apart:
+                t = total + SPLIT + (costs[END] if b != END else 0.0)
+                if (END, END) not in after or t < after[END, END][0]:
+                    after[END, END] = (t, (path, " "))
         beam = after
     path = min((total + (cost[a][b][END] if b != END else 0), k, path) for k, ((a, b), (total, path)) in enumerate(beam.items()))[2]
     out = []
@@ -123,7 +130,7 @@ class Reader:
         self.language = language
 
     def of(self, word: str) -> list[str]:
-        bare = word.strip(STRIPPED)
+        bare = word if word.isalpha() else DECORATION.sub("", word)
         if bare.isalpha() and not ambiguous(bare):
             return [bare]
         return restore(bare, self.language).split() if ambiguous(bare) else []
