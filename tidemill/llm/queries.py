@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, language_model, licences, passages, pieces, simhash, surrogates, toxicity
+from .oracle import ORACLE
 
 #: Path of a public vocabulary file; another one is given by setting this or by calling the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -72,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
