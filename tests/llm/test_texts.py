@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemill.llm import common, language_model, licences, passages, queries, surrogates
+from test_near_and_native import brute_components, brute_contamination, brute_fingerprint
+from tidemill.llm import common, language_model, licences, passages, pieces, queries, surrogates
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans(common.UPPER, common.LOWER)
@@ -219,4 +220,13 @@ def test_pipeline_stages(spark):
     assert all(a >= b for a, b in zip(ids, ids[1:], strict=False)) and ids[3] == ids[4] == ids[5]
     assert len(ids[1]) > 0.85 * len(ids[0]) and len(ids[2]) < len(ids[1]) and len(ids[3]) < len(ids[2])
     assert steps[-1][1].where(~F.col("decodes")).count() == 0
+    rows = [{r.doc_id: r.text for r in df.collect()} for df in (given, *(d for _, d in steps[:-1]))]
+    named = brute_components({d: brute_fingerprint(t) for d, t in sorted(rows[1].items())})
+    assert rows[2] == {d: rows[1][d] for d in rows[1] if named[d] == d}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert set(rows[3]) == {x[0] for x in brute_contamination(list(rows[2].items()), items) if not x[5]}
+    own = pieces.Vocabulary(open(queries.MODEL, "rb").read())
+    assert {r.doc_id: r.n_pieces for r in steps[-1][1].collect()} == {d: len(own.encode(t)) for d, t in rows[4].items()}
+    secret = re.compile(r"token = \"[0-9a-f]{40}\"|password=\w+|AKIA\w{16}|(?<!\d)\d{16}(?!\d)")
+    assert all(not set(secret.findall(rows[3][d] or "")) & set(secret.findall(rows[4][d] or "")) for d in rows[4])
     assert {r.doc_id for r in queries.queries() and corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids[5]
