@@ -130,3 +130,24 @@ def test_snapshots_ports_and_streams(spark, tmp_path):
     for _ in range(2):
         incremental.drained(incremental.first_seen(spark, str(tmp_path / "in"), schema, "k", "at"), out, mark)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_settings_pages_and_sources(spark):
+    import pytest
+
+    from tidemill.operators import sources
+    from tidemill.plans import config
+
+    assert [config.bounded(x, 5, 1, 10) for x in ("7", 7.9, "x", 11, None)] == [7, 7, 5, 5, 5]
+    assert config.page("3", "50") == (100, 50) and config.page(None, None) == (0, 20)
+    for wrong in (("0", "1"), ("1", "101"), ("1.5", "2"), ("10001", "1")):
+        with pytest.raises(ValueError):
+            config.page(*wrong)
+    assert config.Settings.read({"publish_least": "80", "front_page": 0}).publish_least == 80
+    assert one(spark, sources.feed_url(F.col("u")), u="https://X.com/feed/?b=1&a=2") == "https://x.com/feed?a=2&b=1"
+    assert one(spark, sources.feed_url(F.col("u")), u="https://x.com:8080/feed") == ""
+
+
+def test_batch_statuses(spark):
+    got = {(r.status, r.reason): r.n for r in QUERIES["batch_run"](spark, SF).collect()}
+    assert sum(got.values()) > 0 and {s for s, _ in got} <= {"blocked", "pending_review", "published", "draft"}

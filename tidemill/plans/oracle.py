@@ -219,3 +219,9 @@ ORACLE |= {
     "review_actions": f"WITH {ARTICLES} SELECT article_id, CASE WHEN status = 'pending_review' AND quality = 1 THEN 'draft' WHEN status = 'pending_review' AND quality = 0 THEN 'blocked' ELSE status END AS status, article_id % 10 = 2 OR coalesce(status = 'pending_review' AND quality = 1, false) AS override FROM articles",
     "event_kinds": f"WITH {ARTICLES} SELECT {KIND} AS kind, status, count(*) AS n FROM articles GROUP BY ALL",
 }
+ORACLE |= {
+    "display_title": f"WITH {ARTICLES}, c AS (SELECT article_id, {collapsed('title')} AS c FROM articles) SELECT article_id, CASE WHEN length(c) > 46 THEN rtrim(left(c, 45)) || '…' ELSE c END AS shown FROM c",
+    "rescore_pending": f"WITH {ARTICLES} SELECT article_id, length(coalesce({collapsed('title')}, '') || coalesce({collapsed('text')}, '')) >= 12 AS ready FROM articles WHERE status = 'draft' AND NOT coalesce(ai_processed, false) AND CAST(collected_at + INTERVAL 8 HOUR AS DATE) = CAST({at(str(NOW))} + INTERVAL 8 HOUR AS DATE)",
+    "source_validation": rf"""SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'name' WHEN page_id % 4 = 3 THEN 'feed_type' WHEN page_id % 5 = 3 THEN 'tier' WHEN page_id % 6 = 0 THEN 'url' WHEN page_id % 7 = 2 THEN 'policy' WHEN page_id % 7 = 0 AND page_id % 5 = 0 THEN 'policy_tier' END AS problem,
+        regexp_replace(regexp_replace({canonical('url')}, '/+\?', '?'), '/+$', '') AS feed_url FROM pages""",
+}

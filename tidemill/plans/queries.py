@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.operators import articles as A
-from tidemill.operators import clusters, roles, scoring
+from tidemill.operators import clusters, roles, scoring, sources
+from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
-from tidemill.sources import parse
+from tidemill.sources import parse, ports
 
 NOW_SECONDS = T.DAY0 + 20 * 86400
 ENTITIES = ["the", "der", "les", "los", "apache"]
@@ -403,3 +404,32 @@ def review_actions(spark, sf):
 @query
 def event_kinds(spark, sf):
     return T.articles(spark, sf).groupBy(roles.event_kind(F.col("title"), F.col("text")).alias("kind"), "status").agg(F.count("*").alias("n"))
+
+
+@query
+def source_validation(spark, sf):
+    """Sources proposed from pages, some with what a rule forbids."""
+    p, i = T.table(spark, sf, "pages"), F.col("page_id")
+    cols = {"name": F.when(i % 17 != 0, "n"), "feed_type": T.chosen([" RSS ", "atom", "api", "ftp"], i % 4), "tier": T.chosen(["authoritative", "validation", "signal", "other", "signal"], i % 5), "url": F.when(i % 6 == 0, "http://10.0.0.1/x").otherwise(F.col("url")), "origin_policy": T.chosen(["aggregator", "first_party", "other"], i % 7)}
+    return p.select("page_id", sources.problem(cols).alias("problem"), sources.feed_url(F.col("url")).alias("feed_url"))
+
+
+@query
+def display_title(spark, sf):
+    return T.articles(spark, sf).select("article_id", sources.display_title(F.col("title")).alias("shown"))
+
+
+@query
+def rescore_pending(spark, sf):
+    return sources.to_rescore(T.articles(spark, sf), now())
+
+
+@query
+def batch_run(spark, sf):
+    """The batch over pages against a history of pages: articles by status and reason."""
+    items = T.items(spark, sf).withColumn("published_at", F.timestamp_seconds(T.DAY0 + F.col("item_id") % 20 * 86400))
+    history = A.normalized(items.where("item_id % 6 = 1")).where("drop_reason IS NULL").select("dedup_url", "content_hash", F.timestamp_seconds(F.lit(T.DAY0)).alias("collected_at"))
+    ids = T.table(spark, sf, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("item_id"), F.lit("s").alias("ai_scores"))
+    port = ports.lookup(ids, "item_id", ["ai_scores"])
+    out = batch.run(items.where("item_id % 6 <> 1"), history, T.lexicon(spark, sf), now(), ports.Ports(port, port, port, port), SIGNALS, SPAM, NEGATIONS)
+    return out.articles.groupBy("status", F.coalesce("exclude_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
