@@ -34,7 +34,7 @@ END, OTHER = 26, 27  # classes beside the letters: word's end, any other letter
 SAMPLE = 8_000  # labelled documents that the classifier is fitted on, at most
 MARGIN = 0.7  # log odds by which a part must exceed the labels' mean
 Z = 3.0  # deviations by which a part's share of toxic documents is lowered
-CACHED = 400_000
+CACHED = 1_000_000  # words whose weight a task keeps, some 100 bytes each
 #: Signs around a word that decorate it: those that stand for no letter at an end, and others more than once.
 DECORATION = re.compile(r"""^(?:[.,;:?"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@!+0-9])\1+)+|(?:[.,;:?!"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@+])\2+)+$""")
 TRIPLE = re.compile(r"(.)\1\1")
@@ -51,6 +51,17 @@ def letter(c: str) -> int:
     return _base[c]
 
 
+class Classes(dict):
+    """For str.translate: each character's class as a character."""
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = chr(letter(chr(code)))
+        return got
+
+
+CLASSES = Classes()
+
+
 class Language:
     """Character trigrams, interpolated with bigrams and letters: costs[a, b, c] = -ln P(c | a b)."""
 
@@ -148,12 +159,12 @@ class Reader:
 class Cached(dict):
     """A dict that asks of() for what it lacks and holds a bounded number of answers."""
 
-    def __init__(self, of):
+    def __init__(self, of, most: int):
         super().__init__()
-        self.of = of
+        self.of, self.most = of, most
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.clear()
         got = self[key] = self.of(key)
         return got
@@ -176,16 +187,20 @@ class Scorer:
 
     def __init__(self, language: Language, tables: list[dict[str, float]], floor: float):
         self.reader, self.tables, self.floor = Reader(language), tables, floor
-        self.weights = Cached(lambda token: self.best(self.reader.of(token)))
+        self.nothing = (0.0,) * len(tables)
+        self.weights = Cached(lambda token: self.best(self.reader.of(token)), CACHED)
 
     def best(self, words: list[str]) -> tuple[float, ...]:
         """The highest weight of the words' parts, less the mean's, in each table."""
-        found = [p for w in words for p in parts(w)]
+        found = [p for w in words for p in parts(w) if any(p in t for t in self.tables)]
+        if not found:
+            return self.nothing  # one tuple for nearly all words
         return tuple(max((t[p] for p in found if p in t), default=self.floor) - self.floor for t in self.tables)
 
     def evidence(self, text: str | None) -> list[tuple[float, float, float]]:
         low = (text or "").lower()
-        told = [*map(self.weights.__getitem__, set(low.split())), *(self.best([w]) for w in self.reader.spaced(low))]
+        every = [*map(self.weights.__getitem__, set(low.split())), *(self.best([w]) for w in self.reader.spaced(low))]
+        told = [w for w in every if w is not self.nothing]
         out = []
         for k in range(len(self.tables)):
             best = sorted((w[k] for w in told if w[k] > 0), reverse=True)
@@ -202,18 +217,19 @@ def language(documents: DataFrame) -> Language:
     """Character trigrams of all words of all documents, counted in tasks; a table of 28 x 28 x 28 at most."""
 
     def count(batches):
-        total = np.zeros((28, 28, 28), np.int64)
+        total = np.zeros(28**3, np.int64)
         words: Counter = Counter()
 
         def flush():
-            for word, n in words.items():
-                bare = word.strip(STRIPPED)
-                if len(bare) < 2 or len(bare) > 60 or not bare.isalpha():
-                    continue  # letters set apart are no words to learn from
-                ids = [END, END, *map(letter, bare), END]
-                for a, b, c in zip(ids, ids[1:], ids[2:], strict=False):
-                    total[a, b, c] += n
+            known = [(b, n) for w, n in words.items() if 1 < len(b := w.strip(STRIPPED)) <= 60 and b.isalpha()]  # letters set apart are no words
             words.clear()
+            if known:
+                ends = chr(END) * 2
+                ids = np.frombuffer("".join(f"{ends}{w.translate(CLASSES)}{chr(END)}" for w, _ in known).encode("latin-1"), np.uint8).astype(np.int64)
+                n = np.repeat(np.array([n for _, n in known], np.int64), [len(w) + 3 for w, _ in known])[2:]
+                a, b, c = ids[:-2], ids[1:-1], ids[2:]
+                inside = (c != END) | (b != END)  # the rest lies across words
+                total[:] += np.bincount(((a * 28 + b) * 28 + c)[inside], n[inside], 28**3).astype(np.int64)
 
         for batch in batches:
             for x in batch.column(0):
@@ -222,7 +238,7 @@ def language(documents: DataFrame) -> Language:
                     flush()
         flush()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.reshape(-1)[at], pa.int64())], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["cell", "n"])
 
     counts = np.zeros(28**3, np.int64)
     for row in documents.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -274,7 +290,7 @@ def scored(documents: DataFrame, labels: DataFrame, column: str, folds: int = 5,
 
     def count(batches):
         reader, seen = Reader(reading(sent.value)), {}
-        known = Cached(lambda token: [p for w in reader.of(token) for p in parts(w)])
+        known = Cached(lambda token: [p for w in reader.of(token) for p in parts(w)], CACHED // 10)
         for batch in batches:
             for text, toxic, rank in zip(*(batch.column(k) for k in range(3)), strict=True):
                 k = 2 * (rank.as_py() & 1)
