@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small, stored
+from .common import LOWER, UPPER, lower_ascii, small, stored
 from .decontaminate import words
 
 SHINGLE, BANDS, CONTAINED = 5, 24, 0.8
@@ -47,9 +47,14 @@ def bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))).alias("least")))
 
 
+def tokens(text: str) -> list[str]:
+    """A template's words, as words() finds them."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
+
+
 def marks(text: str) -> set[str]:
     """Words, the longest first, that stand in over a fifth of the template's shingles: what holds four fifths of the shingles has one."""
-    w = re.findall("[0-9a-z]+", text.lower())
+    w = tokens(text)
     parts = [set(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
     found: set[str] = set()
     for word, _ in sorted(Counter(w).items(), key=lambda x: (-len(x[0]), x[0])):
@@ -67,16 +72,20 @@ def scanned(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     count as one document of that doc_id, rows without a doc_id as one of none. Windows cover whole texts; windows and
     texts without one of a template's marks can't hold enough of it and are passed over.
     """
-    spark: SparkSession = documents.sparkSession
-    listed = [(i, name, text, sorted(marks(text))) for i, (name, text) in enumerate(templates)]
-    known = spark.createDataFrame(listed, "template int, license string, text string, marks array<string>").withColumn("words", words(F.col("text"))).where(F.size("words") > 0)
-    known = known.select("template", "license", "marks", F.size("words").alias("n"), F.ceil(F.size("words") / 4).cast("int").alias("stride"), shingled(F.col("words")).alias("wanted"))
-    kinds = stored(known.groupBy("n", "stride").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")), "windows")
+    templates = [(name, text) for name, text in templates if tokens(text)]
     if not templates:
         return documents.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows")).limit(0)
-    any_mark = "|".join(sorted({m for *_, ms in listed for m in ms}))
+    spark: SparkSession = documents.sparkSession
+    known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string").withColumn("words", words(F.col("text")))
+    known = known.select("template", "license", F.size("words").alias("n"), shingled(F.col("words")).alias("wanted"))
+    by_size: dict[int, set[str]] = {}
+    for _, text in templates:
+        by_size.setdefault(len(tokens(text)), set()).update(marks(text))
+    kinds = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(-(-n // 4)).alias("stride"), F.array(*map(F.lit, sorted(m))).alias("marks")) for n, m in sorted(by_size.items())))
+    any_mark = "|".join(sorted(set().union(*by_size.values())))
     held = documents.select("doc_id", lower_ascii(F.col("text")).alias("text")).where(F.col("text").rlike(f"(?<![0-9a-z])(?:{any_mark})(?![0-9a-z])"))
-    held = held.select("doc_id", words(F.col("text")).alias("words")).join(F.broadcast(kinds), F.arrays_overlap("words", "marks"))
+    held = held.select("doc_id", words(F.col("text")).alias("words"))
+    held = held.select("doc_id", "words", F.explode(F.filter(kinds, lambda k: F.arrays_overlap("words", k["marks"]))).alias("kind")).select("doc_id", "words", "kind.*")
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.col("stride"))
     cut = held.select("doc_id", "n", "marks", F.explode(F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.slice("words", s + 1, F.col("n") + F.col("stride")).alias("window")))).alias("at"))
     cut = cut.where(F.arrays_overlap("at.window", "marks")).select("doc_id", "n", "at.first_word", shingled(F.col("at.window")).alias("shingles"))
