@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, least_linked, paired_blocks, small, stored
 
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
-#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999. A run has one band of
+#: A paragraph has 8 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^8 > 0.996. A run has one band of
 #: 9: equal runs share it always, runs that overlap in their own text seldom; what is edited is left to the paragraphs.
-ROWS, BANDS, RUN_ROWS = 3, 10, 9
+ROWS, BANDS, RUN_ROWS = 3, 8, 9
 CACHED = 500_000
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -58,18 +58,23 @@ class Text:
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
         self.breaks = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(starts)]]) if len(starts) else np.zeros(1, np.int64)
 
-    def unit(self, start: int, end: int) -> int:
-        """The name of the words from start to end."""
-        return int(mixed(np.array([(self.words[start:end] * powers(end - start)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+        base = int(BASE[0])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers(base, len(self.words))[: len(self.words)], dtype=np.uint64)])
+        self.back = np.concatenate([np.ones(1, np.uint64), powers(pow(base, -1, 1 << 64), len(self.words))])
 
+    def units(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Names of the words from starts to ends: polynomial hashes, the same wherever the words stand."""
+        return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts]).view(np.int64)
 
-POWERS = [np.cumprod(np.full(1024, BASE[0]), dtype=np.uint64)]
 
+POWERS: dict[int, np.ndarray] = {}
 
-def powers(n: int) -> np.ndarray:
-    if n > len(POWERS[0]):
-        POWERS[0] = np.cumprod(np.full(2 * n, BASE[0]), dtype=np.uint64)
-    return POWERS[0][:n]
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base, base^2, ... modulo 2^64, at least n of them."""
+    if n > len(POWERS.get(base, ())):
+        POWERS[base] = np.cumprod(np.full(max(1024, 2 * n), base, np.uint64), dtype=np.uint64)
+    return POWERS[base]
 
 
 def signatures(mins: list[np.ndarray], rows: int) -> np.ndarray:
@@ -109,13 +114,12 @@ def units_of(text: str, hashes: WordHashes) -> list[tuple[np.ndarray, ...]]:
         cuts = np.stack([lines[:, 0], lines[:, 1] - SHINGLE + 1], axis=1).ravel()
         cuts = cuts[:-1] if cuts[-1] >= n else cuts
         bands = signatures([np.minimum.reduceat(v, cuts)[::2] for v in values], ROWS)
-        out.append((t.starts[lines[:, 0]], t.ends[lines[:, 1] - 1], np.array([t.unit(a, b) for a, b in lines], np.int64), bands))
+        out.append((t.starts[lines[:, 0]], t.ends[lines[:, 1] - 1], t.units(lines[:, 0], lines[:, 1]), bands))
     first = places(t.shingles)
     first = first[first + WORDS <= len(t.words)]
     if len(first):
         at = first[:, None] + np.arange(WORDS - SHINGLE + 1)
-        names = mixed((t.words[first[:, None] + np.arange(WORDS)] * powers(WORDS)).sum(axis=1, dtype=np.uint64)).view(np.int64)
-        out.append((t.starts[first], t.ends[first + WORDS - 1], names, signatures([v[at].min(axis=1) for v in values[:RUN_ROWS]], RUN_ROWS)))
+        out.append((t.starts[first], t.ends[first + WORDS - 1], t.units(first, first + WORDS), signatures([v[at].min(axis=1) for v in values[:RUN_ROWS]], RUN_ROWS)))
     return out
 
 
@@ -149,9 +153,10 @@ def shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             names, sets = [], []
             for x, wants in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t = Text(x.as_py(), hashes)
-                for w in wants:
-                    a, b = int(np.searchsorted(t.starts, w["start"])), int(np.searchsorted(t.ends, w["until"])) + 1
-                    if t.unit(a, b) == w["unit"]:
+                first = np.searchsorted(t.starts, [w["start"] for w in wants])
+                last = np.minimum(np.searchsorted(t.ends, [w["until"] for w in wants]) + 1, len(t.words))
+                for w, a, b, name in zip(wants, first, last, t.units(np.minimum(first, last), last), strict=True):
+                    if name == w["unit"]:
                         names.append(w["unit"])
                         sets.append(np.unique(t.shingles[a : b - SHINGLE + 1]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
@@ -184,6 +189,9 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     bands = table.select("unit", F.explode("bands").alias("band"))
     mixed_bands = bands.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("band")
     members = stored(bands.join(small(stored(mixed_bands, "bands")), "band").distinct(), "members")
+    alike = members.groupBy("band").agg(F.count("*").alias("n"), F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("sum"))
+    once = alike.groupBy("n", "low", "high", "sum").agg(F.min("band").alias("band")).select("band")  # bands of the same units are compared once
+    members = stored(members.join(small(stored(once, "bands")), "band"), "members")
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     every = table.select("doc_id", "start", "until", "unit").join(again.union(members.select("unit")).distinct(), "unit")
     every = stored(every, "repeated")
@@ -191,15 +199,24 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     sets = stored(shingles(documents, wanted), "shingles")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, block in frame.groupby("group", sort=False):
-            ids, side, own = block["unit"].to_numpy(), block["side"].to_numpy(), list(block["shingles"])
-            one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        frame = frame.sort_values("group", kind="stable")
+        group, ids, side, own = (frame[c].to_numpy() for c in ("group", "unit", "side", "shingles"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i == 2:
+                x, y = own[i], own[i + 1]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= least * (len(x) + len(y) - shared) - 1e-9:
+                    a.append(ids[i : i + 1])
+                    b.append(ids[i + 1 : j])
+                continue
+            one, two = np.flatnonzero(side[i:j] != 1), np.flatnonzero(side[i:j] != 0)
             if len(one) and len(two):
-                low = least_linked(similar(own, one, two, least), one, two, ids)
-                a.append(ids[low < ids])
-                b.append(low[low < ids])
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}).astype("int64")
+                low = least_linked(similar(list(own[i:j]), one, two, least), one, two, ids[i:j])
+                a.append(ids[i:j][low < ids[i:j]])
+                b.append(low[low < ids[i:j]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     pairs = paired_blocks(members, ["band"], "unit").join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
     named = connected_components(pairs)
