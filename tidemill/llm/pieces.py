@@ -7,6 +7,7 @@ a text falls apart exactly before each run of it, and a task encodes a repeated
 
 from __future__ import annotations
 
+import math
 import re
 
 import ahocorasick
@@ -18,7 +19,7 @@ from sentencepiece import SentencePieceProcessor
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED, CACHED_LENGTH, ROWS = 300_000, 64, 256
+CACHED, CACHED_LENGTH, ROWS = 700_000, 64, 256  # segments that a task keeps, some 200 bytes each
 
 
 class Vocabulary:
@@ -42,25 +43,29 @@ class Vocabulary:
         apart = all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in own)
         line = "" if "\n" in letters else "\n"
         self.segments = re.compile(f"[{line}]|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line and apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)").findall
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def best(self, segment: str) -> list[int]:
         """Ids of the segment's best path. Ties: the longest last piece."""
         n = len(segment)
-        score, back, at = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1), 0
+        score, back, at = [0.0] + [-math.inf] * n, [(0, 0)] * (n + 1), 0
+        foreign = not self.single.issuperset(segment)  # else every letter is a piece, and no unknown one is needed
         for end, (length, gain, piece) in self.automaton.iter(segment):
-            if end + 1 > at:
+            if foreign and end >= at:
                 self._singles(segment, score, back, at, end)
                 at = end + 1
             if (total := score[end + 1 - length] + gain) > score[end + 1]:
                 score[end + 1], back[end + 1] = total, (length, piece)
-        self._singles(segment, score, back, at, n)
+        if foreign:
+            self._singles(segment, score, back, at, n)
         path: list[tuple[int, int, int]] = []
         end = n
         while end:
             length, piece = back[end]
             path.append((end - length, end, piece))
             end -= length
+        if not foreign:
+            return [piece for *_, piece in reversed(path)]
         out: list[int] = []
         for start, end, piece in reversed(path):
             if piece != self.unknown:
@@ -77,21 +82,25 @@ class Vocabulary:
             if segment[i] not in self.single and (total := score[i] + self.unknown_score) > score[i + 1]:
                 score[i + 1], back[i + 1] = total, (1, self.unknown)
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids as 32-bit numbers, little end first."""
         if not text:
-            return []
-        out: list[int] = []
+            return b""
+        out: list[bytes] = []
         cache = self.cache
         for segment in self.segments(SPACE + text.replace(" ", SPACE)):
             ids = cache.get(segment)
             if ids is None:
-                ids = self.best(segment)
+                ids = np.array(self.best(segment), "<i4").tobytes()
                 if len(segment) <= CACHED_LENGTH:
                     if len(cache) >= CACHED:
                         cache.clear()
                     cache[segment] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids) -> str:
         """The text of the ids; bytes that are no UTF-8 become U+FFFD. Unknown ids without bytes give U+2047."""
@@ -129,7 +138,7 @@ def encoded(documents: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [np.array(words.encode(x.as_py()), np.int32) for x in batch.column(1)]
+                ids = [np.frombuffer(words.packed(x.as_py()), "<i4") for x in batch.column(1)]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.array([], np.int32))], [key, "ids"])
 
@@ -151,7 +160,7 @@ def decoded(ids: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
 
 
 def round_trips(documents: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
-    """key, n_pieces, ids_sha256 (of the comma-joined ids), n_bytes (ids that are single bytes), n_unknown, decodes.
+    """key, n_pieces, ids_sha256 (of the ids as 32-bit numbers, little end first), n_bytes (ids that are single bytes), n_unknown, decodes.
 
     One pass encodes each whole text, decodes the ids again and compares. decodes is false only where a text holds U+2581
     itself, which the format doesn't tell from a space. Null and empty texts have no pieces and decode. Every row gives
@@ -169,9 +178,9 @@ def round_trips(documents: DataFrame, model: str, key: str = "doc_id") -> DataFr
             columns: list[list] = [[], [], [], [], []]
             for x in batch.column(1):
                 text = x.as_py() or ""
-                ids = words.encode(text)
-                given = np.array(ids, np.int64)
-                row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), int(is_byte[given].sum()), int((given == words.unknown).sum()), words.decode(ids) == text)
+                packed = words.packed(text)
+                ids = np.frombuffer(packed, "<i4")
+                row = (len(ids), hashlib.sha256(packed).hexdigest(), int(is_byte[ids].sum()), int((ids == words.unknown).sum()), words.decode(ids.tolist()) == text)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
