@@ -68,12 +68,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 BLOCK, BIN_ROWS = 512, 4096
 
 
-def paired_blocks(members: DataFrame, keys: list[str], item: str, block: int | None = None) -> DataFrame:
+def paired_blocks(members: DataFrame, keys: list[str], item: str, block: int | None = None, rows: int | None = None) -> DataFrame:
     """members with bin, group and side: what has to be compared with what, for buckets of any size.
 
     members has distinct (*keys, item). A bucket of one has no rows. A large bucket is cut into blocks by the items' hash;
     each pair of blocks (and each block alone) is a group, so that no group grows with its bucket. side is 0 or 1 for the
-    two blocks of a pair, 2 for a block alone. bin deals the groups out evenly, BIN_ROWS rows each.
+    two blocks of a pair, 2 for a block alone. bin deals the groups out evenly, rows (BIN_ROWS) each.
     """
     sizes = members.groupBy(keys).agg(F.count("*").alias("~size")).where(F.col("~size") > 1).withColumn("~blocks", F.ceil(F.col("~size") / (block or BLOCK)).cast("int"))
     own = members.join(sizes, keys).withColumn("~own", F.pmod(F.xxhash64(item), F.col("~blocks")).cast("int"))
@@ -81,7 +81,7 @@ def paired_blocks(members: DataFrame, keys: list[str], item: str, block: int | N
     low, high = F.least("~own", "~against"), F.greatest("~own", "~against")
     side = F.when(low == high, F.lit(2)).when(F.col("~own") == low, F.lit(0)).otherwise(1)
     spread = stored(spread.select(*members.columns, F.xxhash64(*keys, low, high).alias("group"), side.alias("side")), "blocks")
-    bins = max(1, spread.count() // BIN_ROWS)
+    bins = max(1, spread.count() // (rows or BIN_ROWS))
     return spread.withColumn("bin", F.pmod("group", F.lit(bins)))
 
 

@@ -72,7 +72,7 @@ POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base, base^2, ... modulo 2^64, at least n of them."""
-    if n > len(POWERS.get(base, ())):
+    if base not in POWERS or n > len(POWERS[base]):
         POWERS[base] = np.cumprod(np.full(max(1024, 2 * n), base, np.uint64), dtype=np.uint64)
     return POWERS[base]
 
@@ -178,25 +178,17 @@ def similar(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: flo
     return shared >= least * (size[one][:, None] + size[two][None] - shared) - 1e-9
 
 
-def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
-    """(doc_id, start, until, component, first, across, first_doc): every unit that occurs at more than one place.
-
-    component names units of which each is similar to another by at least least. Overlapping units of a component in one
-    document are one place; first marks those at the first place of the smallest doc_id (first_doc), across says whether
-    more than one doc_id has one.
-    """
-    table = stored(units(documents), "units")
-    bands = table.select("unit", F.explode("bands").alias("band"))
+def candidates(bands: DataFrame) -> DataFrame:
+    """(unit, band) of bands (unit, band) that different units share; bands of the same units are one."""
     mixed_bands = bands.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("band")
     members = stored(bands.join(small(stored(mixed_bands, "bands")), "band").distinct(), "members")
     alike = members.groupBy("band").agg(F.count("*").alias("n"), F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("sum"))
     once = alike.groupBy("n", "low", "high", "sum").agg(F.min("band").alias("band")).select("band")  # bands of the same units are compared once
-    members = stored(members.join(small(stored(once, "bands")), "band"), "members")
-    again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
-    every = table.select("doc_id", "start", "until", "unit").join(again.union(members.select("unit")).distinct(), "unit")
-    every = stored(every, "repeated")
-    wanted = every.join(members.select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "at.*")
-    sets = stored(shingles(documents, wanted), "shingles")
+    return stored(members.join(small(stored(once, "bands")), "band"), "members")
+
+
+def verified(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
+    """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, shingles) are similar by least."""
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("group", kind="stable")
@@ -218,8 +210,26 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
                 b.append(low[low < ids[i:j]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    pairs = paired_blocks(members, ["band"], "unit").join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
-    named = connected_components(pairs)
+    return paired_blocks(members, ["band"], "unit", block, rows).join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
+
+
+def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(doc_id, start, until, component, first, across, first_doc): every unit that occurs at more than one place.
+
+    component names units of which each is similar to another by at least least. Overlapping units of a component in one
+    document are one place; first marks those at the first place of the smallest doc_id (first_doc), across says whether
+    more than one doc_id has one.
+    """
+    table = stored(units(documents), "units")
+    bands = table.select("unit", F.explode("bands").alias("band"))
+    members = candidates(bands)
+    again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
+    every = table.select("doc_id", "start", "until", "unit").join(again.union(members.select("unit")).distinct(), "unit")
+    every = stored(every, "repeated")
+    wanted = every.join(members.select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "at.*")
+    sets = stored(shingles(documents, wanted), "shingles")
+
+    named = connected_components(verified(members, sets, least))
     known = every.join(named.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     place = Window.partitionBy("component", "doc_id").orderBy("start", "until")
     before = F.max("until").over(place.rowsBetween(Window.unboundedPreceding, -1))
