@@ -2,7 +2,8 @@
 
 Detected entities get keyed replacements of their own type, format, script and gender. One entity value has one surrogate
 in all documents (coreference), two values never share one, and none is a value that occurs (distinctness): surrogates
-that collide are drawn again with the next attempt's number until none does.
+that collide are drawn again with the next attempt's number until none does. Later attempts draw from a larger space, so that
+any number of values ends with surrogates of its own and none that holds the value.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LAST = {
     "cyrillic m": "Андреев Белов Волков Громов Давыдов Егоров Жуков Зайцев Ильин Карпов Лебедев Морозов Назаров Орлов Павлов".split(),
     "cyrillic f": "Андреева Белова Волкова Громова Давыдова Егорова Жукова Зайцева Ильина Карпова Лебедева Морозова Назарова Орлова Павлова".split(),
 }
+#: Family names that are added at most: 15^12 forms for each first one. WIDER: the attempt from which other types get longer.
+FURTHER, WIDER = 12, 8
 WORD, NO_DIGIT = r"(?<![\p{L}\p{N}_])", r"(?![\p{N}])"
 TITLE = "|".join(t for ts in [*TITLES.values(), *CYRILLIC_TITLES.values()] for t in ts)
 NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
@@ -86,16 +89,17 @@ def chosen(names: list[str], n: Column) -> Column:
 
 
 def person(value: Column, hex_: Column, attempt: Column) -> Column:
-    """The same title, then as many names as before, of the title's gender and the names' script. Later attempts add an initial."""
+    """The same title, then as many names as before, of the title's gender and the names' script. Every second attempt adds one more family name."""
     title, names = F.regexp_extract(value, rf"^((?:{TITLE})\.? )(.*)$", 1), F.regexp_extract(value, rf"^((?:{TITLE})\.? )(.*)$", 2)
     bare, cyrillic = F.regexp_replace(title, r"\.? $", ""), names.rlike(r"\p{IsCyrillic}")
     female = bare.isin(*TITLES["f"], *CYRILLIC_TITLES["f"]) | (~bare.isin(*TITLES["m"], *CYRILLIC_TITLES["m"]) & (F.conv(F.substring(hex_, 1, 1), 16, 10).cast("int") < 8))
     first = F.when(cyrillic & female, chosen(FIRST["cyrillic f"], number(hex_, 2))).when(cyrillic, chosen(FIRST["cyrillic m"], number(hex_, 2))).when(female, chosen(FIRST["latin f"], number(hex_, 2))).otherwise(chosen(FIRST["latin m"], number(hex_, 2)))
     last = F.when(cyrillic & female, chosen(LAST["cyrillic f"], number(hex_, 9))).when(cyrillic, chosen(LAST["cyrillic m"], number(hex_, 9))).otherwise(chosen(LAST["latin"], number(hex_, 9)))
-    double = F.when(cyrillic & female, chosen(LAST["cyrillic f"], number(hex_, 16))).when(cyrillic, chosen(LAST["cyrillic m"], number(hex_, 16))).otherwise(chosen(LAST["latin"], number(hex_, 16)))
-    last = F.when(attempt > 0, F.concat_ws("-", last, double)).otherwise(last)
-    third = F.when(attempt > 2, F.concat(F.lit("-"), F.when(cyrillic & female, chosen(LAST["cyrillic f"], number(hex_, 23))).when(cyrillic, chosen(LAST["cyrillic m"], number(hex_, 23))).otherwise(chosen(LAST["latin"], number(hex_, 23))))).otherwise("")
-    last = F.concat(last, third)
+    def further(k: int) -> Column:
+        at = number(hex_, 16 + 7 * (k - 1))
+        return F.when(attempt > 2 * (k - 1), F.when(cyrillic & female, chosen(LAST["cyrillic f"], at)).when(cyrillic, chosen(LAST["cyrillic m"], at)).otherwise(chosen(LAST["latin"], at)))
+
+    last = F.concat_ws("-", last, *(further(k) for k in range(1, FURTHER + 1)))  # nulls are left out
     return F.concat(title, F.when(names.contains(" "), F.concat_ws(" ", first, last)).otherwise(last))
 
 
@@ -114,16 +118,19 @@ def surrogate(key: str) -> Column:
     octet = lambda at: (number(hex_, at) % 254 + 1).cast("string")
     access = F.concat(F.lit("AKIA"), reformatted(F.substring(value, 5, 16), hex_, F.lit(False)))
     iban = F.concat(F.substring(value, 1, 2), reformatted(F.expr("substring(value, 3, length(value))"), hex_, F.lit(False)))
-    return (
+    found = (
         F.when(kind == "email", email).when(kind == "credential", credential).when(kind == "ip", F.concat_ws(".", *(octet(a) for a in (1, 8, 15, 22))))
         .when(kind == "access_key", access).when(kind == "iban", iban).when(kind == "person", person(value, hex_, attempt)).otherwise(reformatted(value, hex_, F.lit(False)))
     )
+    more = F.translate(F.substring(F.reverse(hex_), F.lit(1), F.greatest(attempt - WIDER + 1, F.lit(1))), "abcdef", "123456")  # each attempt one digit
+    wider = F.when(kind == "email", F.concat(more, found)).otherwise(F.concat(found, more))
+    return F.when((attempt < WIDER) | kind.isin("person", "ip"), found).otherwise(wider)
 
 
 def assigned(values: DataFrame, key: str = KEY) -> DataFrame:
     """(value, kind, surrogate) of distinct values (value, kind): no surrogate twice, none that is a value.
 
-    Each round draws for the values that are left; a person's draw that keeps a name is void, and the first value in order of hash keeps a surrogate that several drew.
+    Each round draws for the values that are left; a draw that holds the value or one of a person's names is void, and the first value in order of hash keeps a surrogate that several drew.
     """
     spark = values.sparkSession
     values = stored(values.select("value", "kind"), "values")
@@ -131,8 +138,9 @@ def assigned(values: DataFrame, key: str = KEY) -> DataFrame:
     while True:
         drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("hex", stream(F.col("value"), F.col("kind"), F.col("attempt"), key))
         drawn = stored(drawn.withColumn("surrogate", surrogate(key)).select("value", "kind", "surrogate"), "drawn")
-        own = F.size(F.array_intersect(F.split("value", " "), F.split("surrogate", " "))) > 1  # beside the title a name stayed
-        first = drawn.where((F.col("kind") != "person") | ~own).groupBy("surrogate").agg(F.min_by("value", F.struct(F.xxhash64("value"), "value")).alias("value"))
+        names = lambda c: F.split(F.regexp_replace(c, rf"^(?:{TITLE})\.? ", ""), "[ \\-]")
+        own = (F.col("kind") == "person") & F.arrays_overlap(names("value"), names("surrogate"))  # beside the title a name stayed
+        first = drawn.where(~own & ~F.col("surrogate").contains(F.col("value"))).groupBy("surrogate").agg(F.min_by("value", F.struct(F.xxhash64("value"), "value")).alias("value"))
         new = drawn.join(first, ["surrogate", "value"], "left_semi").join(values.select(F.col("value").alias("surrogate")), "surrogate", "left_anti")
         if done is not None:
             new = new.join(done.select("surrogate"), "surrogate", "left_anti")
@@ -142,9 +150,6 @@ def assigned(values: DataFrame, key: str = KEY) -> DataFrame:
         attempt += 1
         if left.isEmpty():
             return done
-        if attempt >= 60:  # a format with fewer forms than values: a number keeps them apart
-            more = left.select("value", "kind", F.concat("value", F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "value"), 256), 1, 16)).alias("surrogate"))
-            return done.unionByName(more)
 
 
 def found_in(text: Column) -> Column:
