@@ -21,3 +21,27 @@ def test_no_original_is_ever_emitted(spark):
         assert got[value].startswith(f"{title} ") and not set(name.split("-")) & set(re.split("[ -]", got[value])[1:]), (value, got[value])
         assert not re.search(r"[0-9]", got[value])
     assert all(re.fullmatch(r"[0-9]*[a-z]@[a-z]\.de", got[m]) for m, _ in mails)
+
+
+PHONES = [
+    "06 12 34 56 78", "+33 6 12 34 56 78", "+49 30 1234567", "030 1234567", "0151 23456789", "01.42.68.53.00", "+49 (0)30 123456-78", "(030) 1234567", "+34 612 345 678",
+    "+1 (487) 555-7209", "0151/23456789", "+4915123456789",
+]
+ADDRESSES = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:db8::8a2e:370:7334", "::1", "fd00::"]
+
+
+def test_phones_and_addresses_of_more_countries(spark):
+    given = [(f"Call {p}, please.", p, "phone") for p in PHONES] + [("Call 0049 30 1234567.", "0049 30 1234567", "card")] + [(f"Host {a} is up", a, "ipv6") for a in ADDRESSES]
+    given += [(t, None, None) for t in ("on 01.02.2024 at 08:30", "from 05/11/2023, 0.12345678 of 10:30:45", "std::vector a::b 2024-01-05 07:15", "ratio 1:2", "0 12 apples")]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replaced(rows).collect()}
+    shape = lambda t: re.sub(r"[0-9]", "9", re.sub("[a-f]", "a", t))
+    for i, (text, secret, kind) in enumerate(given):
+        r = got[i]
+        if secret is None:
+            assert r.text == text and r.n_entities == 0, r.text
+        else:
+            assert r.entity_kinds == [kind] and r.n_entities == 1 and secret not in r.text, r
+            before, after = text.split(secret)
+            new = r.text[len(before) : len(r.text) - len(after)]
+            assert r.text == before + new + after and shape(new) == shape(secret), (secret, new)

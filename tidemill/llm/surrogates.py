@@ -33,16 +33,29 @@ FURTHER, WIDER = 12, 8
 WORD, NO_DIGIT = r"(?<![\p{L}\p{N}_])", r"(?![\p{N}])"
 TITLE = "|".join(t for ts in [*TITLES.values(), *CYRILLIC_TITLES.values()] for t in ts)
 NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+GROUPED = r"(?:[ .\-()/]{0,2}[0-9])"  # a digit after signs between groups
+DATE = r"(?![0-3]?[0-9][.\-/][0-3]?[0-9][.\-/](?:19|20)[0-9]{2}(?![0-9]|[.\-/][0-9]))"
+#: North American numbers; a country code with 7 to 14 digits; a leading 0 with as many; three groups without either;
+#: a plus with digits in a row.
+PHONES = [
+    r"(?<![\p{L}\p{N}])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}" + NO_DIGIT,
+    r"(?<![\p{L}\p{N}])\+[0-9]" + GROUPED + "{7,16}" + NO_DIGIT,
+    r"(?<![\p{L}\p{N}])(?<![0-9][.,:/\-])" + DATE + r"(?:\(0[0-9]{1,5}\)" + GROUPED + r"{4,11}|0[0-9]" + GROUPED + "{6,13})" + NO_DIGIT,
+    r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-][0-9]{3,4}" + NO_DIGIT,
+    r"\+[0-9]{8,15}" + NO_DIGIT,
+]
+HEXTET = "[0-9A-Fa-f]{1,4}"
 #: Patterns by type, tried in this order at each place. A named person stands after a title.
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}])",
     "credential": r"(?i:(?:password|passwd|secret|token|api_?key)\s?[=:]\s?\"?)[A-Za-z0-9+/_\-]{8,512}",
     "access_key": WORD + r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?!\.?[\p{N}])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9]|(?:[A-Fa-f]*:){{3}})(?:(?:{HEXTET}:){{7}}{HEXTET}|(?:{HEXTET}:){{1,6}}(?::{HEXTET}){{1,6}}|(?:{HEXTET}:){{1,7}}:|::(?:{HEXTET}:){{0,6}}{HEXTET})(?!:?[\p{{L}}\p{{N}}]|\.[0-9])",
     "iban": WORD + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}" + NO_DIGIT,
     "national_id": r"(?<![\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{1,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-][0-9]{3,4}" + NO_DIGIT + r"|\+[0-9]{8,15}" + NO_DIGIT,
+    "phone": "|".join(PHONES),
     "person": WORD + rf"(?:{TITLE})\.?[ ]{NAME}(?: {NAME})?(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -120,10 +133,12 @@ def surrogate(key: str) -> Column:
     iban = F.concat(F.substring(value, 1, 2), reformatted(F.expr("substring(value, 3, length(value))"), hex_, F.lit(False)))
     found = (
         F.when(kind == "email", email).when(kind == "credential", credential).when(kind == "ip", F.concat_ws(".", *(octet(a) for a in (1, 8, 15, 22))))
-        .when(kind == "access_key", access).when(kind == "iban", iban).when(kind == "person", person(value, hex_, attempt)).otherwise(reformatted(value, hex_, F.lit(False)))
+        
+        .when(kind == "ipv6", reformatted(value, hex_, F.lit(True))).when(kind == "access_key", access).when(kind == "iban", iban).when(kind == "person", person(value, hex_, attempt)).otherwise(reformatted(value, hex_, F.lit(False)))
     )
     more = F.translate(F.substring(F.reverse(hex_), F.lit(1), F.greatest(attempt - WIDER + 1, F.lit(1))), "abcdef", "123456")  # each attempt one digit
-    wider = F.when(kind == "email", F.concat(more, found)).otherwise(F.concat(found, more))
+    tail = F.concat(F.when(found.endswith("::"), "").otherwise(":"), F.substring(hex_, 250, 4))
+    wider = F.when(kind == "email", F.concat(more, found)).when(kind == "ipv6", F.concat(found, tail)).otherwise(F.concat(found, more))
     return F.when((attempt < WIDER) | kind.isin("person", "ip"), found).otherwise(wider)
 
 
