@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash banding (operator 6).
 
-Paragraphs of at least LEAST words are units, and so are paragraph-sized runs of WORDS words that begin at places chosen
+Lines, paragraphs between blank lines and whole texts of at least LEAST words are units, and so are runs of WORDS words that begin at places chosen
 by content (the least shingle of each SPAN in a row): a passage of WORDS + SPAN - 1 words or more holds such a run whole
 wherever it stands, inside other paragraphs too. Units that share a MinHash band are joined, pairs of different units are
 verified by exact Jaccard of their shingles, and all but the first unit of each component are removals.
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, least_linked, paired_blocks, small, stored
 
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
-#: A paragraph has 8 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^8 > 0.996. A run has one band of
+#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999. A run has one band of
 #: 9: equal runs share it always, runs that overlap in their own text seldom; what is edited is left to the paragraphs.
-ROWS, BANDS, RUN_ROWS = 3, 8, 9
+ROWS, BANDS, RUN_ROWS = 3, 10, 9
 CACHED = 500_000
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -57,6 +57,7 @@ class Text:
         self.shingles = mixed(sum((self.words[k : n + k] * BASE[k] for k in range(SHINGLE)), np.zeros(max(n, 0), np.uint64))) if n > 0 else np.zeros(0, np.uint64)
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
         self.breaks = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(starts)]]) if len(starts) else np.zeros(1, np.int64)
+        self.blanks = np.concatenate([[0], np.flatnonzero(np.diff(line) > 1) + 1, [len(starts)]]) if len(starts) else self.breaks
 
         base = int(BASE[0])
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers(base, len(self.words))[: len(self.words)], dtype=np.uint64)])
@@ -108,15 +109,13 @@ def units_of(text: str, hashes: WordHashes) -> list[tuple[np.ndarray, ...]]:
     n, out = len(t.shingles), []
     if n == 0 or len(t.words) < LEAST:
         return out
-    lines = np.array([(a, b) for a, b in zip(t.breaks, t.breaks[1:], strict=False) if b - a >= LEAST], np.int64).reshape(-1, 2)
+    cut = {(int(a), int(b)) for breaks in (t.breaks, t.blanks, (0, len(t.words))) for a, b in zip(breaks, breaks[1:], strict=False) if b - a >= LEAST}
+    lines = np.array(sorted(cut), np.int64).reshape(-1, 2)
     values = [(t.shingles * MULTIPLY[k] + ADD[k]) >> np.uint64(32) for k in range(ROWS * BANDS if len(lines) else RUN_ROWS)]
     if len(lines):
-        cuts = np.stack([lines[:, 0], lines[:, 1] - SHINGLE + 1], axis=1).ravel()
-        cuts = cuts[:-1] if cuts[-1] >= n else cuts
-        bands = signatures([np.minimum.reduceat(v, cuts)[::2] for v in values], ROWS)
+        bands = signatures([np.array([v[a : b - SHINGLE + 1].min() for a, b in lines]) for v in values], ROWS)
         out.append((t.starts[lines[:, 0]], t.ends[lines[:, 1] - 1], t.units(lines[:, 0], lines[:, 1]), bands))
-    first = places(t.shingles)
-    first = first[first + WORDS <= len(t.words)]
+    first = places(t.shingles[: len(t.words) - WORDS + 1])  # only where a whole run fits
     if len(first):
         at = first[:, None] + np.arange(WORDS - SHINGLE + 1)
         out.append((t.starts[first], t.ends[first + WORDS - 1], t.units(first, first + WORDS), signatures([v[at].min(axis=1) for v in values[:RUN_ROWS]], RUN_ROWS)))
@@ -217,7 +216,7 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     """(doc_id, start, until, component, first, across, first_doc): every unit that occurs at more than one place.
 
     component names units of which each is similar to another by at least least. Overlapping units of a component in one
-    document are one place; first marks those at the first place of the smallest doc_id (first_doc), across says whether
+    document are one place, and what reaches over several stands with the first if it overlaps that; first marks those at the first place of the smallest doc_id (first_doc), across says whether
     more than one doc_id has one.
     """
     table = stored(units(documents), "units")
@@ -231,11 +230,15 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
 
     named = connected_components(verified(members, sets, least))
     known = every.join(named.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    place = Window.partitionBy("component", "doc_id").orderBy("start", "until")
+    within = Window.partitionBy("component", "doc_id")
+    place = within.orderBy("until", "start")  # a text that repeats a line comes after its lines and joins none of them
     before = F.max("until").over(place.rowsBetween(Window.unboundedPreceding, -1))
     known = known.select("doc_id", "start", "until", "component", F.coalesce((F.col("start") >= before).cast("int"), F.lit(0)).alias("apart"))
-    known = stored(known.withColumn("island", F.sum("apart").over(place.rowsBetween(Window.unboundedPreceding, 0))).drop("apart"), "known")
-    firsts = known.groupBy("component").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("across"), F.max("island").alias("islands"))
+    known = known.withColumn("island", F.sum("apart").over(place.rowsBetween(Window.unboundedPreceding, 0))).drop("apart")
+    islands = F.max("island").over(within)
+    known = known.withColumn("most", islands).withColumn("kept", F.max(F.when(F.col("island") == 0, F.col("until"))).over(within))
+    known = stored(known.withColumn("island", F.when(F.col("start") < F.col("kept"), F.lit(0)).otherwise(F.col("island"))).drop("kept"), "known")
+    firsts = known.groupBy("component").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("across"), F.max("most").alias("islands"))
     found = known.join(stored(firsts.where("across OR islands > 0").drop("islands"), "firsts"), "component")
     return found.select("doc_id", "start", "until", "component", ((F.col("doc_id") == F.col("first_doc")) & (F.col("island") == 0)).alias("first"), "across", "first_doc")
 
