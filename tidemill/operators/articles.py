@@ -141,9 +141,9 @@ def front_page(articles: DataFrame, limit: int = 20) -> DataFrame:
     import pandas as pd
 
     source_cap, direction_cap = max(2, -(-limit // 5)), max(2, -(-limit // 2))
-    best = representatives(articles)
+    best = representatives(articles.where(F.col("direction").isin(NAMES)))  # a cluster is spoken for by its best valid row
     place = Window.partitionBy("direction", "source_name").orderBy(F.desc("score"), F.desc("published_at"), "article_id")
-    near = best.where(F.col("direction").isin(NAMES)).withColumn("n", F.row_number().over(place)).where(F.col("n") <= source_cap)
+    near = best.withColumn("n", F.row_number().over(place)).where(F.col("n") <= source_cap)
     queue = Window.partitionBy("direction").orderBy(F.desc("score"), F.desc("published_at"), "article_id")
     near = near.withColumn("at", F.row_number().over(queue)).where(F.col("at") <= limit * source_cap)
 
