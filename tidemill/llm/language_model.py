@@ -34,7 +34,6 @@ BEGIN = -1  # the context at a text's beginning
 STOP = 1  # the name of a text's end
 BLOCK, BUCKET = 1 << 20, 1 << 20  # tokens of a block, and for which there is a bucket
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
-ANSWER = ["c", "id", "total", *(f"n{r}" for r in range(1, K + 1)), "below"]
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -48,6 +47,16 @@ def unpacked(raw: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def coded(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Floating-point numbers of which many are equal: the distinct ones, and which each is."""
+    own, code = np.unique(values, return_inverse=True)
+    return packed(own), packed(code.astype(np.int32))
+
+
+def decoded(own: bytes, code: bytes) -> np.ndarray:
+    return unpacked(own, np.float64)[unpacked(code, np.int32)]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     h = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
@@ -84,10 +93,18 @@ class Level:
             salt = np.where(known[at] == context, np.array([self.salts[int(c)] for c in known], np.uint64)[at], salt)
         return ((mixed(context) + mixed(word) % salt) % np.uint64(self.buckets)).astype(np.int64)
 
-    def kept(self, total: np.ndarray, ones: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """A context's mass after discounts, and what it is divided by: something always stays for what was not seen."""
-        kept = total - sum(r * (1 - self.d[r]) * n for r, n in enumerate(ones, 1))
-        return kept, np.where(kept < total, total, total + 1)
+    def alpha(self, scale: np.ndarray, ones: list[np.ndarray], below: np.ndarray) -> np.ndarray:
+        """What a context leaves to what it was not seen with, over what the order below gives that."""
+        lost = sum(r * (1 - self.d[r]) * n for r, n in enumerate(ones, 1))
+        lost = np.where(lost > 0, lost, 1.0)  # scale is one more than the total where nothing is discounted
+        return lost / np.maximum(scale, 1) / np.maximum(1 - below, 1e-12)
+
+    def word(self, c: np.ndarray) -> np.ndarray:
+        """Of order 1: probabilities of words by their counts; 0 is the unknown word."""
+        total, *ones, below = self.busy.get(0, (0,) * (K + 2))
+        scale = np.array([float(total + (not any(ones)))]) if total else np.zeros(1)
+        unknown = self.alpha(scale, [np.array([n]) for n in ones], np.zeros(1)) if total else np.ones(1)
+        return np.where(c > 0, self.star(c) / np.maximum(scale, 1), unknown)
 
     def star(self, c: np.ndarray) -> np.ndarray:
         return c * np.array([*self.d, 1.0])[np.minimum(c, K + 1)]
@@ -154,7 +171,7 @@ class Grams:
         self.starts = self.ends - self.sizes
         self.trained = np.repeat(trained, self.sizes)
         self.at, self.word, self.rank = self.stream, np.arange(len(self.names)), 1  # each token's n-gram, each n-gram's last word
-        self.context = self.lower = np.zeros(len(self.names), np.int64)
+        self.context, self.lower = np.zeros(len(self.names), np.int64), np.zeros(len(self.names))
         self.ids = np.zeros(len(self.names), np.int64)
         self.p = np.ones(len(self.names))
 
@@ -178,24 +195,27 @@ class Grams:
         """Takes the buckets' answers: ids, p (probabilities at this order). Returns counts."""
         order, bucket, context, _ = self.asked(level, names)
         new = np.concatenate([[True], (np.diff(context) != 0) | (np.diff(bucket) != 0)])
-        got = [np.concatenate([unpacked(answers[b][k], np.float64 if name == "below" else np.int64) for b in np.unique(bucket)]) for k, name in enumerate(ANSWER)]
-        c, ids = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        c[order], ids[order] = got[:2]
-        own = context[new]
-        total, *ones, below = got[2:]
+        asked = np.unique(bucket)
+        counts, ids, scale, *ones = (np.concatenate([unpacked(answers[b][k]) for b in asked]) for k in range(3 + K))
+        below = np.concatenate([decoded(*answers[b][3 + K :]) for b in asked])
+        of = np.cumsum(new) - 1
+        own, open_ = context[new], np.zeros(len(scale), bool)
+        open_[of[counts == 0]] = True
+        alpha = np.ones(len(scale))  # of what training lacks
+        alpha[open_] = level.alpha(scale[open_], ones, below)
+        scale = scale.astype(float)
         for x in np.flatnonzero(np.isin(own, list(level.busy))):
-            total[x], *some, below[x] = level.busy[int(own[x])]
-            for n, value in zip(ones, some, strict=True):
-                n[x] = value
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        kept, scale = level.kept(total.astype(float), ones)
-        seen = total > 0
-        scale = np.where(seen, scale, 1.0)
-        with np.errstate(divide="ignore"):
-            alpha = np.where(seen, (1 - kept / scale) / np.maximum(1 - below, 1e-12), 1.0)
-        unseen = (1 - kept / scale if level.n else np.ones(1))[of] if self.rank == 1 else alpha[of] * self.lower
-        self.ids, self.p = ids, np.where(c > 0, level.star(c) / scale[of], unseen)
+            total, *some, under = level.busy[int(own[x])]
+            scale[x] = total + (not any(some)) if total else 0
+            alpha[x] = level.alpha(scale[x : x + 1], [np.array([n]) for n in some], np.array([under]))[0]
+        alpha[scale == 0] = 1.0
+        c, at = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        c[order], at[order] = counts, of
+        if len(ids):
+            ids[order] = ids.copy()
+        unseen = alpha[at] if self.rank == 1 else alpha[at] * self.lower  # at order 1 that is the unknown word's probability
+        scale = np.maximum(scale, 1)[at]
+        self.ids, self.p = ids, np.where(c > 0, level.star(c) / scale, unseen)
         return c
 
 
@@ -216,68 +236,80 @@ def ready(row: dict, levels: list[Level], k: int) -> tuple[Grams, np.ndarray, np
     return grams, names, counts
 
 
-def asked(blocks_: DataFrame, levels: list[Level], k: int) -> DataFrame:
-    """(bucket, block, ...): each block's distinct n-grams of order k, once for each bucket."""
+def asked(blocks_: DataFrame, levels: list[Level], k: int, more: bool) -> DataFrame:
+    """(bucket, block, ...): each block's distinct n-grams of order k, once for each bucket. more: another order follows."""
 
     def of(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                grams, names, _ = ready(row, levels, k)
+                grams, names, counts = ready(row, levels, k)
                 order, bucket, context, word = grams.asked(levels[k - 1], names)
                 n = np.bincount(grams.at[grams.trained], minlength=len(order))[order]
-                every = np.bincount(grams.at, minlength=len(order))[order]
-                lower = grams.lower[order].astype(np.float64)
+                every = np.bincount(grams.at, minlength=len(order))[order] if more else n[:0]
+                lower = lambda a, b: coded(held[a:b]) if k > 2 else (packed(held[:0]), packed(held[a:b]))
+                if k == 2:  # a word's probability is told by its count
+                    held = np.where(n > 0, counts[grams.word][order] if len(counts) else 0, 0).astype(np.int32)
+                else:
+                    held = np.where(n > 0, grams.lower[order], 0.0)
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]]))
-                out: list[list] = [[], [], [], [], [], [], [], []]
+                out: list[list] = [[] for _ in MESSAGE]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     own, size = np.unique(context[a:b], return_counts=True)
-                    values = [int(bucket[a]), row["block"], *map(packed, (own, size, word[a:b], n[a:b], every[a:b], lower[a:b]))]
+                    values = [int(bucket[a]), row["block"], *map(packed, (own, size, word[a:b], n[a:b], every[a:b])), *lower(a, b)]
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["bucket", "block", "context", "size", "word", "n", "every", "lower"])
+                kinds = [pa.int32(), pa.int64()] + [pa.binary()] * (len(MESSAGE) - 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], MESSAGE)
 
     wanted = ["block", F.transform("others", lambda x: F.struct(x["~trained"].alias("~trained"))).alias("others"), "sizes", "words", "names", *(c for c in blocks_.columns if c == "answers")]
-    return blocks_.select(*wanted).mapInArrow(of, "bucket int, block long, context binary, size binary, word binary, n binary, every binary, lower binary")
+    return blocks_.select(*wanted).mapInArrow(of, ", ".join(f"{m} {dict(bucket='int', block='long').get(m, 'binary')}" for m in MESSAGE))
 
 
+MESSAGE = ["bucket", "block", "context", "size", "word", "n", "every", "lower", "code"]
 TABLE = "kind string, block long, bucket int, context long, word long, id long, c long, ones array<long>, below double, payload array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("context", pa.int64()), ("word", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("ones", pa.list_(pa.int64())), ("below", pa.float64()), ("payload", pa.list_(pa.binary()))])
 
 
-def counted(messages: DataFrame, level: Level, large: int) -> DataFrame:
-    """One bucket at a time: answers to blocks, the model's n-grams and contexts, sums of busy contexts, n-grams used over large times."""
+def counted(messages: DataFrame, levels: list[Level], large: int, last: bool) -> DataFrame:
+    """One bucket at a time: answers to blocks, the model's n-grams and contexts, sums of busy contexts, n-grams used over large times.
+
+    An answer holds counts, ids (none at the last order), contexts' scales, and what alpha needs for contexts that the
+    block has an unseen n-gram of.
+    """
 
     def rows(kind: str, n: int, **columns) -> pa.Table:
         return pa.table([pa.array([kind] * n) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in ARROW], schema=ARROW)
 
+    level, k = levels[-1], len(levels)
+
     def of(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         parts = [{name: table.column(name)[i].as_py() for name in table.schema.names} for i in range(table.num_rows)]
         sizes = [unpacked(p["size"]) for p in parts]
         context = np.concatenate([np.repeat(unpacked(p["context"]), s) for p, s in zip(parts, sizes, strict=True)])
         word, n, every = (np.concatenate([unpacked(p[k]) for p in parts]) for k in ("word", "n", "every"))
-        lower = np.concatenate([unpacked(p["lower"], np.float64) for p in parts])
+        lower = np.concatenate([levels[0].word(unpacked(p["code"], np.int32)) if k == 2 else decoded(p["lower"], p["code"]) if k > 2 else np.zeros(len(unpacked(p["word"]))) for p in parts])
         order = np.lexsort((word, context))
         new = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)])
         first = np.flatnonzero(new)
         gram = np.empty(len(order), np.int64)
         gram[order] = np.cumsum(new) - 1
-        c, used = np.add.reduceat(n[order], first), np.add.reduceat(every[order], first)
-        own, last = context[order][first], word[order][first]
+        c, used = np.add.reduceat(n[order], first), first if last else np.add.reduceat(every[order], first)
+        own, words = context[order][first], word[order][first]
         ids = np.arange(len(first)) * level.buckets + bucket
         head = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
         total = np.add.reduceat(c, head)
         ones = [np.add.reduceat((c == r).astype(np.int64), head) for r in range(1, K + 1)]
-        below = np.add.reduceat(np.where(c > 0, lower[order][first], 0.0), head)
-        heads = own[head]
+        below = np.add.reduceat(np.where(c > 0, np.maximum.reduceat(lower[order], first), 0.0), head)  # blocks without training text send 0
+        heads, scale = own[head], np.where(total > 0, total + (sum(ones) == 0), 0)
 
         out, at = [], 0
         for p, s in zip(parts, sizes, strict=True):
             here = gram[at : at + int(s.sum())]
             told = np.searchsorted(heads, unpacked(p["context"]))
-            payload = [packed(x) for x in (c[here], ids[here], total[told], *(o[told] for o in ones), below[told])]
+            unseen = told[np.add.reduceat(c[here] == 0, np.cumsum(s) - s) > 0]
+            payload = [*map(packed, (c[here], ids[here[: 0 if last else None]], scale[told], *(o[unseen] for o in ones))), *coded(below[unseen])]
             out.append(rows("answer", 1, block=[p["block"]], bucket=[bucket], payload=[payload]))
             at += len(here)
         out.append(rows("total", 1, c=[int(c.sum())], id=[int((c > 0).sum())], ones=[[int((c == r).sum()) for r in range(1, K + 2)]]))
@@ -285,10 +317,10 @@ def counted(messages: DataFrame, level: Level, large: int) -> DataFrame:
         for kind, which in (("busy", np.flatnonzero(busy)), ("context", np.flatnonzero(~busy & (total > 0)))):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, K * len(which) + 1, K, dtype=np.int32)), pa.array(np.stack([o[which] for o in ones], axis=1).ravel()))
             out.append(rows(kind, len(which), context=heads[which], c=total[which], ones=lists, below=below[which]))
-        often = np.flatnonzero(used > large)
+        often = np.flatnonzero(used > large) if not last else first[:0]
         out.append(rows("large", len(often), id=ids[often], c=used[often]))
         have = np.flatnonzero(c > 0)
-        out.append(rows("gram", len(have), context=own[have], word=last[have], id=ids[have], c=c[have]))
+        out.append(rows("gram", len(have), context=own[have], word=words[have], c=c[have], **({} if last else {"id": ids[have]})))
         return pa.concat_tables(out)
 
     return messages.groupBy("bucket").applyInArrow(of, TABLE)
@@ -303,8 +335,7 @@ class Model:
 
     @property
     def unknown(self) -> float:
-        kept, scale = self.levels[0].kept(*self.levels[0].busy[0][:1], list(self.levels[0].busy[0][1:-1])) if self.levels[0].n else (0.0, 1.0)
-        return float(1 - kept / scale)
+        return float(self.contexts(1).first().alpha) if self.levels[0].n else 1.0
 
     def contexts(self, k: int) -> DataFrame:
         """(context, scale, alpha) of order k; a context is the id of an n-gram of the order below, BEGIN, or 0 at order 1."""
@@ -312,9 +343,9 @@ class Model:
         spark = self.tables[0].sparkSession
         busy = spark.createDataFrame([(c, n, list(ones), below) for c, (n, *ones, below) in level.busy.items()], "context long, c long, ones array<long>, below double")
         every = self.tables[k - 1].where("kind = 'context'").select("context", "c", "ones", "below").unionByName(busy).where("c > 0")
-        kept = F.col("c") - reduce(lambda a, b: a + b, [F.get("ones", r - 1) * (r * (1 - level.d[r])) for r in range(1, K + 1)])
-        scale = F.when(kept < F.col("c"), F.col("c")).otherwise(F.col("c") + 1)
-        return every.select("context", scale.alias("scale"), ((1 - kept / scale) / F.greatest(1 - F.col("below"), F.lit(1e-12))).alias("alpha"))
+        lost = reduce(lambda a, b: a + b, [F.get("ones", r - 1) * (r * (1 - level.d[r])) for r in range(1, K + 1)])
+        scale = F.when(lost > 0, F.col("c")).otherwise(F.col("c") + 1)
+        return every.select("context", scale.alias("scale"), (F.when(lost > 0, lost).otherwise(1.0) / scale / F.greatest(1 - F.col("below"), F.lit(1e-12))).alias("alpha"))
 
     def grams(self, k: int) -> DataFrame:
         """(context, word, id, c, p) of order k; word is the word's id (at order 1 its hash)."""
@@ -346,7 +377,7 @@ def fitted(documents: DataFrame, trained: Column, order: int = ORDER, block: int
     for k in range(1, order + 1):
         level = levels[-1]
         seen = with_answers(held, tables) if tables else held
-        table = stored(counted(asked(seen, levels, k), level, share), f"grams-{k}")
+        table = stored(counted(asked(seen, levels, k, k < order), levels, share, k == order), f"grams-{k}")
         totals = table.where("kind = 'total'").agg(F.sum("c").alias("n"), F.sum("id").alias("v"), *(F.sum(F.get("ones", r)).alias(f"n{r + 1}") for r in range(K + 1))).first()
         level.n, level.v = int(totals.n or 0), int(totals.v or 0)
         level.d = discounts({r: int(totals[f"n{r}"] or 0) for r in range(1, K + 2)})
