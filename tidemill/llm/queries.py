@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key of surrogates: spark.tidemill.surrogates.key, or one drawn for this session if that is unset."""
+    name = "spark.tidemill.surrogates.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +45,7 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replaced(documents)
+    return surrogates.replaced(documents, surrogate_key(spark))
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
