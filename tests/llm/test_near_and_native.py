@@ -146,3 +146,20 @@ def test_chat_folds_events_and_round_trips(spark):
     assert chat.format_chats(events.limit(0)).count() == 0
     many = events.limit(1).crossJoin(spark.range(3000)).select("conv_id", F.col("id").alias("seq"), F.col("id").alias("message_id"), "kind", "role", "text")
     assert len(chat.read_back(chat.format_chats(many)).first().turns) == 3000
+
+
+def test_ids_of_other_types(spark):
+    from tidemill.llm import passages
+
+    text = " ".join(f"w{i}" for i in range(60))
+    for kind in ("int", "string"):
+        docs = spark.createDataFrame([(str(i), text if i < 2 else f"x{i} y z") for i in range(4)], "doc_id string, text string").selectExpr(f"cast(doc_id AS {kind}) AS doc_id", "text")
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {k(i): k(0 if i < 2 else i) for k in ((int if kind == "int" else str),) for i in range(4)}
+        assert {r.doc_id: r.n_removed > 0 for r in passages.removals(docs).collect()} == {(int if kind == "int" else str)(i): i == 1 for i in range(4)}
+
+
+def test_one_component_of_many_ids(spark):
+    n = 30_000
+    star = spark.range(1, n).selectExpr("0L AS a", "id AS b").union(spark.range(n, n + 200).selectExpr("id AS a", "id + 1 AS b"))
+    got = common.connected_components(star)
+    assert {(r.component, r.n) for r in got.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, n), (n, 201)}

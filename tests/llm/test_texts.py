@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_near_and_native import brute_components, brute_contamination, brute_fingerprint
+from test_copies import brute_kept
+from test_near_and_native import brute_contamination
 from tidemill.llm import common, language_model, licences, passages, pieces, queries, surrogates
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +54,16 @@ def test_licences_equal_brute_force(spark):
     assert licences.scanned(docs(spark, rows).limit(0)).count() == 0 == licences.scanned(docs(spark, rows), []).count()
 
 
+def test_licences_by_other_shares_and_short_templates(spark):
+    gpl = dict(licences.TEMPLATES)["GPL-2.0"]
+    half = " ".join(gpl.replace("redistribute", "share").replace("modify", "change").split()[:-3])
+    rows = [(1, f"a b c {half} d e f"), (2, "here all rights are reserved by us"), (3, "all rights"), (4, None)]
+    found = {(r.doc_id, r.license) for r in licences.scanned(docs(spark, rows), licences.TEMPLATES, 0.3).collect()}
+    assert (1, "GPL-2.0") in found
+    short = licences.scanned(docs(spark, rows), [("R", "all rights are reserved"), ("one", "rights")]).collect()
+    assert {(r.doc_id, r.license, r.containment) for r in short} == {(2, "R", 1.0), (2, "one", 1.0), (3, "one", 1.0)}
+
+
 # --- 5
 
 
@@ -124,25 +135,60 @@ def test_passages(spark):
     assert passages.removals(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_passages_find_all_similar_paragraphs(spark):
-    found = passages.repeats(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    part = {(r.doc_id, r.start, r.until): r.component for r in found.collect()}
+def five(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_passages_find_all_similar_paragraphs_and_no_others(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    found = passages.repeats(documents).collect()
+    part = {(r.doc_id, r.start, r.until): r.component for r in found}
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t.translate(LOWER)) if w]
     units = []
-    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
-        hashes = passages.WordHashes()
-        t = passages.Text(r.text, hashes)
-        for a, b in zip(t.breaks, t.breaks[1:], strict=False):
-            if b - a >= passages.LEAST:
-                units.append(((r.doc_id, int(t.starts[a]), int(t.ends[b - 1])), set(t.shingles[a : b - 4].tolist())))
+    for d, t in texts.items():
+        at = 0
+        for line in t.split("\n"):
+            if len(words(line)) >= passages.LEAST:
+                start = at + len(line) - len(line.lstrip(" \t\r\v\f"))
+                units.append(((d, start, start + len(line.strip(" \t\r\v\f"))), five(words(line))))
+            at += len(line) + 1
     owners = defaultdict(list)
     for i, (_, s) in enumerate(units):
         for x in s:
             owners[x].append(i)
     pairs = {(i, j) for o in owners.values() if len(o) > 1 for i in o for j in o if i < j}
-    near = [(i, j) for i, j in pairs if len(units[i][1] & units[j][1]) >= 0.8 * len(units[i][1] | units[j][1])]
+    near = [(i, j) for i, j in pairs if alike(units[i][1], units[j][1])]
     caught = sum(part.get(units[i][0], -1) == part.get(units[j][0], -2) for i, j in near)
     assert near and caught >= 0.99 * len(near)
 
+    own = defaultdict(set)
+    for r in found:
+        own[r.component].add(tuple(words(texts[r.doc_id][r.start : r.until])))
+    for members in own.values():  # links alone hold a component together
+        left = [five(m) for m in members]
+        reached = [left.pop()]
+        for a in reached:
+            near = [b for b in left if alike(a, b)]
+            left = [b for b in left if not alike(a, b)]
+            reached += near
+        assert not left
+
+
+def test_runs_that_differ_in_an_end_word_are_linked(spark):
+    r = random.Random(9)
+    pick = lambda n: ["".join(r.choices("abcdefghijklm", k=8)) for _ in range(n)]
+    rows = []
+    for i in range(60):
+        run = pick(20)
+        rows += [(2 * i, " ".join(run)), (2 * i + 1, " ".join([*run[:19], *pick(1)] if i % 2 else [*pick(1), *run[1:]]))]
+    got = {x.doc_id: x for x in passages.removals(docs(spark, rows)).collect()}
+    assert all(got[2 * i + 1].class_id == 2 * i and got[2 * i + 1].n_removed for i in range(60))
+
 
 # --- 10
 
@@ -226,12 +272,13 @@ def test_pipeline_stages(spark):
     assert len(ids[1]) > 0.85 * len(ids[0]) and len(ids[2]) < len(ids[1]) and len(ids[3]) < len(ids[2])
     assert steps[-1][1].where(~F.col("decodes")).count() == 0
     rows = [{r.doc_id: r.text for r in df.collect()} for df in (given, *(d for _, d in steps[:-1]))]
-    named = brute_components({d: brute_fingerprint(t) for d, t in sorted(rows[1].items())})
-    assert rows[2] == {d: rows[1][d] for d in rows[1] if named[d] == d}
+    kept, edited = brute_kept(rows[1])
+    assert rows[2] == {d: rows[1][d] for d in kept} and edited
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert set(rows[3]) == {x[0] for x in brute_contamination(list(rows[2].items()), items) if not x[5]}
     own = pieces.Vocabulary(open(queries.MODEL, "rb").read())
-    assert {r.doc_id: r.n_pieces for r in steps[-1][1].collect()} == {d: len(own.encode(t)) for d, t in rows[4].items()}
+    encoded = {r.doc_id: r.ids for r in steps[-1][1].select("doc_id", "ids").collect()}
+    assert encoded == {d: own.encode(t) for d, t in rows[4].items()} and all(own.decode(i) == rows[4][d] for d, i in encoded.items())
     secret = re.compile(r"token = \"[0-9a-f]{40}\"|password=\w+|AKIA\w{16}|(?<!\d)\d{16}(?!\d)")
     assert all(not set(secret.findall(rows[3][d] or "")) & set(secret.findall(rows[4][d] or "")) for d in rows[4])
     assert {r.doc_id for r in queries.queries() and corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids[5]

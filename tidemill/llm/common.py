@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from tidemill.sources.folders import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def stored(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
@@ -30,13 +21,26 @@ def stored(df: DataFrame, name: str = "table", compression: str = "zstd") -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a table goes to every executor: some 30 MB. Beyond it the same join shuffles.
-BROADCAST_ROWS = 400_000
+def spent(table: DataFrame) -> None:
+    """Removes the files of a stored() table that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    for file in table.inputFiles()[:1]:
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("tidemill-"):
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows and bytes up to which a table goes to every executor. Beyond either the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows, counted, are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its rows, counted, and their bytes, summed, are few enough."""
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    bytes_of = [F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if c in wide]
+    row = sum((F.coalesce(b, F.lit(0)) for b in bytes_of), F.lit(16 * len(df.columns)))
+    held = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if held.n <= BROADCAST_ROWS and held.bytes <= BROADCAST_BYTES else df
 
 
 def lower_ascii(text: Column) -> Column:
@@ -48,8 +52,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
     Labels fall to the smallest neighbour's label, then jump to their label's label, so that rounds grow with the
-    logarithm of a chain's length. Each round is a written table. Null ends and loops are ignored; ids in no edge get
-    no row.
+    logarithm of a chain's length. Each round is a written table; the one before is removed. Both joins are between plain
+    exchanges, which Spark splits where a component or a hub holds much of the rows; what follows is partial sums. Null ends
+    and loops are ignored; ids in no edge get no row.
     """
     edges = edges.select("a", "b").where("a <> b")
     both = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
@@ -57,10 +62,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         fallen = stored(labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was")), "labels")
-        up = fallen.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = stored(fallen.join(up, "component").select("id", F.col("up").alias("component"), (F.col("up") != F.col("was")).alias("moved")), "labels")
+        roots = fallen.select("component").distinct().join(fallen.select(F.col("id").alias("component"), F.col("component").alias("up")), "component")
+        jumped = stored(fallen.join(small(stored(roots, "roots")), "component").select("id", F.col("up").alias("component"), (F.col("up") != F.col("was")).alias("moved")), "labels")
+        spent(labels)
+        spent(fallen)
         labels = jumped.select("id", "component")
         if jumped.where("moved").isEmpty():
+            spent(both)
             return labels
 
 

@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, stored
+from tidemill.sources.folders import shared_folder
+
+from .common import stored
 
 K = 5  # counts up to K are discounted
 ORDER = 2

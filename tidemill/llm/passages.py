@@ -2,7 +2,7 @@
 
 Lines, paragraphs between blank lines and whole texts of at least LEAST words are units, and so are runs of WORDS words that begin at places chosen
 by content (the least shingle of each SPAN in a row): a passage of WORDS + SPAN - 1 words or more holds such a run whole
-wherever it stands, inside other paragraphs too. Units that share a MinHash band are joined, pairs of different units are
+wherever it stands, inside other paragraphs too. Units that share a band are joined, pairs of different units are
 verified by exact Jaccard of their shingles, and all but the first unit of each component are removals.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, least_linked, paired_blocks, small, stored
 
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
-#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999. A run has one band of
-#: 9: equal runs share it always, runs that overlap in their own text seldom; what is edited is left to the paragraphs.
-ROWS, BANDS, RUN_ROWS = 3, 10, 9
-CACHED = 500_000
+#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999. A run of 20 words has 16
+#: shingles, of which one at 0.8 must share 15: its bands are its first and its last 19 words, and pairs that differ in an end word have one in common.
+ROWS, BANDS = 3, 10
+CACHED, CHUNK = 500_000, 1 << 20  # words that a task keeps; bytes of texts that are cut at a time
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 ADD = _r.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -41,31 +41,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Text:
-    """A text's words (lower-cased A-Z), their places in characters, and its shingles."""
+class Chunk:
+    """Texts one after another: their words (lower-cased A-Z), the words' places in characters of their text, shingles.
 
-    def __init__(self, text: str, hashes: WordHashes):
-        raw = text.encode("utf-8", "surrogatepass")
+    Arrays go over all words; shingles[i] begins at word i and is only of use where no text ends within it.
+    """
+
+    def __init__(self, texts: list[str], hashes: WordHashes):
+        raws = [t.encode() for t in texts]
+        raw = b"\n".join(raws) + b"\n"
         data = np.frombuffer(raw, np.uint8)
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        offset = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
         letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.starts, self.ends = letters[starts], letters[ends]
-        self.words = np.array(list(map(hashes.__getitem__, raw.lower().split())), np.uint64)
-        n = len(self.words) - SHINGLE + 1
-        self.shingles = mixed(sum((self.words[k : n + k] * BASE[k] for k in range(SHINGLE)), np.zeros(max(n, 0), np.uint64))) if n > 0 else np.zeros(0, np.uint64)
-        line = np.searchsorted(np.flatnonzero(data == 10), starts)
-        self.breaks = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(starts)]]) if len(starts) else np.zeros(1, np.int64)
-        self.blanks = np.concatenate([[0], np.flatnonzero(np.diff(line) > 1) + 1, [len(starts)]]) if len(starts) else self.breaks
-
+        self.text = np.searchsorted(offset, starts, "right") - 1
+        self.starts, self.ends = (letters[at] - letters[offset][self.text] for at in (starts, ends))
+        self.words = np.fromiter(map(hashes.__getitem__, raw.lower().split()), np.uint64, len(starts))
+        n = max(0, len(starts) - SHINGLE + 1)
+        parts = (self.words[k : n + k] * BASE[k] for k in range(SHINGLE))
+        self.shingles = np.concatenate([mixed(sum(parts, np.zeros(n, np.uint64))), np.zeros(len(starts) - n + 1, np.uint64)])
+        self.line = np.searchsorted(np.flatnonzero(data == 10), starts)
+        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))  # each text's first word
         base = int(BASE[0])
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers(base, len(self.words))[: len(self.words)], dtype=np.uint64)])
-        self.back = np.concatenate([np.ones(1, np.uint64), powers(pow(base, -1, 1 << 64), len(self.words))])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers(base, len(starts))[: len(starts)], dtype=np.uint64)])
+        self.back = powers(pow(base, -1, 1 << 64), len(starts) + 1)
 
     def units(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Names of the words from starts to ends: polynomial hashes, the same wherever the words stand."""
-        return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts]).view(np.int64)
+        first = np.concatenate([np.ones(1, np.uint64), self.back])[starts]
+        return mixed((self.sums[ends] - self.sums[starts]) * first).view(np.int64)
+
+    def bands(self, starts: np.ndarray, ends: np.ndarray, multiply: np.ndarray, add: np.ndarray, rows: int) -> np.ndarray:
+        """(n, bands): MinHashes, rows of them each, of the shingles within words from starts to ends, SHINGLE words at least."""
+        if not len(starts):
+            return np.zeros((0, len(multiply) // rows), np.int64)
+        at = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
+        return signatures([np.minimum.reduceat((self.shingles * m + a) >> np.uint64(32), at)[::2] for m, a in zip(multiply, add, strict=True)], rows)
 
 
 POWERS: dict[int, np.ndarray] = {}
@@ -89,37 +102,50 @@ def signatures(mins: list[np.ndarray], rows: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def places(shingles: np.ndarray) -> np.ndarray:
-    """Where a shingle is the least of some SPAN in a row, by doubling; of fewer, the least one's place."""
-    n = len(shingles)
-    if n < SPAN:
-        return np.array([int(shingles.argmin())])
-    low, step = shingles, 1
-    while step < SPAN:
-        low, step = np.minimum(low[: len(low) - step], low[step:]), step * 2
-    high, step = np.concatenate([np.zeros(SPAN - 1, np.uint64), low, np.zeros(SPAN - 1, np.uint64)]), 1
+def places(chunk: Chunk) -> np.ndarray:
+    """Words at which runs begin: of each SPAN shingles in a row that begin whole runs the least, the last of equals; of fewer, the least."""
+    fits = chunk.bounds[1:] - chunk.bounds[:-1] - WORDS + 1  # places in each text
+    low, at, step = chunk.shingles, np.arange(len(chunk.shingles)), 1
     while step < SPAN:
-        high, step = np.maximum(high[: len(high) - step], high[step:]), step * 2
-    return np.flatnonzero(high == shingles)
-
-
-def units_of(text: str, hashes: WordHashes) -> list[tuple[np.ndarray, ...]]:
-    """Arrays (first character, character after the last, unit, (n, bands)) of a text's paragraphs and of its runs."""
-    t = Text(text, hashes)
-    n, out = len(t.shingles), []
-    if n == 0 or len(t.words) < LEAST:
-        return out
-    cut = {(int(a), int(b)) for breaks in (t.breaks, t.blanks, (0, len(t.words))) for a, b in zip(breaks, breaks[1:], strict=False) if b - a >= LEAST}
-    lines = np.array(sorted(cut), np.int64).reshape(-1, 2)
-    values = [(t.shingles * MULTIPLY[k] + ADD[k]) >> np.uint64(32) for k in range(ROWS * BANDS if len(lines) else RUN_ROWS)]
-    if len(lines):
-        bands = signatures([np.array([v[a : b - SHINGLE + 1].min() for a, b in lines]) for v in values], ROWS)
-        out.append((t.starts[lines[:, 0]], t.ends[lines[:, 1] - 1], t.units(lines[:, 0], lines[:, 1]), bands))
-    first = places(t.shingles[: len(t.words) - WORDS + 1])  # only where a whole run fits
-    if len(first):
-        at = first[:, None] + np.arange(WORDS - SHINGLE + 1)
-        out.append((t.starts[first], t.ends[first + WORDS - 1], t.units(first, first + WORDS), signatures([v[at].min(axis=1) for v in values[:RUN_ROWS]], RUN_ROWS)))
-    return out
+        if len(low) <= step:
+            low, at = low[:0], at[:0]
+            break
+        right = low[step:] <= low[:-step]
+        low, at, step = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step]), step * 2
+    own = chunk.text[: len(at)]
+    whole = np.arange(len(own)) - chunk.bounds[own] + SPAN <= fits[own]
+    few = [chunk.bounds[t] + f - 1 - int(chunk.shingles[chunk.bounds[t] : chunk.bounds[t] + f][::-1].argmin()) for t, f in enumerate(fits) if 0 < f < SPAN]
+    return np.unique(np.concatenate([at[: len(own)][whole], np.array(few, np.int64)]))
+
+
+def units_of(chunk: Chunk) -> list[tuple[np.ndarray, ...]]:
+    """Arrays (first word, word after the last, unit, (n, bands)) of a chunk's paragraphs and of its runs."""
+    n = len(chunk.words)
+    new = np.diff(chunk.line)
+    marks = (np.flatnonzero(new) + 1, np.flatnonzero(new > 1) + 1, chunk.bounds[:0])
+    keys = []
+    for mark in marks:
+        cut = np.unique(np.concatenate([mark, chunk.bounds]))
+        long = np.diff(cut) >= LEAST
+        keys.append(cut[:-1][long] * (n + 1) + cut[1:][long])
+    first, last = np.divmod(np.unique(np.concatenate(keys)), n + 1)
+    at = places(chunk)
+    head, tail = chunk.units(at, at + WORDS - 1), chunk.units(at + 1, at + WORDS)
+    ends = np.stack([mixed(head.view(np.uint64)), mixed(tail.view(np.uint64) + np.uint64(1))], axis=1).view(np.int64)
+    return [(first, last, chunk.units(first, last), chunk.bands(first, last, MULTIPLY, ADD, ROWS)), (at, at + WORDS, chunk.units(at, at + WORDS), ends)]
+
+
+def chunks(texts: list[str | None], size: int = CHUNK):
+    """(place of the first, texts) of texts in a row, of some size in all."""
+    at, held, total = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text or "")
+        total += len(held[-1])
+        if total >= size:
+            yield at, held
+            at, held, total = i + 1, [], 0
+    if held:
+        yield at, held
 
 
 def units(documents: DataFrame) -> DataFrame:
@@ -127,38 +153,31 @@ def units(documents: DataFrame) -> DataFrame:
 
     def cut(batches):
         hashes = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = [(d, u) for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for u in units_of(x.as_py() or "", hashes)]
-                if found:
-                    ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(u[2]) for _, u in found])
-                    starts, ends, names = (np.concatenate([u[k] for _, u in found]) for k in range(3))
-                    sizes = np.concatenate([np.full(len(u[2]), u[3].shape[1]) for _, u in found])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([u[3].ravel() for _, u in found])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(names), lists], ["doc_id", "start", "until", "unit", "bands"])
+        for batch in batches:
+            for at, texts in chunks(batch.column(1).to_pylist()):
+                chunk = Chunk(texts, hashes)
+                for first, last, names, bands in units_of(chunk) if len(chunk.words) else ():
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
+                    values = [pa.array(x.astype(np.int32)) for x in (chunk.starts[first], chunk.ends[last - 1])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + chunk.text[first])), *values, pa.array(names), lists], ["doc_id", "start", "until", "unit", "bands"])
 
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, "doc_id long, start int, until int, unit long, bands array<long>")
+    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, f"doc_id {dict(documents.dtypes)['doc_id']}, start int, until int, unit long, bands array<long>")
 
 
 def shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(unit, shingles array<long>) of the wanted units (unit, doc_id, start, until)."""
     listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "start", "until")).alias("wanted"))
-    texts = documents.select("doc_id", "text").join(listed, "doc_id")
+    texts = documents.select("doc_id", "text").join(small(stored(listed, "wanted")), "doc_id")
 
     def of(batches):
         hashes = WordHashes()
         for batch in batches:
-            names, sets = [], []
-            for x, wants in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                t = Text(x.as_py(), hashes)
-                first = np.searchsorted(t.starts, [w["start"] for w in wants])
-                last = np.minimum(np.searchsorted(t.ends, [w["until"] for w in wants]) + 1, len(t.words))
-                for w, a, b, name in zip(wants, first, last, t.units(np.minimum(first, last), last), strict=True):
-                    if name == w["unit"]:
-                        names.append(w["unit"])
-                        sets.append(np.unique(t.shingles[a : b - SHINGLE + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
+            found = [(w["unit"], x[w["start"] : w["until"]]) for x, ws in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for w in ws if x]
+            for at, texts in chunks([t for _, t in found]):
+                chunk = Chunk(texts, hashes)
+                names = chunk.units(chunk.bounds[:-1], chunk.bounds[1:])
+                own = [(u, np.unique(chunk.shingles[a : b - SHINGLE + 1]).view(np.int64)) for (u, _), name, a, b in zip(found[at : at + len(texts)], names, chunk.bounds, chunk.bounds[1:], strict=False) if name == u]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in own], pa.int64()), pa.array([x for _, x in own], pa.list_(pa.int64()))], ["unit", "shingles"])
 
     return texts.mapInArrow(of, "unit long, shingles array<long>").dropDuplicates(["unit"])
 
@@ -223,9 +242,10 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     bands = table.select("unit", F.explode("bands").alias("band"))
     members = candidates(bands)
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
-    every = table.select("doc_id", "start", "until", "unit").join(again.union(members.select("unit")).distinct(), "unit")
-    every = stored(every, "repeated")
-    wanted = every.join(members.select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "at.*")
+    linked = small(stored(members.select("unit").distinct(), "linked"))
+    repeated = small(stored(again.union(linked).distinct(), "repeated"))  # a table of its own, so that a join with a unit that a third of the texts hold can be split
+    every = stored(table.select("doc_id", "start", "until", "unit").join(repeated, "unit"), "every")
+    wanted = every.join(linked, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "at.*")
     sets = stored(shingles(documents, wanted), "shingles")
 
     named = connected_components(verified(members, sets, least))
