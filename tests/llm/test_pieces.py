@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from sentencepiece import SentencePieceProcessor
 
 from tidemill.llm import pieces
@@ -71,6 +72,18 @@ def test_equals_the_librarys_viterbi(spark):
 def test_whole_table_round_trips(spark):
     got = op3_pieces(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(x.decodes and x.n_unknown == 0 and x.n_pieces > 0 for x in got)
+    own, texts = pieces.Vocabulary(RAW), {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(own.decode(x.ids) == texts[x.doc_id] and len(x.ids) == x.n_pieces for x in got)
+
+
+def test_files_are_told_apart_by_what_they_hold(spark, tmp_path):
+    (tmp_path / "piece_bpe_32k.model").write_bytes(as_unigram(RAW))
+    docs = spark.createDataFrame([(1, "such a text")], "doc_id long, text string")
+    a, b = pieces.encoded(docs, MODEL).first().ids, pieces.encoded(docs, str(tmp_path / "piece_bpe_32k.model")).first().ids
+    assert a == b  # the same pieces and scores, sent as a file of its own
+    (tmp_path / "x.model").write_bytes(b"no model")
+    with pytest.raises(Exception):  # noqa: B017
+        pieces.encoded(docs, str(tmp_path / "x.model"))
 
 
 def test_edges(spark):

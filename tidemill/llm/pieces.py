@@ -7,13 +7,13 @@ a text falls apart exactly before each run of it, and a task encodes a repeated
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
@@ -27,6 +27,9 @@ class Vocabulary:
 
     def __init__(self, model: bytes):
         file = SentencePieceProcessor(model_proto=model)
+        probe = "ＡＢ ①  é\u0301 a b "
+        if file.normalize(probe) != SPACE + probe.replace(" ", SPACE) or file.normalize("a") != f"{SPACE}a":
+            raise ValueError("this file's texts are normalised or get no space in front; only files that keep texts as they are can be used")
         self.pieces = [file.id_to_piece(i) for i in range(file.get_piece_size())]
         self.unknown, self.automaton, letters, scores, own = file.unk_id(), ahocorasick.Automaton(), set(), [], []
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if file.is_byte(i)}
@@ -116,17 +119,20 @@ class Vocabulary:
 _loaded: dict[str, Vocabulary] = {}
 
 
-def vocabulary(name: str) -> Vocabulary:
-    """The vocabulary of a file sent with addFile, once in each Python worker."""
-    if name not in _loaded:
-        with open(SparkFiles.get(name), "rb") as file:
-            _loaded[name] = Vocabulary(file.read())
-    return _loaded[name]
+def vocabulary(sent) -> Vocabulary:
+    """The vocabulary of a broadcast (digest, file), once for each file in each Python worker."""
+    digest, file = sent.value
+    if digest not in _loaded:
+        _loaded[digest] = Vocabulary(file)
+    return _loaded[digest]
 
 
-def _sent(documents: DataFrame, model: str) -> str:
-    documents.sparkSession.sparkContext.addFile(model)
-    return model.rsplit("/", 1)[-1]
+def _sent(documents: DataFrame, model: str):
+    """The model file, some MB at most, as a broadcast."""
+    with open(model, "rb") as file:
+        held = file.read()
+    Vocabulary(held)  # an error for a file that can't be used comes here and not from a task
+    return documents.sparkSession.sparkContext.broadcast((hashlib.sha256(held).hexdigest(), held))
 
 
 def encoded(documents: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
@@ -160,30 +166,28 @@ def decoded(ids: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
 
 
 def round_trips(documents: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
-    """key, n_pieces, ids_sha256 (of the ids as 32-bit numbers, little end first), n_bytes (ids that are single bytes), n_unknown, decodes.
+    """key, ids array<int>, n_pieces, ids_sha256 (of the ids as 32-bit numbers, little end first), n_bytes (ids that are single bytes), n_unknown, decodes.
 
     One pass encodes each whole text, decodes the ids again and compares. decodes is false only where a text holds U+2581
     itself, which the format doesn't tell from a space. Null and empty texts have no pieces and decode. Every row gives
     a row; only key and text are read.
     """
-    import hashlib
-
     name, kind = _sent(documents, model), dict(documents.dtypes)[key]
 
     def of(batches):
         words = vocabulary(name)
         is_byte = np.zeros(len(words.pieces), bool)
         is_byte[list(words.bytes.values())] = True
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            columns: list[list] = [[], [], [], [], [], []]
             for x in batch.column(1):
                 text = x.as_py() or ""
                 packed = words.packed(text)
                 ids = np.frombuffer(packed, "<i4")
-                row = (len(ids), hashlib.sha256(packed).hexdigest(), int(is_byte[ids].sum()), int((ids == words.unknown).sum()), words.decode(ids.tolist()) == text)
+                row = (ids, len(ids), hashlib.sha256(packed).hexdigest(), int(is_byte[ids].sum()), int((ids == words.unknown).sum()), words.decode(ids.tolist()) == text)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, "n_pieces", "ids_sha256", "n_bytes", "n_unknown", "decodes"])
+            kinds = [pa.list_(pa.int32()), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, "ids", "n_pieces", "ids_sha256", "n_bytes", "n_unknown", "decodes"])
 
-    return documents.select(key, "text").mapInArrow(of, f"{key} {kind}, n_pieces long, ids_sha256 string, n_bytes long, n_unknown long, decodes boolean")
+    return documents.select(key, "text").mapInArrow(of, f"{key} {kind}, ids array<int>, n_pieces long, ids_sha256 string, n_bytes long, n_unknown long, decodes boolean")
