@@ -55,3 +55,10 @@ def test_blocks_copies_and_edges(spark, monkeypatch):
     twice = embeddings.near_duplicates(df.where("vec_id = 0").union(df.where("vec_id = 0"))).collect()
     assert [tuple(x) for x in twice] == [(0, 1, 0, True)] * 2
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat_keep_their_labels_apart(spark):
+    near = [1.0, 0.01, 0.0]
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.0, 0.0], 2), (6, near, 1), (7, near, 2), (None, [0.0, 1.0, 0.0], 3), (None, [0.01, 1.0, 0.0], 3)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == sorted([(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (None, 1, None), (None, 1, None)], key=repr)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, least_linked, paired_blocks, stored
+from .common import connected_components, least_linked, paired_blocks, small, stored
 
 #: 28 tables of 18 bits: a pair at cosine 0.98 differs in a bit with probability 0.0638, shares a table with 1 - (1 - 0.305)^28 > 0.9999.
 TABLES, BITS, SEED, LEAST = 28, 18, 7, 0.98
@@ -37,9 +37,12 @@ def usable(vector):
 
 
 def classes(embeddings: DataFrame) -> DataFrame:
-    """(class_id, label, vector array<double>, n): distinct comparable vectors of a label; class_id is the smallest vec_id."""
+    """(key, class_id, label, vector array<double>, n): distinct comparable vectors of a label; class_id is the smallest vec_id.
+
+    key is unique, as class_id need not be: rows of one vec_id can have several labels or vectors. It holds once it is stored.
+    """
     rows = embeddings.where(usable(F.col("embedding")) & F.col("label").isNotNull()).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("vector"))
-    return rows.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
+    return rows.groupBy("label", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id())
 
 
 def signed(found: DataFrame, tables: int, bits: int) -> DataFrame:
@@ -54,12 +57,12 @@ def signed(found: DataFrame, tables: int, bits: int) -> DataFrame:
                     yield part.assign(dims=d, signs=list(signatures(np.stack(part["vector"].to_numpy()), tables, bits)))
 
     kinds = dict(found.dtypes)
-    columns = ["class_id", "label", "vector", "n"]
+    columns = ["key", "class_id", "label", "vector", "n"]
     return found.select(columns).mapInPandas(hashed, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", dims int, signs array<long>")
 
 
 def compared(table: int, block: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links of one pair of blocks in one bucket: for each class its number of linked vectors, and the least linked class_id.
+    """Links of one pair of blocks in one bucket: for each class its number of linked vectors, and the least linked key.
 
     A pair counts only in the first table whose bucket it shares. The other column names the smallest class that a class
     hangs together with in this pair of blocks.
@@ -68,7 +71,7 @@ def compared(table: int, block: pd.DataFrame, least: float) -> pd.DataFrame:
     vectors = np.stack(block["vector"].to_numpy())
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    signs, ids, n = np.stack(block["signs"].to_numpy()), block["class_id"].to_numpy(), block["n"].to_numpy()
+    signs, ids, n = np.stack(block["signs"].to_numpy()), block["key"].to_numpy(), block["n"].to_numpy()
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     near = vectors[one] @ vectors[two].T >= least
     near &= ids[one][:, None] != ids[two][None]
@@ -80,7 +83,7 @@ def compared(table: int, block: pd.DataFrame, least: float) -> pd.DataFrame:
         np.add.at(links, two, near.T @ n[one])
     least_id = least_linked(near, one, two, ids)
     told = np.flatnonzero(links)
-    return pd.DataFrame({"class_id": ids[told], "other": least_id[told], "links": links[told]})
+    return pd.DataFrame({"key": ids[told], "other": least_id[told], "links": links[told]})
 
 
 def near_duplicates(embeddings: DataFrame, least: float = LEAST, tables: int = TABLES, bits: int = BITS) -> DataFrame:
@@ -94,19 +97,20 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, tables: int = T
     rows = embeddings.select("vec_id", "embedding", "label")
     found = stored(signed(classes(rows), tables, bits), "classes")
     where = ["label", "dims", "table_id", "bucket"]
-    many = found.select("class_id", "label", "dims", F.posexplode("signs").alias("table_id", "bucket"))
-    spread = paired_blocks(many, where, "class_id", BLOCK).join(found.select("class_id", "vector", "signs", "n"), "class_id")
+    many = found.select("key", "label", "dims", F.posexplode("signs").alias("table_id", "bucket"))
+    spread = paired_blocks(many, where, "key", BLOCK).join(found.select("key", "vector", "signs", "n"), "key")
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [compared(int(block["table_id"].iloc[0]), block, least) for _, block in frame.groupby("group", sort=False)]
         return pd.concat(parts, ignore_index=True)
 
-    told = spread.groupBy("bin").applyInPandas(links, "class_id long, other long, links long")
+    told = spread.groupBy("bin").applyInPandas(links, "key long, other long, links long")
     told = stored(told, "links")
-    counts = told.groupBy("class_id").agg(F.sum("links").alias("links"))
-    named = connected_components(told.select(F.col("class_id").alias("a"), F.col("other").alias("b")))
-    known = found.join(counts, "class_id", "left").join(named.withColumnRenamed("id", "class_id"), "class_id", "left")
-    known = stored(known.select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")), "known")
+    counts = told.groupBy("key").agg(F.sum("links").alias("links"))
+    named = connected_components(told.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "key")
+    known = found.drop("signs").join(counts, "key", "left").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = small(stored(known.groupBy("component").agg(F.min("class_id").alias("component_id")), "components"))
+    known = stored(known.join(first, "component").select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "known")
     vector = F.when(usable(F.col("embedding")) & F.col("label").isNotNull(), F.transform("embedding", lambda x: x.cast("double") + 0.0))
     keyed = rows.select("vec_id", "label", vector.alias("vector"))
     single = keyed.where(F.col("vector").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
