@@ -53,13 +53,14 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> Windows:
 
 
 def index(documents: DataFrame, terms: DataFrame) -> Index:
-    """Stores the postings of the given terms in whole texts. The empty term ends each row, at its number of words."""
-    listed = terms.select("term", "term_id").union(terms.sparkSession.createDataFrame([("", -1)], "term string, term_id long"))
-    each = documents.select("doc_id", F.array_append(words(F.col("text")), F.lit("")).alias("words")).withColumn("row_id", F.monotonically_increasing_id())
+    """Stores the postings of the given terms in whole texts. A term of its own (a space and the row_id, which is no word) ends each row."""
+    each = documents.select("doc_id", words(F.col("text")).alias("words")).withColumn("row_id", F.monotonically_increasing_id())
+    each = each.withColumn("words", F.array_append("words", F.concat(F.lit(" "), F.col("row_id"))))
     each = each.select("row_id", "doc_id", F.posexplode("words").alias("pos", "term"))
-    postings = each.join(small(listed), "term").select("term_id", "row_id", "pos", F.when(F.col("term_id") < 0, F.col("doc_id")).alias("doc_id"))
-    postings = stored(postings, "postings")
-    return Index(postings.where("term_id >= 0").select("term_id", "row_id", "pos"), postings.where("term_id < 0").select("row_id", "doc_id", F.col("pos").cast("long").alias("n_words")))
+    end = F.col("term").startswith(" ")
+    postings = each.join(small(terms.select("term", "term_id")), "term", "left").where(F.col("term_id").isNotNull() | end)
+    postings = stored(postings.select("term_id", "row_id", "pos", F.when(end, F.col("doc_id")).alias("doc_id")), "postings")
+    return Index(postings.where("term_id IS NOT NULL").select("term_id", "row_id", "pos"), postings.where("term_id IS NULL").select("row_id", "doc_id", F.col("pos").cast("long").alias("n_words")))
 
 
 def matches(found: Index, wanted: Windows, slack: int = 0) -> DataFrame:
@@ -68,7 +69,7 @@ def matches(found: Index, wanted: Windows, slack: int = 0) -> DataFrame:
     With slack 0 every term stands exactly at its offset: the phrase. Otherwise (proximity) the rarest term fixes the start
     and each other term stands at most slack words from its place.
     """
-    counts = found.postings.groupBy("term_id").agg(F.count("*").alias("n_postings"))
+    counts = small(stored(found.postings.groupBy("term_id").agg(F.count("*").alias("n_postings")), "counts"))  # a table, so that the join with a term of many windows can be split
     rank = F.row_number().over(Window.partitionBy("window_id").orderBy("n_postings", "off"))
     ranked = wanted.at.join(counts, "term_id", "left").join(wanted.sizes, "window_id")
     ranked = ranked.withColumn("absent", F.max(F.col("n_postings").isNull()).over(Window.partitionBy("window_id")))
