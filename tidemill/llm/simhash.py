@@ -44,7 +44,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return documents.select("doc_id", "text").mapInArrow(of, f"doc_id {dict(documents.dtypes)['doc_id']}, fp long")
 
 
 def ball(radius: int) -> list[int]:
@@ -60,7 +60,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     radius is needed for the half radius to be exact; an odd one is halved upwards and the links are verified.
     """
     half = (radius + 1) // 2
-    variants = prints.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in ball(half)])).alias("variant"))
+    variants = prints.repartition("fp").select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in ball(half)])).alias("variant"))
     buckets = variants.groupBy("variant").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
     if radius == 2 * half:
         pairs = buckets.select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
