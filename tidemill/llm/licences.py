@@ -37,10 +37,15 @@ TEMPLATES = [
 ]
 
 
-def shingled(of: Column) -> Column:
-    """Distinct hashes of five-word shingles; of fewer words: the whole sequence."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(of) - SHINGLE + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(of, i, SHINGLE), " "))))
+def shingled(of: Column, size: Column) -> Column:
+    """Distinct hashes of shingles of size words; of fewer words: the whole sequence."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(of) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(of, i, size), " "))))
+
+
+def shingle_size(n: Column) -> Column:
+    """Five words; a template of fewer is one shingle."""
+    return F.least(n, F.lit(SHINGLE))
 
 
 def bands(shingles: Column) -> Column:
@@ -52,13 +57,13 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
 
 
-def marks(text: str) -> set[str]:
-    """Words, the longest first, that stand in over a fifth of the template's shingles: what holds four fifths of the shingles has one."""
+def marks(text: str, contained: float = CONTAINED) -> set[str]:
+    """Words, the longest first, that stand in so many of the template's shingles that what holds a share of contained has one."""
     w = tokens(text)
     parts = [set(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
     found: set[str] = set()
     for word, _ in sorted(Counter(w).items(), key=lambda x: (-len(x[0]), x[0])):
-        if sum(bool(found & p) for p in parts) > (1 - CONTAINED) * len(parts):
+        if sum(bool(found & p) for p in parts) > (1 - contained) * len(parts) + 1e-9:
             return found
         found.add(word)
     return found
@@ -77,10 +82,10 @@ def scanned(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         return documents.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows")).limit(0)
     spark: SparkSession = documents.sparkSession
     known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string").withColumn("words", words(F.col("text")))
-    known = known.select("template", "license", F.size("words").alias("n"), shingled(F.col("words")).alias("wanted"))
+    known = known.select("template", "license", F.size("words").alias("n"), shingled(F.col("words"), shingle_size(F.size("words"))).alias("wanted"))
     by_size: dict[int, set[str]] = {}
     for _, text in templates:
-        by_size.setdefault(len(tokens(text)), set()).update(marks(text))
+        by_size.setdefault(len(tokens(text)), set()).update(marks(text, contained))
     kinds = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(-(-n // 4)).alias("stride"), F.array(*map(F.lit, sorted(m))).alias("marks")) for n, m in sorted(by_size.items())))
     any_mark = "|".join(sorted(set().union(*by_size.values())))
     held = documents.select("doc_id", lower_ascii(F.col("text")).alias("text")).where(F.col("text").rlike(f"(?<![0-9a-z])(?:{any_mark})(?![0-9a-z])"))
@@ -88,7 +93,7 @@ def scanned(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     held = held.select("doc_id", "words", F.explode(F.filter(kinds, lambda k: F.arrays_overlap("words", k["marks"]))).alias("kind")).select("doc_id", "words", "kind.*")
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.col("stride"))
     cut = held.select("doc_id", "n", "marks", F.explode(F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.slice("words", s + 1, F.col("n") + F.col("stride")).alias("window")))).alias("at"))
-    cut = cut.where(F.arrays_overlap("at.window", "marks")).select("doc_id", "n", "at.first_word", shingled(F.col("at.window")).alias("shingles"))
+    cut = cut.where(F.arrays_overlap("at.window", "marks")).select("doc_id", "n", "at.first_word", shingled(F.col("at.window"), shingle_size(F.col("n"))).alias("shingles"))
     cut = stored(cut, "windows")
     hashed = cut.select("doc_id", "n", "first_word", "shingles", F.inline(bands(F.col("shingles"))))
     sought = known.select("template", "license", "n", "wanted", F.inline(bands(F.col("wanted"))))
