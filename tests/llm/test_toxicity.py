@@ -1,10 +1,8 @@
 """Operator 1: restored words, held-out accuracy, and edge cases."""
 
-import os
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from tidemill.llm import toxicity
 from tidemill.llm.queries import op1_toxicity
@@ -28,15 +26,61 @@ def test_words_are_restored():
     assert reader.words(None) == set() == reader.words("")
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="needs the larger tables")
+def paths(word):
+    """All readings of a short word with their channel costs, one letter or sign at a time."""
+    out, last = [([], 0.0)], ""
+    for c in word:
+        options = [(toxicity.letter(c), c, 0.0)] if c.isalpha() else toxicity.readings(c)
+        apart, again = c in toxicity.APART, c == last and c not in toxicity.APART
+        after = [([*p, (k, x)], t + more) for p, t in out for k, x, more in options]
+        after += [(p, t + (toxicity.JOINED if apart else toxicity.AGAIN)) for p, t in out if again or apart]
+        after += [([*p, (toxicity.END, " ")], t + toxicity.SPLIT) for p, t in out if apart]
+        out, last = after, c
+    return out
+
+
+def cost_of(path, channel, language):
+    """The channel's cost and the language's: words end and begin anew at a split; signs that stay cost only what the channel says."""
+    a = b = toxicity.END
+    total = channel
+    for k, x in path:
+        if k == toxicity.END:
+            total += language.costs[a][b][k] if b != toxicity.END else 0.0
+            a = b = toxicity.END
+            continue
+        total += language.costs[a][b][k] if k != toxicity.OTHER or x.isalpha() else 0.0
+        a, b = b, k
+    return total + (language.costs[a][b][toxicity.END] if b != toxicity.END else 0.0)
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    language = model_of(["you are such an idiot and a loser with the worthless trash of a pathetic clown in that stupid house"] * 50)
+    for word in ("1d10t", "*diot", "idio*", "l0s3r", "st.u", "stuuu", "i-d.i", "tr@$h", "7h3", "||d|", "(1own", "a1!", "bb8b"):
+        got = toxicity.restore(word, language)
+        every = [(cost_of(p, t, language), "".join(x for _, x in p)) for p, t in paths(word)]
+        least = min(every)[0]
+        assert any(abs(t - least) < 1e-9 and text == got for t, text in every), (word, got, min(every))
+
+
+def test_signs_at_a_words_ends_can_be_letters():
+    language = model_of(["you are such an idiot and a loser with the worthless trash of a pathetic clown in that stupid house"] * 50)
+    reader = toxicity.Reader(language)
+    for hidden, word in (("*diot", "idiot"), ("|diot", "idiot"), ("idio*", "idiot"), ("(lown", "clown"), ("**idiot**", "idiot"), ("idiot!!!", "idiot"), ("$tupid", "stupid"), ("+rash", "trash")):
+        assert word in {toxicity.squeezed(w) for w in reader.words(f"the {hidden} of")}, hidden
+
+
 def test_held_out_documents(spark):
-    sf = "/root/testdata/check_s"
-    ids = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id < 9000")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 9000 and n_chars < 4000")
-    got = toxicity.scores(docs, ids).where("held_out").join(ids, "doc_id").select("toxic", "predicted").toPandas()
-    hit = (got.toxic == 1) & (got.predicted == 1)
-    assert hit.sum() / (got.toxic == 1).sum() > 0.85
-    assert hit.sum() / (got.predicted == 1).sum() > 0.95
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.scores(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    got = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "predicted", "score").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    assert len(bad) and (good.predicted == 0).mean() > 0.95 and bad.score.mean() > good.score.mean() + 0.3
+
+
+def test_a_column_of_the_scores_name_is_replaced(spark):
+    d = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, score string")
+    got = toxicity.scored(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), "score")
+    assert got.columns == ["doc_id", "text", "score"] and got.first().score != "old"
 
 
 def test_edges(spark):

@@ -37,6 +37,8 @@ Z = 3.0  # deviations by which a part's share of toxic documents is lowered
 CACHED = 1_000_000  # words whose weight a task keeps, some 100 bytes each
 #: Signs around a word that decorate it: those that stand for no letter at an end, and others more than once.
 DECORATION = re.compile(r"""^(?:[.,;:?"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@!+0-9])\1+)+|(?:[.,;:?!"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@+])\2+)+$""")
+#: Signs around a word that stand for no letter.
+PLAIN = re.compile(r"""^[.,;:?"')\[\]}…«»“”‘’¿¡=^~_>&\-]+|[.,;:?"')\[\]}…«»“”‘’¿¡=^~_>&\-]+$""")
 TRIPLE = re.compile(r"(.)\1\1")
 REPEATED = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S(?!\S)){2,}")
@@ -141,10 +143,17 @@ class Reader:
         self.language = language
 
     def of(self, word: str) -> list[str]:
-        bare = word if word.isalpha() else DECORATION.sub("", word)
-        if bare.isalpha() and not ambiguous(bare):
-            return [bare]
-        return restore(bare, self.language).split() if ambiguous(bare) else []
+        """Readings without the signs at the word's ends, and with those that may stand for letters."""
+        if word.isalpha():
+            return self.read(word)
+        bare, edged = DECORATION.sub("", word), PLAIN.sub("", word)
+        found = self.read(bare)
+        return found if edged == bare else [*found, *(w for w in self.read(edged) if w not in found)]
+
+    def read(self, bare: str) -> list[str]:
+        if not ambiguous(bare):
+            return [bare] if bare.isalpha() else []
+        return restore(bare, self.language).split()
 
     def spaced(self, low: str) -> list[str]:
         """Readings of runs of single letters."""
@@ -274,12 +283,13 @@ def scored(documents: DataFrame, labels: DataFrame, column: str, folds: int = 5,
     labels' mean, or 0. A null doc_id counts as an empty one. documents needs doc_id and
     text; its other columns pass.
     """
-    spark = documents.sparkSession
+    documents, spark = documents.drop(column), documents.sparkSession  # a column of the score's name is replaced
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id")
     chosen = known.select("doc_id", "toxic", rank.alias("rank")).orderBy("rank", "doc_id").limit(sample)
-    chosen = stored(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(64, "doc_id"), "labelled")
+    once = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of repeated rows one
+    chosen = stored(once.repartition(64, F.xxhash64("text")), "labelled")
     model = language(documents)
     sent = spark.sparkContext.broadcast(model.costs)
 
