@@ -179,15 +179,15 @@ def test_passages_find_all_similar_paragraphs_and_no_others(spark):
         assert not left
 
 
-def test_runs_that_differ_in_an_end_word_are_linked(spark):
+def test_every_shared_passage_of_51_words_is_found(spark):
     r = random.Random(9)
-    pick = lambda n: ["".join(r.choices("abcdefghijklm", k=8)) for _ in range(n)]
+    pick = lambda n: ["".join(r.choices("abcdefghijklm", k=r.randint(2, 8))) for _ in range(n)]
     rows = []
-    for i in range(60):
-        run = pick(20)
-        rows += [(2 * i, " ".join(run)), (2 * i + 1, " ".join([*run[:19], *pick(1)] if i % 2 else [*pick(1), *run[1:]]))]
+    for i in range(80):
+        passage = pick(51)
+        rows += [(2 * i + k, " ".join([*pick(r.randint(0, 40)), *passage, *pick(r.randint(0, 40))])) for k in (0, 1)]
     got = {x.doc_id: x for x in passages.removals(docs(spark, rows)).collect()}
-    assert all(got[2 * i + 1].class_id == 2 * i and got[2 * i + 1].n_removed for i in range(60))
+    assert all(got[2 * i + 1].class_id == 2 * i and got[2 * i + 1].n_removed and not got[2 * i].n_removed for i in range(80))
 
 
 # --- 10

@@ -2,8 +2,9 @@
 
 Lines, paragraphs between blank lines and whole texts of at least LEAST words are units, and so are runs of WORDS words that begin at places chosen
 by content (the least shingle of each SPAN in a row): a passage of WORDS + SPAN - 1 words or more holds such a run whole
-wherever it stands, inside other paragraphs too. Units that share a band are joined, pairs of different units are
-verified by exact Jaccard of their shingles, and all but the first unit of each component are removals.
+wherever it stands, inside other paragraphs too. Paragraphs that share a MinHash band are joined and pairs of different ones
+verified by exact Jaccard of their shingles; runs are compared for equality, as two runs of 20 words reach 0.8 only if they
+share 19 words in a row. All but the first unit of each component are removals.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, least_linked, paired_blocks, small, stored
 
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
-#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999. A run of 20 words has 16
-#: shingles, of which one at 0.8 must share 15: its bands are its first and its last 19 words, and pairs that differ in an end word have one in common.
+#: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999.
 ROWS, BANDS = 3, 10
 CACHED, CHUNK = 500_000, 1 << 20  # words that a task keeps; bytes of texts that are cut at a time
 _r = np.random.default_rng(11)
@@ -119,7 +119,7 @@ def places(chunk: Chunk) -> np.ndarray:
 
 
 def units_of(chunk: Chunk) -> list[tuple[np.ndarray, ...]]:
-    """Arrays (first word, word after the last, unit, (n, bands)) of a chunk's paragraphs and of its runs."""
+    """Arrays (first word, word after the last, unit, (n, bands)) of a chunk's paragraphs and of its runs, which have no bands."""
     n = len(chunk.words)
     new = np.diff(chunk.line)
     marks = (np.flatnonzero(new) + 1, np.flatnonzero(new > 1) + 1, chunk.bounds[:0])
@@ -130,9 +130,7 @@ def units_of(chunk: Chunk) -> list[tuple[np.ndarray, ...]]:
         keys.append(cut[:-1][long] * (n + 1) + cut[1:][long])
     first, last = np.divmod(np.unique(np.concatenate(keys)), n + 1)
     at = places(chunk)
-    head, tail = chunk.units(at, at + WORDS - 1), chunk.units(at + 1, at + WORDS)
-    ends = np.stack([mixed(head.view(np.uint64)), mixed(tail.view(np.uint64) + np.uint64(1))], axis=1).view(np.int64)
-    return [(first, last, chunk.units(first, last), chunk.bands(first, last, MULTIPLY, ADD, ROWS)), (at, at + WORDS, chunk.units(at, at + WORDS), ends)]
+    return [(first, last, chunk.units(first, last), chunk.bands(first, last, MULTIPLY, ADD, ROWS)), (at, at + WORDS, chunk.units(at, at + WORDS), np.zeros((len(at), 0), np.int64))]
 
 
 def chunks(texts: list[str | None], size: int = CHUNK):
@@ -179,7 +177,8 @@ def shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = [(u, np.unique(chunk.shingles[a : b - SHINGLE + 1]).view(np.int64)) for (u, _), name, a, b in zip(found[at : at + len(texts)], names, chunk.bounds, chunk.bounds[1:], strict=False) if name == u]
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in own], pa.int64()), pa.array([x for _, x in own], pa.list_(pa.int64()))], ["unit", "shingles"])
 
-    return texts.mapInArrow(of, "unit long, shingles array<long>").dropDuplicates(["unit"])
+    found = stored(texts.mapInArrow(of, "unit long, shingles array<long>"), "shingles")
+    return found if found.count() == wanted.count() else found.dropDuplicates(["unit"])  # rows that repeat a doc_id repeat its units
 
 
 def similar(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: float) -> np.ndarray:
@@ -246,7 +245,7 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     repeated = small(stored(again.union(linked).distinct(), "repeated"))  # a table of its own, so that a join with a unit that a third of the texts hold can be split
     every = stored(table.select("doc_id", "start", "until", "unit").join(repeated, "unit"), "every")
     wanted = every.join(linked, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "at.*")
-    sets = stored(shingles(documents, wanted), "shingles")
+    sets = shingles(documents, stored(wanted, "wanted"))
 
     named = connected_components(verified(members, sets, least))
     known = every.join(named.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
