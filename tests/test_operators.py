@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.operators import articles as A
-from tidemill.operators import clusters
+from tidemill.operators import clusters, roles
 from tidemill.plans import tables, vocabulary
 from tidemill.plans.queries import QUERIES
 from tidemill.sources import parse, ports, snapshots
@@ -34,7 +34,12 @@ def test_urls(spark):
 
 def test_texts_and_times(spark):
     assert one(spark, texts.composed(F.col("t")), t="ＡＩ​①") == "AI1"
-    assert one(spark, texts.decoded(F.col("t")), t="&amp;lt;") == "&lt;"
+    cases = {"&amp;lt; &#65; &#x41; &#128512;": "< A A \U0001F600", "&#38;#x41; &nbsp;&apos;&#x2F;": "A  '/", "&#1114112; &#xD800; &#;": "&#1114112; &#xD800; &#;", "plain": "plain", "&amp;amp;": "&amp;"}
+    for given, want in cases.items():
+        assert one(spark, texts.decoded(F.col("t")), t=given) == want, given
+    page = "<p>visible\n word</p><script>no</script><style>no</style><template>no</template><!-- no --><br/>and &lt;b&gt;&#12288;more"
+    assert one(spark, texts.html_to_text(F.col("t")), t=page) == "visible word and <b> more"
+    assert one(spark, texts.normalized_title(F.col("t")), t=" A\u200bI &amp;  ＡＩ\u3000x ") == "AI & AI x"
     assert one(spark, F.to_json(texts.sentences(F.col("t"))), t="用AI做。 a.b！\n\n c") == '["用AI做","a.b","c"]'
     assert one(spark, F.to_json(texts.grams(F.col("t"), 2)), t="大模型a模型") == '["大模","模型"]'
     assert one(spark, F.to_json(texts.paragraphs(F.col("t"))), t="a b.\n\nc! d") == '["a b.","c!","d"]'
@@ -91,7 +96,26 @@ def test_front_page_equals_the_sequential_rule(spark):
     a = tables.articles(spark, "/root/testdata/sf0.01").drop("text")
     for least, limit in ((75, 20), (0, 7), (95, 20)):
         some = a.where((F.col("status") == "published") & (F.col("score") >= least))
-        assert {r.article_id: r["rank"] for r in A.front_page(some, limit).collect()} == brute_front_page(some.collect(), limit)
+        assert {r.article_id: r["rank"] for r in A.front_page(some, limit).collect() if r.reason == "selected"} == brute_front_page(some.collect(), limit)
+
+
+def brute_complete_link(records, scored):
+    groups, place = [], {}
+    for article in records:
+        whole = [(sum(scored[article, m] for m in g) / len(g), -i) for i, g in enumerate(groups) if all((article, m) in scored for m in g)]
+        at = -max(whole)[1] if whole else len(groups)
+        groups[at : at + 1] = [[*(groups[at] if whole else []), article]]
+        place[article] = at
+    return {a: groups[g][0] for a, g in place.items() if len(groups[g]) > 1}
+
+
+def test_cluster_keys_are_kept_or_made_of_what_members_share(spark):
+    found = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["x"]), (4, ["y"]), (5, ["z"]), (6, ["z"])], "article_id long, anchors array<string>")
+    of = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "article_id long, cluster_id long")
+    got = {r.article_id: r.cluster_key for r in clusters.shared_key(found, of).collect()}
+    assert got[1] == got[2] != got[5] == got[6] and got[3] == got[4] == "c_3"
+    known = spark.createDataFrame([(2, "old-b"), (1, "old-a")], "article_id long, cluster_key string")
+    assert {r.article_id: r.cluster_key for r in clusters.shared_key(found, of, known).collect()} == got | {1: "old-a", 2: "old-a"}
 
 
 def test_clusters_equal_the_sequential_rule(spark):
@@ -102,7 +126,7 @@ def test_clusters_equal_the_sequential_rule(spark):
         pairs[b, a] = r.choice([0.3, 0.5, 0.7, 0.9])
     df = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "later long, earlier long, score double")
     got = {x.article_id: x.cluster_id for x in clusters.assigned(df, clusters.connected(df)).collect()}
-    assert got == dict(clusters.complete_link(range(40), pairs))
+    assert got == dict(brute_complete_link(range(40), pairs))
     shuffled = {x.article_id: x.cluster_id for x in clusters.assigned(df.repartition(5), clusters.connected(df.repartition(3))).collect()}
     assert got == shuffled
     assert QUERIES["cluster_assign"](spark, SF).count() >= 0
@@ -151,3 +175,26 @@ def test_settings_pages_and_sources(spark):
 def test_batch_statuses(spark):
     got = {(r.status, r.reason): r.n for r in QUERIES["batch_run"](spark, SF).collect()}
     assert sum(got.values()) > 0 and {s for s, _ in got} <= {"blocked", "pending_review", "published", "draft"}
+
+
+def test_normalize_takes_canonical_urls_and_raw_content(spark):
+    rows = [
+        (1, "T\u200bitle", "https://a.com/x", "body", None, None, "https://b.com/y?utm_source=z&b=2&a-b=3&a=1"), (2, "t", "javascript:alert(1)", "body", None, None, None), (3, "t", "https://a.com/z", " ", "<p>raw</p>", None, None),
+        (4, "t", "https://a.com/w", "", "<p>raw</p>", "missing", None), (5, "t", " ", "b", None, None, None), (6, "\u200b", "https://a.com/v", "b", None, None, None),
+    ]
+    items = spark.createDataFrame(rows, "id int, title string, url string, content string, raw_content string, content_status string, canonical_url string")
+    got = {r.id: r for r in A.normalized(items).collect()}
+    assert [got[i].drop_reason for i in range(1, 7)] == [None, "url_invalid", None, "content", "url_missing", "title"]
+    assert got[1].title == "Title" and got[1].dedup_url == "https://b.com/y?a=1&a-b=3&b=2" and got[3].content == "raw"
+
+
+def test_given_hashes_drop_across_urls(spark):
+    rows = [("u1", "h1", 5, 1), ("u1", "h2", 4, 2), ("u2", "h2", 3, 3), ("u3", "h3", 2, 4), ("u4", "h3", 9, 5), ("u4", "h9", 1, 6)]
+    items = spark.createDataFrame([(u, h, "x" * n, i, "t", "s", u, "editorial", "signal") for u, h, n, i in rows], "dedup_url string, content_hash string, content string, id int, title string, source_name string, url string, origin_policy string, tier string")
+    assert {r.id for r in A.distinct_items(items, "id").collect()} == {1, 3, 5}  # 2 goes behind 1, so 3 stays
+
+
+def test_events(spark):
+    event = roles.recognized(F.col("t"), F.col("c"))
+    got = spark.createDataFrame([("OpenAI launch with Google", "融资 Meta Google"), ("series B", "x"), ("MMLU", "score"), ("AI policy", ""), ("ab", "cd")], "t string, c string").select(event.alias("e")).collect()
+    assert [r.e.kind for r in got] == ["release", "funding", "benchmark", "policy", "other"] and got[0].e.entities == ["Google", "Meta", "OpenAI"] and [r.e.confidence for r in got][-1] == 0.25

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Characters that count as white space beside ASCII's.
 SPACES = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&apos;", "'")]
 
 
 def trimmed(text: Column) -> Column:
@@ -23,30 +23,44 @@ def collapsed(text: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Named entities, '&amp;' last."""
+    """Named entities in order, '&amp;' first, then decimal and then hexadecimal ones; what names no character stays."""
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
+    for pattern, base in ((r"&#([0-9]+);", 10), (r"&#x([0-9a-fA-F]+);", 16)):
+        between, codes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        told = F.zip_with(between, F.transform(codes, lambda c: character(c, base)), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))  # noqa: B023
+        text = F.when(text.contains("&#"), F.array_join(told, "")).otherwise(text)
     return text
 
 
+def character(code: Column, base: int) -> Column:
+    """The character of a code point in digits; the entity again if there is none."""
+    number = F.when(F.length(code) <= 9, F.conv(code, base, 10).cast("long"))
+    known = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    whole = F.concat(F.lit("&#x" if base == 16 else "&#"), code, F.lit(";"))
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(whole)
+
+
 def _nfkc(texts: pd.Series) -> pd.Series:
-    gone = dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF))
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(gone))
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def composed(text: Column) -> Column:
-    """NFKC without zero-width characters; Spark has no such function."""
-    return F.pandas_udf(_nfkc, T.StringType())(text)
+    """NFKC without zero-width characters. Spark has no such function; only texts beyond ASCII go to Python's, in batches."""
+    foreign = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.regexp_replace(F.coalesce(F.pandas_udf(_nfkc, T.StringType())(foreign), text), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+
+
+def normalized_title(title: Column) -> Column:
+    """A title as it is compared and hashed: entities decoded, NFKC, no zero-width characters, single spaces; '' for null."""
+    return collapsed(composed(decoded(F.coalesce(title, F.lit("")))))
 
 
 def html_to_text(html: Column) -> Column:
-    """Comments, scripts and styles go, block ends become lines, tags go, entities are decoded, spaces collapse."""
+    """Comments, scripts, styles and templates go, tags go, entities are decoded, all white space collapses to single spaces."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article)>", "\n")
-    text = decoded(F.regexp_replace(text, r"(?s)<[^>]*>", " "))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+", " "), r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(text, r"\n+", "\n"), r"^[ \n]+|[ \n]+\z", "")
+    return collapsed(decoded(F.regexp_replace(text, r"(?s)<[^>]*>", " ")))
 
 
 def page_title(html: Column) -> Column:
@@ -54,6 +68,7 @@ def page_title(html: Column) -> Column:
 
 
 def content_hash(title: Column, url: Column) -> Column:
+    """Identity of a normalised title with a dedup URL."""
     return F.md5(F.concat(title, F.lit("\n"), url))
 
 

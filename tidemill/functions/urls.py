@@ -42,7 +42,8 @@ def rebuilt(url: Column, kept: Column, fragment: Column | None = None) -> Column
 
 def canonical_url(url: Column) -> Column:
     """Identity of an article's URL: no fragment, tracking parameters or default port, parameters sorted; '' if unusable."""
-    return F.coalesce(rebuilt(url, F.array_sort(parameters(url, TRACKING, True))), F.lit(""))
+    named = F.transform(parameters(url, TRACKING, True), lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), p.alias("pair")))
+    return F.coalesce(rebuilt(url, F.transform(F.array_sort(named), lambda p: p["pair"])), F.lit(""))
 
 
 def cleaned_url(url: Column) -> Column:

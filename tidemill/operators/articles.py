@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.plans.vocabulary import FULL, NAMES
+from tidemill.sources.folders import shared_folder
 
 ORIGINS = {"first_party": 0, "editorial": 1, "aggregator": 2}
 TIERS = {"authoritative": 0, "validation": 1, "signal": 2}
-CREDIBILITY = {"authoritative": 10, "primary": 10, "official": 10, "validation": 7, "secondary": 7, "signal": 4}
 
 
 def rank_of(column: Column, ranks: dict[str, int], other: int) -> Column:
@@ -30,24 +30,58 @@ def drop_reason(title: Column, url: Column, content: Column) -> Column:
 
 
 def normalized(items: DataFrame) -> DataFrame:
-    """items (title, url, content, ...) with drop_reason, title and content cleaned, dedup_url and content_hash."""
-    out = items.withColumn("drop_reason", drop_reason(F.col("title"), F.col("url"), F.col("content")))
-    out = out.withColumn("title", texts.collapsed(texts.decoded(F.col("title")))).withColumn("dedup_url", urls.canonical_url(F.col("url")))
+    """items (title, url, content, ...) with drop_reason, title cleaned, dedup_url and content_hash.
+
+    content is plain text; where it is empty, raw_content (HTML) stands in unless content_status is missing. canonical_url
+    goes before url as identity. The last three columns may be absent.
+    """
+    content = F.col("content")
+    if "raw_content" in items.columns:
+        raw = F.nullif(texts.html_to_text(F.col("raw_content")), F.lit(""))
+        missing = F.col("content_status") == "missing" if "content_status" in items.columns else F.lit(False)
+        content = F.coalesce(F.nullif(texts.collapsed(content), F.lit("")), F.when(~F.coalesce(missing, F.lit(False)), raw), F.lit(""))
+    spoken = F.nullif(urls.canonical_url(F.col("canonical_url")), F.lit("")) if "canonical_url" in items.columns else F.lit(None).cast("string")
+    out = items.withColumn("title", texts.normalized_title(F.col("title"))).withColumn("content", content)
+    out = out.withColumn("drop_reason", drop_reason(F.col("title"), F.col("url"), F.col("content"))).withColumn("dedup_url", F.coalesce(spoken, urls.canonical_url(F.col("url"))))
     return out.withColumn("content_hash", texts.content_hash(F.col("title"), F.col("dedup_url")))
 
 
 def batch_winners(items: DataFrame) -> DataFrame:
     """One item per dedup_url: by origin policy, tier, longer content, source, title, hash and URL.
 
-    The hash is a function of title and URL, so that equal hashes have equal URLs and the URL alone decides. A hot URL is
-    reduced in tasks first: the best row is an aggregate, not a window.
+    For items whose hashes normalized() made: they are a function of title and URL, so that equal hashes have equal URLs
+    and the URL alone decides. A hot URL is reduced in tasks first: the best row is an aggregate, not a window.
     """
-    order = F.struct(
+    row = F.struct(*items.columns)
+    return items.where(F.col("dedup_url") != "").groupBy("dedup_url").agg(F.min_by(row, preference()).alias("row")).select("row.*")
+
+
+def preference() -> Column:
+    """The order in which items of one identity are preferred, as a struct of the columns of normalized items."""
+    return F.struct(
         rank_of(F.col("origin_policy"), ORIGINS, 3).alias("o"), rank_of(F.col("tier"), TIERS, 3).alias("t"), (-F.length("content")).alias("c"),
         F.col("source_name").alias("s"), F.col("title").alias("x"), F.col("content_hash").alias("h"), F.col("url").alias("u"),
     )
-    row = F.struct(*items.columns)
-    return items.where(F.col("dedup_url") != "").groupBy("dedup_url").agg(F.min_by(row, order).alias("row")).select("row.*")
+
+
+def distinct_items(items: DataFrame, key: str) -> DataFrame:
+    """Items that stay if all are taken in order of preference and one whose dedup_url or content_hash was taken goes.
+
+    Hashes may be given ones that tell nothing of the URL. In each round the items that are first by both identities stay
+    and what shares either with them goes; the rest, each behind a better item of undecided fate, meets again. Rounds are
+    checkpoints in the shared folder; items whose hashes are their own are done after one. key: a column that is unique.
+    """
+    shared_folder(items.sparkSession)
+    left = items.where(F.col("dedup_url") != "").select("dedup_url", "content_hash", F.struct(preference().alias("p"), F.col(key).alias("k")).alias("at")).checkpoint()
+    stays = None
+    while True:
+        by = {c: left.groupBy(c).agg(F.min("at").alias(f"first_{c}")) for c in ("dedup_url", "content_hash")}
+        ranked = left.join(by["dedup_url"], "dedup_url").join(by["content_hash"], "content_hash")
+        new = ranked.where((F.col("at") == F.col("first_dedup_url")) & (F.col("at") == F.col("first_content_hash"))).select("dedup_url", "content_hash", "at").checkpoint()
+        stays = new if stays is None else stays.unionByName(new)
+        left = left.join(new.select("dedup_url"), "dedup_url", "left_anti").join(new.select("content_hash"), "content_hash", "left_anti").checkpoint()
+        if left.isEmpty():
+            return items.join(stays.select(F.col("at.k").alias(key)), key, "left_semi")
 
 
 def fresh(items: DataFrame, history: DataFrame) -> DataFrame:
@@ -99,7 +133,10 @@ def admitted(candidates: DataFrame, used: DataFrame, per_source: int, per_day: i
     """
     total = used.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     so_far = candidates.join(used, "source_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    turn = F.row_number().over(Window.partitionBy("source_name").orderBy(rank_of(F.col("tier"), TIERS, 3), "article_id"))
+    order = [rank_of(F.col("tier"), TIERS, 3), F.col("article_id")]
+    part = Window.partitionBy("source_name", F.pmod(F.xxhash64("article_id"), F.lit(64))).orderBy(*order)
+    so_far = so_far.withColumn("part", F.row_number().over(part)).where(F.col("part") <= per_source).drop("part")  # a hot source is cut in parts first
+    turn = F.row_number().over(Window.partitionBy("source_name").orderBy(*order))
     own = so_far.withColumn("turn", turn).where(F.col("turn") + F.col("n") <= per_source)
     first = own.orderBy(rank_of(F.col("tier"), TIERS, 3), "n", "article_id").limit(per_day)
     at = F.row_number().over(Window.orderBy(rank_of(F.col("tier"), TIERS, 3), "n", "article_id"))
@@ -133,7 +170,9 @@ def representatives(articles: DataFrame) -> DataFrame:
 
 
 def front_page(articles: DataFrame, limit: int = 20) -> DataFrame:
-    """(article_id, rank, reason): round robin over directions with caps by source and direction.
+    """(article_id, rank, reason) of each cluster's best article and of those without a valid direction: round robin over
+    directions with caps by source and direction. reason: selected (then with a rank), source_cap, direction_cap,
+    limit_reached, invalid_direction.
 
     Only the rows that can be taken reach the one sequential group: of each direction and source the best cap rows, at
     most 9 directions x sources x cap. What is left gets its reason from the caps reached.
@@ -164,8 +203,19 @@ def front_page(articles: DataFrame, limit: int = 20) -> DataFrame:
                         break
         return pd.DataFrame({"article_id": pd.Series(taken, dtype="int64"), "rank": pd.Series(range(100, 100 + len(taken)), dtype="int32")})
 
-    few = near.select("article_id", "source_name", "direction", "at")
-    return few.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda f: pick(f), "article_id long, rank int")
+    few = near.select("article_id", "source_name", "direction", "at").withColumn("one", F.lit(1))
+    taken = few.groupBy("one").applyInPandas(lambda f: pick(f), "article_id long, rank int")
+    told = best.select("article_id", "source_name", "direction").join(taken, "article_id", "left")
+    chosen = told.where("rank IS NOT NULL")
+    by_source = chosen.groupBy("source_name").agg(F.count("*").alias("of_source"))
+    by_direction = chosen.groupBy("direction").agg(F.count("*").alias("of_direction"))
+    told = told.join(by_source, "source_name", "left").join(by_direction, "direction", "left")
+    reason = (
+        F.when(F.col("rank").isNotNull(), "selected").when(F.coalesce("of_source", F.lit(0)) >= source_cap, "source_cap")
+        .when(F.coalesce("of_direction", F.lit(0)) >= direction_cap, "direction_cap").otherwise("limit_reached")
+    )
+    invalid = articles.where(~F.coalesce(F.col("direction").isin(NAMES), F.lit(False))).select("article_id", F.lit(None).cast("int").alias("rank"), F.lit("invalid_direction").alias("reason"))
+    return told.select("article_id", "rank", reason.alias("reason")).unionByName(invalid)
 
 
 def health(attempts: DataFrame) -> DataFrame:
@@ -175,7 +225,7 @@ def health(attempts: DataFrame) -> DataFrame:
     """
     order = F.struct("at", "attempt_id")
     last_ok = attempts.where("ok").groupBy("source_name").agg(F.max(order).alias("last_ok"))
-    failed = attempts.join(F.broadcast(last_ok), "source_name", "left").withColumn("since", ~F.col("ok") & (F.col("last_ok").isNull() | (order > F.col("last_ok"))))
+    failed = attempts.join(last_ok, "source_name", "left").withColumn("since", ~F.col("ok") & (F.col("last_ok").isNull() | (order > F.col("last_ok"))))
     out = failed.groupBy("source_name").agg(F.count("*").alias("fetches"), F.count_if("ok").alias("successes"), F.count_if("since").alias("consecutive_failures"), F.max_by("gone", order).alias("gone"))
     rate = F.when(F.col("fetches") > 0, times.rounded(F.col("successes") / F.col("fetches") * 10000) / 100).otherwise(0.0)
     return out.withColumn("success_rate", rate).withColumn("cooldown_seconds", times.cooldown_seconds(F.col("consecutive_failures"), F.col("gone"))).drop("gone")

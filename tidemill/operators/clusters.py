@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import texts
+from tidemill.sources.folders import shared_folder
 
 MODEL = r"\b([A-Za-z]{2,}[- ]?[0-9]+(?:\.[0-9]+)+)\b"
 NUMBER = r"(?<![A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?(?:%|x|k|m|b)?)(?![A-Za-z0-9_])"
@@ -32,15 +33,25 @@ def keys(found: DataFrame) -> DataFrame:
     return found.select("article_id", "ord", F.posexplode(every).alias("place", "key"))
 
 
-def candidates(found: DataFrame, per_key: int = PER_KEY, per_record: int = PER_RECORD) -> DataFrame:
+def first_of(listed: DataFrame, per_key: int) -> DataFrame:
+    """The first per_key records of each key. A key's rows are cut in 64 parts before they meet, so that a hot key is no task of its own."""
+    part = Window.partitionBy("key", F.pmod(F.xxhash64("article_id"), F.lit(64))).orderBy("ord")
+    some = listed.withColumn("n", F.row_number().over(part)).where(F.col("n") <= per_key)
+    return some.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("ord"))).where(F.col("n") <= per_key)
+
+
+def candidates(found: DataFrame, per_key: int | None = PER_KEY, per_record: int | None = PER_RECORD) -> DataFrame:
     """(later, earlier): a record meets the first per_key records of each of its keys, at most per_record of them.
 
-    A hot key costs per_key rows times its records, never their square: the bucket is cut before the join.
+    A hot key costs per_key rows times its records, never their square: the bucket is cut before the join. None lifts a
+    limit: then every pair that shares a key is a candidate, which grows with the square of the largest key.
     """
     listed = keys(found)
-    bucket = listed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("ord"))).where(F.col("n") <= per_key)
+    bucket = listed if per_key is None else first_of(listed, per_key)
     met = listed.alias("l").join(bucket.alias("b"), (F.col("l.key") == F.col("b.key")) & (F.col("b.ord") < F.col("l.ord")))
     first = met.groupBy(F.col("l.article_id").alias("later"), F.col("b.article_id").alias("earlier")).agg(F.min(F.struct("l.place", "b.ord")).alias("at"))
+    if per_record is None:
+        return first.select("later", "earlier")
     return first.withColumn("n", F.row_number().over(Window.partitionBy("later").orderBy("at"))).where(F.col("n") <= per_record).select("later", "earlier")
 
 
@@ -63,17 +74,23 @@ def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.where(~F.col("clash") & (F.col("core") | (F.col("shared") >= 2)) & (F.col("score") >= F.when(F.col("core"), NEAR).otherwise(FAR))).select("later", "earlier", "score")
 
 
-def complete_link(records: pd.DataFrame, scored: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """(article, group) in order: each joins the group of the highest mean score in which it is scored with every member."""
+def complete_link(records: list[int], scored: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
+    """(article, group) in order: each joins the group of the highest mean score in which it is scored with every member.
+
+    scored holds each article's earlier neighbours, so that an article costs as much as it has of them: a group counts if
+    as many of its members are neighbours as it has members.
+    """
     groups: list[list[int]] = []
-    place = {}
+    place: dict[int, int] = {}
     for article in records:
-        best, at = -1.0, None
-        for g in {place[o] for o in (e for (l, e) in scored if l == article) if o in place}:
-            got = [scored.get((article, m)) for m in groups[g]]
-            if None not in got and sum(got) / len(got) > best:
-                best, at = sum(got) / len(got), g
-        if at is None:
+        met: dict[int, list[float]] = {}
+        for other, score in scored.get(article, {}).items():
+            if other in place:
+                met.setdefault(place[other], []).append(score)
+        whole = [(sum(got) / len(got), -g) for g, got in met.items() if len(got) == len(groups[g])]
+        if whole:
+            at = -max(whole)[1]
+        else:
             at = len(groups)
             groups.append([])
         groups[at].append(article)
@@ -88,21 +105,38 @@ def assigned(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     least score with each other.
     """
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        scored = {(l, e): s for l, e, s in frame[["later", "earlier", "score"]].itertuples(index=False)}
-        got = complete_link(sorted({x for k in scored for x in k}), scored)
+        scored: dict[int, dict[int, float]] = {}
+        for later, earlier, score in frame[["later", "earlier", "score"]].itertuples(index=False):
+            scored.setdefault(later, {})[earlier] = score
+        got = complete_link(sorted({*frame["later"], *frame["earlier"]}), scored)
         return pd.DataFrame(got, columns=["article_id", "cluster_id"]).astype("int64")
 
     return pairs.join(parts.withColumnRenamed("article_id", "later"), "later").groupBy("part").applyInPandas(work, "article_id long, cluster_id long")
 
 
-def connected(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def shared_key(found: DataFrame, clusters: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(article_id, cluster_id, cluster_key): clusters' stable names.
+
+    A key that members already carry (known: article_id, cluster_key) stays, the least of several; otherwise it is made of
+    the anchors that all members share, or of the first article's id if they share none.
+    """
+    named = clusters.join(found.select("article_id", "anchors"), "article_id")
+    fold = F.aggregate(F.slice("each", 2, F.greatest(F.size("each") - 1, F.lit(1))), F.get("each", 0), F.array_intersect)
+    whole = named.groupBy("cluster_id").agg(F.collect_list("anchors").alias("each"))
+    made = F.when(F.size(fold) > 0, F.substring(F.sha2(F.array_join(F.array_sort(fold), "|"), 256), 1, 24)).otherwise(F.col("cluster_id").cast("string"))
+    keys_ = whole.select("cluster_id", F.concat(F.lit("c_"), made).alias("made"))
+    if known is None:
+        keys_ = keys_.withColumn("old", F.lit(None).cast("string"))
+    else:
+        old = clusters.join(known, "article_id").groupBy("cluster_id").agg(F.min("cluster_key").alias("old"))
+        keys_ = keys_.join(old, "cluster_id", "left")
+    return clusters.join(keys_, "cluster_id").select("article_id", "cluster_id", F.coalesce("old", "made").alias("cluster_key"))
+
+
+def connected(pairs: DataFrame) -> DataFrame:
     """(article_id, part): the smallest article_id that is reachable, by label propagation with checkpoints."""
     both = pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")).union(pairs.select("earlier", "later")).distinct()
-    spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))  # tests only: a cluster names its own
+    shared_folder(pairs.sparkSession)
     both = both.checkpoint()
     labels = both.groupBy(F.col("a").alias("article_id")).agg(F.least(F.min("a"), F.min("b")).alias("part"))
     while True:

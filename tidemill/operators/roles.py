@@ -73,8 +73,18 @@ def combined(given: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select("article_id", "direction", "dimension", score.alias("score"))
 
 
-#: Rules for kinds of events, the first that holds counts.
-EVENTS = [("funding", r"(?i)\b(?:funding|raises?|series [a-e])\b|融资"), ("acquisition", r"(?i)\bacqui(?:res?|sition)\b|收购"), ("release", r"(?i)\b(?:releas\w+|launch\w*)\b|发布|推出"), ("license", r"(?i)\blicensed?\b"), ("regulation", r"(?i)\bregulat\w+\b|监管")]
+#: Rules for kinds of events in order, the first that holds counts; names of organisations beside capitalised words.
+EVENTS = [
+    ("release", r"(?i)release|launch|上线|发布|推出|开源"),
+    ("funding", r"(?i)funding|series\s*[a-f]|融资|估值|投资"),
+    ("acquisition", r"(?i)acqui(?:re|sition)|并购|收购"),
+    ("benchmark", r"(?i)benchmark|leaderboard|mmlu|swe[-_ ]?bench|评测|基准"),
+    ("policy", r"(?i)policy|regulation|governance|政策|监管|治理"),
+    ("partnership", r"(?i)partnership|partner|contract|合作|签约|合同"),
+    ("research", r"(?i)paper|study|研究|论文|报告"),
+]
+ENTITY = r"OpenAI|Anthropic|Google|Microsoft|Meta|NVIDIA|Amazon|阿里|腾讯|百度|字节|英伟达|谷歌|微软|苹果|[A-Z][A-Za-z0-9_-]{2,}"
+FEATURED, KEPT = ("来源", "，内容完整度", "分，事件证据已复核。"), "未满足精选条件，保留在工作台供人工复核。"
 
 
 def event_kind(title: Column, text: Column) -> Column:
@@ -82,6 +92,35 @@ def event_kind(title: Column, text: Column) -> Column:
     return F.coalesce(*(F.when(both.rlike(p), F.lit(k)) for k, p in EVENTS), F.lit("other"))
 
 
+def recognized(title: Column, text: Column) -> Column:
+    """struct(kind, entities, event_key, confidence): the first twelve different names, sorted; the key tells events apart."""
+    kind = event_kind(title, text)
+    entities = F.array_sort(F.slice(F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", title, text), F.lit(f"({ENTITY})"), F.lit(1))), 1, 12))
+    key = F.substring(F.sha2(F.concat_ws("\n", kind, F.array_join(entities, "|"), title), 256), 1, 24)
+    return F.struct(kind.alias("kind"), entities.alias("entities"), key.alias("event_key"), F.when(kind == "other", 0.25).otherwise(0.75).alias("confidence"))
+
+
+def anchored(title: Column, event: Column) -> Column:
+    """struct(cluster_key, terms, comparable): the first twelve terms in order of title and entities name an event's cluster."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", title, F.array_join(event["entities"], " "))), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}_-]*)"), F.lit(1))
+    terms = F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))), 1, 12)
+    key = F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat_ws("\n", event["kind"], F.array_join(terms, "|")), 256), 1, 24))
+    return F.struct(key.alias("cluster_key"), terms.alias("terms"), (F.size(terms) >= 2).alias("comparable"))
+
+
+def event_review(event: Column, cluster: Column) -> Column:
+    """struct(decision, reason): an event without a kind or comparable terms waits for a review."""
+    said = lambda decision, reason: F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
+    return F.when(event["kind"] == "other", said("review", "missing_event")).when(~cluster["comparable"] | (event["confidence"] < 0.5), said("review", "weak_signal")).otherwise(said("approve", "consistent"))
+
+
+def explained(source_name: Column, passes: Column, score: Column, review: Column) -> Column:
+    """struct(featured, explanation): what passes its evaluation with an approved event is featured."""
+    featured = passes & (review["decision"] == "approve")
+    source = F.when(F.coalesce(source_name, F.lit("")) != "", F.concat(F.lit("「"), source_name, F.lit("」"))).otherwise("")
+    return F.struct(featured.alias("featured"), F.when(featured, F.concat(F.lit(FEATURED[0]), source, F.lit(FEATURED[1]), score.cast("string"), F.lit(FEATURED[2]))).otherwise(KEPT).alias("explanation"))
+
+
 def evaluation(flags: dict[str, Column]) -> Column:
     """struct(relevance, credibility, verifiability, completeness, impact, overall, passes): five parts of 0 to 20.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +22,19 @@ def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) ->
     """
     cut = documents.select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("no", "sentence"))
     cut = cut.select("doc_id", "no", "sentence", texts.latin_tokens(F.col("sentence")).alias("tokens")).where(~F.arrays_overlap("tokens", F.array(*map(F.lit, negations))))
-    hits = cut.select("doc_id", "no", "sentence", F.explode("tokens").alias("term")).join(F.broadcast(lexicon), "term")
-    strong, at = F.col("kind") == "strong", F.struct("no", "sentence")
-    found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(~strong, F.col("term"))).alias("weak"), F.min(F.when(strong, at))["sentence"].alias("quote"))
+    hits = cut.select("doc_id", "no", F.explode("tokens").alias("term")).join(lexicon, "term")  # ids only: a token's row holds no text
+    strong = F.col("kind") == "strong"
+    found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(~strong, F.col("term"))).alias("weak"), F.min(F.when(strong, F.col("no"))).alias("no"))
     score = F.when(F.col("strong") > 0, FULL).when(F.col("weak") >= 2, HALF)
-    return found.withColumn("score", score).where(F.col("score").isNotNull()).select("doc_id", "direction", "dimension", "score", F.when(F.col("score") == FULL, F.col("quote")).alias("quote"))
+    found = found.withColumn("score", score).where(F.col("score").isNotNull()).select("doc_id", "direction", "dimension", "score", "no")
+    return found.join(cut.select("doc_id", "no", F.col("sentence").alias("quote")), ["doc_id", "no"], "left").select("doc_id", "direction", "dimension", "score", "quote")
 
 
 def direction_scores(found: DataFrame, dimensions: DataFrame) -> DataFrame:
     """(doc_id, direction, total_score, eligible, dimension_scores): weighted and capped, for directions with evidence."""
     weights = dimensions.groupBy("direction").agg(F.sum(F.col("weight") * FULL).alias("all"))
-    summed = found.join(F.broadcast(dimensions), ["direction", "dimension"]).groupBy("doc_id", "direction").agg(F.sum(F.col("score") * F.col("weight")).alias("sum"), F.map_from_entries(F.collect_list(F.struct("dimension", "score"))).alias("dimension_scores"))
-    summed = summed.join(F.broadcast(weights), "direction")
+    summed = found.join(dimensions, ["direction", "dimension"]).groupBy("doc_id", "direction").agg(F.sum(F.col("score") * F.col("weight")).alias("sum"), F.map_from_entries(F.collect_list(F.struct("dimension", "score"))).alias("dimension_scores"))
+    summed = summed.join(weights, "direction")
     eligible = complete(F.col("direction"), F.col("dimension_scores"))
     raw = times.rounded(F.col("sum") / F.col("all") * 40).cast("int")
     most = F.create_map(*(F.lit(x) for pair in CAPPED.items() for x in pair))[F.col("direction")]
@@ -40,7 +44,7 @@ def direction_scores(found: DataFrame, dimensions: DataFrame) -> DataFrame:
 
 def classified(scores: DataFrame, order: DataFrame, margin: int = 3) -> DataFrame:
     """(doc_id, status, direction, best, margin): the best eligible direction, ambiguous if another is within margin."""
-    able = scores.where(F.col("eligible") & (F.col("total_score") > 0)).join(F.broadcast(order), "direction")
+    able = scores.where(F.col("eligible") & (F.col("total_score") > 0)).join(order, "direction")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("total_score"), "direction_no"))
     two = able.withColumn("rank", rank).where("rank <= 2").groupBy("doc_id").agg(F.max(F.when(F.col("rank") == 1, F.col("direction"))).alias("first"), F.max(F.when(F.col("rank") == 1, F.col("total_score"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("total_score"))).alias("next"))
     gap = F.col("best") - F.coalesce("next", F.lit(0))
@@ -50,6 +54,41 @@ def classified(scores: DataFrame, order: DataFrame, margin: int = 3) -> DataFram
     return every.select("doc_id", status.alias("status"), F.when(~unsure, F.col("first")).alias("direction"), "best", F.when(F.col("best").isNotNull(), gap).alias("margin"))
 
 
+#: What a source's tier is worth, organisations and terms that tell, and numbers that do.
+TIER_POINTS = {"authoritative": 20, "top": 20, "validation": 15, "high": 15, "signal": 10, "medium": 10, "low": 3}
+IMPACT = ["impact", "significant", "breakthrough", "revolutionary", "game-changer", "first", "record", "重大", "突破", "首次", "里程碑", "milestone", "industry-first"]
+NUMBER = r"[0-9][0-9,.]*%|\$[0-9,.]+[BMKbmk]?|[0-9]{2,}"
+
+
+def quality(text: Column, tier: Column, organisations: list[str]) -> Column:
+    """struct(credibility to 10, verifiability to 6, completeness to 4, impact to 4, total) of a title and text."""
+    points = F.coalesce(F.create_map(*(F.lit(x) for pair in TIER_POINTS.items() for x in pair))[tier], F.lit(8))
+    low, yes = F.lower(text), lambda found, n: F.when(found, n).otherwise(0)
+    holds = lambda terms: [low.contains(t) for t in terms]
+    named = reduce(or_, holds(organisations), F.lit(False))
+    credibility = F.least(F.lit(10), F.floor(points / 2 + 0.5).cast("int"))
+    verifiability = F.least(F.lit(6), yes(text.rlike(NUMBER), 4) + yes(named, 3) + yes(text.rlike(r"https?://[^\s)]+"), 3))
+    completeness = F.least(F.lit(4), F.floor(F.length(text) / 1200).cast("int"))
+    impact = F.least(F.lit(4), sum((yes(x, 2) for x in holds(IMPACT)), F.lit(0)))
+    parts = {"credibility": credibility, "verifiability": verifiability, "completeness": completeness, "impact": impact, "total": credibility + verifiability + completeness + impact}
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+
+def primary(scores: DataFrame, order: DataFrame, least: int = 10) -> DataFrame:
+    """(doc_id, primary_direction, primary_score): the best eligible direction, the first in order of equals, if it has at least least."""
+    able = scores.where("eligible").join(order, "direction")
+    best = able.groupBy("doc_id").agg(F.max(F.struct("total_score", (-F.col("direction_no")).alias("n"), "direction")).alias("x"))
+    return best.where(F.col("x.total_score") >= least).select("doc_id", F.col("x.direction").alias("primary_direction"), F.col("x.total_score").alias("primary_score"))
+
+
+def rule_scores(articles: DataFrame, scores: DataFrame, order: DataFrame, organisations: list[str]) -> DataFrame:
+    """articles (doc_id, title, text, tier) with primary_direction, primary_score, quality and publish_score: twice the primary score and quality, 100 at most."""
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    rated = articles.withColumn("quality", quality(text, F.col("tier"), organisations)).join(primary(scores, order), "doc_id", "left")
+    score = F.coalesce("primary_score", F.lit(0))
+    return rated.withColumn("primary_score", score).withColumn("publish_score", F.least(F.lit(100), score * 2 + F.col("quality.total")))
+
+
 def filter_decision(title: Column, content: Column, published_at: Column, as_of: Column, signals: str, spam: str, stale_days: int = 365, least: int = 40) -> Column:
     """struct(decision, reason_code, quote): the first rule that holds. signals and spam are patterns of a lexicon."""
     both = F.concat(title, F.lit("\n"), content)

@@ -2,8 +2,36 @@
 
 from __future__ import annotations
 
-from tidemill.functions.urls import TRACKING, TRACKING_FIRST
-from tidemill.plans.vocabulary import ALIASES, CAPPED, NAMES, STORIES, dimension_rows
+import re
+
+#: The SQL has values of its own: it takes none from the engine, so that an error in those shows.
+TRACKING_FIRST = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "mc_cid", "mc_eid"]
+TRACKING = [*TRACKING_FIRST, "ref", "source", "fb_action_ids", "fb_action_types", "fb_ref", "fb_source"]
+NAMES = ["model", "agent", "multimodal", "coding", "infrastructure", "data_eval", "safety_governance", "applications", "business_ecosystem"]
+ALIASES = {"multi": "multimodal", "infra": "infrastructure", "eval": "data_eval", "data": "data_eval", "security": "safety_governance"}
+CAPPED = {"model": 12, "agent": 12, "multimodal": 12, "coding": 12, "infrastructure": 12, "data_eval": 10, "safety_governance": 10, "applications": 10, "business_ecosystem": 10}
+WEIGHTS = {
+    "model": {"entity": 1.5, "capability": 2, "availability": 1, "performance": 1.5, "cost": 1, "ecosystem": 1, "adoption": 1},
+    "agent": {"task_boundary": 1.5, "tool_call": 1.5, "protocol": 1, "orchestration": 1.5, "observability": 0.75, "production": 1.5, "benchmark": 0.75, "workflow": 1.5},
+    "multimodal": {"modality_coverage": 1.5, "io_capability": 1.5, "quality": 1, "realtime": 1, "editing": 0.75, "3d_world": 1, "safety_copyright": 0.75, "product": 1},
+    "coding": {"code_gen": 1.5, "repo_understanding": 1.25, "engineering": 1.5, "ide_integration": 1, "delivery": 1, "benchmark": 0.75, "cost_speed": 0.75, "security": 0.75},
+    "infrastructure": {"hardware": 1.5, "training": 1, "performance": 1.5, "cost": 1, "software_stack": 1.25, "cloud": 1.25, "edge": 0.75, "ops": 0.75},
+    "data_eval": {"data_asset": 1.5, "coverage": 1, "methodology": 1.5, "reproducibility": 1.25, "performance": 1.25, "quality": 1, "governance": 1, "decision_value": 0.75},
+    "safety_governance": {"risk_type": 1.25, "controls": 1.5, "verification": 1.5, "privacy": 1, "copyright": 1, "regulation": 1.25, "framework": 1.25, "deployment_impact": 1},
+    "applications": {"industry": 1.25, "business_problem": 1.5, "launch_status": 1.5, "scale": 1, "roi": 1.25, "workflow_change": 1.25, "replicability": 0.75, "risk_responsibility": 1},
+    "business_ecosystem": {"business_fact": 1.5, "entity_market": 1.25, "strategy": 1.25, "business_model": 1.5, "market_landscape": 1.25, "open_source": 0.75, "talent": 0.75, "signal": 1},
+}
+STORIES = {
+    "model": "entity AND capability",
+    "agent": "task_boundary AND (tool_call OR orchestration)",
+    "multimodal": "modality_coverage AND io_capability",
+    "coding": "(code_gen AND (repo_understanding OR engineering)) OR (code_gen AND ide_integration AND (half_engineering OR half_delivery OR half_benchmark)) OR (engineering AND (delivery OR security))",
+    "infrastructure": "(hardware OR training OR cloud OR edge) AND (performance OR cost OR software_stack OR ops)",
+    "data_eval": "(data_asset AND (coverage OR quality OR governance)) OR (methodology AND (performance OR reproducibility OR quality))",
+    "safety_governance": "risk_type AND (controls OR verification OR regulation)",
+    "applications": "industry AND business_problem AND launch_status",
+    "business_ecosystem": "(business_fact AND (entity_market OR strategy OR business_model)) OR (entity_market AND open_source) OR (talent AND strategy)",
+}
 
 DAY0, NOW = 1704067200, 1704067200 + 20 * 86400
 
@@ -32,11 +60,19 @@ def collapsed(c: str) -> str:
 
 
 def decoded(c: str) -> str:
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+    for name, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&apos;", "''")):
         c = f"replace({c}, '{name}', '{sign}')"
+    for pattern, value in (("&#([0-9]+);", "CAST(x[2] AS INT)"), ("&#x([0-9a-fA-F]+);", "CAST('0x' || x[2] AS INT)")):
+        bare = pattern.replace("(", "").replace(")", "")
+        c = f"array_to_string(list_transform(list_zip(regexp_split_to_array({c}, '{bare}'), regexp_extract_all({c}, '{pattern}', 1)), lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' ELSE chr({value}) END), '')"
     return c
 
 
+def composed(c: str) -> str:
+    """As far as the given tables go: DuckDB has NFC, and they hold no compatibility characters."""
+    return f"regexp_replace(nfc_normalize({c}), '[\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+
+
 def title(c: str) -> str:
     return collapsed(decoded(f"regexp_extract({c}, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 
@@ -45,10 +81,7 @@ def plain_html(c: str) -> str:
     c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in ("script", "style", "template"):
         c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
-    c = rf"regexp_replace({c}, '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g')"
-    c = decoded(f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')")
-    c = rf"regexp_replace(regexp_replace({c}, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
-    return rf"regexp_replace(regexp_replace({c}, '\n+', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')"
+    return collapsed(decoded(f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"))
 
 
 def piece(c: str, name: str) -> str:
@@ -60,7 +93,7 @@ def piece(c: str, name: str) -> str:
 def url(c: str, dropped: list[str], fold: bool, order: bool) -> str:
     name = "lower(split_part(p, '=', 1))" if fold else "split_part(p, '=', 1)"
     kept = f"list_filter(string_split({piece(c, 'query')}, '&'), lambda p: p <> '' AND NOT list_contains({texts(dropped)}, {name}))"
-    kept = f"list_sort({kept})" if order else kept
+    kept = f"list_transform(list_sort(list_transform({kept}, lambda p: {{'a': split_part(p, '=', 1), 'b': p}})), lambda q: q.b)" if order else kept
     scheme, port = piece(c, "scheme"), piece(c, "port")
     shown = f"CASE WHEN {port} = '' OR {port} = CASE {scheme} WHEN 'http' THEN '80' ELSE '443' END THEN '' ELSE ':' || {port} END"
     path = f"CASE WHEN {piece(c, 'path')} = '' THEN '/' ELSE {piece(c, 'path')} END"
@@ -102,7 +135,7 @@ ITEMS = f"""items AS (
     page_id % 20 % 3 AS tier, page_id % 20 % 4 AS origin
   FROM pages), reasons AS (
   SELECT item_id, CASE WHEN coalesce({collapsed('title')}, '') = '' THEN 'title' WHEN coalesce(trim(url), '') = '' THEN 'url_missing' WHEN {canonical('url')} = '' THEN 'url_invalid' WHEN coalesce({collapsed('content')}, '') = '' THEN 'content' END AS drop_reason,
-    {collapsed(decoded('title'))} AS title, url, content, source_name, tier, origin, {canonical('url')} AS dedup_url FROM items), normal AS (
+    {collapsed(composed(decoded('coalesce(title, chr(32))')))} AS title, url, content, source_name, tier, origin, {canonical('url')} AS dedup_url FROM items), normal AS (
   SELECT *, md5(title || chr(10) || dedup_url) AS content_hash FROM reasons WHERE drop_reason IS NULL)"""
 HEALTH = """attempts AS (
   SELECT 'src' || (user_id % 20) AS source_name, ts, event_id, event_type <> 'error' AS ok, event_type = 'error' AND value > 200 AS gone FROM events), runs AS (
@@ -114,7 +147,7 @@ LADDER = f"""ladder AS (
   SELECT a.article_id, a.direction, a.title, CASE WHEN a.article_id % 4 = 0 AND floor(({NOW} - epoch(a.published_at)) / 86400) > 7 THEN 'stale' WHEN h.fetches >= 3 AND h.consecutive_failures >= 2 THEN 'source_unreliable'
     WHEN a.article_id % 13 = 0 THEN 'link_dead' WHEN a.article_id % 17 = 0 THEN 'link_probe_review' END AS reason
   FROM articles a LEFT JOIN health h USING (source_name) WHERE a.status = 'published')"""
-DIMENSIONS = "dimensions(direction, direction_no, dimension, dimension_no, weight) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}', {d}, {e})" for a, b, c, d, e in dimension_rows()) + ")"
+DIMENSIONS = "dimensions(direction, direction_no, dimension, dimension_no, weight) AS (VALUES " + ", ".join(f"('{d}', {i}, '{x}', {j}, CAST({w} AS DOUBLE))" for i, (d, of) in enumerate(WEIGHTS.items(), 1) for j, (x, w) in enumerate(of.items(), 1)) + ")"
 EVIDENCE = rf"""{DIMENSIONS}, words AS (
   SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_+#.\-]*[a-z0-9])', 1)) AS term FROM benchmark), dealt AS (
   SELECT term, row_number() OVER (ORDER BY md5(term), term) - 1 AS no FROM words WHERE length(term) >= 4), lexicon AS (
@@ -127,9 +160,10 @@ EVIDENCE = rf"""{DIMENSIONS}, words AS (
     FROM hits JOIN lexicon USING (term) GROUP BY ALL))"""
 
 
-def story(direction: str, ways: list[list[str]]) -> str:
-    one = lambda name: f"coalesce(max(score) FILTER (dimension = '{name.lstrip('~')}'), 0) >= {2.5 if name[0] == '~' else 5}"
-    return f"(direction = '{direction}' AND (" + " OR ".join("(" + " AND ".join("(" + " OR ".join(map(one, any_of.split("|"))) + ")" for any_of in way) + ")" for way in ways) + "))"
+def story(direction: str, rule: str) -> str:
+    """The rule with each name put as a test of the greatest score of its dimension."""
+    one = lambda m: m[0] if m[0] in ("AND", "OR") else f"coalesce(max(score) FILTER (dimension = '{m[0].removeprefix('half_')}'), 0) >= {2.5 if m[0].startswith('half_') else 5}"
+    return f"(direction = '{direction}' AND (" + re.sub(r"\w+", one, rule) + "))"
 
 
 SCORES = f"""{EVIDENCE}, totals AS (
@@ -144,9 +178,14 @@ def first_with(c: str, pattern: str) -> str:
     return f"left(list_filter({sentences(c)}, lambda s: regexp_matches(s, '{pattern}'))[1], 280)"
 
 
-LINKS = rf"""raw AS (
+LINKS = rf"""linked AS (
+  SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '<link rel="canonical" href="https://first' || page_id % 7 || '.example.org/a?utm_source=x&b=1">' WHEN 1 THEN '<meta property="og:url" content="http://10.0.0.1/x">' ELSE '' END || html
+    || '<a href="https://other' || page_id % 5 || '.example.net/p/' || page_id || '?fbclid=1#s).">x</a><a href="https://cdn.example.net/x.css">y</a>' AS html FROM pages), raw AS (
   SELECT page_id, url AS own, x.kind, x.weight, regexp_replace(x.u, '[.,;:!?)\]}}>]+\z', '') AS bare, x.pos AS pos FROM (
-    SELECT page_id, url, unnest(list_transform(regexp_extract_all(html, '(?i)<a[^>]+href="(https?://[^"]+)"', 1), lambda u, i: {{'kind': 'body_link', 'weight': 10, 'u': u, 'pos': i}})) AS x FROM pages)), links AS (
+    SELECT page_id, url, unnest(list_concat(
+      list_transform(regexp_extract_all(html, '(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', 1), lambda u, i: {{'kind': 'canonical', 'weight': 100, 'u': u, 'pos': i}}),
+      list_transform(regexp_extract_all(html, '(?i)<meta[^>]+property="og:url"[^>]+content="([^"]+)"', 1), lambda u, i: {{'kind': 'og_url', 'weight': 90, 'u': u, 'pos': 1000 + i}}),
+      list_transform(regexp_extract_all(html, '(?i)<a[^>]+href="(https?://[^"]+)"', 1), lambda u, i: {{'kind': 'body_link', 'weight': 10, 'u': u, 'pos': 2000 + i}}))) AS x FROM linked)), links AS (
   SELECT page_id, own, kind, weight, pos, {url('bare', TRACKING_FIRST, False, False)} || CASE WHEN contains(bare, '#') THEN '#' || split_part(bare, '#', -1) ELSE '' END AS url FROM raw), firsts AS (
   SELECT page_id, own, url, arg_min(kind, pos) AS kind, arg_min(weight, pos) AS weight, min(pos) AS pos FROM links GROUP BY ALL)"""
 
@@ -159,7 +198,7 @@ ORACLE = {
     "html_to_text": f"SELECT page_id, {title('html')} AS title, md5({plain_html('html')}) AS text_md5, length({plain_html('html')}) AS n_chars FROM pages",
     "sentence_stats": f"WITH s AS (SELECT doc_id, unnest({sentences('text')}) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest, min(s) AS least FROM s GROUP BY doc_id",
     "rule_summary": f"WITH {ARTICLES}, l AS (SELECT article_id, title, list_filter({sentences('text', '[。！？.!?]+')}, lambda s: length(s) > 10) AS l FROM articles), j AS (SELECT *, array_to_string(l[1:2], '。') AS j FROM l) SELECT article_id, CASE WHEN len(l) = 0 THEN title WHEN length(j) > 200 THEN left(j, 200) || '...' ELSE j END AS summary FROM j",
-    "language_tag": r"""WITH t AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN '模型训练' || left(text, 3) WHEN 1 THEN '模型' || text ELSE text END AS t FROM documents), c AS (SELECT lang, length(regexp_replace(t, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS zh, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS la FROM t)
+    "language_tag": r"""WITH t AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN '模型训练' || text WHEN 1 THEN '模型' || text ELSE text END AS t FROM documents), c AS (SELECT lang, length(regexp_replace(t, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS zh, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS la FROM t)
         SELECT CASE WHEN zh = 0 THEN 'non_zh' WHEN zh >= la THEN 'zh' ELSE 'mixed' END AS tag, lang, count(*) AS n FROM c GROUP BY ALL""",
     "shanghai_day": "SELECT CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "age_days": f"WITH {ARTICLES} SELECT article_id, CAST(greatest(0, floor(({NOW} - epoch(published_at)) / 86400)) AS INT) AS age_days FROM articles",
@@ -167,9 +206,9 @@ ORACLE = {
     "direction_normalize": f"WITH r AS (SELECT {texts([*ALIASES, *NAMES, 'other'])}[user_id % 15 + 1] AS raw FROM events), n AS (SELECT CASE raw {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in ALIASES.items())} ELSE raw END AS d FROM r) SELECT CASE WHEN d IN ({', '.join(f'''{n!r}''' for n in NAMES)}) THEN d END AS direction, count(*) AS n FROM n GROUP BY 1",
     "drop_reasons": f"WITH {ITEMS} SELECT drop_reason, count(*) AS n FROM reasons GROUP BY 1",
     "dedup_batch": f"WITH {ITEMS} SELECT item_id, dedup_url, content_hash FROM normal QUALIFY row_number() OVER (PARTITION BY dedup_url ORDER BY origin, tier, length(content) DESC, source_name, title, content_hash, url) = 1",
-    "dedup_vs_history": f"WITH {ITEMS} SELECT item_id, dedup_url FROM normal n WHERE item_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM normal h WHERE h.item_id % 6 = 1 AND (h.dedup_url = n.dedup_url OR h.content_hash = n.content_hash))",
-    "snapshot_upsert": f"WITH {ARTICLES} SELECT article_id, CAST(CASE WHEN article_id % 3 = 0 THEN score + 1000 ELSE score END AS INT) AS score, status FROM articles WHERE article_id % 3 = 0 OR article_id % 4 <> 0",
-    "duplicate_gate": f"""WITH {ITEMS}, k AS (SELECT item_id AS a, dedup_url AS u, {title_key('title')} AS t, item_id * 613 % 86400 AS c, item_id % 5 AS g FROM normal WHERE item_id % 5 < 2), o AS (
+    "dedup_vs_history": f"WITH {ITEMS} SELECT item_id, dedup_url FROM normal n WHERE item_id % 6 <> 1 AND NOT EXISTS (SELECT 1 FROM normal h WHERE h.item_id % 6 = 1 AND (h.dedup_url = n.dedup_url OR h.content_hash = n.content_hash))",
+    "snapshot_upsert": f"WITH {ARTICLES} SELECT article_id, CAST(CASE WHEN article_id % 3 = 0 THEN score + 1000 ELSE score END AS INT) AS score, status FROM articles",
+    "duplicate_gate": f"""WITH {ITEMS}, k AS (SELECT item_id AS a, dedup_url AS u, {title_key('title')} AS t, item_id * 613 % 86400 AS c, CASE WHEN item_id % 5 = 1 THEN 1 ELSE 0 END AS g FROM normal), o AS (
         SELECT a, g, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 1 AND b.u = k.u) AS ou, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 1 AND b.t = k.t AND k.t <> '') AS ot, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 0 AND b.u = k.u) AS nu, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 0 AND b.t = k.t AND k.t <> '') AS nt FROM k)
         SELECT a AS article_id, CASE WHEN ou <> a THEN 'same_url' WHEN ot <> a THEN 'same_title' WHEN nu <> a THEN 'same_batch_url' WHEN nt <> a THEN 'same_batch_title' END AS reason FROM o WHERE g = 0 AND (ou <> a OR ot <> a OR nu <> a OR nt <> a)""",
     "eligible_sources": f"WITH {SOURCES} SELECT source_name, tier, {stamp('next_fetch_at')} AS next_fetch_at FROM sources WHERE enabled AND (next_fetch_at IS NULL OR next_fetch_at <= {at(str(DAY0 + 9 * 86400))})",
@@ -202,13 +241,17 @@ ORACLE = {
         SELECT doc_id, max(direction) FILTER (r = 1) AS first, max(total_score) FILTER (r = 1) AS best, max(total_score) FILTER (r = 2) AS next FROM r GROUP BY doc_id)
         SELECT doc_id, CASE WHEN best IS NULL THEN 'no_match' WHEN next IS NOT NULL AND best - next <= 3 THEN 'ambiguous' ELSE 'classified' END AS status, CASE WHEN NOT (next IS NOT NULL AND best - coalesce(next, 0) <= 3) THEN first END AS direction, best, best - coalesce(next, 0) AS margin FROM (SELECT DISTINCT doc_id FROM scores) LEFT JOIN t USING (doc_id)""",
     "link_candidates": f"WITH {LINKS} SELECT page_id, kind, count(*) AS n, min(url) AS first_url FROM firsts GROUP BY ALL",
-    "origin_trace": rf"""WITH {LINKS}, o AS (SELECT * FROM firsts WHERE {host('url')} <> {host('own')} AND NOT regexp_matches({piece('url', 'path')}, '(?i)\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|pdf|zip|xml|rss|atom|json)$')) SELECT page_id, arg_min(url, pos) AS origin, 'body_link' AS kind, true AS needs_review FROM o GROUP BY page_id""",
+    "origin_trace": rf"""WITH {LINKS}, o AS (SELECT * FROM firsts WHERE {host('url')} <> {host('own')} AND NOT regexp_matches({piece('url', 'path')}, '(?i)\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|pdf|zip|xml|rss|atom|json)$')) SELECT page_id, arg_min(url, (-weight, pos)) AS origin, arg_min(kind, (-weight, pos)) AS kind, arg_min(kind, (-weight, pos)) = 'body_link' AS needs_review FROM o WHERE {piece('url', 'host')} <> '10.0.0.1' GROUP BY page_id""",
     "api_items": f"SELECT event_id // 10 AS source_id, event_type AS title, 'https://x.example/' || event_id AS url, props AS content, {stamp('date_trunc(''second'', ts)').replace(chr(39)*4, chr(39)*2)} AS published_at FROM events",
     "hotlist_rank": "SELECT * FROM (SELECT event_type AS kind, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INT) AS rank, 'a b ' || user_id AS title, 'https://search.example/?q=a%20b%20' || user_id AS url FROM events WHERE event_id % 9 <> 0 AND event_id % 7 <> 0) WHERE rank <= 50",
     "source_categories": f"WITH {SOURCES} SELECT category, tier, count(*) AS n, count(*) FILTER (enabled) AS enabled FROM sources GROUP BY ALL",
 }
 ORACLE["api_items"] = "SELECT event_id // 10 AS source_id, event_type AS title, 'https://x.example/' || event_id AS url, props AS content, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS published_at FROM events"
-KIND = "CASE " + " ".join(f"WHEN regexp_matches(title || chr(10) || text, '{p}') THEN '{k}'" for k, p in (("funding", r"(?i)\b(?:funding|raises?|series [a-e])\b|融资"), ("acquisition", r"(?i)\bacqui(?:res?|sition)\b|收购"), ("release", r"(?i)\b(?:releas\w+|launch\w*)\b|发布|推出"), ("license", r"(?i)\blicensed?\b"), ("regulation", r"(?i)\bregulat\w+\b|监管"))) + " ELSE 'other' END"
+KINDS = [
+    ("release", "release|launch|上线|发布|推出|开源"), ("funding", r"funding|series\s*[a-f]|融资|估值|投资"), ("acquisition", "acqui(?:re|sition)|并购|收购"), ("benchmark", "benchmark|leaderboard|mmlu|swe[-_ ]?bench|评测|基准"),
+    ("policy", "policy|regulation|governance|政策|监管|治理"), ("partnership", "partnership|partner|contract|合作|签约|合同"), ("research", "paper|study|研究|论文|报告"),
+]
+KIND = "CASE " + " ".join(f"WHEN regexp_matches(title || chr(10) || text, '(?i){p}') THEN '{k}'" for k, p in KINDS) + " ELSE 'other' END"
 PART = lambda x: f"CAST(greatest(0, least(20, floor({x} + 0.5))) AS INT)"
 ORACLE |= {
     "role_envelopes": f"""WITH {ARTICLES}, f AS (SELECT *, CASE WHEN article_id % 7 = 0 OR article_id % 5 = 0 OR len({sentences('text')}) = 0 THEN 'rejected' ELSE 'accepted' END AS filter, {KIND} AS kind FROM articles)
@@ -221,7 +264,33 @@ ORACLE |= {
 }
 ORACLE |= {
     "display_title": f"WITH {ARTICLES}, c AS (SELECT article_id, {collapsed('title')} AS c FROM articles) SELECT article_id, CASE WHEN length(c) > 46 THEN rtrim(left(c, 45)) || '…' ELSE c END AS shown FROM c",
-    "rescore_pending": f"WITH {ARTICLES} SELECT article_id, length(coalesce({collapsed('title')}, '') || coalesce({collapsed('text')}, '')) >= 12 AS ready FROM articles WHERE status = 'draft' AND NOT coalesce(ai_processed, false) AND CAST(collected_at + INTERVAL 8 HOUR AS DATE) = CAST({at(str(NOW))} + INTERVAL 8 HOUR AS DATE)",
+    "rescore_pending": f"WITH {ARTICLES} SELECT article_id, length(coalesce({collapsed('title')}, '') || coalesce({collapsed('text')}, '')) >= 12 AS ready FROM articles WHERE status = 'draft' AND NOT (article_id % 4 = 0) AND CAST(collected_at + INTERVAL 8 HOUR AS DATE) = CAST({at(str(NOW))} + INTERVAL 8 HOUR AS DATE)",
     "source_validation": rf"""SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'name' WHEN page_id % 4 = 3 THEN 'feed_type' WHEN page_id % 5 = 3 THEN 'tier' WHEN page_id % 6 = 0 THEN 'url' WHEN page_id % 7 = 2 THEN 'policy' WHEN page_id % 7 = 0 AND page_id % 5 = 0 THEN 'policy_tier' END AS problem,
         regexp_replace(regexp_replace({canonical('url')}, '/+\?', '?'), '/+$', '') AS feed_url FROM pages""",
 }
+
+FOUND = r"regexp_extract_all(title || chr(10) || text, '(OpenAI|Anthropic|Google|Microsoft|Meta|NVIDIA|Amazon|阿里|腾讯|百度|字节|英伟达|谷歌|微软|苹果|[A-Z][A-Za-z0-9_-]{2,})', 1)"
+EVENT = rf"""named AS (
+  SELECT article_id, x, min(i) AS i FROM (SELECT article_id, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM (SELECT article_id, {FOUND} AS f FROM articles)) GROUP BY ALL), entities AS (
+  SELECT article_id, list(x ORDER BY x) AS entities FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY i) AS n FROM named) WHERE n <= 12 GROUP BY article_id), event AS (
+  SELECT article_id, title, {KIND} AS kind, coalesce(entities, []) AS entities FROM articles LEFT JOIN entities USING (article_id)), terms AS (
+  SELECT *, left(sha256(kind || chr(10) || array_to_string(entities, '|') || chr(10) || title), 24) AS event_key, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || array_to_string(entities, ' ')), '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_-]*)', 1), lambda w: length(w) >= 2)))[1:12] AS terms FROM event)"""
+ORGANISATIONS = ["apache", "creative commons", "mozilla"]
+IMPACT = ["impact", "significant", "breakthrough", "revolutionary", "game-changer", "first", "record", "重大", "突破", "首次", "里程碑", "milestone", "industry-first"]
+QUALITY = rf"""rated AS (
+  SELECT article_id AS doc_id, least(10, CASE source_no % 3 WHEN 0 THEN 10 WHEN 1 THEN 8 ELSE 5 END) + least(6, CASE WHEN regexp_matches(t, '[0-9][0-9,.]*%|\$[0-9,.]+[BMKbmk]?|[0-9]{{2,}}') THEN 4 ELSE 0 END + CASE WHEN {' OR '.join(f"contains(lower(t), '{o}')" for o in ORGANISATIONS)} THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, 'https?://[^\s)]+') THEN 3 ELSE 0 END)
+    + least(4, length(t) // 1200) + least(4, {' + '.join(f"CASE WHEN contains(lower(t), '{w}') THEN 2 ELSE 0 END" for w in IMPACT)}) AS quality FROM (SELECT article_id, source_no, title || chr(10) || text AS t FROM articles))"""
+ORACLE |= {
+    "event_recognition": f"WITH {ARTICLES}, {EVENT} SELECT article_id, kind, array_to_string(entities, ',') AS entities, event_key, 'evt_' || left(sha256(kind || chr(10) || array_to_string(terms, '|')), 24) AS cluster_key, CASE WHEN kind = 'other' OR len(terms) < 2 THEN 'review' ELSE 'approve' END AS decision, CASE WHEN kind = 'other' THEN 'missing_event' WHEN len(terms) < 2 THEN 'weak_signal' ELSE 'consistent' END AS reason FROM terms",
+    "publish_score": f"WITH {SCORES}, {ARTICLES}, {QUALITY}, best AS (SELECT doc_id, direction AS d, total_score AS s FROM scores JOIN (SELECT DISTINCT direction, direction_no FROM dimensions) USING (direction) WHERE eligible QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total_score DESC, direction_no) = 1) SELECT doc_id, CASE WHEN s >= 10 THEN d END AS primary_direction, CASE WHEN s >= 10 THEN s ELSE 0 END AS primary_score, CAST(quality AS INT) AS quality, CAST(least(100, CASE WHEN s >= 10 THEN s ELSE 0 END * 2 + quality) AS INT) AS publish_score FROM rated LEFT JOIN best USING (doc_id)",
+    "insert_if_absent": f"WITH {ITEMS}, won AS (SELECT * FROM normal WHERE item_id % 6 <> 1 QUALIFY row_number() OVER (PARTITION BY dedup_url ORDER BY origin, tier, length(content) DESC, source_name, title, content_hash, url) = 1), old AS (SELECT * FROM normal WHERE item_id % 6 = 1), ins AS (SELECT * FROM won w WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.dedup_url = w.dedup_url)) SELECT (SELECT count(*) FROM won) AS given, (SELECT count(*) FROM ins) AS inserted, (SELECT count(*) FROM won) - (SELECT count(*) FROM ins) AS conflicts",
+    "dedup_given_hashes": f"""WITH RECURSIVE {ITEMS}, o AS (SELECT item_id, dedup_url AS u, 'h' || item_id % 40 AS h, row_number() OVER (ORDER BY origin, tier, length(content) DESC, source_name, title, 'h' || item_id % 40, url, item_id) AS n FROM normal), walk AS (
+        SELECT 0::BIGINT AS n, []::VARCHAR[] AS us, []::VARCHAR[] AS hs, NULL::BIGINT AS item_id, false AS stays UNION ALL
+        SELECT o.n, CASE WHEN NOT list_contains(us, u) AND NOT list_contains(hs, h) THEN list_append(us, u) ELSE us END, CASE WHEN NOT list_contains(us, u) AND NOT list_contains(hs, h) THEN list_append(hs, h) ELSE hs END, o.item_id, NOT list_contains(us, u) AND NOT list_contains(hs, h) FROM walk JOIN o ON o.n = walk.n + 1)
+        SELECT item_id FROM walk WHERE stays""",
+    "stage_counters": f"WITH {ITEMS}, won AS (SELECT * FROM normal QUALIFY row_number() OVER (PARTITION BY dedup_url ORDER BY origin, tier, length(content) DESC, source_name, title, content_hash, url) = 1) SELECT 'normalize' AS stage, coalesce(drop_reason, 'ok') AS reason, count(*) AS n FROM reasons GROUP BY ALL UNION ALL SELECT 'dedup', CASE WHEN item_id IN (SELECT item_id FROM won) THEN 'ok' ELSE 'duplicate' END, count(*) FROM normal GROUP BY ALL",
+    "article_search": f"WITH {ARTICLES} SELECT article_id, title FROM articles WHERE contains(lower(title), 'the') AND direction IN ('model', 'coding', 'agent') AND score >= 20",
+    "published_ids": f"WITH {ARTICLES} SELECT DISTINCT article_id FROM articles WHERE collected_at >= {at(str(NOW - 86400))} OR (status = 'draft' AND article_id % 4 <> 0) OR (status = 'pending_review' AND score >= 60) OR status = 'published'",
+    "direction_rewrite": f"WITH {ARTICLES}, r AS (SELECT article_id, d AS direction, CASE WHEN article_id % 5 = 0 THEN 1 ELSE 0 END AS run FROM articles, (SELECT unnest({texts(NAMES)}) AS d)) SELECT a.direction, r.run, count(*) AS n FROM r JOIN articles a ON a.article_id = r.article_id AND a.direction = r.direction WHERE a.status <> 'blocked' GROUP BY ALL",
+    "article_trace": f"WITH {ARTICLES}, {LINKS}, o AS (SELECT page_id, arg_min(url, (-weight, pos)) AS origin FROM firsts WHERE {host('url')} <> {host('own')} AND {piece('url', 'host')} <> '10.0.0.1' AND NOT regexp_matches({piece('url', 'path')}, '(?i)\\.css$') GROUP BY page_id) SELECT article_id, status, coalesce(origin, '') AS origin, CASE WHEN origin IS NULL THEN 'untraced' ELSE 'traced' END AS trace_status FROM articles LEFT JOIN o ON page_id = article_id",
+}

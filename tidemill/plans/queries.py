@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.operators import articles as A
-from tidemill.operators import clusters, roles, scoring, sources
+from tidemill.operators import clusters, roles, scoring, sources, store
 from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
@@ -91,7 +91,7 @@ def rule_summary(spark, sf):
 
 @query
 def language_tag(spark, sf):
-    d = T.table(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("模型训练"), F.substring("text", 1, 3))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("模型"), F.col("text"))).otherwise(F.col("text")))
+    d = T.table(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("模型训练"), F.col("text"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("模型"), F.col("text"))).otherwise(F.col("text")))
     return d.groupBy(texts.language_tag(F.col("t")).alias("tag"), "lang").agg(F.count("*").alias("n"))
 
 
@@ -129,20 +129,20 @@ def dedup_batch(spark, sf):
 @query
 def dedup_vs_history(spark, sf):
     every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")
-    return A.fresh(every.where("item_id % 2 = 0"), every.where("item_id % 6 = 1")).select("item_id", "dedup_url")
+    return A.fresh(every.where("item_id % 6 <> 1"), every.where("item_id % 6 = 1")).select("item_id", "dedup_url")
 
 
 @query
 def snapshot_upsert(spark, sf):
     a = T.articles(spark, sf).select("article_id", "score", "status")
     new = a.where("article_id % 3 = 0").withColumn("score", F.col("score") + 1000)
-    return A.upserted(a.where("article_id % 4 <> 0"), new, ["article_id"])
+    return A.upserted(a, new, ["article_id"])
 
 
 @query
 def duplicate_gate(spark, sf):
     every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL").select(F.col("item_id").alias("article_id"), "dedup_url", "title", F.timestamp_seconds(T.DAY0 + F.col("item_id") * 613 % 86400).alias("collected_at"))
-    return A.duplicate_gates(every.where("article_id % 5 = 0"), every.where("article_id % 5 = 1"))
+    return A.duplicate_gates(every.where("article_id % 5 <> 1"), every.where("article_id % 5 = 1"))
 
 
 @query
@@ -165,7 +165,7 @@ def hot_articles_page(spark, sf):
     a = T.articles(spark, sf)
     page = a.where((F.col("status") == "published") & (F.col("score") >= 75) & F.col("direction").isNotNull()).orderBy(F.desc("score"), F.desc("published_at"), "article_id").offset(20).limit(20)
     sizes = a.join(F.broadcast(page.select("cluster_id").where("cluster_id IS NOT NULL").distinct()), "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
-    out = page.join(F.broadcast(sizes), "cluster_id", "left").join(F.broadcast(T.sources(spark, sf).select("source_name", "tier")), "source_name", "left")
+    out = page.join(F.broadcast(sizes), "cluster_id", "left").join(T.sources(spark, sf).select("source_name", "tier"), "source_name", "left")
     return out.select("article_id", "title", "score", "direction", "tier", F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"))
 
 
@@ -199,7 +199,7 @@ def score_merge(spark, sf):
 @query
 def quality_ladder(spark, sf):
     a, h = T.articles(spark, sf), A.health(T.attempts(spark, sf))
-    joined = a.where("status = 'published'").join(F.broadcast(h), "source_name", "left")
+    joined = a.where("status = 'published'").join(h, "source_name", "left")
     cols = {"published_at": F.col("published_at"), "revalidated": F.col("article_id") % 4 == 0, "fetches": F.col("fetches"), "consecutive_failures": F.col("consecutive_failures"), "probe_status": F.when(F.col("article_id") % 13 == 0, 404).when(F.col("article_id") % 17 == 0, 503).otherwise(200)}
     return joined.select("article_id", A.quality_reason(cols, now(), 2).alias("reason"))
 
@@ -244,7 +244,7 @@ def digest_day(spark, sf):
 
 @query
 def ai_admission(spark, sf):
-    a = T.articles(spark, sf).join(F.broadcast(T.sources(spark, sf).select("source_name", "tier")), "source_name")
+    a = T.articles(spark, sf).join(T.sources(spark, sf).select("source_name", "tier"), "source_name")
     used = a.where("ai_processed AND status = 'blocked'").groupBy("source_name").agg(F.count("*").alias("n"))
     return A.admitted(a.where("NOT ai_processed").select("article_id", "source_name", "tier"), used, 30, 500).select("article_id", "turn", "seat")
 
@@ -298,14 +298,22 @@ def classify(spark, sf):
     return scoring.classified(scoring.direction_scores(evidence_of(spark, sf), V.dimensions(spark)), order)
 
 
+def linked_pages(spark, sf):
+    """Pages with links to other sites, as an origin may be named: canonical, og:url, in the body."""
+    i = F.col("page_id")
+    front = F.when(i % 3 == 0, F.concat(F.lit('<link rel="canonical" href="https://first'), i % 7, F.lit('.example.org/a?utm_source=x&b=1">'))).when(i % 3 == 1, '<meta property="og:url" content="http://10.0.0.1/x">').otherwise("")
+    back = F.concat(F.lit('<a href="https://other'), i % 5, F.lit(".example.net/p/"), i, F.lit('?fbclid=1#s).">x</a><a href="https://cdn.example.net/x.css">y</a>'))
+    return T.table(spark, sf, "pages").withColumn("html", F.concat(front, "html", back))
+
+
 @query
 def link_candidates(spark, sf):
-    return scoring.link_candidates(T.table(spark, sf, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
+    return scoring.link_candidates(linked_pages(spark, sf)).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
 
 
 @query
 def origin_trace(spark, sf):
-    return scoring.origins(T.table(spark, sf, "pages"))
+    return scoring.origins(linked_pages(spark, sf))
 
 
 def cluster_pairs(spark, sf):
@@ -343,11 +351,11 @@ def api_items(spark, sf):
 
 @query
 def feed_items(spark, sf):
-    """Feeds made of documents: half RSS, half Atom."""
-    d = T.articles(spark, sf).where("article_id % 3 = 0")
+    """Feeds made of all documents: half RSS, half Atom, with the texts as bodies."""
+    d = T.articles(spark, sf)
     bare = F.regexp_replace(F.regexp_replace("title", "[^A-Za-z ]", ""), " +", " ")
     link = F.concat(F.lit("https://f.example/"), F.col("article_id"))
-    rss = F.concat(F.lit("<rss><channel><title>f</title><item><title>"), bare, F.lit("x</title><link>"), link, F.lit("</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>d</description></item><item><title>y</title><guid>g</guid></item></channel></rss>"))
+    rss = F.concat(F.lit("<rss><channel><title>f</title><item><title>"), bare, F.lit("x</title><link>"), link, F.lit("</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>"), F.substring(F.regexp_replace("text", r"[^\p{L}\p{N} .,]", " "), 1, 2000000000), F.lit("</description></item><item><title>y</title><guid>g</guid></item></channel></rss>"))
     atom = F.concat(F.lit("<feed><title>f</title><entry><title>"), bare, F.lit('x</title><link href="'), link, F.lit('"/><updated>2024-01-02T10:00:00Z</updated><summary>s</summary></entry></feed>'))
     feeds = d.select(F.col("article_id").alias("source_id"), F.when(F.col("article_id") % 2 == 0, rss).otherwise(atom).alias("xml"))
     return parse.feed_items(feeds).select("source_id", F.trim("title").alias("title"), "url", "content", "content_kind", stamp(F.col("published_at")).alias("published_at"))
@@ -406,6 +414,75 @@ def event_kinds(spark, sf):
     return T.articles(spark, sf).groupBy(roles.event_kind(F.col("title"), F.col("text")).alias("kind"), "status").agg(F.count("*").alias("n"))
 
 
+@query
+def event_recognition(spark, sf):
+    """Each article's event: kind, names, keys, and whether it waits for a review."""
+    a = T.articles(spark, sf).withColumn("event", roles.recognized(F.col("title"), F.col("text"))).withColumn("cluster", roles.anchored(F.col("title"), F.col("event")))
+    a = a.withColumn("review", roles.event_review(F.col("event"), F.col("cluster")))
+    return a.select("article_id", "event.kind", F.array_join("event.entities", ",").alias("entities"), "event.event_key", "cluster.cluster_key", "review.decision", "review.reason")
+
+
+@query
+def publish_score(spark, sf):
+    """Rule scores: the primary direction of all nine, general quality, and the score that publication asks for."""
+    a = T.articles(spark, sf).select(F.col("article_id").alias("doc_id"), "title", "text", T.chosen(["authoritative", "validation", "signal"], F.col("source_no") % 3).alias("tier"))
+    order = V.dimensions(spark).select("direction", "direction_no").distinct()
+    rated = scoring.rule_scores(a, scoring.direction_scores(evidence_of(spark, sf), V.dimensions(spark)), order, ["apache", "creative commons", "mozilla"])
+    return rated.select("doc_id", "primary_direction", "primary_score", F.col("quality.total").alias("quality"), "publish_score")
+
+
+@query
+def insert_if_absent(spark, sf):
+    every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")
+    return store.inserted(every.where("item_id % 6 = 1"), A.batch_winners(every.where("item_id % 6 <> 1")), ["dedup_url", "content_hash"])[1]
+
+
+@query
+def dedup_given_hashes(spark, sf):
+    """Items with hashes that came with them: one goes if a better one that stays has its URL or its hash."""
+    given = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL").withColumn("content_hash", F.concat(F.lit("h"), F.col("item_id") % 40))
+    return A.distinct_items(given, "item_id").select("item_id")
+
+
+@query
+def stage_counters(spark, sf):
+    every = A.normalized(T.items(spark, sf))
+    won = A.batch_winners(every.where("drop_reason IS NULL")).select("item_id", F.lit(True).alias("won"))
+    deduped = every.where("drop_reason IS NULL").join(won, "item_id", "left")
+    return store.counters(every, "normalize", F.col("drop_reason")).unionByName(store.counters(deduped, "dedup", F.when(F.col("won").isNull(), "duplicate")))
+
+
+@query
+def article_search(spark, sf):
+    return store.filtered(T.articles(spark, sf), search="The", directions=["model", "coding", "agent"], least_score=20).select("article_id", "title")
+
+
+@query
+def published_ids(spark, sf):
+    """Ids that a publication looks at: new, rescored, approved by themselves, checked again."""
+    a, ids = T.articles(spark, sf), lambda test: T.articles(spark, sf).where(test).select("article_id")
+    new = a.where(F.col("collected_at") >= now() - F.expr("INTERVAL 24 HOURS")).select("article_id")
+    return store.united(new, ids("status = 'draft' AND article_id % 4 <> 0"), ids("status = 'pending_review' AND score >= 60"), ids("status = 'published'"))
+
+
+@query
+def direction_rewrite(spark, sf):
+    """Nine scores of an article are replaced together; those of articles that are gone go; the primary one is joined by both keys."""
+    a = T.articles(spark, sf)
+    nine = lambda df, run: df.select("article_id", F.explode(F.array(*map(F.lit, V.NAMES))).alias("direction"), F.lit(run).alias("run"))
+    rows = store.rewritten(nine(a, 0), nine(a.where("article_id % 5 = 0"), 1), "article_id")
+    rows = store.surviving(rows, a.where("status <> 'blocked'"), "article_id")
+    return rows.join(a.select("article_id", "direction"), ["article_id", "direction"]).groupBy("direction", "run").agg(F.count("*").alias("n"))
+
+
+@query
+def article_trace(spark, sf):
+    """Each article with the origin that its page names."""
+    found = scoring.origins(linked_pages(spark, sf)).select(F.col("page_id").alias("article_id"), "origin")
+    a = T.articles(spark, sf).select("article_id", "status").join(found, "article_id", "left")
+    return a.select("article_id", "status", F.coalesce("origin", F.lit("")).alias("origin"), F.when(F.col("origin").isNull(), "untraced").otherwise("traced").alias("trace_status"))
+
+
 @query
 def source_validation(spark, sf):
     """Sources proposed from pages, some with what a rule forbids."""
@@ -421,7 +498,7 @@ def display_title(spark, sf):
 
 @query
 def rescore_pending(spark, sf):
-    return sources.to_rescore(T.articles(spark, sf), now())
+    return sources.to_rescore(T.articles(spark, sf).withColumn("ai_processed", F.col("article_id") % 4 == 0), now())
 
 
 @query
