@@ -37,8 +37,9 @@ Z = 3.0  # deviations by which a part's share of toxic documents is lowered
 CACHED = 1_000_000  # words whose weight a task keeps, some 100 bytes each
 #: Signs around a word that decorate it: those that stand for no letter at an end, and others more than once.
 DECORATION = re.compile(r"""^(?:[.,;:?"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@!+0-9])\1+)+|(?:[.,;:?!"'()\[\]{}…«»“”‘’¿¡*#%&=^~_|<>\-]|([$@+])\2+)+$""")
-#: Signs around a word that stand for no letter.
-PLAIN = re.compile(r"""^[.,;:?"')\[\]}…«»“”‘’¿¡=^~_>&\-]+|[.,;:?"')\[\]}…«»“”‘’¿¡=^~_>&\-]+$""")
+#: Signs around a word that are taken as decoration even where they could be letters: those that stand for none, exclamation marks at the
+#: end, and runs of the same sign, but for three that are doubled in words.
+PLAIN = re.compile(r"""^(?:[.,;:?"')\[\]}…«»“”‘’¿¡=^~_>&\-]|([*#%|<({!])\1+)+|(?:[.,;:?!"')\[\]}…«»“”‘’¿¡=^~_>&\-]|([*#%|<({])\2+)+$""")
 TRIPLE = re.compile(r"(.)\1\1")
 REPEATED = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S(?!\S)){2,}")
