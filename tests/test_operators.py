@@ -198,3 +198,18 @@ def test_events(spark):
     event = roles.recognized(F.col("t"), F.col("c"))
     got = spark.createDataFrame([("OpenAI launch with Google", "融资 Meta Google"), ("series B", "x"), ("MMLU", "score"), ("AI policy", ""), ("ab", "cd")], "t string, c string").select(event.alias("e")).collect()
     assert [r.e.kind for r in got] == ["release", "funding", "benchmark", "policy", "other"] and got[0].e.entities == ["Google", "Meta", "OpenAI"] and [r.e.confidence for r in got][-1] == 0.25
+
+
+def test_links_are_resolved(spark):
+    cases = {"b": "https://h.com/a/b", "/x?q=1": "https://h.com/x?q=1", "//k.org/y": "https://k.org/y", "../z": "https://h.com/z", "http://o.net/": "http://o.net/"}
+    for link, want in cases.items():
+        assert one(spark, urls.resolved(F.lit("https://h.com/a/p"), F.col("u")), u=link) == want
+
+
+def test_chinese_evidence_counts_only_what_is_sure(spark):
+    rules = [("coding", "code_gen", ["生成代码"], []), ("coding", "engineering", ["(?:修复|重构).{0,8}(?:缺陷|工程)"], ["缺陷", "重构"]), ("applications", "launch_status", ["已?上线"], ["导诊", "产品"])]
+    texts_ = {1: "该编程助手已正式上线，在大型代码库中生成代码并理解跨文件仓库，自动修复代码缺陷并完成工程重构。", 2: "该医院计划在医疗行业上线产品，据称可能自动化导诊流程，但尚未部署。", 3: "发现缺陷。完成重构"}
+    from tidemill.operators import scoring
+
+    got = scoring.pattern_evidence(spark.createDataFrame(list(texts_.items()), "doc_id int, text string"), rules).collect()
+    assert {(r.doc_id, r.dimension, r.score) for r in got} == {(1, "code_gen", 5.0), (1, "engineering", 5.0), (1, "launch_status", 5.0), (3, "engineering", 2.5)}

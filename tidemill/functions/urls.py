@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parameters that name a click and not an article, for identity and for the first clean-up.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "fb_action_ids", "fb_action_types", "fb_ref", "fb_source"]
@@ -58,6 +62,16 @@ def traced_url(url: Column) -> Column:
     return F.coalesce(rebuilt(bare, parameters(bare, TRACKING_FIRST, False), mark), bare)
 
 
+def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link, strict=True)], dtype="object")
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link as an absolute URL; only links without a scheme go to Python, in batches."""
+    whole = link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    return F.coalesce(F.when(whole, link), F.pandas_udf(_joined, T.StringType())(F.when(~whole, base), F.when(~whole, link)))
+
+
 def unsafe_reason(url: Column) -> Column:
     """Why a URL may not be fetched; null if it may. Names and addresses in dotted form; others need the resolver port."""
     name, authority = F.lower(part(url, "HOST")), F.coalesce(part(url, "AUTHORITY"), F.lit(""))

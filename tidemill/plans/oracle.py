@@ -294,3 +294,22 @@ ORACLE |= {
     "direction_rewrite": f"WITH {ARTICLES}, r AS (SELECT article_id, d AS direction, CASE WHEN article_id % 5 = 0 THEN 1 ELSE 0 END AS run FROM articles, (SELECT unnest({texts(NAMES)}) AS d)) SELECT a.direction, r.run, count(*) AS n FROM r JOIN articles a ON a.article_id = r.article_id AND a.direction = r.direction WHERE a.status <> 'blocked' GROUP BY ALL",
     "article_trace": f"WITH {ARTICLES}, {LINKS}, o AS (SELECT page_id, arg_min(url, (-weight, pos)) AS origin FROM firsts WHERE {host('url')} <> {host('own')} AND {piece('url', 'host')} <> '10.0.0.1' AND NOT regexp_matches({piece('url', 'path')}, '(?i)\\.css$') GROUP BY page_id) SELECT article_id, status, coalesce(origin, '') AS origin, CASE WHEN origin IS NULL THEN 'untraced' ELSE 'traced' END AS trace_status FROM articles LEFT JOIN o ON page_id = article_id",
 }
+
+SURE = r"(?i)\b(?:not|no|without|never|failed|unavailable|rumored|rumour|pending|intent(?:s|ion)?|intend(?:s|ed)?|plans?\s+to|will|shall|may|might|could|preview|demo)\b|未|没有|待|计划|拟|预计|(?:^|[^已])将|意图|打算|传闻|据称|可能|预览|演示"
+RULES = [
+    ("model", "entity", "(?i)(?:apache|mozilla)|(?i)(?:public licen[sc]e)", ["version", "license"]), ("agent", "tool_call", r"\btoken\b", ["password", "secret", "key"]),
+    ("coding", "code_gen", r"[a-z]+tion [a-z]+ing\b", ["thing", "inter", "ouea"]), ("multimodal", "quality", "", ["des", "les", "der"]), ("data_eval", "coverage", "模型.{0,9}上线", ["训练"]),
+]
+
+
+def tested(direction: str, dimension: str, strong: str, weak: list[str]) -> str:
+    first = f"list_filter(sure, lambda s: regexp_matches(s, '{strong}'))[1]" if strong else "NULL::VARCHAR"
+    held = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in weak)
+    return f"SELECT doc_id, '{direction}' AS direction, '{dimension}' AS dimension, {first} AS quote, {held} AS weak FROM s"
+
+
+ORACLE |= {
+    "evidence_patterns": f"WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '模型训练后上线。' WHEN 1 THEN '模型计划上线。' ELSE '' END || text AS text FROM documents), s AS (SELECT doc_id, sure, lower(array_to_string(sure, chr(10))) AS low FROM (SELECT doc_id, list_filter({sentences('text')}, lambda s: NOT regexp_matches(s, '{SURE}')) AS sure FROM d)), e AS ({' UNION ALL '.join(tested(*r) for r in RULES)}) SELECT doc_id, direction, dimension, CAST(CASE WHEN quote IS NOT NULL THEN 5 ELSE 2.5 END AS DOUBLE) AS score, md5(coalesce(quote, '')) AS quote_md5 FROM e WHERE quote IS NOT NULL OR weak >= 2",
+    "score_combine": f"WITH {EVIDENCE}, c AS (SELECT direction, dimension, CAST(CASE WHEN doc_id % 3 <> 0 THEN score ELSE least(score, 2.5) END AS DOUBLE) AS score FROM evidence WHERE score IS NOT NULL) SELECT direction, dimension, score, count(*) AS n FROM c GROUP BY ALL",
+    "parse_dispatch": f"SELECT page_id AS source_id, ['web', 'api', 'rss', 'ftp', 'api'][page_id % 5 + 1] AS feed_type, CASE WHEN page_id % 5 = 0 THEN coalesce({title('html')}, '') WHEN page_id % 5 IN (1, 2) THEN 't' || page_id ELSE '' END AS title, CASE WHEN page_id % 5 < 2 THEN url WHEN page_id % 5 = 2 THEN 'g' || page_id ELSE '' END AS url, CASE page_id % 5 WHEN 3 THEN 'unknown_type' WHEN 4 THEN 'no_items' END AS error FROM pages",
+}

@@ -431,6 +431,38 @@ def publish_score(spark, sf):
     return rated.select("doc_id", "primary_direction", "primary_score", F.col("quality.total").alias("quality"), "publish_score")
 
 
+RULES = [
+    ("model", "entity", [r"(?i)apache|mozilla", r"(?i)public licen[sc]e"], ["version", "license"]), ("agent", "tool_call", [r"\btoken\b"], ["password", "Secret", "key"]),
+    ("coding", "code_gen", [r"[a-z]+tion [a-z]+ing\b"], ["thing", "inter", "ouea"]), ("multimodal", "quality", [], ["des", "les", "der"]), ("data_eval", "coverage", [r"模型.{0,9}上线"], ["训练"]),
+]
+
+
+@query
+def evidence_patterns(spark, sf):
+    """Evidence by patterns and phrases; every fifth text has a Chinese sentence, sure or planned."""
+    said = F.when(F.col("doc_id") % 5 == 0, "模型训练后上线。").when(F.col("doc_id") % 5 == 1, "模型计划上线。").otherwise("")
+    found = scoring.pattern_evidence(T.table(spark, sf, "documents").select("doc_id", F.concat(said, "text").alias("text")), RULES)
+    return found.select("doc_id", "direction", "dimension", "score", F.md5(F.coalesce("quote", F.lit(""))).alias("quote_md5"))
+
+
+@query
+def score_combine(spark, sf):
+    """Given scores, of which every third document has none, with rule scores in their place, halved."""
+    rules = evidence_of(spark, sf).select(F.col("doc_id").alias("article_id"), "direction", "dimension", "score")
+    out = roles.combined(rules.withColumn("score", F.when(F.col("article_id") % 3 != 0, F.col("score")).otherwise(0.0)), rules)
+    return out.groupBy("direction", "dimension", "score").agg(F.count("*").alias("n"))
+
+
+@query
+def parse_dispatch(spark, sf):
+    """Raw bodies of all types made of pages; one in five of a type that no parser knows."""
+    p, i = T.table(spark, sf, "pages"), F.col("page_id")
+    payload = F.concat(F.lit("{\"items\":["), F.to_json(F.struct(F.concat(F.lit("t"), i).alias("title"), F.col("url").alias("link"))), F.lit("]}"))
+    feed = F.concat(F.lit("<rss><channel><item><title>t"), i, F.lit("</title><guid>g"), i, F.lit("</guid></item></channel></rss>"))
+    raw = p.select(i.alias("source_id"), T.chosen([" Web ", "API", "rss", "ftp", "api"], i % 5).alias("feed_type"), F.when(i % 5 == 0, F.col("html")).when(i % 5 == 1, payload).when(i % 5 == 2, feed).otherwise("{}").alias("raw"), "url")
+    return parse.dispatched(raw).select("source_id", "feed_type", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "error")
+
+
 @query
 def insert_if_absent(spark, sf):
     every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")

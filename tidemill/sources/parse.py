@@ -50,6 +50,23 @@ def page_items(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", texts.page_title(html).alias("title"), F.when(long, F.substring(text, 1, 10000)).otherwise(told).alias("content"), kind.alias("content_kind"), blocked(html).alias("blocked"))
 
 
+def dispatched(raw: DataFrame) -> DataFrame:
+    """(source_id, feed_type, title, url, content, error) of raw (source_id, feed_type, raw, url): each row by its type's parser.
+
+    Types are compared without case and outer spaces. An unknown type, or a body of which the parser makes nothing, gives a
+    row with an error and no item; nothing raises.
+    """
+    kind = F.lower(F.trim("feed_type"))
+    rows = raw.select("source_id", F.coalesce(kind, F.lit("")).alias("feed_type"), F.col("raw"), "url")
+    feeds = feed_items(rows.where(F.col("feed_type").isin("rss", "atom")).select("source_id", F.col("raw").alias("xml")))
+    payloads = api_items(rows.where("feed_type = 'api'").select("source_id", F.col("raw").alias("json")))
+    pages = page_items(rows.where("feed_type = 'web'").select(F.col("source_id").alias("page_id"), "url", F.col("raw").alias("html"))).withColumnRenamed("page_id", "source_id")
+    found = feeds.select("source_id", "title", "url", "content").unionByName(payloads.select("source_id", "title", "url", "content")).unionByName(pages.select("source_id", "title", "url", "content"))
+    error = F.when(~F.col("feed_type").isin("rss", "atom", "api", "web"), "unknown_type").when(F.col("found").isNull(), "no_items")
+    told = rows.select("source_id", "feed_type").join(found.select("*", F.lit(True).alias("found")), "source_id", "left")
+    return told.select("source_id", "feed_type", "title", "url", "content", error.alias("error"))
+
+
 def blocked(html: Column) -> Column:
     """Whether the first 20,000 characters look like a captcha, a login or a missing page."""
     head = F.lower(F.substring(html, 1, 20000))
