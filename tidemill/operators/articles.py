@@ -84,10 +84,10 @@ def distinct_items(items: DataFrame, key: str) -> DataFrame:
             return items.join(stays.select(F.col("at.k").alias(key)), key, "left_semi")
 
 
-def fresh(items: DataFrame, history: DataFrame) -> DataFrame:
-    """items of which neither dedup_url nor content_hash stands in history: two anti joins."""
+def fresh(items: DataFrame, history: DataFrame, recent: DataFrame | None = None) -> DataFrame:
+    """items of which neither dedup_url nor content_hash stands in history: two anti joins. recent: what hashes are compared with, if less than URLs."""
     by_url = items.join(history.select("dedup_url").distinct(), "dedup_url", "left_anti")
-    return by_url.join(history.select("content_hash").distinct(), "content_hash", "left_anti")
+    return by_url.join((history if recent is None else recent).select("content_hash").distinct(), "content_hash", "left_anti")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -104,10 +104,11 @@ def duplicate_gates(batch: DataFrame, history: DataFrame) -> DataFrame:
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("article_id", "collected_at", F.col("dedup_url").alias("same_url"), texts.title_key(F.col("title")).alias("same_title"))
 
-    new, old, out = keyed(batch), keyed(history), keyed(batch)
+    out, at = keyed(batch), F.struct("collected_at", "article_id")
+    both = out.withColumn("old", F.lit(False)).unionByName(keyed(history).withColumn("old", F.lit(True)))
     for kind in ("same_url", "same_title"):
-        first = lambda df: df.where(F.col(kind) != "").groupBy(kind).agg(F.min_by("article_id", F.struct("collected_at", "article_id")).alias("owner"))  # noqa: B023, E731
-        out = out.join(first(old).withColumnRenamed("owner", f"old_{kind}"), kind, "left").join(first(new).withColumnRenamed("owner", f"new_{kind}"), kind, "left")
+        owners = both.where(F.col(kind) != "").groupBy(kind).agg(F.min(F.when(F.col("old"), at))["article_id"].alias(f"old_{kind}"), F.min(F.when(~F.col("old"), at))["article_id"].alias(f"new_{kind}"))
+        out = out.join(owners, kind, "left")
     reason = F.coalesce(
         *(F.when(F.col(f"old_{k}") != F.col("article_id"), k) for k in ("same_url", "same_title")),
         *(F.when(F.col(f"new_{k}") != F.col("article_id"), k.replace("same", "same_batch")) for k in ("same_url", "same_title")),

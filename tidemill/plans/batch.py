@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import times
 from tidemill.operators import articles as A
 from tidemill.operators import scoring
 from tidemill.plans import vocabulary as V
@@ -31,7 +32,7 @@ class Outcome:
         self.scores.unpersist()
 
 
-def run(items: DataFrame, history: DataFrame, lexicon: DataFrame, as_of: Column, ports: Ports, signals: str, spam: str, negations: list[str], settings: Settings = Settings()) -> Outcome:
+def run(items: DataFrame, history: DataFrame, lexicon: DataFrame, as_of: Column, ports: Ports, signals: str, spam: str, negations: list[str], settings: Settings = Settings(), organisations: tuple[str, ...] = ()) -> Outcome:
     """items: item_id, title, url, content, source_name, tier, origin_policy, published_at; history: dedup_url, content_hash, collected_at.
 
     Normalise, deduplicate in the batch and against history, filter, find evidence once for classes and scores alike, then
@@ -40,18 +41,41 @@ def run(items: DataFrame, history: DataFrame, lexicon: DataFrame, as_of: Column,
     """
     every = A.normalized(items)
     recent = history.where(F.col("collected_at") >= as_of - F.make_dt_interval(F.lit(settings.history_days)))
-    kept = A.fresh(A.batch_winners(every.where("drop_reason IS NULL")), recent)
+    kept = A.fresh(A.batch_winners(every.where("drop_reason IS NULL")), history, recent)
     decision = scoring.filter_decision(F.col("title"), F.col("content"), F.col("published_at"), as_of, signals, spam, settings.stale_days)
     filtered = kept.withColumn("filter", decision).persist()
     texts = filtered.where("filter.decision <> 'reject'").select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", "title", "content").alias("text"))
     dimensions = V.dimensions(items.sparkSession)
     scores = scoring.direction_scores(scoring.evidence(texts, lexicon, negations), dimensions).persist()
     classes = scoring.classified(scores, dimensions.select("direction", "direction_no").distinct())
-    best = scores.groupBy("doc_id").agg(F.max("total_score").alias("score"))
+    order = dimensions.select("direction", "direction_no").distinct()
+    rated = scoring.rule_scores(filtered.select(F.col("item_id").alias("doc_id"), "title", F.col("content").alias("text"), "tier"), scores, order, organisations)
+    best = rated.select("doc_id", F.col("publish_score").alias("score"))
     joined = ports.score(filtered.join(best, F.col("item_id") == F.col("doc_id"), "left").drop("doc_id").join(classes.withColumnRenamed("doc_id", "item_id").select("item_id", F.col("status").alias("class"), "direction"), "item_id", "left"))
     status = (
         F.when(F.col("filter.decision") == "reject", "blocked").when(F.col("filter.decision") == "review", "pending_review")
-        .when((F.col("class") == "classified") & F.col("ai_scores").isNotNull() & (F.least(F.lit(100), 2 * F.col("score")) >= settings.publish_least), "published").otherwise("draft")
+        .when((F.col("class") == "classified") & F.col("ai_scores").isNotNull() & (F.col("score") >= settings.publish_least), "published").otherwise("draft")
     )
     done = joined.withColumn("status", status).withColumn("exclude_reason", F.when(F.col("filter.decision") != "candidate", F.col("filter.reason_code")))
-    return Outcome(every.where("drop_reason IS NOT NULL"), kept, filtered, classes, scores, done.select("item_id", "title", "dedup_url", "content_hash", "source_name", "status", "direction", "score", "exclude_reason"))
+    return Outcome(every.where("drop_reason IS NOT NULL"), kept, filtered, classes, scores, done.select("item_id", "title", "dedup_url", "content_hash", "source_name", "status", "direction", "score", "exclude_reason", "published_at"))
+
+
+def published(articles: DataFrame, clusters: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What follows publication: the front page (article_id, rank, reason) and each Shanghai day's digest (day, article_count, summary).
+
+    articles: as run() gives them; clusters: article_id, cluster_key.
+    """
+    shown = articles.where("status = 'published'").withColumnRenamed("item_id", "article_id").join(clusters.select("article_id", F.col("cluster_key").alias("cluster_id")), "article_id", "left")
+    return A.front_page(shown, limit), digests(shown.where("direction IS NOT NULL"))
+
+
+def digests(shown: DataFrame, best: int = 10) -> DataFrame:
+    """(day, article_count, summary): numbered lines of each day's best articles. A day's rows are cut in 64 parts before they are ranked."""
+    dated = shown.withColumn("day", times.shanghai_day(F.col("published_at")).cast("string"))
+    order = [F.desc("score"), F.col("article_id")]
+    part = F.row_number().over(Window.partitionBy("day", F.pmod(F.xxhash64("article_id"), F.lit(64))).orderBy(*order))
+    few = dated.withColumn("part", part).where(F.col("part") <= best)
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("title"))
+    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy(*order))).where(F.col("n") <= best)
+    top = ranked.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "；").alias("summary"))
+    return top.join(dated.groupBy("day").agg(F.count("*").alias("article_count")), "day")

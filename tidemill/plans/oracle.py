@@ -313,3 +313,28 @@ ORACLE |= {
     "score_combine": f"WITH {EVIDENCE}, c AS (SELECT direction, dimension, CAST(CASE WHEN doc_id % 3 <> 0 THEN score ELSE least(score, 2.5) END AS DOUBLE) AS score FROM evidence WHERE score IS NOT NULL) SELECT direction, dimension, score, count(*) AS n FROM c GROUP BY ALL",
     "parse_dispatch": f"SELECT page_id AS source_id, ['web', 'api', 'rss', 'ftp', 'api'][page_id % 5 + 1] AS feed_type, CASE WHEN page_id % 5 = 0 THEN coalesce({title('html')}, '') WHEN page_id % 5 IN (1, 2) THEN 't' || page_id ELSE '' END AS title, CASE WHEN page_id % 5 < 2 THEN url WHEN page_id % 5 = 2 THEN 'g' || page_id ELSE '' END AS url, CASE page_id % 5 WHEN 3 THEN 'unknown_type' WHEN 4 THEN 'no_items' END AS error FROM pages",
 }
+
+
+def inside(c: str, tag: str) -> str:
+    return rf"nullif(regexp_extract({c}, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '')"
+
+
+def bare(c: str) -> str:
+    for tag in ("nav", "header", "footer", "aside", "form"):
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')"
+    return c
+
+
+BARE = "regexp_replace(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')"
+ORACLE |= {
+    "page_items": f"""WITH p AS (SELECT page_id, html, {title('html')} AS title, coalesce({inside('html', 'article')}, {inside('html', 'main')}, {inside('html', 'body')}, '') AS body, nullif(regexp_extract(html, '(?i)<meta[^>]+name="description"[^>]+content="([^"]*)"', 1), '') AS told, lower(left(html, 20000)) AS head FROM pages),
+        b AS (SELECT *, {bare('body')} AS cut FROM p), t AS (SELECT *, {plain_html('cut')} AS text FROM b)
+        SELECT page_id, title, md5(coalesce(CASE WHEN length(text) >= 40 THEN left(text, 10000) ELSE told END, '')) AS content_md5, CASE WHEN length(text) >= 40 THEN 'full' WHEN told IS NOT NULL THEN 'summary' ELSE 'missing' END AS content_kind,
+          regexp_matches(head, 'captcha|verify you are human') OR (regexp_matches(head, 'log ?in|sign ?in') AND contains(head, 'type="password"')) OR regexp_matches(head, '<title>[^<]*(?:404|not found)') AS blocked FROM t""",
+    "feed_items": rf"""WITH {ARTICLES}, f AS (SELECT article_id AS source_id, nullif(trim({BARE} || 'x'), '') AS title, 'https://f.example/' || article_id AS url, nullif(trim(regexp_replace(text, '[^\p{{L}}\p{{N}} .,]', ' ', 'g')), '') AS body FROM articles)
+        SELECT source_id, title, url, body AS content, CASE WHEN body IS NULL THEN 'missing' ELSE 'summary' END AS content_kind, '2024-01-02 10:00:00' AS published_at FROM f WHERE source_id % 2 = 0
+        UNION ALL SELECT source_id, 'y', 'g', NULL, 'missing', NULL FROM f WHERE source_id % 2 = 0 UNION ALL SELECT source_id, title, url, 's', 'summary', '2024-01-02 10:00:00' FROM f WHERE source_id % 2 = 1""",
+    "evidence_validate": rf"""WITH {ARTICLES}, i AS (SELECT article_id AS i, title, regexp_replace(lower(split_part(title, ' ', 1)), '[\s\p{{P}}\p{{S}}]', '', 'g') AS word FROM articles WHERE title <> ''), s AS (
+        SELECT CASE WHEN i % 2 = 0 THEN 'model' ELSE 'agent' END AS direction, CASE WHEN i % 5 = 0 OR {trimmed('title')} = '' THEN 0.0 WHEN i % 3 <> 0 AND NOT (i % 2 = 0 AND word <> '' AND i % 4 = 0) THEN 2.5 WHEN i % 3 = 0 THEN 2.5 ELSE 5.0 END AS score FROM i)
+        SELECT direction, CAST(score AS DOUBLE) AS score, count(*) AS n, count(*) FILTER (score > 0) AS quoted FROM s GROUP BY ALL""",
+}

@@ -11,7 +11,7 @@ from tidemill.operators import clusters, roles, scoring, sources, store
 from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
-from tidemill.sources import parse, ports
+from tidemill.sources import folders, parse, ports
 
 NOW_SECONDS = T.DAY0 + 20 * 86400
 ENTITIES = ["the", "der", "les", "los", "apache"]
@@ -233,13 +233,7 @@ def revalidation(spark, sf):
 @query
 def digest_day(spark, sf):
     """Published and directed articles of each Shanghai day, as numbered lines of the best ten."""
-    from pyspark.sql import Window
-
-    a = T.articles(spark, sf).where("status = 'published' AND direction IS NOT NULL AND score > 0").withColumn("day", times.shanghai_day(F.col("published_at")).cast("string"))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "article_id"))
-    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("title"))
-    top = a.withColumn("n", rank).where("n <= 10").groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "；").alias("summary"))
-    return top.join(a.groupBy("day").agg(F.count("*").alias("article_count")), "day")
+    return batch.digests(T.articles(spark, sf).where("status = 'published' AND direction IS NOT NULL AND score > 0"))
 
 
 @query
@@ -536,9 +530,12 @@ def rescore_pending(spark, sf):
 @query
 def batch_run(spark, sf):
     """The batch over pages against a history of pages: articles by status and reason."""
+    folders.shared_folder(spark)
     items = T.items(spark, sf).withColumn("published_at", F.timestamp_seconds(T.DAY0 + F.col("item_id") % 20 * 86400))
     history = A.normalized(items.where("item_id % 6 = 1")).where("drop_reason IS NULL").select("dedup_url", "content_hash", F.timestamp_seconds(F.lit(T.DAY0)).alias("collected_at"))
     ids = T.table(spark, sf, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("item_id"), F.lit("s").alias("ai_scores"))
     port = ports.lookup(ids, "item_id", ["ai_scores"])
     out = batch.run(items.where("item_id % 6 <> 1"), history, T.lexicon(spark, sf), now(), ports.Ports(port, port, port, port), SIGNALS, SPAM, NEGATIONS)
-    return out.articles.groupBy("status", F.coalesce("exclude_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+    counts = out.articles.groupBy("status", F.coalesce("exclude_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n")).checkpoint()  # the lineage ends here, so that what the run holds can go
+    out.release()
+    return counts
