@@ -213,3 +213,14 @@ def test_chinese_evidence_counts_only_what_is_sure(spark):
 
     got = scoring.pattern_evidence(spark.createDataFrame(list(texts_.items()), "doc_id int, text string"), rules).collect()
     assert {(r.doc_id, r.dimension, r.score) for r in got} == {(1, "code_gen", 5.0), (1, "engineering", 5.0), (1, "launch_status", 5.0), (3, "engineering", 2.5)}
+
+
+def test_addresses_in_other_forms_and_behind_redirects(spark):
+    for given, want in {"http://2130706433/": "address_form", "http://0x7f000001/": "address_form", "http://[::ffff:127.0.0.1]/": "invalid", "http://0177.0.0.1/": "address_form", "https://go.com/?url=http%3A%2F%2F10.0.0.1%2F": "private_address", "https://add.com/x": None, "https://8.8.8.8/": None}.items():
+        got = one(spark, urls.unsafe_target(F.col("u")), u=given)
+        assert got == want or (want == "invalid" and got is not None), (given, got)
+
+
+def test_edges_hold_items_in_nodes(spark):
+    got = parse.api_items(spark.createDataFrame([(1, '{"data":{"edges":[{"node":{"title":{"rendered":"T"},"link":"https://x.com"}}]}}')], "source_id int, json string")).collect()
+    assert [(r.title, r.url) for r in got] == [("T", "https://x.com")]

@@ -81,6 +81,7 @@ def unsafe_reason(url: Column) -> Column:
         .when(authority.contains("@"), "userinfo")
         .when(name.isin("localhost", "metadata.google.internal") | name.rlike(r"\.(?:local|internal|localhost)$"), "local_host")
         .when(F.regexp_extract(authority, r":([0-9]+)$", 1).isin(BLOCKED_PORTS), "port")
+        .when(name.rlike(r"^(?:0x[0-9a-f]+|[0-9]+)$") | name.rlike(r"^(?:[0-9a-fx]+\.)*0[0-9x][0-9a-f]*(?:\.[0-9a-fx]+)*$") & name.rlike(r"^[0-9a-fx.]+$"), "address_form")
         .when(name.rlike(r"^[0-9.]+$") & name.rlike(PRIVATE_V4), "private_address")
         .when(name.rlike(r"^\[|:"), "address_form")
     )
@@ -94,6 +95,11 @@ def unwrapped(url: Column, depth: int = 3) -> Column:
     return url
 
 
+def unsafe_target(url: Column) -> Column:
+    """unsafe_reason() of a URL, else of what its redirect parameters lead to."""
+    return F.coalesce(unsafe_reason(url), unsafe_reason(unwrapped(url)))
+
+
 def suffixes(name: Column) -> Column:
     """A host and its parent domains, for equality joins with lists of domains."""
     parts = F.split(name, r"\.")

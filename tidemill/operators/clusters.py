@@ -16,6 +16,12 @@ PER_KEY, PER_RECORD = 50, 80
 TERMS, ANCHORS, NEAR, FAR = 0.72, 0.28, 0.30, 0.42
 
 
+def history(articles: DataFrame, as_of: Column, hours: int = 72, most: int = 1200) -> DataFrame:
+    """Earlier articles that a new one may join: of the last hours, the newest first, most at most."""
+    recent = articles.where((F.col("collected_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col("collected_at") < as_of))
+    return recent.orderBy(F.desc("collected_at"), "article_id").limit(most)
+
+
 def features(articles: DataFrame, entities: list[str], stop: list[str] = ()) -> DataFrame:
     """article_id, ord, title_key, terms, models, entities, numbers, anchors of articles (article_id, ord, title, text)."""
     low = F.lower(F.concat_ws("\n", "title", "text"))

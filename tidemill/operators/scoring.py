@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
-from tidemill.plans.vocabulary import CAPPED, FULL, HALF, complete
+from tidemill.plans.vocabulary import CAPPED, FULL, HALF, NAMES, complete, normalized_direction
 
 
 def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
@@ -162,8 +162,16 @@ def origins(pages: DataFrame, static: str = r"(?i)\.(?:css|js|png|jpe?g|gif|svg|
 
 
 def merged_scores(rows: DataFrame) -> DataFrame:
-    """(article_id, direction, total_score, dimension_scores): the greatest total and the greatest of each dimension."""
+    """(article_id, direction, total_score, dimension_scores): the greatest total and the greatest of each dimension; older names of a direction are merged into it."""
+    rows = rows.withColumn("direction", F.coalesce(normalized_direction(F.col("direction")), F.col("direction")))
     totals = rows.groupBy("article_id", "direction").agg(F.max("total_score").alias("total_score"))
     each = rows.select("article_id", "direction", F.explode("dimension_scores").alias("dimension", "score")).groupBy("article_id", "direction", "dimension").agg(F.max("score").alias("score"))
     maps = each.groupBy("article_id", "direction").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "score")))).alias("dimension_scores"))
     return totals.join(maps, ["article_id", "direction"], "left")
+
+
+def nine_rows(merged: DataFrame) -> DataFrame:
+    """merged_scores() with a row for each direction of every article that has any: zero where there is none."""
+    every = merged.select("article_id").distinct().select("article_id", F.explode(F.array(*map(F.lit, NAMES))).alias("direction"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return every.join(merged, ["article_id", "direction"], "left").select("article_id", "direction", F.coalesce("total_score", F.lit(0)).alias("total_score"), F.coalesce("dimension_scores", none).alias("dimension_scores"))

@@ -338,3 +338,9 @@ ORACLE |= {
         SELECT CASE WHEN i % 2 = 0 THEN 'model' ELSE 'agent' END AS direction, CASE WHEN i % 5 = 0 OR {trimmed('title')} = '' THEN 0.0 WHEN i % 3 <> 0 AND NOT (i % 2 = 0 AND word <> '' AND i % 4 = 0) THEN 2.5 WHEN i % 3 = 0 THEN 2.5 ELSE 5.0 END AS score FROM i)
         SELECT direction, CAST(score AS DOUBLE) AS score, count(*) AS n, count(*) FILTER (score > 0) AS quoted FROM s GROUP BY ALL""",
 }
+
+ORACLE |= {
+    "fetch_checks": f"SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'unknown_type' WHEN ['web', 'web', 'api'][page_id % 3 + 1] <> ['rss', 'web', 'api'][page_id % 4 + 1] THEN 'format_mismatch' END AS problem, CASE page_id % 3 WHEN 0 THEN page_id * 7000 WHEN 2 THEN (1705968000 - {NOW}) * 1000 END AS wait_ms FROM pages",
+    "nine_scores": f"WITH {ARTICLES}, d AS (SELECT unnest({texts(NAMES)}) AS name), a AS (SELECT * FROM articles WHERE direction IS NOT NULL), t AS (SELECT article_id, direction, max(score + run * (article_id % 7)) AS total FROM a, (VALUES (0), (1)) v(run) GROUP BY ALL) SELECT d.name AS direction, count(*) AS n, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(count(total) * 4 AS BIGINT) AS dimensions FROM a CROSS JOIN d LEFT JOIN t ON t.article_id = a.article_id AND t.direction = d.name GROUP BY d.name",
+    "cluster_history": f"WITH {ARTICLES} SELECT article_id, {stamp('collected_at')} AS collected_at FROM (SELECT * FROM articles WHERE collected_at >= {at(str(NOW - 72 * 3600))} AND collected_at < {at(str(NOW))} ORDER BY collected_at DESC, article_id LIMIT 1200)",
+}

@@ -457,6 +457,26 @@ def parse_dispatch(spark, sf):
     return parse.dispatched(raw).select("source_id", "feed_type", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "error")
 
 
+@query
+def fetch_checks(spark, sf):
+    """What a fetch is checked for: a body that contradicts its declared type, and how long a server asks to wait."""
+    p, i = T.table(spark, sf, "pages"), F.col("page_id")
+    problem = parse.format_problem(T.chosen(["rss", " Web", "API", "odd"], i % 4), T.chosen([None, "text/html", "application/json"], i % 3), F.col("html"))
+    wait = F.when(i % 3 == 0, (i * 7).cast("string")).when(i % 3 == 1, "soon").otherwise("Tue, 23 Jan 2024 00:00:00 GMT")
+    return p.select("page_id", problem.alias("problem"), parse.retry_after_ms(wait, now()).cast("long").alias("wait_ms"))
+
+
+@query
+def nine_scores(spark, sf):
+    rows = scoring.nine_rows(scoring.merged_scores(score_rows(spark, sf)))
+    return rows.groupBy("direction").agg(F.count("*").alias("n"), F.sum("total_score").alias("total"), F.sum(F.size("dimension_scores")).alias("dimensions"))
+
+
+@query
+def cluster_history(spark, sf):
+    return clusters.history(T.articles(spark, sf), now()).select("article_id", stamp(F.col("collected_at")).alias("collected_at"))
+
+
 @query
 def insert_if_absent(spark, sf):
     every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")

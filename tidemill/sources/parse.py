@@ -10,7 +10,7 @@ from tidemill.functions import texts, times
 RSS = "channel struct<title:string,item:array<struct<title:string,link:string,guid:string,pubDate:string,description:string,`content:encoded`:string>>>"
 ATOM = "title string, entry array<struct<title:string,link:struct<_href:string>,id:string,updated:string,published:string,summary:string,content:string>>"
 #: Names under which an interface's list of items and their fields are looked for, in order.
-LISTS = ["items", "data", "results", "articles", "posts"]
+LISTS = ["items", "data", "results", "articles", "posts", "edges"]
 TITLES, LINKS, BODIES, TIMES_ = ["title", "name", "headline"], ["url", "link", "html_url"], ["content", "body", "summary", "description"], ["published_at", "publishedAt", "created_at", "date"]
 
 
@@ -36,6 +36,7 @@ def api_items(payloads: DataFrame) -> DataFrame:
     lists = [F.try_variant_get(parsed, f"$.{n}", "array<variant>") for n in LISTS] + [F.try_variant_get(parsed, f"$.data.{n}", "array<variant>") for n in LISTS] + [F.try_variant_get(parsed, "$", "array<variant>")]
     pick = lambda names: F.coalesce(*(F.nullif(F.try_variant_get("i", p, "string"), F.lit("")) for n in names for p in (f"$.{n}.rendered", f"$.{n}")))
     each = payloads.select("source_id", F.explode(F.coalesce(*lists)).alias("i"))
+    each = each.select("source_id", F.coalesce(F.try_variant_get("i", "$.node", "variant"), F.col("i")).alias("i"))  # edges hold their items in nodes
     return each.select("source_id", pick(TITLES).alias("title"), pick(LINKS).alias("url"), pick(BODIES).alias("content"), times.parsed_date(pick(TIMES_)).alias("published_at"))
 
 
@@ -86,7 +87,7 @@ def retry_after_ms(value: Column, now: Column) -> Column:
     """Milliseconds that a Retry-After header asks for: seconds or a date, 0 at least; null if neither."""
     seconds = F.try_to_number(F.when(value.rlike("^[0-9]{1,9}$"), value), F.lit("999999999")).cast("long") * 1000
     until = times.parsed_date(F.when(~value.rlike("^[0-9]+$"), value))
-    return F.coalesce(seconds, F.greatest(F.lit(0), (F.unix_timestamp(until) - F.unix_timestamp(now)) * 1000))
+    return F.coalesce(seconds, F.when(until.isNotNull(), F.greatest(F.lit(0), (F.unix_timestamp(until) - F.unix_timestamp(now)) * 1000)))
 
 
 def ranked_hotlist(entries: DataFrame) -> DataFrame:
