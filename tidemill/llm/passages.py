@@ -163,21 +163,21 @@ def units(documents: DataFrame) -> DataFrame:
 
 
 def shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(unit, shingles array<long>) of the wanted units (unit, doc_id, start, until)."""
-    listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "start", "until")).alias("wanted"))
+    """(unit, cluster, shingles array<long>) of the wanted units (unit, cluster, doc_id, start, until)."""
+    listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "cluster", "start", "until")).alias("wanted"))
     texts = documents.select("doc_id", "text").join(small(stored(listed, "wanted")), "doc_id")
 
     def of(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [(w["unit"], x[w["start"] : w["until"]]) for x, ws in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for w in ws if x]
+            found = [((w["unit"], w["cluster"]), x[w["start"] : w["until"]]) for x, ws in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for w in ws if x]
             for at, texts in chunks([t for _, t in found]):
                 chunk = Chunk(texts, hashes)
                 names = chunk.units(chunk.bounds[:-1], chunk.bounds[1:])
-                own = [(u, np.unique(chunk.shingles[a : b - SHINGLE + 1]).view(np.int64)) for (u, _), name, a, b in zip(found[at : at + len(texts)], names, chunk.bounds, chunk.bounds[1:], strict=False) if name == u]
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in own], pa.int64()), pa.array([x for _, x in own], pa.list_(pa.int64()))], ["unit", "shingles"])
+                own = [(*u, np.unique(chunk.shingles[a : b - SHINGLE + 1]).view(np.int64)) for (u, _), name, a, b in zip(found[at : at + len(texts)], names, chunk.bounds, chunk.bounds[1:], strict=False) if name == u[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["unit", "cluster", "shingles"])
 
-    found = stored(texts.mapInArrow(of, "unit long, shingles array<long>"), "shingles")
+    found = stored(texts.mapInArrow(of, "unit long, cluster long, shingles array<long>"), "shingles")
     return found if found.count() == wanted.count() else found.dropDuplicates(["unit"])  # rows that repeat a doc_id repeat its units
 
 
@@ -230,6 +230,30 @@ def verified(members: DataFrame, sets: DataFrame, least: float, block: int | Non
     return paired_blocks(members, ["band"], "unit", block, rows).join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
 
 
+def clustered(members: DataFrame) -> DataFrame:
+    """(unit, cluster) of candidates (unit, band): what bands connect; a cluster's name is its smallest unit."""
+    low = small(stored(members.groupBy("band").agg(F.min("unit").alias("low")), "lows"))
+    edges = members.join(low, "band").select(F.col("unit").alias("a"), F.col("low").alias("b"))
+    return connected_components(edges).select(F.col("id").alias("unit"), F.col("component").alias("cluster"))
+
+
+def links(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
+    """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, cluster, shingles) are similar by least.
+
+    Each unit meets its cluster's first one. Where all are similar to that, or there are only two, nothing is left to ask;
+    the units of other clusters meet band by band.
+    """
+    pivots = sets.where("unit = cluster").select("cluster", F.col("shingles").alias("pivot"))
+    shared = F.size(F.array_intersect("shingles", "pivot"))
+    near = shared >= least * (F.size("shingles") + F.size("pivot") - shared) - 1e-9
+    told = stored(sets.where("unit <> cluster").join(small(pivots), "cluster").select("unit", "cluster", near.alias("near")), "told")
+    open_ = told.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0 AND n > 1").select("cluster")
+    own = sets.select("unit", "cluster").join(small(stored(open_, "open")), "cluster", "left_semi").select("unit")
+    own = small(stored(own, "own"))
+    rest = verified(members.join(own, "unit"), sets.select("unit", "shingles").join(own, "unit"), least, block, rows)
+    return told.where("near").select(F.col("unit").alias("a"), F.col("cluster").alias("b")).unionByName(rest)
+
+
 def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     """(doc_id, start, until, component, first, across, first_doc): every unit that occurs at more than one place.
 
@@ -240,14 +264,14 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     table = stored(units(documents), "units")
     bands = table.select("unit", F.explode("bands").alias("band"))
     members = candidates(bands)
+    clusters = clustered(members)
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
-    linked = small(stored(members.select("unit").distinct(), "linked"))
-    repeated = small(stored(again.union(linked).distinct(), "repeated"))  # a table of its own, so that a join with a unit that a third of the texts hold can be split
+    repeated = small(stored(again.union(clusters.select("unit")).distinct(), "repeated"))  # a table of its own, so that a join with a unit that a third of the texts hold can be split
     every = stored(table.select("doc_id", "start", "until", "unit").join(repeated, "unit"), "every")
-    wanted = every.join(linked, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "at.*")
+    wanted = every.join(small(clusters), "unit").groupBy("unit", "cluster").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "cluster", "at.*")
     sets = shingles(documents, stored(wanted, "wanted"))
 
-    named = connected_components(verified(members, sets, least))
+    named = connected_components(links(members, sets, least))
     known = every.join(named.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     within = Window.partitionBy("component", "doc_id")
     place = within.orderBy("until", "start")  # a text that repeats a line comes after its lines and joins none of them
