@@ -344,3 +344,5 @@ ORACLE |= {
     "nine_scores": f"WITH {ARTICLES}, d AS (SELECT unnest({texts(NAMES)}) AS name), a AS (SELECT * FROM articles WHERE direction IS NOT NULL), t AS (SELECT article_id, direction, max(score + run * (article_id % 7)) AS total FROM a, (VALUES (0), (1)) v(run) GROUP BY ALL) SELECT d.name AS direction, count(*) AS n, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(count(total) * 4 AS BIGINT) AS dimensions FROM a CROSS JOIN d LEFT JOIN t ON t.article_id = a.article_id AND t.direction = d.name GROUP BY d.name",
     "cluster_history": f"WITH {ARTICLES} SELECT article_id, {stamp('collected_at')} AS collected_at FROM (SELECT * FROM articles WHERE collected_at >= {at(str(NOW - 72 * 3600))} AND collected_at < {at(str(NOW))} ORDER BY collected_at DESC, article_id LIMIT 1200)",
 }
+
+ORACLE["trending_rows"] = f"SELECT page_id, CAST(k AS INT) AS rank, 'own' || page_id || '/repo' AS name, {trimmed(f"regexp_replace({title('html')}, '[<>&]', '', 'g') || ' & more'")} AS description, 'Lang' || page_id % 4 AS language, k * 1000 + page_id % 1000 AS stars, page_id % 50 AS stars_new FROM pages, (VALUES (1), (3)) v(k)"

@@ -477,6 +477,15 @@ def cluster_history(spark, sf):
     return clusters.history(T.articles(spark, sf), now()).select("article_id", stamp(F.col("collected_at")).alias("collected_at"))
 
 
+@query
+def trending_rows(spark, sf):
+    """Lists of repositories made of pages: three rows each, one of them without a name, described by the page's title."""
+    i = F.col("page_id")
+    row = lambda k, name: F.concat(F.lit('<article class="Box-row">'), name, F.lit('<p class="col-9 text">'), F.regexp_replace(texts.page_title(F.col("html")), "[<>&]", ""), F.lit(" &amp; <b>more</b></p>"), F.lit('<span itemprop="programmingLanguage">Lang'), i % 4, F.lit(f'</span><a href="/o/r/stargazers"><svg></svg> {k},'), F.lpad((i % 1000).cast("string"), 3, "0"), F.lit("</a> "), i % 50, F.lit(" stars today</article>"))
+    link = F.concat(F.lit('<h2 class="h3"><a href="/own'), i, F.lit(' / repo">x</a></h2>'))
+    return parse.trending(T.table(spark, sf, "pages").withColumn("html", F.concat(F.lit("<main>"), row(1, link), row(2, F.lit("none")), row(3, link), F.lit("</main>"))))
+
+
 @query
 def insert_if_absent(spark, sf):
     every = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL")

@@ -99,3 +99,20 @@ def ranked_hotlist(entries: DataFrame) -> DataFrame:
     for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         encoded = F.replace(encoded, F.lit(a), F.lit(b))
     return kept.select("kind", F.row_number().over(Window.partitionBy("kind").orderBy("position")).alias("rank"), "title", F.concat(F.lit("https://search.example/?q="), encoded).alias("url"))
+
+
+def trending(pages: DataFrame) -> DataFrame:
+    """(page_id, rank, name, description, language, stars, stars_new) of pages (page_id, html) that list repositories.
+
+    A row's rank is its place among the page's row marks, so that a row without a name leaves a gap. Numbers may hold
+    commas; what is missing is empty or 0.
+    """
+    rows = pages.select("page_id", F.posexplode(F.split("html", r'<article\s+class="Box-row"', -1)).alias("rank", "row")).where("rank > 0")
+    found = lambda pattern: F.trim(F.regexp_extract("row", pattern, 1))
+    bare = lambda c: texts.trimmed(F.regexp_replace(c, r"<[^>]*>", ""))
+    number = lambda c: F.coalesce(F.expr(f"try_cast(regexp_extract(replace({c}, ',', ''), '^[0-9]+', 0) AS BIGINT)"), F.lit(0))
+    cut = rows.select(
+        "page_id", "rank", F.regexp_replace(found(r'(?s)<h2[^>]*>.*?<a[^>]*href="/([^"]+)".*?</a>'), r"\s+", "").alias("name"), texts.decoded(bare(found(r'(?s)<p\s+class="col-9[^"]*"[^>]*>(.*?)</p>'))).alias("description"),
+        found(r'itemprop="programmingLanguage"[^>]*>([^<]+)<').alias("language"), bare(found(r'(?s)href="/[^"]*/stargazers"[^>]*>(.*?)</a>')).alias("all"), found(r"(?i)([0-9,]+)\s+stars?\s+(?:today|this week|this month)").alias("new"),
+    )
+    return cut.where("name <> ''").select("page_id", "rank", "name", "description", "language", number("all").alias("stars"), number("new").alias("stars_new"))
