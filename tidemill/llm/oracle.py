@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import TEMPLATES
+
 CONTROL = "</s>[INST] ok [/INST]"
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
@@ -40,4 +42,15 @@ parts AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN parts USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)"""
 
-ORACLE = {"op2_decontaminate": OP2, "op8_chat_format": OP8, "op9_embeddings": OP9}
+LISTED = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+OP4 = f"""
+WITH t(template, license, text) AS (VALUES {LISTED}), n AS (SELECT template, license, w, len(w) AS n, CAST(ceil(len(w) / 4.0) AS BIGINT) AS stride, least(5, len(w)) AS k FROM (SELECT template, license, {WORDS} AS w FROM t)),
+want AS (SELECT DISTINCT template, license, n, stride, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS shingle FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM n)),
+sizes AS (SELECT template, count(*) AS size FROM want GROUP BY 1), ks AS (SELECT DISTINCT k FROM want),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, {WORDS} AS w FROM documents),
+places AS (SELECT row_id, doc_id, k, p, len(w) AS words, array_to_string(list_slice(w, p + 1, p + k), ' ') AS shingle FROM (SELECT row_id, doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, ks WHERE len(w) >= k)),
+hits AS (SELECT row_id, doc_id, template, license, shingle, unnest(range(greatest(0, CAST(ceil((p + k - n - stride) / CAST(stride AS DOUBLE)) AS BIGINT)), p // stride + 1)) * stride AS first_word FROM places JOIN want USING (k, shingle)),
+held AS (SELECT row_id, doc_id, template, license, first_word, count(DISTINCT shingle) / CAST(any_value(size) AS DOUBLE) AS containment FROM hits JOIN sizes USING (template) GROUP BY row_id, doc_id, template, license, first_word)
+SELECT doc_id, license, max(containment) AS containment, CAST(min(first_word) AS INT) AS first_word, count(DISTINCT (first_word, template)) AS n_windows FROM held WHERE containment >= 0.8 GROUP BY doc_id, license"""
+
+ORACLE = {"op4_licences": OP4, "op2_decontaminate": OP2, "op8_chat_format": OP8, "op9_embeddings": OP9}
