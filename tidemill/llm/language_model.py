@@ -34,18 +34,23 @@ K = 5  # counts up to K are discounted
 ORDER = 2
 BEGIN = -1  # the context at a text's beginning
 STOP = 1  # the name of a text's end
-BLOCK, BUCKET = 1 << 20, 1 << 20  # tokens of a block, and for which there is a bucket
+BLOCK, BUCKET = 1 << 20, 1 << 20  # tokens of a block, and for which there is a bucket; there are MOST buckets until these have four times as many, so that messages stay large
+MOST, FEW = 2000, 24
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers by place of their bytes, compressed: small ones cost little."""
+    """Numbers by place of their bytes, compressed: small ones cost little. A few are sent as they are."""
     flat = np.ascontiguousarray(numbers)
-    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes())
+    if len(flat) < FEW:
+        return b"=" + flat.tobytes()
+    return b"z" + zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes())
 
 
 def unpacked(raw: bytes, kind: type = np.int64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
+    if raw[:1] == b"=":
+        return np.frombuffer(raw, kind, offset=1)
+    raw, size = raw[1:], np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
@@ -159,7 +164,7 @@ def blocks(documents: DataFrame, trained: Column, size: int = BLOCK) -> DataFram
 
     kinds = T.StructType().add("block", "long").add("others", T.ArrayType(rows.schema["others"].dataType)).add("sizes", "binary").add("words", "binary").add("names", "binary").add("n", "long")
     name = f"tidemill_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.mapInArrow(cut, kinds).write.bucketBy(buckets, "block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
@@ -372,7 +377,8 @@ def fitted(documents: DataFrame, trained: Column, order: int = ORDER, block: int
     """The model of documents' texts where trained holds, and every row's scores: see scored()."""
     held = blocks(documents, trained, block)
     total = held.agg(F.sum("n").alias("n"), F.sum(F.size("others")).alias("rows")).first()
-    buckets = max(1, (total.n or 0) // bucket)
+    n = total.n or 0
+    buckets = max(1, n // min(max(bucket, n // MOST), 4 * bucket))
     tables: list[DataFrame] = []
     levels = [Level(buckets, {0: buckets})]
     share = -(-(total.n or 0) // buckets)  # what is used oftener than a bucket has tokens is salted
