@@ -39,7 +39,7 @@ def small(df: DataFrame) -> DataFrame:
     wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
     bytes_of = [F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) if kind == "array<bigint>" else F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if c in wide]
     row = sum((F.coalesce(b, F.lit(0)) for b in bytes_of), F.lit(16 * len(df.columns)))
-    held = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()
+    held = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()
     return F.broadcast(df) if held.n <= BROADCAST_ROWS and held.bytes <= BROADCAST_BYTES else df
 
 

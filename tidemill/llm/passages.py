@@ -231,26 +231,31 @@ def verified(members: DataFrame, sets: DataFrame, least: float, block: int | Non
 
 
 def clustered(members: DataFrame) -> DataFrame:
-    """(unit, cluster) of candidates (unit, band): what bands connect; a cluster's name is its smallest unit."""
-    low = small(stored(members.groupBy("band").agg(F.min("unit").alias("low")), "lows"))
-    edges = members.join(low, "band").select(F.col("unit").alias("a"), F.col("low").alias("b"))
-    return connected_components(edges).select(F.col("id").alias("unit"), F.col("component").alias("cluster"))
+    """(unit, cluster) of candidates (unit, band): what bands connect. A cluster's name is the unit that has most in its bands: the text of which the others are edited copies, if there is one."""
+    low = small(stored(members.groupBy("band").agg(F.min("unit").alias("low"), F.count("*").alias("size")), "lows"))
+    met = stored(members.join(low, "band").select("unit", "low", "size"), "met")
+    named = connected_components(met.select(F.col("unit").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("unit"), "component")
+    weighed = stored(named.join(met.groupBy("unit").agg(F.sum("size").alias("weight")), "unit"), "weighed")
+    middle = weighed.groupBy("component").agg(F.max_by("unit", F.struct("weight", "unit")).alias("cluster"))
+    return stored(weighed.join(small(stored(middle, "middle")), "component").select("unit", "cluster"), "clusters")
 
 
 def links(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
     """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, cluster, shingles) are similar by least.
 
-    Each unit meets its cluster's first one. Where all are similar to that, or there are only two, nothing is left to ask;
-    the units of other clusters meet band by band.
+    Each unit meets the one that names its cluster. What is similar to that hangs together; only bands that hold a unit
+    which is not (of clusters of more than two) are compared member by member.
     """
     pivots = sets.where("unit = cluster").select("cluster", F.col("shingles").alias("pivot"))
     shared = F.size(F.array_intersect("shingles", "pivot"))
     near = shared >= least * (F.size("shingles") + F.size("pivot") - shared) - 1e-9
     told = stored(sets.where("unit <> cluster").join(small(pivots), "cluster").select("unit", "cluster", near.alias("near")), "told")
     open_ = told.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0 AND n > 1").select("cluster")
-    own = sets.select("unit", "cluster").join(small(stored(open_, "open")), "cluster", "left_semi").select("unit")
-    own = small(stored(own, "own"))
-    rest = verified(members.join(own, "unit"), sets.select("unit", "shingles").join(own, "unit"), least, block, rows)
+    far = told.where("NOT near").join(small(stored(open_, "open")), "cluster", "left_semi").select("unit")
+    asked = members.join(small(stored(far, "far")), "unit", "left_semi").select("band").distinct()
+    asked = stored(members.join(small(stored(asked, "asked")), "band", "left_semi"), "asked")
+    own = small(stored(asked.select("unit").distinct(), "own"))
+    rest = verified(asked, sets.select("unit", "shingles").join(own, "unit"), least, block, rows)
     return told.where("near").select(F.col("unit").alias("a"), F.col("cluster").alias("b")).unionByName(rest)
 
 
