@@ -264,7 +264,7 @@ ORACLE |= {
 }
 ORACLE |= {
     "display_title": f"WITH {ARTICLES}, c AS (SELECT article_id, {collapsed('title')} AS c FROM articles) SELECT article_id, CASE WHEN length(c) > 46 THEN rtrim(left(c, 45)) || '…' ELSE c END AS shown FROM c",
-    "rescore_pending": f"WITH {ARTICLES} SELECT article_id, length(coalesce({collapsed('title')}, '') || coalesce({collapsed('text')}, '')) >= 12 AS ready FROM articles WHERE status = 'draft' AND NOT (article_id % 4 = 0) AND CAST(collected_at + INTERVAL 8 HOUR AS DATE) = CAST({at(str(NOW))} + INTERVAL 8 HOUR AS DATE)",
+    "rescore_pending": f"WITH {ARTICLES} SELECT article_id, length(coalesce({collapsed('title')}, '') || coalesce({collapsed('text')}, '')) >= 12 AS ready FROM articles WHERE status = 'draft' AND NOT (article_id % 4 = 0) AND CAST(collected_at + INTERVAL 8 HOUR AS DATE) = CAST({at(str(DAY0 + 10 * 86400))} + INTERVAL 8 HOUR AS DATE)",
     "source_validation": rf"""SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'name' WHEN page_id % 4 = 3 THEN 'feed_type' WHEN page_id % 5 = 3 THEN 'tier' WHEN page_id % 6 = 0 THEN 'url' WHEN page_id % 7 = 2 THEN 'policy' WHEN page_id % 7 = 0 AND page_id % 5 = 0 THEN 'policy_tier' END AS problem,
         regexp_replace(regexp_replace({canonical('url')}, '/+\?', '?'), '/+$', '') AS feed_url FROM pages""",
 }
@@ -284,7 +284,7 @@ ORACLE |= {
     "event_recognition": f"WITH {ARTICLES}, {EVENT} SELECT article_id, kind, array_to_string(entities, ',') AS entities, event_key, 'evt_' || left(sha256(kind || chr(10) || array_to_string(terms, '|')), 24) AS cluster_key, CASE WHEN kind = 'other' OR len(terms) < 2 THEN 'review' ELSE 'approve' END AS decision, CASE WHEN kind = 'other' THEN 'missing_event' WHEN len(terms) < 2 THEN 'weak_signal' ELSE 'consistent' END AS reason FROM terms",
     "publish_score": f"WITH {SCORES}, {ARTICLES}, {QUALITY}, best AS (SELECT doc_id, direction AS d, total_score AS s FROM scores JOIN (SELECT DISTINCT direction, direction_no FROM dimensions) USING (direction) WHERE eligible QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total_score DESC, direction_no) = 1) SELECT doc_id, CASE WHEN s >= 10 THEN d END AS primary_direction, CASE WHEN s >= 10 THEN s ELSE 0 END AS primary_score, CAST(quality AS INT) AS quality, CAST(least(100, CASE WHEN s >= 10 THEN s ELSE 0 END * 2 + quality) AS INT) AS publish_score FROM rated LEFT JOIN best USING (doc_id)",
     "insert_if_absent": f"WITH {ITEMS}, won AS (SELECT * FROM normal WHERE item_id % 6 <> 1 QUALIFY row_number() OVER (PARTITION BY dedup_url ORDER BY origin, tier, length(content) DESC, source_name, title, content_hash, url) = 1), old AS (SELECT * FROM normal WHERE item_id % 6 = 1), ins AS (SELECT * FROM won w WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.dedup_url = w.dedup_url)) SELECT (SELECT count(*) FROM won) AS given, (SELECT count(*) FROM ins) AS inserted, (SELECT count(*) FROM won) - (SELECT count(*) FROM ins) AS conflicts",
-    "dedup_given_hashes": f"""WITH RECURSIVE {ITEMS}, o AS (SELECT item_id, dedup_url AS u, 'h' || item_id % 40 AS h, row_number() OVER (ORDER BY origin, tier, length(content) DESC, source_name, title, 'h' || item_id % 40, url, item_id) AS n FROM normal), walk AS (
+    "dedup_given_hashes": f"""WITH RECURSIVE {ITEMS}, o AS (SELECT item_id, dedup_url AS u, 'h' || item_id % 120 AS h, row_number() OVER (ORDER BY origin, tier, length(content) DESC, source_name, title, 'h' || item_id % 120, url, item_id) AS n FROM normal), walk AS (
         SELECT 0::BIGINT AS n, []::VARCHAR[] AS us, []::VARCHAR[] AS hs, NULL::BIGINT AS item_id, false AS stays UNION ALL
         SELECT o.n, CASE WHEN NOT list_contains(us, u) AND NOT list_contains(hs, h) THEN list_append(us, u) ELSE us END, CASE WHEN NOT list_contains(us, u) AND NOT list_contains(hs, h) THEN list_append(hs, h) ELSE hs END, o.item_id, NOT list_contains(us, u) AND NOT list_contains(hs, h) FROM walk JOIN o ON o.n = walk.n + 1)
         SELECT item_id FROM walk WHERE stays""",

@@ -495,7 +495,7 @@ def insert_if_absent(spark, sf):
 @query
 def dedup_given_hashes(spark, sf):
     """Items with hashes that came with them: one goes if a better one that stays has its URL or its hash."""
-    given = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL").withColumn("content_hash", F.concat(F.lit("h"), F.col("item_id") % 40))
+    given = A.normalized(T.items(spark, sf)).where("drop_reason IS NULL").withColumn("content_hash", F.concat(F.lit("h"), F.col("item_id") % 120))
     return A.distinct_items(given, "item_id").select("item_id")
 
 
@@ -553,7 +553,7 @@ def display_title(spark, sf):
 
 @query
 def rescore_pending(spark, sf):
-    return sources.to_rescore(T.articles(spark, sf).withColumn("ai_processed", F.col("article_id") % 4 == 0), now())
+    return sources.to_rescore(T.articles(spark, sf).withColumn("ai_processed", F.col("article_id") % 4 == 0), F.timestamp_seconds(F.lit(T.DAY0 + 10 * 86400)))
 
 
 @query
