@@ -21,7 +21,7 @@ from .common import connected_components, least_linked, paired_blocks, small, st
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
 #: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999.
 ROWS, BANDS = 3, 10
-CACHED, CHUNK = 500_000, 1 << 20  # words that a task keeps; bytes of texts that are cut at a time
+CACHED, CHUNK = 300_000, 1 << 19  # words that a task keeps; characters of texts that are cut at a time
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 ADD = _r.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -133,11 +133,11 @@ def units_of(chunk: Chunk) -> list[tuple[np.ndarray, ...]]:
     return [(first, last, chunk.units(first, last), chunk.bands(first, last, MULTIPLY, ADD, ROWS)), (at, at + WORDS, chunk.units(at, at + WORDS), np.zeros((len(at), 0), np.int64))]
 
 
-def chunks(texts: list[str | None], size: int = CHUNK):
-    """(place of the first, texts) of texts in a row, of some size in all."""
+def chunks(texts, size: int = CHUNK):
+    """(place of the first, texts) of texts in a row (a list, or a column of a batch), of some size in all."""
     at, held, total = 0, [], 0
     for i, text in enumerate(texts):
-        held.append(text or "")
+        held.append((text if text is None or isinstance(text, str) else text.as_py()) or "")
         total += len(held[-1])
         if total >= size:
             yield at, held
@@ -152,7 +152,7 @@ def units(documents: DataFrame) -> DataFrame:
     def cut(batches):
         hashes = WordHashes()
         for batch in batches:
-            for at, texts in chunks(batch.column(1).to_pylist()):
+            for at, texts in chunks(batch.column(1)):
                 chunk = Chunk(texts, hashes)
                 for first, last, names, bands in units_of(chunk) if len(chunk.words) else ():
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))

@@ -19,7 +19,7 @@ from sentencepiece import SentencePieceProcessor
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED, CACHED_LENGTH, ROWS = 700_000, 64, 256  # segments that a task keeps, some 200 bytes each
+CACHED, CACHED_LENGTH, ROWS = 400_000, 64, 256  # segments that a task keeps, some 200 bytes each
 
 
 class Vocabulary:
