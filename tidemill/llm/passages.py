@@ -195,13 +195,16 @@ def similar(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: flo
     return shared >= least * (size[one][:, None] + size[two][None] - shared) - 1e-9
 
 
+#: Tables of bands and units grow with the texts. They are joined by shuffles at every size, so that a corpus of any size is handled alike.
+
+
 def candidates(bands: DataFrame) -> DataFrame:
     """(unit, band) of bands (unit, band) that different units share; bands of the same units are one."""
     mixed_bands = bands.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("band")
-    members = stored(bands.join(small(stored(mixed_bands, "bands")), "band").distinct(), "members")
+    members = stored(bands.join(stored(mixed_bands, "bands"), "band").distinct(), "members")
     alike = members.groupBy("band").agg(F.count("*").alias("n"), F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("sum"))
     once = alike.groupBy("n", "low", "high", "sum").agg(F.min("band").alias("band")).select("band")  # bands of the same units are compared once
-    return stored(members.join(small(stored(once, "bands")), "band"), "members")
+    return stored(members.join(stored(once, "bands"), "band"), "members")
 
 
 def verified(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
@@ -232,12 +235,12 @@ def verified(members: DataFrame, sets: DataFrame, least: float, block: int | Non
 
 def clustered(members: DataFrame) -> DataFrame:
     """(unit, cluster) of candidates (unit, band): what bands connect. A cluster's name is the unit that has most in its bands: the text of which the others are edited copies, if there is one."""
-    low = small(stored(members.groupBy("band").agg(F.min("unit").alias("low"), F.count("*").alias("size")), "lows"))
+    low = stored(members.groupBy("band").agg(F.min("unit").alias("low"), F.count("*").alias("size")), "lows")
     met = stored(members.join(low, "band").select("unit", "low", "size"), "met")
     named = connected_components(met.select(F.col("unit").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("unit"), "component")
     weighed = stored(named.join(met.groupBy("unit").agg(F.sum("size").alias("weight")), "unit"), "weighed")
     middle = weighed.groupBy("component").agg(F.max_by("unit", F.struct("weight", "unit")).alias("cluster"))
-    return stored(weighed.join(small(stored(middle, "middle")), "component").select("unit", "cluster"), "clusters")
+    return stored(weighed.join(stored(middle, "middle"), "component").select("unit", "cluster"), "clusters")
 
 
 def links(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
@@ -249,12 +252,12 @@ def links(members: DataFrame, sets: DataFrame, least: float, block: int | None =
     pivots = sets.where("unit = cluster").select("cluster", F.col("shingles").alias("pivot"))
     shared = F.size(F.array_intersect("shingles", "pivot"))
     near = shared >= least * (F.size("shingles") + F.size("pivot") - shared) - 1e-9
-    told = stored(sets.where("unit <> cluster").join(small(pivots), "cluster").select("unit", "cluster", near.alias("near")), "told")
+    told = stored(sets.where("unit <> cluster").join(pivots, "cluster").select("unit", "cluster", near.alias("near")), "told")
     open_ = told.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0 AND n > 1").select("cluster")
-    far = told.where("NOT near").join(small(stored(open_, "open")), "cluster", "left_semi").select("unit")
-    asked = members.join(small(stored(far, "far")), "unit", "left_semi").select("band").distinct()
-    asked = stored(members.join(small(stored(asked, "asked")), "band", "left_semi"), "asked")
-    own = small(stored(asked.select("unit").distinct(), "own"))
+    far = told.where("NOT near").join(stored(open_, "open"), "cluster", "left_semi").select("unit")
+    asked = members.join(stored(far, "far"), "unit", "left_semi").select("band").distinct()
+    asked = stored(members.join(stored(asked, "asked"), "band", "left_semi"), "asked")
+    own = stored(asked.select("unit").distinct(), "own")
     rest = verified(asked, sets.select("unit", "shingles").join(own, "unit"), least, block, rows)
     return told.where("near").select(F.col("unit").alias("a"), F.col("cluster").alias("b")).unionByName(rest)
 
@@ -271,9 +274,9 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     members = candidates(bands)
     clusters = clustered(members)
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
-    repeated = small(stored(again.union(clusters.select("unit")).distinct(), "repeated"))  # a table of its own, so that a join with a unit that a third of the texts hold can be split
+    repeated = stored(again.union(clusters.select("unit")).distinct(), "repeated")  # a table of its own, so that a join with a unit that a third of the texts hold can be split
     every = stored(table.select("doc_id", "start", "until", "unit").join(repeated, "unit"), "every")
-    wanted = every.join(small(clusters), "unit").groupBy("unit", "cluster").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "cluster", "at.*")
+    wanted = every.join(clusters, "unit").groupBy("unit", "cluster").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "cluster", "at.*")
     sets = shingles(documents, stored(wanted, "wanted"))
 
     named = connected_components(links(members, sets, least))
