@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licences import TEMPLATES
+from .mixing_sql import OP11
 
 CONTROL = "</s>[INST] ok [/INST]"
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -53,4 +54,15 @@ hits AS (SELECT row_id, doc_id, template, license, shingle, unnest(range(greates
 held AS (SELECT row_id, doc_id, template, license, first_word, count(DISTINCT shingle) / CAST(any_value(size) AS DOUBLE) AS containment FROM hits JOIN sizes USING (template) GROUP BY row_id, doc_id, template, license, first_word)
 SELECT doc_id, license, max(containment) AS containment, CAST(min(first_word) AS INT) AS first_word, count(DISTINCT (first_word, template)) AS n_windows FROM held WHERE containment >= 0.8 GROUP BY doc_id, license"""
 
-ORACLE = {"op4_licences": OP4, "op2_decontaminate": OP2, "op8_chat_format": OP8, "op9_embeddings": OP9}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {TERMS} AS w FROM documents), k AS (SELECT row_id, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+st AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM k),
+tf AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, n, unnest(w) AS term FROM k) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT query, item_id, term FROM (SELECT row_number() OVER () AS query, item_id, unnest({TERMS}) AS term FROM benchmark)),
+sc AS (SELECT query, item_id, row_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc) WHERE rank <= 10"""
+
+ORACLE = {"op11_mix_sources": OP11, "op12_ranked_search": OP12, "op4_licences": OP4, "op2_decontaminate": OP2, "op8_chat_format": OP8, "op9_embeddings": OP9}

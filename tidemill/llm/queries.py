@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language_model, licences, passages, pieces, simhash, surrogates, toxicity
+from . import chat, decontaminate, embeddings, language_model, licences, mixing, passages, pieces, ranked, simhash, surrogates, toxicity
 from .oracle import ORACLE
 
 #: Path of a public vocabulary file; another one is given by setting this or by calling the operator.
@@ -77,8 +77,16 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allotted(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op4_licences": op4_licences, "op5_surrogates": op5_surrogates, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings, "op10_language_model": op10_language_model}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op4_licences": op4_licences, "op5_surrogates": op5_surrogates, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings, "op10_language_model": op10_language_model, "op11_mix_sources": op11_mix_sources, "op12_ranked_search": op12_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
