@@ -65,4 +65,27 @@ sc AS (SELECT query, item_id, row_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 *
   FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL HAVING score > 0)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc) WHERE rank <= 10"""
 
-ORACLE = {"op11_mix_sources": OP11, "op12_ranked_search": OP12, "op4_licences": OP4, "op2_decontaminate": OP2, "op8_chat_format": OP8, "op9_embeddings": OP9}
+def crc_table() -> list[int]:
+    """The 256 remainders of the reversed polynomial 0xEDB88320, by which SQL reckons CRC-32 byte by byte."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+OP13 = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: xor(a >> 8, {crc_table()}[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, no, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND no <= h UNION ALL SELECT c.conv_id, no + 4, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND no > h),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY no) AS d, md5(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+p AS (SELECT conv_id, d, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key, words FROM n UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+x AS (SELECT conv_id, d, key, words, lag(key) OVER w AS up, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+g AS (SELECT key, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM x GROUP BY key),
+k AS (SELECT up AS key, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT p.key, sum(CASE WHEN k.key IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * g.words) AS saved FROM g JOIN p ON p.conv_id = g.conv_id AND p.d <= g.depth LEFT JOIN k ON k.key = g.key GROUP BY 1)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN g u ON u.key = g.up"""
+
+ORACLE = {"op13_prefix_trie": OP13, "op11_mix_sources": OP11, "op12_ranked_search": OP12, "op4_licences": OP4, "op2_decontaminate": OP2, "op8_chat_format": OP8, "op9_embeddings": OP9}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language_model, licences, mixing, passages, pieces, ranked, simhash, surrogates, toxicity
+from . import chat, decontaminate, embeddings, language_model, licences, mixing, passages, pieces, prefix_trie, ranked, simhash, surrogates, toxicity
 from .oracle import ORACLE
 
 #: Path of a public vocabulary file; another one is given by setting this or by calling the operator.
@@ -85,8 +85,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op4_licences": op4_licences, "op5_surrogates": op5_surrogates, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings, "op10_language_model": op10_language_model, "op11_mix_sources": op11_mix_sources, "op12_ranked_search": op12_ranked_search}
+    return {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_pieces": op3_pieces, "op4_licences": op4_licences, "op5_surrogates": op5_surrogates, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_chat_format": op8_chat_format, "op9_embeddings": op9_embeddings, "op10_language_model": op10_language_model, "op11_mix_sources": op11_mix_sources, "op12_ranked_search": op12_ranked_search, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
