@@ -39,11 +39,13 @@ ALPHABETS = [
     (r"\p{IsHan}", "天地山川日月星雲風雨花木金石火水春夏秋冬東西南北"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノ"),
     (r"\p{IsHangul}", "가나다라마바사아자차카타파하"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
 ]
+#: Characters from which on a secret or address is named by its digest, and its surrogate doesn't follow its shape.
+SHAPED = 1024
 #: Family names that are added at most; attempt from which other types get longer, by one digit each.
 FURTHER, WIDER = 12, 4
 WORD, NO_DIGIT, NO_WORD = r"(?<![\p{L}\p{N}_])", r"(?![\p{N}])", r"(?![\p{L}\p{N}])"
 TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:[\-'’]\p{Lu}\p{Ll}+)?"
 GROUPED = r"(?:[ .\-()/]{0,2}[0-9])"  # a digit after signs between groups
 DATE = r"(?![0-3]?[0-9][.\-/][0-3]?[0-9][.\-/](?:19|20)[0-9]{2}(?![0-9]|[.\-/][0-9]))"
 #: North American numbers; a country code with 7 to 14 digits; a leading 0 with as many; three groups without either;
@@ -56,10 +58,11 @@ PHONES = [
     r"\+[0-9]{8,15}" + NO_DIGIT,
 ]
 HEXTET = "[0-9A-Fa-f]{1,4}"
-#: Patterns by type, tried in this order at each place. A named person stands after a title.
+#: Patterns by type, tried in this order at each place. A named person stands after a title. What repeats is bounded or never
+#: given back, and starts at one place of a run of its signs, so that no text makes them recurse deeply or read it again and again.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}])",
-    "credential": r"(?i:(?:password|passwd|secret|token|api_?key) ?[=:] ?\"?)[A-Za-z0-9+/_\-]{8,512}",
+    "email": r"(?=[\p{L}\p{N}])(?<![\p{L}\p{N}])(?<=(?<![\p{L}\p{N}._%+\-])[._%+\-]{0,9})[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,127}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
+    "credential": r"(?i:(?:password|passwd|secret|token|api_?key) ?[=:] ?\"?)[A-Za-z0-9+/_\-]{8,}+",
     "access_key": WORD + r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?!\.?[\p{N}])",
     "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9]|(?:[A-Fa-f]*:){{3}})(?:(?:{HEXTET}:){{7}}{HEXTET}|(?:{HEXTET}:){{1,6}}(?::{HEXTET}){{1,6}}|(?:{HEXTET}:){{1,7}}:|::(?:{HEXTET}:){{0,6}}{HEXTET})(?!:?[\p{{L}}\p{{N}}]|\.[0-9])",
@@ -91,8 +94,10 @@ def gender_of(value: Column) -> Column:
 def entity_of(value: Column, kind: Column) -> Column:
     """What a mention's entity is called: equal for all its formats. A person's gender is added by persons()."""
     digits = F.regexp_replace(value, "[^0-9]", "")
+    digest = F.sha2(F.lower(value), 256)
     return (
-        F.when(kind.isin("phone", "card", "national_id"), digits).when(kind.isin("email", "ipv6"), F.lower(value)).when(kind == "iban", F.upper(F.replace(value, F.lit(" "), F.lit(""))))
+        F.when((F.length(value) >= SHAPED) & (kind == "email"), F.concat(digest, F.lit("@x."), F.lower(F.substring_index(value, ".", -1)))).when((F.length(value) >= SHAPED) & (kind == "credential"), F.sha2(F.regexp_replace(value, "^" + LABEL, ""), 256))
+        .when(kind.isin("phone", "card", "national_id"), digits).when(kind.isin("email", "ipv6"), F.lower(value)).when(kind == "iban", F.upper(F.replace(value, F.lit(" "), F.lit(""))))
         .when(kind == "credential", F.regexp_replace(value, "^" + LABEL, "")).when(kind == "person", F.regexp_extract(value, TITLED, 2)).otherwise(value)
     )
 
@@ -247,7 +252,7 @@ def rendered() -> Column:
         return F.struct(F.concat(a["out"], F.when(told, cased).otherwise(c)).alias("out"), (a["at"] + told.cast("int")).alias("at"))
 
     walked = F.aggregate(characters(shape), F.struct(F.substring(signs, F.lit(1), front).alias("out"), (front + 1).cast("int").alias("at")), step, lambda a: F.concat(a["out"], F.substring(signs, a["at"], F.length(signs))))
-    return F.when(kind.isin("ip", "ipv6", "person"), F.concat(label, "surrogate")).otherwise(F.concat(label, walked))
+    return F.when(kind.isin("ip", "ipv6", "person") | (F.length(value) >= SHAPED), F.concat(label, "surrogate")).otherwise(F.concat(label, walked))
 
 
 def lines(text: Column) -> Column:
