@@ -99,39 +99,6 @@ def test_front_page_equals_the_sequential_rule(spark):
         assert {r.article_id: r["rank"] for r in A.front_page(some, limit).collect() if r.reason == "selected"} == brute_front_page(some.collect(), limit)
 
 
-def brute_complete_link(records, scored):
-    groups, place = [], {}
-    for article in records:
-        whole = [(sum(scored[article, m] for m in g) / len(g), -i) for i, g in enumerate(groups) if all((article, m) in scored for m in g)]
-        at = -max(whole)[1] if whole else len(groups)
-        groups[at : at + 1] = [[*(groups[at] if whole else []), article]]
-        place[article] = at
-    return {a: groups[g][0] for a, g in place.items() if len(groups[g]) > 1}
-
-
-def test_cluster_keys_are_kept_or_made_of_what_members_share(spark):
-    found = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["x"]), (4, ["y"]), (5, ["z"]), (6, ["z"])], "article_id long, anchors array<string>")
-    of = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "article_id long, cluster_id long")
-    got = {r.article_id: r.cluster_key for r in clusters.shared_key(found, of).collect()}
-    assert got[1] == got[2] != got[5] == got[6] and got[3] == got[4] == "c_3"
-    known = spark.createDataFrame([(2, "old-b"), (1, "old-a")], "article_id long, cluster_key string")
-    assert {r.article_id: r.cluster_key for r in clusters.shared_key(found, of, known).collect()} == got | {1: "old-a", 2: "old-a"}
-
-
-def test_clusters_equal_the_sequential_rule(spark):
-    r = random.Random(2)
-    pairs = {}
-    for _ in range(120):
-        a, b = sorted(r.sample(range(40), 2))
-        pairs[b, a] = r.choice([0.3, 0.5, 0.7, 0.9])
-    df = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "later long, earlier long, score double")
-    got = {x.article_id: x.cluster_id for x in clusters.assigned(df, clusters.connected(df)).collect()}
-    assert got == dict(brute_complete_link(range(40), pairs))
-    shuffled = {x.article_id: x.cluster_id for x in clusters.assigned(df.repartition(5), clusters.connected(df.repartition(3))).collect()}
-    assert got == shuffled
-    assert QUERIES["cluster_assign"](spark, SF).count() >= 0
-
-
 def test_direction_stories(spark):
     full = lambda *names: F.create_map(*(x for n in names for x in (F.lit(n), F.lit(5.0))))
     cases = [("model", ("entity", "capability", "cost"), True), ("model", ("entity", "capability"), False), ("agent", ("task_boundary", "orchestration", "protocol"), True), ("business_ecosystem", ("talent", "strategy", "signal"), True), ("coding", ("code_gen", "ide_integration", "delivery"), True), ("coding", ("code_gen", "security", "cost_speed"), False)]

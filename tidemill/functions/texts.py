@@ -85,19 +85,23 @@ def rule_summary(title: Column, text: Column) -> Column:
 
 
 def paragraphs(text: Column, most: int = 80) -> Column:
-    """Parts between blank lines, or after a sentence's end and a space."""
-    return F.slice(F.filter(F.transform(F.split(text, r"\n[ \t]*\n+|(?<=[。！？!?.])[ \t]+"), trimmed), lambda p: p != ""), 1, most)
+    """Parts between blank lines, or after a sentence's end (an ASCII full stop is none) and white space before a letter or Han sign."""
+    return F.slice(F.filter(F.transform(F.split(text, rf"\n{{2,}}|(?<=[。！？!?]){SPACES}+(?=[\x{{3400}}-\x{{9FFF}}A-Za-z])"), trimmed), lambda p: p != ""), 1, most)
 
 
 def language_tag(text: Column) -> Column:
-    """zh, mixed or non_zh by the share of Chinese characters among letters."""
-    chinese, latin = F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]")), F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.when(chinese == 0, "non_zh").when(chinese >= latin, "zh").otherwise("mixed")
+    """mixed if Han signs and Latin letters both occur, zh if only Han ones do, else non_zh."""
+    han, latin = text.rlike(r"[\x{3400}-\x{9FFF}]"), text.rlike("[A-Za-z]")
+    return F.when(han & latin, "mixed").when(han, "zh").otherwise("non_zh")
+
+
+#: Signs of scripts that are cut in grams: Han, kana, hangul.
+CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
 
 def grams(text: Column, n: int) -> Column:
-    """Distinct runs of n Chinese characters."""
-    runs = F.regexp_extract_all(text, F.lit(r"([\x{4E00}-\x{9FFF}]{2,})"), F.lit(1))
+    """Distinct runs of n signs of CJK scripts."""
+    runs = F.regexp_extract_all(text, F.lit(f"({CJK}{{2,}})"), F.lit(1))
     cut = F.transform(F.filter(runs, lambda r: F.length(r) >= n), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n))))
     return F.array_distinct(F.flatten(cut))
 

@@ -1,4 +1,4 @@
-"""Event clusters: candidate keys, pair scores, complete-link assignment within connected parts."""
+"""Event clusters: features of titles, candidate keys, pair scores, complete-link groups that known clusters seed."""
 
 from __future__ import annotations
 
@@ -6,14 +6,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions import texts
-from tidemill.sources.folders import shared_folder
+from tidemill.functions import texts, urls
+from tidemill.operators.components import connected
+from tidemill.sources.storage import few, removed, written
 
-MODEL = r"\b([A-Za-z]{2,}[- ]?[0-9]+(?:\.[0-9]+)+)\b"
-NUMBER = r"(?<![A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?(?:%|x|k|m|b)?)(?![A-Za-z0-9_])"
 PER_KEY, PER_RECORD = 50, 80
 #: Shares of terms and anchors in a pair's score, and the least score with and without a shared model or entity.
 TERMS, ANCHORS, NEAR, FAR = 0.72, 0.28, 0.30, 0.42
+#: Words that tell nothing of an event, names of organisations with what they are counted as, families of models.
+GENERIC = ["发布", "正式", "宣布", "推出", "上线", "更新", "模型", "人工智能", "大模型", "新闻", "报告", "研究", "测试", "公司", "产品", "版本", "latest", "release", "launch", "announces", "announced", "update", "model", "models", "new", "the"]
+ALIASES = {
+    "openai": "openai", "anthropic": "anthropic", "google": "google", "谷歌": "google", "deepmind": "google", "microsoft": "microsoft", "微软": "microsoft", "meta": "meta", "amazon": "amazon", "亚马逊": "amazon", "nvidia": "nvidia",
+    "英伟达": "nvidia", "alibaba": "alibaba", "阿里": "alibaba", "baidu": "baidu", "百度": "baidu", "tencent": "tencent", "腾讯": "tencent", "bytedance": "bytedance", "字节": "bytedance", "xai": "xai", "mistral": "mistral",
+}
+FAMILIES = ["gpt", "claude", "gemini", "llama", "qwen", "deepseek", "kimi", "longcat", "mistral", "grok", "phi", "copilot", "codex"]
+#: Repeated groups are bounded or never given back: Java's matcher would recurse with their number otherwise.
+EDGE, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+MODEL = rf"({EDGE}(?:{'|'.join(FAMILIES)})[\s_\-]*v?[0-9]+(?:\.[0-9]+){{0,20}}{END})"
+DATE = rf"({EDGE}20[0-9]{{2}}[\-/.][0-9]{{1,2}}(?:[\-/.][0-9]{{1,2}})?{END}|20[0-9]{{2}}年[0-9]{{1,2}}月(?:[0-9]{{1,2}}日)?)"
+NUMBER = rf"({EDGE}[0-9]+(?:\.[0-9]+)?(?:%(?=[A-Za-z0-9_])|[kmbt]{END})|[0-9]+(?:\.[0-9]+)?[万亿兆])"
+TOKEN = r"([a-z][a-z0-9]*+(?:[._\-][a-z0-9]++)*+)"
+#: Pairs that a part has at most for one task to group it; larger parts go by rounds of tables.
+PART = 200_000
+KINDS = ["models", "entities", "dates", "numbers"]
 
 
 def history(articles: DataFrame, as_of: Column, hours: int = 72, most: int = 1200) -> DataFrame:
@@ -22,21 +37,36 @@ def history(articles: DataFrame, as_of: Column, hours: int = 72, most: int = 120
     return recent.orderBy(F.desc("collected_at"), "article_id").limit(most)
 
 
-def features(articles: DataFrame, entities: list[str], stop: list[str] = ()) -> DataFrame:
-    """article_id, ord, title_key, terms, models, entities, numbers, anchors of articles (article_id, ord, title, text)."""
-    low = F.lower(F.concat_ws("\n", "title", "text"))
-    named = F.filter(F.array(*map(F.lit, entities)), lambda e: F.array_contains(F.col("tokens"), e)) if entities else F.array().cast("array<string>")
-    out = articles.select("article_id", "ord", texts.title_key(F.col("title")).alias("title_key"), texts.latin_tokens(F.col("title"), stop).alias("words"), texts.latin_tokens(low, stop).alias("tokens"), F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(MODEL), F.lit(1)), lambda m: F.replace(m, F.lit(" "), F.lit("-")))).alias("models"), F.array_distinct(F.regexp_extract_all(low, F.lit(NUMBER), F.lit(1))).alias("numbers"), F.array_distinct(F.concat(texts.grams(low, 2), texts.grams(low, 3))).alias("grams"))
-    out = out.withColumn("entities", named)
-    return out.select("article_id", "ord", "title_key", F.array_distinct(F.concat("words", "grams")).alias("terms"), "models", "entities", "numbers", F.array_distinct(F.concat("models", "entities", "numbers")).alias("anchors"))
+def all_of(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
-def keys(found: DataFrame) -> DataFrame:
-    """(article_id, ord, place, key): candidate keys in order of strength."""
+def url_key(url: Column) -> Column:
+    """Host and path of a URL, without slashes at the end; null if it is none."""
+    return F.concat(F.lit("url:"), F.lower(urls.part(url, "HOST")), F.regexp_replace(F.coalesce(urls.part(url, "PATH"), F.lit("")), r"/+\z", ""))
+
+
+def features(articles: DataFrame) -> DataFrame:
+    """article_id, ord, cluster_id, title_key, terms, models, entities, dates, numbers, anchors, keys of articles (article_id, title, url, cluster_id, is_new).
+
+    Titles are NFKC in lower case with single spaces. Terms are runs of two and three signs of CJK scripts, Latin tokens, models and
+    entities, without words that tell nothing; anchors are the longer terms, models and entities. keys are in order of strength. Known
+    articles come before new ones in order (ord), each by article_id; a new article's cluster_id isn't looked at.
+    """
+    title = F.lower(texts.collapsed(texts.composed(F.coalesce("title", F.lit("")))))
+    told = F.when(~F.col("is_new"), F.col("cluster_id"))
+    cut = articles.select("article_id", F.struct(F.coalesce("is_new", F.lit(True)).alias("new"), "article_id").alias("ord"), told.alias("cluster_id"), url_key(F.col("url")).alias("url_key"), F.explode(F.array(title)).alias("title_key"))
+    models = F.array_distinct(F.transform(all_of(F.col("title_key"), MODEL), lambda m: F.regexp_replace(m, r"[\s_\-]+", "-")))
+    entities = F.array_distinct(F.array_compact(F.array(*(F.when(F.col("title_key").contains(a), F.lit(e)) for a, e in ALIASES.items()))))
+    cut = cut.select("*", models.alias("models"), entities.alias("entities"), all_of(F.col("title_key"), DATE).alias("dates"), all_of(F.col("title_key"), NUMBER).alias("numbers"))
+    tokens = F.filter(all_of(F.col("title_key"), TOKEN), lambda t: F.length(t) >= 2)
+    plain = F.filter(F.concat(texts.grams(F.col("title_key"), 2), texts.grams(F.col("title_key"), 3), tokens), lambda t: ~t.isin(GENERIC))
+    cut = cut.withColumn("terms", F.array_distinct(F.concat(plain, "models", "entities")))
     tagged = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), v))
-    title = F.when(F.length("title_key") >= 6, F.array(F.col("title_key"))).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(tagged("t", title), tagged("m", F.col("models")), tagged("e", F.col("entities")), tagged("n", F.col("numbers")), tagged("w", F.filter("terms", lambda t: F.length(t) >= 6))))
-    return found.select("article_id", "ord", F.posexplode(every).alias("place", "key"))
+    long = F.filter("terms", lambda t: F.length(t) >= F.when(t.rlike(texts.CJK), 3).otherwise(4))
+    named = F.concat(tagged("model", F.array_sort("models")), tagged("entity", F.array_sort("entities")))
+    keys = F.concat(F.array_compact(F.array(F.col("url_key"), F.when(F.length("title_key") >= 6, F.concat(F.lit("title:"), "title_key")))), named, tagged("number", F.array_sort("numbers")), F.array_sort(long))
+    return cut.select("article_id", "ord", "cluster_id", "title_key", "terms", *KINDS, F.array_distinct(F.concat(long, named)).alias("anchors"), F.array_distinct(keys).alias("keys"))
 
 
 def first_of(listed: DataFrame, per_key: int) -> DataFrame:
@@ -52,7 +82,7 @@ def candidates(found: DataFrame, per_key: int | None = PER_KEY, per_record: int
     A hot key costs per_key rows times its records, never their square: the bucket is cut before the join. None lifts a
     limit: then every pair that shares a key is a candidate, which grows with the square of the largest key.
     """
-    listed = keys(found)
+    listed = found.select("article_id", "ord", F.posexplode("keys").alias("place", "key"))
     bucket = listed if per_key is None else first_of(listed, per_key)
     met = listed.alias("l").join(bucket.alias("b"), (F.col("l.key") == F.col("b.key")) & (F.col("b.ord") < F.col("l.ord")))
     first = met.groupBy(F.col("l.article_id").alias("later"), F.col("b.article_id").alias("earlier")).agg(F.min(F.struct("l.place", "b.ord")).alias("at"))
@@ -62,16 +92,16 @@ def candidates(found: DataFrame, per_key: int | None = PER_KEY, per_record: int
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(shared > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
 def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """(later, earlier, score) of pairs that don't contradict and reach the least score."""
-    a, b = found.alias("a"), found.alias("b")
-    both = pairs.join(a, F.col("later") == F.col("a.article_id")).join(b, F.col("earlier") == F.col("b.article_id"))
+    sides = [found.select("article_id", "terms", "anchors", *KINDS).alias(side) for side in "ab"]
+    both = pairs.join(sides[0], F.col("later") == F.col("a.article_id")).join(sides[1], F.col("earlier") == F.col("b.article_id"))
     clash = F.lit(False)
-    for kind in ("models", "entities", "numbers"):
+    for kind in KINDS:
         clash = clash | ((F.size(f"a.{kind}") > 0) & (F.size(f"b.{kind}") > 0) & ~F.arrays_overlap(f"a.{kind}", f"b.{kind}"))
     core = F.arrays_overlap("a.models", "b.models") | F.arrays_overlap("a.entities", "b.entities")
     shared = F.size(F.array_intersect("a.anchors", "b.anchors"))
@@ -80,74 +110,136 @@ def pair_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.where(~F.col("clash") & (F.col("core") | (F.col("shared") >= 2)) & (F.col("score") >= F.when(F.col("core"), NEAR).otherwise(FAR))).select("later", "earlier", "score")
 
 
-def complete_link(records: list[int], scored: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
-    """(article, group) in order: each joins the group of the highest mean score in which it is scored with every member.
+def complete_link(order: list, near: dict, seeds: dict) -> dict:
+    """Each record's group: of the groups in which it is scored with every member the one of the highest mean, the first of equals.
 
-    scored holds each article's earlier neighbours, so that an article costs as much as it has of them: a group counts if
-    as many of its members are neighbours as it has members.
+    order: records in order; near: each one's scored records with scores, both ways; seeds: the known cluster of those that have
+    one, which stand before all others. A group is named by its first record.
     """
-    groups: list[list[int]] = []
-    place: dict[int, int] = {}
-    for article in records:
-        met: dict[int, list[float]] = {}
-        for other, score in scored.get(article, {}).items():
-            if other in place:
-                met.setdefault(place[other], []).append(score)
-        whole = [(sum(got) / len(got), -g) for g, got in met.items() if len(got) == len(groups[g])]
-        if whole:
-            at = -max(whole)[1]
+    place, members, first, rank = {}, {}, {}, {r: n for n, r in enumerate(order)}
+    for record in [*(r for r in order if r in seeds), *(r for r in order if r not in seeds)]:
+        if record in seeds:
+            at = first.setdefault(seeds[record], record)
         else:
-            at = len(groups)
-            groups.append([])
-        groups[at].append(article)
-        place[article] = at
-    return [(article, groups[g][0]) for article, g in place.items() if len(groups[g]) > 1]
-
-
-def assigned(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(article_id, cluster_id): complete-link groups; parts (article_id, part) are the pairs' connected components.
-
-    The order of joining matters, so one part is one task's; a part has the records that share candidate keys and reach the
-    least score with each other.
+            met: dict = {}
+            for other, score in near.get(record, {}).items():
+                if other in place:
+                    met.setdefault(place[other], []).append(score)
+            whole = {g: round(sum(got) / len(got), 9) for g, got in met.items() if len(got) == len(members[g])}
+            at = min(whole, key=lambda g: (-whole[g], g not in seeds, rank[g]), default=record)
+        members.setdefault(at, []).append(record)
+        place[record] = at
+    return place
+
+
+def grouped_at_once(near: DataFrame, records: DataFrame) -> DataFrame:
+    """(article_id, first) of small parts, each by complete_link() in one task. near: part, article_id, other, score; records: part, article_id, ord, cluster_id."""
+
+    def work(key, lists: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        order = lists.sort_values("no")["article_id"].tolist()
+        seeds = {a: c for a, c in zip(lists["article_id"], lists["cluster_id"], strict=True) if c is not None and c == c}
+        scored: dict = {}
+        for a, b, score in zip(links["article_id"], links["other"], links["score"], strict=True):
+            scored.setdefault(a, {})[b] = score
+        place = complete_link(order, scored, seeds)
+        return pd.DataFrame({"article_id": pd.Series(list(place), dtype="int64"), "first": pd.Series(list(place.values()), dtype="int64")})
+
+    numbered = records.withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy("ord"))).select("part", "article_id", "cluster_id", "no")
+    return numbered.groupBy("part").cogroup(near.select("part", "article_id", "other", "score").groupBy("part")).applyInPandas(work, "article_id long, first long")
+
+
+def grouped_by_rounds(near: DataFrame, records: DataFrame) -> DataFrame:
+    """(article_id, first) as complete_link() gives them, for parts of any size, by rounds of joins and aggregates.
+
+    A record may be decided once no earlier record that it is scored with is open, and for none of the groups that could take it an earlier open
+    record is left that the group could take too: then nothing that is still open can change its choice. The first open record of
+    each part always can, and so can all whose groups have already got a member that they aren't scored with.
     """
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        scored: dict[int, dict[int, float]] = {}
-        for later, earlier, score in frame[["later", "earlier", "score"]].itertuples(index=False):
-            scored.setdefault(later, {})[earlier] = score
-        got = complete_link(sorted({*frame["later"], *frame["earlier"]}), scored)
-        return pd.DataFrame(got, columns=["article_id", "cluster_id"]).astype("int64")
-
-    return pairs.join(parts.withColumnRenamed("article_id", "later"), "later").groupBy("part").applyInPandas(work, "article_id long, cluster_id long")
-
-
-def shared_key(found: DataFrame, clusters: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(article_id, cluster_id, cluster_key): clusters' stable names.
-
-    A key that members already carry (known: article_id, cluster_key) stays, the least of several; otherwise it is made of
-    the anchors that all members share, or of the first article's id if they share none.
+    spot = F.struct(F.col("cluster_id").isNull().alias("free"), "ord")  # seeds stand before all others
+    every = written(records.select("article_id", spot.alias("spot"), "cluster_id"), "records")
+    near = near.select("article_id", "other", "score").join(every.select("article_id", "spot"), "article_id").join(every.select(F.col("article_id").alias("other"), F.col("spot").alias("other_spot")), "other")
+    near = written(near, "near")
+    seeded = every.where("cluster_id IS NOT NULL")
+    heads = seeded.groupBy("cluster_id").agg(F.min_by("article_id", "spot").alias("first"))
+    decided = written(seeded.join(heads, "cluster_id").select("article_id", "first", "spot"), "decided")
+    left = written(every.where("cluster_id IS NULL").select("article_id", "spot"), "open")
+    while not left.isEmpty():
+        open_ = left.select(F.col("article_id").alias("other"), F.lit(True).alias("is_open"))
+        mine = near.join(left.select("article_id"), "article_id", "left_semi").where(F.col("other_spot") < F.col("spot"))
+        waits = mine.join(open_, "other", "left_semi").select("article_id").distinct()
+        met = mine.join(decided.select(F.col("article_id").alias("other"), "first"), "other").groupBy("article_id", "spot", "first").agg(F.count("*").alias("met"), F.avg("score").alias("mean"))
+        known = decided.where("NOT spot.free").groupBy("first").agg(F.count("*").alias("known"))  # of any number, so that they are counted before they meet
+        later = met.join(decided.where("spot.free").select("first", F.col("spot").alias("member")), "first").where(F.col("member") < F.col("spot")).groupBy("article_id", "first").agg(F.count("*").alias("size"))
+        whole = met.join(known, "first", "left").join(later, ["article_id", "first"], "left").where("met = coalesce(known, 0) + coalesce(size, 0)")
+        whole = written(whole.select("article_id", "spot", "first", F.round("mean", 9).alias("mean")), "whole")
+        earliest = whole.groupBy("first").agg(F.min("spot").alias("earliest"))
+        held = whole.join(earliest, "first").where(F.col("earliest") < F.col("spot")).select("article_id").distinct()
+        ready = left.join(waits, "article_id", "left_anti").join(held, "article_id", "left_anti")
+        heads = decided.where("article_id = first").select("first", F.col("spot").alias("head"))
+        best = whole.join(heads, "first").groupBy("article_id").agg(F.min_by("first", F.struct((-F.col("mean")).alias("m"), "head")).alias("first"))
+        new = written(ready.join(best, "article_id", "left").select("article_id", F.coalesce("first", "article_id").alias("first"), "spot"), "new")
+        for table, name in ((decided.unionByName(new), "decided"), (left.join(new.select("article_id"), "article_id", "left_anti"), "open")):
+            after = written(table, name)
+            if name == "decided":
+                removed(decided)
+                decided = after
+            else:
+                removed(left)
+                left = after
+        removed(whole)
+    return decided.select("article_id", "first")
+
+
+def assigned(found: DataFrame, pairs: DataFrame, part: int = PART) -> DataFrame:
+    """(article_id, first, cluster_id) of features() and their scored pairs: complete-link groups and known clusters; others have no row.
+
+    first is the group's first article. Parts of at most part pairs, which are bounded, are grouped in one task each; larger ones by
+    rounds. cluster_id is the known cluster's, or made by named(); it is null where it has to be made.
+    """
+    told = found.select("article_id", "ord", "cluster_id")
+    pairs = written(pairs, "pairs")
+    # What hangs together by pairs or by a known cluster is a part.
+    seeds = told.where("cluster_id IS NOT NULL")
+    heads = seeds.groupBy("cluster_id").agg(F.min("article_id").alias("earlier"))
+    ties = seeds.join(heads, "cluster_id").where("article_id <> earlier").select(F.col("article_id").alias("later"), "earlier")
+    parts = connected(pairs.select("later", "earlier").unionByName(ties))
+    near = pairs.select(F.col("later").alias("article_id"), F.col("earlier").alias("other"), "score")
+    near = written(near.unionByName(near.select(F.col("other").alias("article_id"), F.col("article_id").alias("other"), "score")).join(parts, "article_id"), "near")
+    records = written(told.join(parts, "article_id"), "members")
+    sizes = near.groupBy("part").agg(F.count("*").alias("n")).unionByName(records.groupBy("part").agg(F.count("*").alias("n"))).groupBy("part").agg(F.max("n").alias("n"))
+    large = few(written(sizes.where(F.col("n") > 2 * part).select("part"), "large"))
+    small_ = [t.join(large, "part", "left_anti") for t in (near, records)]
+    done = grouped_at_once(*small_)
+    big = records.join(large, "part", "left_semi")
+    if not big.isEmpty():
+        done = done.unionByName(grouped_by_rounds(near.join(large, "part", "left_semi"), big))
+    alone = seeds.join(parts, "article_id", "left_anti").select("article_id", F.col("article_id").alias("first"))
+    done = written(done.unionByName(alone), "groups")
+    known = done.join(seeds.select("article_id", "cluster_id"), "article_id").groupBy("first").agg(F.min("cluster_id").alias("cluster_id"))
+    sizes = done.groupBy("first").agg(F.count("*").alias("size")).join(known, "first", "left").where("size > 1 OR cluster_id IS NOT NULL")
+    return done.join(sizes.select("first", "cluster_id"), "first").select("article_id", "first", "cluster_id")
+
+
+def named(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(article_id, cluster_id, is_known): groups of assigned() with names; a new one is named by what all its members share.
+
+    That is their models, or their anchors if they share no model, without entities, the first six in order; or the least title. What
+    members share is counted: a value that as many of them have as there are, so that no group's values meet in one row.
     """
-    named = clusters.join(found.select("article_id", "anchors"), "article_id")
-    fold = F.aggregate(F.slice("each", 2, F.greatest(F.size("each") - 1, F.lit(1))), F.get("each", 0), F.array_intersect)
-    whole = named.groupBy("cluster_id").agg(F.collect_list("anchors").alias("each"))
-    made = F.when(F.size(fold) > 0, F.substring(F.sha2(F.array_join(F.array_sort(fold), "|"), 256), 1, 24)).otherwise(F.col("cluster_id").cast("string"))
-    keys_ = whole.select("cluster_id", F.concat(F.lit("c_"), made).alias("made"))
-    if known is None:
-        keys_ = keys_.withColumn("old", F.lit(None).cast("string"))
-    else:
-        old = clusters.join(known, "article_id").groupBy("cluster_id").agg(F.min("cluster_key").alias("old"))
-        keys_ = keys_.join(old, "cluster_id", "left")
-    return clusters.join(keys_, "cluster_id").select("article_id", "cluster_id", F.coalesce("old", "made").alias("cluster_key"))
-
-
-def connected(pairs: DataFrame) -> DataFrame:
-    """(article_id, part): the smallest article_id that is reachable, by label propagation with checkpoints."""
-    both = pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")).union(pairs.select("earlier", "later")).distinct()
-    shared_folder(pairs.sparkSession)
-    both = both.checkpoint()
-    labels = both.groupBy(F.col("a").alias("article_id")).agg(F.least(F.min("a"), F.min("b")).alias("part"))
-    while True:
-        near = both.join(labels.withColumnRenamed("article_id", "b"), "b").groupBy(F.col("a").alias("article_id")).agg(F.min("part").alias("near"))
-        step = labels.join(near, "article_id").select("article_id", F.least("part", "near").alias("part"), (F.col("near") < F.col("part")).alias("moved")).checkpoint()
-        labels = step.select("article_id", "part")
-        if step.where("moved").isEmpty():
-            return labels
+    new = groups.where("cluster_id IS NULL").select("article_id", "first")
+    held = new.join(found.select("article_id", "models", "anchors", "title_key"), "article_id")
+    sizes = held.groupBy("first").agg(F.count("*").alias("size"), F.min("title_key").alias("title"))
+    values = held.select("first", F.explode("models").alias("value"), F.lit(0).alias("kind")).unionByName(held.select("first", F.explode("anchors").alias("value"), F.lit(1).alias("kind")))
+    shared = values.groupBy("first", "kind", "value").agg(F.count("*").alias("n")).join(sizes, "first").where("n = size")
+    best = shared.groupBy("first").agg(F.min("kind").alias("kind"))
+    shared = shared.join(best, ["first", "kind"]).where(~F.col("value").startswith("entity:"))
+    shared = shared.withColumn("place", F.row_number().over(Window.partitionBy("first").orderBy("value"))).where("place <= 6")
+    signed = shared.groupBy("first").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("signature"))
+    made = sizes.join(signed, "first", "left").select("first", F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat(F.lit("cluster-v2:"), F.coalesce("signature", "title")), 256), 1, 24)).alias("made"))
+    return groups.join(made, "first", "left").select("article_id", F.coalesce("cluster_id", "made").alias("cluster_id"), F.col("cluster_id").isNotNull().alias("is_known"))
+
+
+def planned(articles: DataFrame, per_key: int | None = PER_KEY, per_record: int | None = PER_RECORD, part: int = PART) -> DataFrame:
+    """(article_id, cluster_id, is_known) of articles (article_id, title, url, cluster_id, is_new) that are in a cluster; the others have no row."""
+    found = written(features(articles), "features")
+    return named(found, assigned(found, pair_scores(found, candidates(found, per_key, per_record)), part))

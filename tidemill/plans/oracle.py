@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from tidemill.plans import cluster_sql
+
 #: The SQL has values of its own: it takes none from the engine, so that an error in those shows.
 TRACKING_FIRST = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "mc_cid", "mc_eid"]
 TRACKING = [*TRACKING_FIRST, "ref", "source", "fb_action_ids", "fb_action_types", "fb_ref", "fb_source"]
@@ -198,8 +200,8 @@ ORACLE = {
     "html_to_text": f"SELECT page_id, {title('html')} AS title, md5({plain_html('html')}) AS text_md5, length({plain_html('html')}) AS n_chars FROM pages",
     "sentence_stats": f"WITH s AS (SELECT doc_id, unnest({sentences('text')}) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest, min(s) AS least FROM s GROUP BY doc_id",
     "rule_summary": f"WITH {ARTICLES}, l AS (SELECT article_id, title, list_filter({sentences('text', '[。！？.!?]+')}, lambda s: length(s) > 10) AS l FROM articles), j AS (SELECT *, array_to_string(l[1:2], '。') AS j FROM l) SELECT article_id, CASE WHEN len(l) = 0 THEN title WHEN length(j) > 200 THEN left(j, 200) || '...' ELSE j END AS summary FROM j",
-    "language_tag": r"""WITH t AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN '模型训练' || text WHEN 1 THEN '模型' || text ELSE text END AS t FROM documents), c AS (SELECT lang, length(regexp_replace(t, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS zh, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS la FROM t)
-        SELECT CASE WHEN zh = 0 THEN 'non_zh' WHEN zh >= la THEN 'zh' ELSE 'mixed' END AS tag, lang, count(*) AS n FROM c GROUP BY ALL""",
+    "language_tag": r"""WITH t AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN '模型训练' || text WHEN 1 THEN '㐂模型' || regexp_replace(text, '[A-Za-z]', '', 'g') ELSE text END AS t FROM documents), c AS (SELECT lang, regexp_matches(t, '[\x{3400}-\x{9FFF}]') AS han, regexp_matches(t, '[A-Za-z]') AS latin FROM t)
+        SELECT CASE WHEN han AND latin THEN 'mixed' WHEN han THEN 'zh' ELSE 'non_zh' END AS tag, lang, count(*) AS n FROM c GROUP BY ALL""",
     "shanghai_day": "SELECT CAST(CAST(ts + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "age_days": f"WITH {ARTICLES} SELECT article_id, CAST(greatest(0, floor(({NOW} - epoch(published_at)) / 86400)) AS INT) AS age_days FROM articles",
     "source_health": f"WITH {HEALTH} SELECT source_name, fetches, successes, consecutive_failures, success_rate, cooldown_seconds FROM health",
@@ -346,3 +348,5 @@ ORACLE |= {
 }
 
 ORACLE["trending_rows"] = f"SELECT page_id, CAST(k AS INT) AS rank, 'own' || page_id || '/repo' AS name, {trimmed(f"regexp_replace({title('html')}, '[<>&]', '', 'g') || ' & more'")} AS description, 'Lang' || page_id % 4 AS language, k * 1000 + page_id % 1000 AS stars, page_id % 50 AS stars_new FROM pages, (VALUES (1), (3)) v(k)"
+
+ORACLE |= cluster_sql.queries(ARTICLES, lambda c: collapsed(composed(c)))

@@ -11,10 +11,9 @@ from tidemill.operators import clusters, roles, scoring, sources, store
 from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
-from tidemill.sources import folders, parse, ports
+from tidemill.sources import folders, parse, ports, storage
 
 NOW_SECONDS = T.DAY0 + 20 * 86400
-ENTITIES = ["the", "der", "les", "los", "apache"]
 NEGATIONS = ["not", "no", "nicht", "pas", "never"]
 SIGNALS, SPAM = r"(?<![A-Za-z0-9_])(?:tion|thing|inter|moron|idiot)", r"(?<![A-Za-z0-9_])(?:password|token)(?![A-Za-z0-9_])"
 QUERIES = {}
@@ -91,7 +90,7 @@ def rule_summary(spark, sf):
 
 @query
 def language_tag(spark, sf):
-    d = T.table(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("模型训练"), F.col("text"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("模型"), F.col("text"))).otherwise(F.col("text")))
+    d = T.table(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("模型训练"), F.col("text"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("㐂模型"), F.regexp_replace("text", "[A-Za-z]", ""))).otherwise(F.col("text")))
     return d.groupBy(texts.language_tag(F.col("t")).alias("tag"), "lang").agg(F.count("*").alias("n"))
 
 
@@ -310,27 +309,35 @@ def origin_trace(spark, sf):
     return scoring.origins(linked_pages(spark, sf))
 
 
-def cluster_pairs(spark, sf):
-    a = T.articles(spark, sf).select("article_id", F.col("article_id").alias("ord"), "title", "text")
-    found = clusters.features(a, ENTITIES)
-    return found, clusters.pair_scores(found, clusters.candidates(found))
+EVENTS = ["OpenAI GPT-5.2", "谷歌 Gemini 3 正式发布 大语言模型", "Anthropic claude-4 2025-03-01", "", "英伟达 2025年3月 12.5亿 订单", "Kimi K2 40%up 300m", "meta llama_3.1 カタカナ"]
+
+
+def event_articles(spark, sf):
+    """Articles whose titles name an event (by their length, so that copies name the same), a third of them known, some of these in clusters."""
+    a, i = T.articles(spark, sf), F.col("article_id")
+    title = F.concat_ws(" ", T.chosen(EVENTS, F.length("title") % 7), "title")
+    url = F.concat(F.lit("https://"), "source_name", F.lit(".example/e/"), F.length("text") % 50, F.lit("/"))
+    known = F.when(i % 6 == 0, F.concat(F.lit("k"), F.expr("article_id div 24").cast("string"))).when(i % 30 == 3, F.concat(F.lit("s"), i))
+    return a.select("article_id", title.alias("title"), url.alias("url"), known.alias("cluster_id"), (i % 3 != 0).alias("is_new"))
 
 
 @query
 def cluster_features(spark, sf):
-    a = T.articles(spark, sf).select("article_id", F.col("article_id").alias("ord"), "title", "text")
-    return clusters.features(a, ENTITIES).select("article_id", F.size("terms").alias("n_terms"), F.size("numbers").alias("n_numbers"), F.array_join("entities", ",").alias("entities"))
+    found = clusters.features(event_articles(spark, sf))
+    lists = [F.array_join(F.array_sort(c), ",").alias(c) for c in clusters.KINDS]
+    return found.select("article_id", "cluster_id", *lists, F.size("terms").alias("n_terms"), F.size("anchors").alias("n_anchors"), F.md5(F.array_join("keys", "|")).alias("keys_md5"))
 
 
 @query
 def cluster_pair_scores(spark, sf):
-    return cluster_pairs(spark, sf)[1].select("later", "earlier", F.round("score", 6).alias("score"))
+    found = storage.written(clusters.features(event_articles(spark, sf)), "features")
+    return clusters.pair_scores(found, clusters.candidates(found)).select("later", "earlier", F.round("score", 6).alias("score"))
 
 
 @query
 def cluster_assign(spark, sf):
-    pairs = cluster_pairs(spark, sf)[1]
-    return clusters.assigned(pairs, clusters.connected(pairs))
+    """Event clusters of all articles: known ones that new articles join, and new ones."""
+    return clusters.planned(event_articles(spark, sf))
 
 
 @query
