@@ -350,3 +350,14 @@ ORACLE |= {
 ORACLE["trending_rows"] = f"SELECT page_id, CAST(k AS INT) AS rank, 'own' || page_id || '/repo' AS name, {trimmed(f"regexp_replace({title('html')}, '[<>&]', '', 'g') || ' & more'")} AS description, 'Lang' || page_id % 4 AS language, k * 1000 + page_id % 1000 AS stars, page_id % 50 AS stars_new FROM pages, (VALUES (1), (3)) v(k)"
 
 ORACLE |= cluster_sql.queries(ARTICLES, lambda c: collapsed(composed(c)))
+
+ORACLE |= {
+    "evidence_phrases": rf"""WITH {DIMENSIONS}, slots AS (SELECT direction, dimension, row_number() OVER (ORDER BY direction_no, dimension_no) - 1 AS slot FROM dimensions),
+        w AS (SELECT list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+        p AS (SELECT phrase, min(i) - 1 AS place FROM (SELECT unnest(range(1, len(w))) AS i, w[i] || ' ' || w[i + 1] AS phrase FROM w) GROUP BY phrase),
+        rules AS (SELECT direction, dimension, phrase, place % 3 = 0 AS strong FROM p JOIN slots ON slot = CAST('0x' || left(md5(phrase), 6) AS BIGINT) % 71),
+        s AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS no FROM (SELECT doc_id, list_filter({sentences('text')}, lambda s: NOT regexp_matches(s, '{SURE}')) AS ss FROM documents)),
+        h AS (SELECT * FROM s JOIN rules ON contains(lower(sentence), phrase) AND (NOT strong OR contains(sentence, phrase || ' ') OR contains(sentence, phrase || ',') OR contains(sentence, phrase || '.')))
+        SELECT doc_id, direction, dimension, CAST(CASE WHEN count(*) FILTER (strong) > 0 THEN 5 ELSE 2.5 END AS DOUBLE) AS score, md5(coalesce(arg_min(sentence, no) FILTER (strong), '')) AS quote_md5
+        FROM h GROUP BY ALL HAVING count(*) FILTER (strong) > 0 OR count(DISTINCT phrase) FILTER (NOT strong) >= 2""",
+}

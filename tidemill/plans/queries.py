@@ -433,8 +433,8 @@ def publish_score(spark, sf):
 
 
 RULES = [
-    ("model", "entity", [r"(?i)apache|mozilla", r"(?i)public licen[sc]e"], ["version", "license"]), ("agent", "tool_call", [r"\btoken\b"], ["password", "Secret", "key"]),
-    ("coding", "code_gen", [r"[a-z]+tion [a-z]+ing\b"], ["thing", "inter", "ouea"]), ("multimodal", "quality", [], ["des", "les", "der"]), ("data_eval", "coverage", [r"模型.{0,9}上线"], ["训练"]),
+    ("model", "entity", [(r"(?i)apache|mozilla", ["apache", "mozilla"]), (r"(?i)public licen[sc]e", ["public licen"])], ["version", "license"]), ("agent", "tool_call", [r"\btoken\b"], ["password", "Secret", "key"]),
+    ("coding", "code_gen", [(r"[a-z]+tion [a-z]+ing\b", ["tion "])], ["thing", "inter", "ouea"]), ("multimodal", "quality", [], ["des", "les", "der"]), ("data_eval", "coverage", [(r"模型.{0,9}上线", ["模型"])], ["训练"]),
 ]
 
 
@@ -446,6 +446,13 @@ def evidence_patterns(spark, sf):
     return found.select("doc_id", "direction", "dimension", "score", F.md5(F.coalesce("quote", F.lit(""))).alias("quote_md5"))
 
 
+@query
+def evidence_phrases(spark, sf):
+    """Evidence by some thousands of phrases in whole documents."""
+    found = scoring.phrase_evidence(T.table(spark, sf, "documents").select("doc_id", "text"), T.phrase_rules(spark, sf))
+    return found.select("doc_id", "direction", "dimension", "score", F.md5(F.coalesce("quote", F.lit(""))).alias("quote_md5"))
+
+
 @query
 def score_combine(spark, sf):
     """Given scores, of which every third document has none, with rule scores in their place, halved."""

@@ -74,3 +74,18 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = dimensions(spark).withColumn("slot", F.row_number().over(Window.orderBy("direction_no", "dimension_no")) - 1)
     kind = F.when(F.floor(F.col("no") / 71) % 3 == 0, "strong").otherwise("weak")
     return dealt.join(F.broadcast(named), F.col("no") % 71 == F.col("slot")).select("direction", "dimension", kind.alias("kind"), "term")
+
+
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of two words each, some thousands: what stands side by side in benchmark texts, dealt out to the 71 dimensions by its hash; every third is strong."""
+    from pyspark.sql import Window
+
+    from tidemill.plans.vocabulary import dimensions
+
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    cut = table(spark, sf_dir, "benchmark").select(F.explode(F.array(words)).alias("w")).where("size(w) > 1")
+    pairs = cut.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("at", "phrase"))
+    told = pairs.groupBy("phrase").agg(F.min("at").alias("at")).withColumn("slot", F.conv(F.substring(F.md5("phrase"), 1, 6), 16, 10).cast("int") % 71)
+    named = dimensions(spark).withColumn("slot", F.row_number().over(Window.orderBy("direction_no", "dimension_no")) - 1)  # 71 rows
+    strong = F.col("at") % 3 == 0
+    return told.join(F.broadcast(named), "slot").select("direction", "dimension", F.when(strong, "strong").otherwise("weak").alias("kind"), F.when(strong, F.concat("phrase", F.lit("[ ,.]"))).otherwise(F.col("phrase")).alias("pattern"), F.array("phrase").alias("literals"))
