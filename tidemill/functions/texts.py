@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,17 +23,30 @@ def collapsed(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, rf"{SPACES}+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often use names it: an expression that named it would be copied each time."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def decoded(text: Column) -> Column:
     """Named entities in order, '&amp;' first, then decimal and then hexadecimal ones; what names no character stays."""
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     for pattern, base in ((r"&#([0-9]+);", 10), (r"&#x([0-9a-fA-F]+);", 16)):
-        between, codes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        told = F.zip_with(between, F.transform(codes, lambda c: character(c, base)), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))  # noqa: B023
-        text = F.when(text.contains("&#"), F.array_join(told, "")).otherwise(text)
+        text = bound(text, characters_of(pattern, base))
     return text
 
 
+def characters_of(pattern: str, base: int) -> Callable[[Column], Column]:
+    """A column function that puts characters for numbers that a pattern finds."""
+    def told(text: Column) -> Column:
+        between, codes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        both = F.zip_with(between, F.transform(codes, lambda c: character(c, base)), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+        return F.when(text.contains("&#"), F.array_join(both, "")).otherwise(text)
+
+    return told
+
+
 def character(code: Column, base: int) -> Column:
     """The character of a code point in digits; the entity again if there is none."""
     number = F.when(F.length(code) <= 9, F.conv(code, base, 10).cast("long"))
@@ -56,10 +70,21 @@ def normalized_title(title: Column) -> Column:
     return collapsed(composed(decoded(F.coalesce(title, F.lit("")))))
 
 
+def without(text: Column, opening: str, closing: str) -> Column:
+    """text with a space for each part from an opening to the next closing (patterns). Only what stands before the last closing is
+    searched, so that openings that nothing closes cost nothing."""
+    def cut(t: Column) -> Column:
+        head = F.regexp_extract(t, f"(?is)^(.*{closing})", 1)
+        return F.concat(F.regexp_replace(head, f"(?is){opening}.*?{closing}", " "), F.substring(t, F.length(head) + 1, F.length(t)))
+
+    return bound(text, cut)
+
+
 def html_to_text(html: Column) -> Column:
     """Comments, scripts, styles and templates go, tags go, entities are decoded, all white space collapses to single spaces."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
+    text = without(html, "<!--", "-->")
+    for tag in ("script", "style", "template"):
+        text = without(text, rf"<{tag}\b[^>]*>", rf"</{tag}\s*>")
     return collapsed(decoded(F.regexp_replace(text, r"(?s)<[^>]*>", " ")))
 
 
