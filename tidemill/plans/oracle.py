@@ -361,3 +361,26 @@ ORACLE |= {
         SELECT doc_id, direction, dimension, CAST(CASE WHEN count(*) FILTER (strong) > 0 THEN 5 ELSE 2.5 END AS DOUBLE) AS score, md5(coalesce(arg_min(sentence, no) FILTER (strong), '')) AS quote_md5
         FROM h GROUP BY ALL HAVING count(*) FILTER (strong) > 0 OR count(DISTINCT phrase) FILTER (NOT strong) >= 2""",
 }
+
+
+def attribute(c: str, name: str) -> str:
+    return rf"""trim(regexp_extract({c}, '(?i){name}\s*=\s*["\x27]([^"\x27]*)["\x27]', 1))"""
+
+
+ORACLE |= {
+    "api_nested": rf"""WITH p AS (SELECT page_id AS i, {title('html')} AS t, md5(html) AS h, 'https://' || {host('url')} || '/p/' || page_id AS link FROM pages),
+        n AS (SELECT *, CASE WHEN regexp_matches(t, '[<&]') THEN {plain_html('t')} ELSE {collapsed('t')} END AS clean FROM p)
+        SELECT i AS source_id, 1 AS no, CASE WHEN clean <> '' THEN clean END AS title, CASE WHEN clean <> '' THEN link END AS url, CASE WHEN clean <> '' THEN h END AS content, CASE WHEN clean <> '' THEN 'summary' END AS content_kind, CASE WHEN clean = '' THEN 'no_title_or_link' END AS skipped, NULL AS error FROM n WHERE i % 7 < 4
+        UNION ALL SELECT i, 2, 'R & S', 'https://g.example/' || i, 't', 'full', NULL, NULL FROM n WHERE i % 7 < 4
+        UNION ALL SELECT i, 3, NULL, NULL, NULL, NULL, 'no_title_or_link', NULL FROM n WHERE i % 7 < 4 UNION ALL SELECT i, 4, NULL, NULL, NULL, NULL, 'not_an_object', NULL FROM n WHERE i % 7 < 4
+        UNION ALL SELECT i, unnest([1, 2]), NULL, NULL, NULL, NULL, 'not_an_object', NULL FROM n WHERE i % 7 = 6
+        UNION ALL SELECT i, NULL, NULL, NULL, NULL, NULL, NULL, CASE i % 7 WHEN 4 THEN 'unrecognized' WHEN 5 THEN 'invalid_json' ELSE 'no_items' END FROM n WHERE i % 7 >= 4""",
+    "page_metadata": rf"""WITH p AS (SELECT page_id AS i, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?i)</?title', '<x', 'g') ELSE html END AS html FROM pages),
+        q AS (SELECT i, html, list_transform(regexp_extract_all(html, '(?i)<meta\s+([^>]+)>', 1), lambda m: struct_pack(n := lower(coalesce(nullif({attribute('m', 'property')}, ''), {attribute('m', 'name')})), c := {attribute('m', 'content')})) AS own,
+            list_transform(list_filter(regexp_extract_all(html, '(?i)<link\s+([^>]+)>', 1), lambda m: regexp_matches(m, '(?i)\brel\s*=\s*["\x27][^"\x27]*canonical')), lambda m: {attribute('m', 'href')}) AS links FROM p),
+        r AS (SELECT *, list_filter(CASE WHEN i % 4 = 0 THEN [] ELSE [struct_pack(n := 'og:url', c := 'https://og.example/' || i), struct_pack(n := 'description', c := 'told ' || (i % 5))] END || own, lambda m: m.n <> '' AND m.c <> '') AS m, CASE WHEN i % 4 = 0 THEN [] ELSE ['/c/' || i] END || links AS l FROM q)
+        SELECT i AS page_id, coalesce(nullif({title('html')}, ''), list_filter(m, lambda x: x.n = 'og:title')[1].c, CASE WHEN i % 5 <> 0 THEN 'H' || i ELSE '' END) AS title, coalesce(l[-1], '') AS canonical, coalesce(list_filter(m, lambda x: x.n = 'og:url')[-1].c, '') AS og_url,
+          coalesce(list_filter(m, lambda x: x.n IN ('description', 'og:description'))[1].c, CASE WHEN i % 5 <> 0 THEN 'D' || i ELSE '' END) AS description,
+          coalesce(list_filter(m, lambda x: x.n IN ('article:published_time', 'datepublished', 'date'))[1].c, CASE WHEN i % 5 <> 0 THEN '2024-01-0' || (i % 9 + 1) ELSE '' END) AS published,
+          coalesce(list_filter(m, lambda x: x.n IN ('article:modified_time', 'datemodified'))[1].c, CASE WHEN i % 5 <> 0 THEN '2024-02-01' ELSE '' END) AS updated FROM r""",
+}

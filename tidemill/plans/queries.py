@@ -350,6 +350,28 @@ def api_items(spark, sf):
     return found.select("source_id", "title", "url", "content", stamp(F.col("published_at")).alias("published_at"))
 
 
+@query
+def api_nested(spark, sf):
+    """Payloads made of pages, each with its list at another depth, behind a wrapper, other names, edges, or nowhere: items, skips and errors."""
+    p, i = T.table(spark, sf, "pages"), F.col("page_id")
+    title = F.to_json(F.struct(texts.page_title(F.col("html")).alias("headline"), F.concat(F.lit("/p/"), i).alias("link"), F.md5("html").alias("excerpt")))
+    item = F.concat(F.lit("["), title, F.lit(',{"name":{"rendered":"<b>R &amp; S</b>"},"guid":"https://g.example/'), i, F.lit('","text":"t"},{"title":7,"url":"https://n.example"},3]'))
+    shapes = ["@", '{"meta":{"n":1},"response":{"posts":@},"zeta":[1]}', '{"b":{"c":{"d":{"list":@}}},"a":[{"title":"late","url":"https://late.example"}]}', '{"data":{"q":{"edges":@}},"x":{"items":[]}}', '{"k":"{}","o":{"p":1},"v":null}', "not json", '{"items":[1,2]}']
+    json = F.coalesce(*(F.when(i % 7 == n, F.replace(F.lit(shape), F.lit("@"), item)) for n, shape in enumerate(shapes)))
+    found = parse.api_parsed(p.select(i.alias("source_id"), json.alias("json"), F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/feed")).alias("base")))
+    return found.select("source_id", "no", "title", "url", "content", "content_kind", "skipped", "error")
+
+
+@query
+def page_metadata(spark, sf):
+    """What pages tell of themselves in titles, links, metas and JSON-LD, of which every page gets some."""
+    i = F.col("page_id")
+    ld = F.concat(F.lit('<script type="application/ld+json">[{"@graph":[{"name":1},{"dateCreated":"2024-01-0'), i % 9 + 1, F.lit('","headline":"H'), i, F.lit('"}]},{"datePublished":"late","description":"D'), i, F.lit('","dateModified":"2024-02-01"}]</script>'))
+    metas = F.concat(F.lit("<meta content='https://og.example/"), i, F.lit("' property='og:url'><META name=\"description\" content=\"told "), i % 5, F.lit('"><link href="/c/'), i, F.lit('" rel="shortcut canonical">'))
+    html = F.concat(F.when(i % 4 == 0, "").otherwise(metas), F.when(i % 3 == 0, F.regexp_replace("html", "(?i)</?title", "<x")).otherwise(F.col("html")), F.when(i % 5 == 0, "<script type='application/ld+json'>{bad</script>").otherwise(ld))
+    return parse.page_metadata(T.table(spark, sf, "pages").select("page_id", html.alias("html")))
+
+
 @query
 def feed_items(spark, sf):
     """Feeds made of all documents: half RSS, half Atom, with the texts as bodies."""
