@@ -183,9 +183,19 @@ def test_chinese_evidence_counts_only_what_is_sure(spark):
 
 
 def test_addresses_in_other_forms_and_behind_redirects(spark):
-    for given, want in {"http://2130706433/": "address_form", "http://0x7f000001/": "address_form", "http://[::ffff:127.0.0.1]/": "invalid", "http://0177.0.0.1/": "address_form", "https://go.com/?url=http%3A%2F%2F10.0.0.1%2F": "private_address", "https://add.com/x": None, "https://8.8.8.8/": None}.items():
-        got = one(spark, urls.unsafe_target(F.col("u")), u=given)
-        assert got == want or (want == "invalid" and got is not None), (given, got)
+    cases = {
+        "http://2130706433/": "private_address", "http://0x7f000001/": "private_address", "http://[::ffff:127.0.0.1]/": "private_address", "http://0177.0.0.1/": "private_address", "http://127.1/": "private_address", "http://0x8.0x8.2056/": None,
+        "http://[::ffff:7f00:1]/": "private_address", "http://[::]/": "private_address", "http://[::1]:80/": "private_address", "http://[fe80::1]/": "private_address", "http://[fd12:3456::]/": "private_address", "http://[ff02::1]/": "private_address",
+        "http://[2001:db8::8.8.8.8]/": None, "http://[2606:4700::1111]/": None, "http://[1::2::3]/": "invalid", "http://[1:2:3:4:5:6:7:8:9]/": "invalid", "http://[12345::]/": "invalid", "http://256.1.1.1/": "invalid", "http://1.2.3.4.5/": "invalid",
+        "http://08.1.1.1/": "invalid", "http://4294967296/": "invalid", "http://99999999999999999999/": "invalid", "http://100.64.0.1/": "private_address", "http://172.32.0.1/": None, "http://198.19.255.255/": "private_address", "http://240.0.0.1/": "private_address",
+        "https://go.com/?url=http%3A%2F%2F10.0.0.1%2F": "private_address", "https://add.com/x": None, "https://8.8.8.8/": None, "http://1e100.net/": None, "http://instance-data/": "local_host", "nonsense": "invalid", "ftp://8.8.8.8/": "scheme",
+    }
+    frame = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = {r.u: r.reason for r in frame.select("u", urls.unsafe_target(F.col("u")).alias("reason")).collect()}
+    assert got == cases
+    answers = [(["8.8.8.8"], None), ([], "dns_private_or_empty"), (None, "dns_private_or_empty"), (["8.8.8.8", "10.0.0.1"], "dns_private_or_empty"), (["2606:4700::1111"], None), (["::ffff:10.0.0.1"], "dns_private_or_empty"), (["odd"], "dns_private_or_empty")]
+    frame = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(answers)], "i int, a array<string>")
+    assert [r.reason for r in frame.select("i", urls.unsafe_answers(F.col("a")).alias("reason")).orderBy("i").collect()] == [w for _, w in answers]
 
 
 def test_edges_hold_items_in_nodes(spark):

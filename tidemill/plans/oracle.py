@@ -384,3 +384,29 @@ ORACLE |= {
           coalesce(list_filter(m, lambda x: x.n IN ('article:published_time', 'datepublished', 'date'))[1].c, CASE WHEN i % 5 <> 0 THEN '2024-01-0' || (i % 9 + 1) ELSE '' END) AS published,
           coalesce(list_filter(m, lambda x: x.n IN ('article:modified_time', 'datemodified'))[1].c, CASE WHEN i % 5 <> 0 THEN '2024-02-01' ELSE '' END) AS updated FROM r""",
 }
+
+
+def v4_private(n: str) -> str:
+    """Whether 32 bits are a private IPv4 address."""
+    a, b = f"({n} // 16777216)", f"({n} // 65536 % 256)"
+    return f"({a} IN (0, 10, 127) OR {a} >= 224 OR ({a} = 169 AND {b} = 254) OR ({a} = 172 AND {b} BETWEEN 16 AND 31) OR ({a} = 192 AND {b} IN (0, 168)) OR ({a} = 198 AND {b} IN (18, 19, 51)) OR ({a} = 203 AND {b} = 0) OR ({a} = 100 AND {b} BETWEEN 64 AND 127))"
+
+
+GROUP = "ltrim(substr(h, {}, 4), '0')"
+SIX_PRIVATE = "(left({g}, 2) IN ('fc', 'fd', 'ff') OR left({g}, 3) IN ('fe8', 'fe9', 'fea', 'feb'))"
+ORACLE |= {
+    "address_forms": f"""WITH h AS (SELECT page_id, md5(url) AS h FROM pages), n AS (SELECT *, CAST('0x' || left(h, 8) AS BIGINT) AS n FROM h)
+        SELECT page_id, CAST(form AS INT) AS form, CASE WHEN form IN (0, 1, 2, 3, 5, 6) THEN CASE WHEN {v4_private('n')} THEN 'private_address' END WHEN form = 4 THEN CASE WHEN {SIX_PRIVATE.format(g=GROUP.format(1))} THEN 'private_address' END
+          WHEN form = 7 THEN CASE WHEN {SIX_PRIVATE.format(g="('f' || left(h, 3))")} THEN 'private_address' END ELSE CASE WHEN CAST('0x' || substr(h, 7, 3) AS INT) > 255 THEN 'invalid' WHEN {v4_private("(n // 256 * 256)")} THEN 'private_address' END END AS reason
+        FROM n, (SELECT unnest(range(9)) AS form)""",
+    "link_probe": """WITH RECURSIVE r AS (SELECT page_id AS i, 'https://site.example/p/' || page_id AS url, page_id % 10 AS k,
+          CASE WHEN page_id % 10 <= 3 THEN 'https://site.example/p/' || (page_id + 1 + CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id % 4 END) WHEN page_id % 20 = 7 THEN 'https://site.example/p/' || page_id WHEN page_id % 10 = 7 THEN 'http://127.1/x' END AS target FROM pages),
+        s AS (SELECT url FROM r WHERE k <> 8 UNION SELECT url FROM pages),
+        w(url, here, hop, state, detail, final_url, status) AS (SELECT url, url, 0, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::INT FROM s
+          UNION ALL SELECT w.url, CASE WHEN k <= 3 OR k = 7 THEN target ELSE here END, hop + 1,
+            CASE WHEN k IS NULL OR k = 8 THEN 'needs_review' WHEN k <= 3 OR i % 20 = 7 THEN CASE WHEN hop = 3 THEN 'needs_review' END WHEN k = 7 THEN 'needs_review' WHEN k = 6 AND hop = 0 THEN NULL WHEN k = 4 THEN 'dead' WHEN k = 5 THEN 'needs_review' ELSE 'alive' END,
+            CASE WHEN k IS NULL OR k = 8 THEN 'probe_error:no response' WHEN k <= 3 OR i % 20 = 7 THEN 'redirect_limit' WHEN k = 7 THEN 'unsafe_redirect:private_address' WHEN k = 4 THEN 'HTTP 404 for ' || here WHEN k = 5 THEN 'probe_status:503' ELSE '' END,
+            CASE WHEN k IN (4, 5, 6, 9) THEN here END, CASE WHEN k = 4 THEN 404 WHEN k = 5 THEN 503 WHEN k = 7 AND i % 20 <> 7 THEN 301 WHEN k IN (6, 9) THEN 200 END
+          FROM w LEFT JOIN r ON r.url = w.here WHERE state IS NULL AND hop < 4)
+        SELECT url, state, detail, final_url, CAST(status AS INT) AS status, CAST(hop AS INT) AS hops FROM w WHERE state IS NOT NULL""",
+}

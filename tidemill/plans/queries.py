@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.operators import articles as A
-from tidemill.operators import clusters, roles, scoring, sources, store
+from tidemill.operators import clusters, probes, roles, scoring, sources, store
 from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
@@ -54,6 +54,36 @@ def url_safety(spark, sf):
     return p.select("page_id", urls.unsafe_reason(url).alias("reason"))
 
 
+@query
+def address_forms(spark, sf):
+    """Addresses made of pages' hashes in every form that a URL may write them in, and whether they may be fetched."""
+    hex_ = F.md5("url")
+    number = F.conv(F.substring(hex_, 1, 8), 16, 10).cast("long")
+    octet = lambda k: F.conv(F.substring(hex_, 2 * k - 1, 2), 16, 10)
+    group = lambda k: F.substring(hex_, 4 * k - 3, 4)
+    six = F.concat_ws(":", *(group(k) for k in range(1, 9)))
+    forms = [number.cast("string"), F.concat(F.lit("0x"), F.substring(hex_, 1, 8)), F.concat_ws(".", *(F.concat(F.lit("0"), F.conv(octet(k), 10, 8)) for k in range(1, 5))), F.concat_ws(".", octet(1), (number % (1 << 24)).cast("string")), F.concat(F.lit("["), six, F.lit("]")), F.concat(F.lit("[::ffff:"), group(1), F.lit(":"), group(2), F.lit("]")), F.concat(F.lit("[::ffff:"), F.concat_ws(".", *(octet(k) for k in range(1, 5))), F.lit("]")), F.concat(F.lit("[f"), F.substring(hex_, 1, 3), F.lit("::"), group(3), F.lit("]")), F.concat_ws(".", octet(1), octet(2), octet(3), F.conv(F.substring(hex_, 7, 3), 16, 10))]
+    p = T.table(spark, sf, "pages").select("page_id", F.posexplode(F.array(*forms)).alias("form", "host"))
+    return p.select("page_id", "form", urls.unsafe_reason(F.concat(F.lit("https://"), "host", F.lit("/a?b=c"))).alias("reason"))
+
+
+def responses(spark, sf):
+    """What servers say of pages' links: most lead on to another page, some in circles or to a private address, others end."""
+    p, i = T.table(spark, sf, "pages"), F.col("page_id")
+    link = lambda n: F.concat(F.lit("https://site.example/p/"), n)
+    kind = i % 10
+    status = F.when(kind <= 3, 302).when(kind == 4, 404).when(kind == 5, 503).when(kind == 6, F.when(F.col("method") == "HEAD", 405).otherwise(200)).when(kind == 7, 301).when(kind == 9, 200)
+    target = F.when(kind <= 3, F.when(i % 3 == 0, F.concat(F.lit("../p/"), i + 1)).otherwise(link(F.expr("page_id + 1 + page_id % 4")))).when(kind == 7, F.when(i % 20 == 7, link(i)).otherwise(F.lit("http://127.1/x")))
+    return p.select(link(i).alias("url"), F.explode(F.array(F.lit("HEAD"), F.lit("GET"))).alias("method"), i.alias("page_id")).select("url", "method", status.cast("int").alias("status"), target.alias("location"), F.lit(None).cast("string").alias("error"))
+
+
+@query
+def link_probe(spark, sf):
+    """Where pages' links lead: chains, circles, unsafe targets, dead ends."""
+    said = responses(spark, sf).where("status IS NOT NULL")
+    return probes.probed(said.select("url").unionByName(T.table(spark, sf, "pages").select("url")), lambda asked: asked.join(said, ["url", "method"], "left"))
+
+
 @query
 def redirect_target(spark, sf):
     p = T.table(spark, sf, "pages")
