@@ -121,20 +121,82 @@ def explained(source_name: Column, passes: Column, score: Column, review: Column
     return F.struct(featured.alias("featured"), F.when(featured, F.concat(F.lit(FEATURED[0]), source, F.lit(FEATURED[1]), score.cast("string"), F.lit(FEATURED[2]))).otherwise(KEPT).alias("explanation"))
 
 
-def evaluation(flags: dict[str, Column]) -> Column:
-    """struct(relevance, credibility, verifiability, completeness, impact, overall, passes): five parts of 0 to 20.
-
-    flags: topic, tier (0 to 10), has_number, has_name, has_url, n_chars, n_impact, negated, rumour, marketing.
+#: What tells of the topic, of news, of effects, of details that can be checked; what denies, reports hearsay, looks ahead, praises.
+WORDS = {
+    "topic": (r"artificial intelligence|generative ai|machine learning|large language model|language model|foundation model|LLM|GPT|Claude|Gemini|Llama|Qwen|DeepSeek|Mistral|Gemma|Kimi|AI agents?|multimodal|model training|model inference|transformer", r"人工智能|生成式\s*AI|机器学习|深度学习|大模型|语言模型|基础模型|智能体|多智能体|多模态|模型训练|模型推理|神经网络"),
+    "novelty": (r"launch(?:es|ed)?|release[ds]?|introduc(?:e[ds]?|ing)|debut(?:s|ed)?|open[- ]?source[ds]?|new|novel|first", "发布|推出|上线|开源|首次|首个|新型|新方法"),
+    "impact": (r"available|deploy(?:ed|ment)?|adopt(?:ed|ion)?|production|users?|customers?|developers?|api|benchmark|accuracy|performance|latency|throughput|funding|acquisition|regulation|policy", "可用|部署|落地|采用|用户|开发者|接口|基准|性能|准确率|延迟|吞吐|融资|收购|政策|监管"),
+    "detail": (r"benchmark|dataset|methodology|evaluation|results?|study|paper|report|api|[0-9]+(?:\.[0-9]+)?\s*(?:x|ms|s|seconds?|minutes?|hours?|days?|users?|tokens?|parameters?|billion|million|GB|TB)?", "数据集|方法|评测|基准|结果|论文|报告|接口"),
+    "negation": (r"not|no|never|cannot|can't|failed to|fails? to|did not|does not|won't|without", "并未|未能|没有|不会|无法|否认|失败|未达到"),
+    "rumour": (r"rumou?r|alleged(?:ly)?|unconfirmed|sources? say|people familiar|may have|could have", "传闻|据传|传言|消息人士|尚未证实|未经证实|或已|可能已"),
+    "future": (r"will|plans? to|aims? to|intends? to|expected to|upcoming|roadmap|would|could|may", "将于|将在|计划|拟于|预计划|有望|未来|将会|拟将"),
+    "marketing": (r"revolutionary|groundbreaking|game[- ]changing|world[- ]class|industry[- ]leading|best[- ]in[- ]class|unmatched|unparalleled|ultimate|most powerful", "革命性|颠覆性|全球领先|行业领先|遥遥领先|最强|震撼|重磅|划时代"),
+}
+TOLD = {name: rf"(?i)(?<![A-Za-z0-9_])(?:{latin})(?![A-Za-z0-9_])|{others}" for name, (latin, others) in WORDS.items()}
+#: Tiers that are trusted and that are not, categories of sources that are, and what each kind of claim takes from four dimensions.
+TRUSTED, DOUBTED = r"(?i)authoritative|official|primary|validation|top|high|tier[\s_-]?[01]", r"(?i)unverified|unknown|low|tier[\s_-]?[34]"
+CATEGORIES = ["research_papers", "official_release", "evaluation_data", "policy_safety_governance"]
+TAKEN = {"negation": {"novelty": 3, "impact": 5, "verifiability": 2}, "rumour": {"novelty": 4, "credibility": 7, "impact": 4, "verifiability": 7}, "future": {"novelty": 4, "impact": 5, "verifiability": 3}, "marketing": {"novelty": 2, "credibility": 3, "impact": 3, "verifiability": 3}}
+PARTS = {"relevance": ["topic"], "novelty": ["novelty"], "credibility": ["detail", "novelty"], "impact": ["impact", "detail"], "verifiability": ["detail", "impact"]}
+NAMES_OF = {"negation": "negated_claim", "rumour": "rumor_or_hearsay", "future": "future_or_planned", "marketing": "marketing_language"}
+
+
+def excerpts(text: Column) -> Column:
+    """Sentences that end in a mark or with the text, trimmed, 320 characters at most; a line that ends otherwise is none."""
+    runs = F.regexp_extract_all(text, F.lit(r"((?<![^。！？!?\n])[^。！？!?\n]++(?:[。！？!?]++|\z))"), F.lit(1))
+    return F.filter(F.transform(runs, lambda r: F.substring(texts.trimmed(r), 1, 320)), lambda r: r != "")
+
+
+def evaluated(articles: DataFrame) -> DataFrame:
+    """(article_id, relevance, novelty, credibility, impact, verifiability, overall, decision, publish_eligible, reasons, quotes).
+
+    articles: article_id, title, content, url, source_name, source_tier, source_category, published_at; and of the content filter decision
+    (null: none), reason_code, n_signals and filter_matches (whether it saw this text and URL). Each dimension has 0 to 20; what denies, reports
+    hearsay, looks ahead or praises takes from four of them and blocks; without a detail that can be checked in 80 characters or
+    more verifiability is 8 at most. decision: pass, reject (the filter's) or review; quotes: the excerpt that speaks for each dimension.
     """
-    part = lambda x: F.greatest(F.lit(0), F.least(F.lit(20), F.floor(x + 0.5))).cast("int")
-    relevance = part(F.when(flags["topic"], 16.0).otherwise(4.0) - F.when(flags["negated"], 6.0).otherwise(0.0))
-    credibility = part(flags["tier"] * 2.0 - F.when(flags["rumour"], 8.0).otherwise(0.0) - F.when(flags["marketing"], 4.0).otherwise(0.0))
-    verifiability = part(sum((F.when(flags[f], w).otherwise(0.0) for f, w in (("has_number", 8.0), ("has_name", 6.0), ("has_url", 6.0))), F.lit(0.0)))
-    completeness = part(flags["n_chars"] / 60.0)
-    impact = part(flags["n_impact"] * 5.0)
-    overall = relevance + credibility + verifiability + completeness + impact
-    passes = (overall >= 70) & (relevance >= 12) & (credibility >= 10) & (verifiability >= 12)
-    return F.struct(relevance.alias("relevance"), credibility.alias("credibility"), verifiability.alias("verifiability"), completeness.alias("completeness"), impact.alias("impact"), overall.alias("overall"), passes.alias("passes"))
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
+    a = articles.select("*", F.explode(F.array(text)).alias("~text"))
+    a = a.select("*", *(F.col("~text").rlike(p).alias(f"~{n}") for n, p in TOLD.items()))
+    bodies, heads = excerpts(F.coalesce("content", F.lit(""))), excerpts(F.coalesce("title", F.lit("")))
+    a = a.select("*", F.explode(F.array(F.struct(heads.alias("heads"), bodies.alias("bodies")))).alias("~excerpts"))
+    yes = lambda test, n, other=0: F.when(test, n).otherwise(other)
+    has = {n: F.col(f"~{n}") for n in TOLD}
+    decision, code = F.col("decision"), F.coalesce("reason_code", F.lit(""))
+    matches = F.coalesce(decision.isNotNull() & F.col("filter_matches"), F.lit(False))
+    candidate = F.coalesce(decision == "candidate", F.lit(False))
+    tier, secure = F.coalesce("source_tier", F.lit("")), F.coalesce(F.col("url").rlike("(?i)^https://"), F.lit(False))
+    named, dated = F.coalesce(F.col("source_name") != "", F.lit(False)), F.col("published_at").isNotNull()
+    signals = F.greatest(F.coalesce("n_signals", F.lit(0)), F.lit(0))
+    signals = F.when(signals > 0, signals).otherwise(yes(has["topic"], 1))
+    raw = {
+        "relevance": yes(code != "non_ai", yes(candidate & matches, 14, yes(decision == "review", 9, 2)) + F.least(F.lit(6), signals * 2)),
+        "novelty": F.least(yes(has["novelty"], 17, yes(candidate, 9, 4)), yes(code == "stale_content", 5, 99)),
+        "credibility": yes(tier.rlike(TRUSTED), 17, yes(tier.rlike(DOUBTED), 6, 10)) + yes(F.col("source_category").isin(CATEGORIES), 1) + yes(named, 1) + yes(secure, 1) + yes(dated, 1),
+        "impact": yes(has["impact"], 13, 6) + yes(has["detail"], 3),
+        "verifiability": 4 + yes(named, 2) + yes(secure, 2) + yes(dated, 2) + yes(has["detail"], 4) + yes(has["novelty"] | has["impact"], 3) + yes(F.size("~excerpts.bodies") >= 2, 2) + yes(tier.rlike(TRUSTED), 2),
+    }
+    raw["credibility"] = F.least(raw["credibility"], F.lit(20))
+    for claim, parts in TAKEN.items():
+        for part, n in parts.items():
+            raw[part] = raw[part] - yes(has[claim], n)
+    thin = (F.length(F.coalesce("content", F.lit(""))) < 80) | ~has["detail"]
+    raw["verifiability"] = F.least(raw["verifiability"], yes(thin, 8, 99))
+    a = a.select("*", *(F.greatest(F.lit(0), F.least(F.lit(20), c)).cast("int").alias(n) for n, c in raw.items()), thin.alias("~thin"))
+    overall = sum((F.col(n) for n in PARTS), F.lit(0))
+    fine = {"low_relevance": F.col("relevance") >= 12, "low_credibility": F.col("credibility") >= 10, "low_verifiability": F.col("verifiability") >= 12, "low_overall": overall >= 70}
+    blocked = has["negation"] | has["rumour"] | has["future"] | has["marketing"]
+    eligible = matches & candidate & ~F.col("~thin") & ~blocked & fine["low_relevance"] & fine["low_credibility"] & fine["low_verifiability"] & fine["low_overall"]
+    reasons = [
+        F.when(decision.isNull(), "missing_filter_result").when(~matches, "filter_snapshot_mismatch"), F.when(decision == "reject", "filter_rejected"), F.when(decision == "review", "filter_requires_review"), F.when(code == "stale_content", "stale_content"),
+        *(F.when(has[c], n) for c, n in NAMES_OF.items()), F.when(F.col("~thin"), "insufficient_evidence"), *(F.when(~test, n) for n, test in fine.items()),
+    ]
+    every = F.concat("~excerpts.heads", "~excerpts.bodies")
+    picked = lambda of: F.coalesce(*(F.get(F.filter(every, lambda e: e.rlike(TOLD[n])), 0) for n in of), F.get("~excerpts.bodies", 0), F.get(every, 0))  # noqa: B023, E731
+    return a.select(
+        "article_id", *PARTS, overall.cast("int").alias("overall"), F.when(eligible, "pass").when(decision == "reject", "reject").otherwise("review").alias("decision"), eligible.alias("publish_eligible"),
+        F.array_compact(F.array(*reasons)).alias("reasons"), F.create_map(*(x for n, of in PARTS.items() for x in (F.lit(n), picked(of)))).alias("quotes"),
+    )
 
 
 def reviewed(articles: DataFrame, actions: DataFrame) -> DataFrame:

@@ -66,16 +66,34 @@ def published(articles: DataFrame, clusters: DataFrame, limit: int = 20) -> tupl
     articles: as run() gives them; clusters: article_id, cluster_key.
     """
     shown = articles.where("status = 'published'").withColumnRenamed("item_id", "article_id").join(clusters.select("article_id", F.col("cluster_key").alias("cluster_id")), "article_id", "left")
-    return A.front_page(shown, limit), digests(shown.where("direction IS NOT NULL"))
-
-
-def digests(shown: DataFrame, best: int = 10) -> DataFrame:
-    """(day, article_count, summary): numbered lines of each day's best articles. A day's rows are cut in 64 parts before they are ranked."""
-    dated = shown.withColumn("day", times.shanghai_day(F.col("published_at")).cast("string"))
-    order = [F.desc("score"), F.col("article_id")]
-    part = F.row_number().over(Window.partitionBy("day", F.pmod(F.xxhash64("article_id"), F.lit(64))).orderBy(*order))
-    few = dated.withColumn("part", part).where(F.col("part") <= best)
-    line = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("title"))
-    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy(*order))).where(F.col("n") <= best)
-    top = ranked.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "；").alias("summary"))
-    return top.join(dated.groupBy("day").agg(F.count("*").alias("article_count")), "day")
+    return A.front_page(shown, limit), digests(shown if "collected_at" in shown.columns else shown.withColumn("collected_at", F.lit(None).cast("timestamp")))
+
+
+#: What stands before and behind the number of articles, and behind a score.
+HEAD, POINTS = ("今日共 ", " 条 AI 热点："), "分"
+#: Ids that are numbered and joined together at first.
+LISTED = 8192
+
+
+def digest_lines(shown: DataFrame) -> DataFrame:
+    """(day, n, article_id, line): each Shanghai day's articles, numbered by article_id. shown: article_id (a number), title, score, direction, published_at, collected_at.
+
+    Those without a direction or score are left out. A day's articles are numbered in parts of ids and the parts' counts added, so that no
+    day is one task's.
+    """
+    at = F.coalesce("published_at", "collected_at")
+    dated = shown.where("direction IS NOT NULL AND score IS NOT NULL").select("article_id", "title", "score", times.shanghai_day(at).cast("string").alias("day"), F.expr(f"article_id div {LISTED}").alias("part"))
+    counts = dated.groupBy("day", "part").agg(F.count("*").alias("n"))
+    before = counts.select("day", "part", F.coalesce(F.sum("n").over(Window.partitionBy("day").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = dated.withColumn("own", F.row_number().over(Window.partitionBy("day", "part").orderBy("article_id"))).join(before, ["day", "part"]).withColumn("n", F.col("own") + F.col("before"))
+    return own.select("day", "part", "n", "article_id", F.concat(F.col("n").cast("string"), F.lit(". "), F.coalesce("title", F.lit("")), F.lit(" ("), F.col("score").cast("string"), F.lit(f"{POINTS})")).alias("line"))
+
+
+def digests(shown: DataFrame) -> DataFrame:
+    """(day, article_count, summary, article_ids): each day's digest, a head and all its lines. A digest is one text, put together of its parts."""
+    row = F.struct("n", "line", F.col("article_id").cast("string").alias("id"))
+    parts = digest_lines(shown).groupBy("day", "part").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(row)).alias("rows"))
+    parts = parts.select("day", "part", "count", *(F.array_join(F.transform("rows", lambda r: r[c]), sign).alias(c) for c, sign in (("line", "；"), ("id", ","))))  # noqa: B023
+    whole = parts.groupBy("day").agg(F.sum("count").alias("article_count"), F.array_sort(F.collect_list(F.struct("part", "line", "id"))).alias("parts"))
+    text = F.concat(F.lit(HEAD[0]), F.col("article_count").cast("string"), F.lit(HEAD[1]), F.array_join(F.transform("parts", lambda p: p["line"]), "；"))
+    return whole.select("day", "article_count", text.alias("summary"), F.array_join(F.transform("parts", lambda p: p["id"]), ",").alias("article_ids"))

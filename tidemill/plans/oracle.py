@@ -227,7 +227,7 @@ ORACLE = {
     "review_list": f"WITH {ARTICLES}, r AS (SELECT doc_id + CASE WHEN doc_id % 19 = 0 THEN 1000000000 ELSE 0 END AS article_id FROM labels WHERE quality = 0) SELECT article_id, coalesce(title, '') AS title, coalesce(status, '') AS status FROM r LEFT JOIN articles USING (article_id)",
     "auto_approve": f"WITH {ARTICLES} SELECT article_id, score FROM articles WHERE status = 'pending_review' AND score >= 60 AND collected_at < {at(str(NOW - 86400))} AND article_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id % 2 = 0)",
     "revalidation": f"WITH {ARTICLES} SELECT article_id, {stamp('collected_at')} AS collected_at FROM (SELECT * FROM articles WHERE status = 'published' ORDER BY collected_at, article_id LIMIT 200)",
-    "digest_day": f"WITH {ARTICLES}, d AS (SELECT *, CAST(CAST(published_at + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day FROM articles WHERE status = 'published' AND direction IS NOT NULL AND score > 0), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, article_id) AS n FROM d) SELECT day, count(*) AS article_count, string_agg(n || '. ' || title, '；' ORDER BY n) FILTER (n <= 10) AS summary FROM n GROUP BY day",
+    "digest_day": f"WITH {ARTICLES}, d AS (SELECT *, CAST(CAST(coalesce(published_at, collected_at) + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day FROM articles WHERE status = 'published' AND direction IS NOT NULL AND score IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY article_id) AS n FROM d) SELECT day, count(*) AS article_count, '今日共 ' || count(*) || ' 条 AI 热点：' || string_agg(n || '. ' || title || ' (' || score || '分)', '；' ORDER BY n) AS summary, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY n) AS article_ids FROM n GROUP BY day",
     "ai_admission": f"""WITH {ARTICLES}, {SOURCES}, a AS (SELECT article_id, source_name, source_no % 3 AS tier, ai_processed, status FROM articles), used AS (SELECT source_name, count(*) AS n FROM a WHERE ai_processed AND status = 'blocked' GROUP BY 1), c AS (
         SELECT article_id, tier, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY source_name ORDER BY tier, article_id) AS turn FROM a LEFT JOIN used USING (source_name) WHERE NOT ai_processed), o AS (SELECT *, row_number() OVER (ORDER BY tier, n, article_id) AS seat FROM c WHERE turn + n <= 30)
         SELECT article_id, CAST(turn AS INT) AS turn, CAST(seat AS INT) AS seat FROM o WHERE seat + coalesce((SELECT sum(n) FROM used), 0) <= 500""",
@@ -258,9 +258,6 @@ PART = lambda x: f"CAST(greatest(0, least(20, floor({x} + 0.5))) AS INT)"  # noq
 ORACLE |= {
     "role_envelopes": f"""WITH {ARTICLES}, f AS (SELECT *, CASE WHEN article_id % 7 = 0 OR article_id % 5 = 0 OR len({sentences('text')}) = 0 THEN 'rejected' ELSE 'accepted' END AS filter, {KIND} AS kind FROM articles)
         SELECT article_id, filter, CASE filter WHEN 'rejected' THEN 'skipped' ELSE 'accepted' END AS event, kind, CASE filter WHEN 'rejected' THEN 'skipped' ELSE 'accepted' END AS summary, left(sha256('filter' || chr(10) || article_id || chr(10) || title || chr(10) || text), 32) AS key FROM f""",
-    "content_evaluation": rf"""WITH {ARTICLES}, e AS (SELECT article_id, {PART("CASE WHEN contains(text, 'tion') THEN 16.0 ELSE 4.0 END - CASE WHEN contains(text, ' not ') THEN 6.0 ELSE 0.0 END")} AS relevance,
-        {PART("source_no % 11 * 2.0 - CASE WHEN contains(text, 'moron') THEN 8.0 ELSE 0 END - CASE WHEN contains(text, '!!') THEN 4.0 ELSE 0 END")} AS credibility, {PART("CASE WHEN regexp_matches(text, '[0-9]') THEN 8.0 ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z][a-z]+ [a-z]') THEN 6.0 ELSE 0 END + CASE WHEN contains(text, '@') THEN 6.0 ELSE 0 END")} AS verifiability,
-        {PART("CAST(length(text) AS DOUBLE) / 60")} AS completeness, {PART("len(regexp_extract_all(text, 'ing ')) * 5.0")} AS impact FROM articles), o AS (SELECT *, relevance + credibility + verifiability + completeness + impact AS overall FROM e) SELECT *, overall >= 70 AND relevance >= 12 AND credibility >= 10 AND verifiability >= 12 AS passes FROM o""",
     "review_actions": f"WITH {ARTICLES} SELECT article_id, CASE WHEN status = 'pending_review' AND quality = 1 THEN 'draft' WHEN status = 'pending_review' AND quality = 0 THEN 'blocked' ELSE status END AS status, article_id % 10 = 2 OR coalesce(status = 'pending_review' AND quality = 1, false) AS override FROM articles",
     "event_kinds": f"WITH {ARTICLES} SELECT {KIND} AS kind, status, count(*) AS n FROM articles GROUP BY ALL",
 }
@@ -410,3 +407,38 @@ ORACLE |= {
           FROM w LEFT JOIN r ON r.url = w.here WHERE state IS NULL AND hop < 4)
         SELECT url, state, detail, final_url, CAST(status AS INT) AS status, CAST(hop AS INT) AS hops FROM w WHERE state IS NOT NULL""",
 }
+
+CLAIMS = ["", "The lab launched a new api with 12% lower latency in its report.", "传闻称该模型即将发布。", "It will be the most powerful product!' || chr(10) || 'No results yet", "用户可用，论文结果公开。", "An unconfirmed release without users?", "GPT users deployed 3 billion tokens."]
+TELLS = {
+    "topic": r"\b(?:artificial intelligence|generative ai|machine learning|large language model|language model|foundation model|LLM|GPT|Claude|Gemini|Llama|Qwen|DeepSeek|Mistral|Gemma|Kimi|AI agents?|multimodal|model training|model inference|transformer)\b|人工智能|生成式\s*AI|机器学习|深度学习|大模型|语言模型|基础模型|智能体|多智能体|多模态|模型训练|模型推理|神经网络",
+    "novelty": r"\b(?:launch(?:es|ed)?|release[ds]?|introduc(?:e[ds]?|ing)|debut(?:s|ed)?|open[- ]?source[ds]?|new|novel|first)\b|发布|推出|上线|开源|首次|首个|新型|新方法",
+    "impact": r"\b(?:available|deploy(?:ed|ment)?|adopt(?:ed|ion)?|production|users?|customers?|developers?|api|benchmark|accuracy|performance|latency|throughput|funding|acquisition|regulation|policy)\b|可用|部署|落地|采用|用户|开发者|接口|基准|性能|准确率|延迟|吞吐|融资|收购|政策|监管",
+    "detail": r"\b\d+(?:\.\d+)?\s*(?:%|x|ms|s|seconds?|minutes?|hours?|days?|users?|tokens?|parameters?|billion|million|GB|TB)?\b|\b(?:benchmark|dataset|methodology|evaluation|results?|study|paper|report|api)\b|数据集|方法|评测|基准|结果|论文|报告|接口",
+    "negation": r"\b(?:not|no|never|cannot|can''t|failed to|fails? to|did not|does not|won''t|without)\b|并未|未能|没有|不会|无法|否认|失败|未达到",
+    "rumour": r"\b(?:rumou?r|alleged(?:ly)?|unconfirmed|sources? say|people familiar|may have|could have)\b|传闻|据传|传言|消息人士|尚未证实|未经证实|或已|可能已",
+    "future": r"\b(?:will|plans? to|aims? to|intends? to|expected to|upcoming|roadmap|would|could|may)\b|将于|将在|计划|拟于|预计划|有望|未来|将会|拟将",
+    "marketing": r"\b(?:revolutionary|groundbreaking|game[- ]changing|world[- ]class|industry[- ]leading|best[- ]in[- ]class|unmatched|unparalleled|ultimate|most powerful)\b|革命性|颠覆性|全球领先|行业领先|遥遥领先|最强|震撼|重磅|划时代",
+}
+TELL = lambda name, c="both_": f"regexp_matches({c}, '(?i){TELLS[name]}')"
+EXCERPTS = lambda c: rf"list_filter(list_transform(regexp_extract_all({c}, '[^。！？!?\n]+(?:[。！？!?]+|\z)'), lambda r: left({trimmed('r')}, 320)), lambda r: r <> '')"
+PICK = lambda *names: "coalesce(" + ", ".join(f"list_filter(heads || bodies, lambda e: {TELL(n, 'e')})[1]" for n in names) + ", bodies[1], heads[1], '')"
+IF = lambda test, n, other=0: f"CASE WHEN {test} THEN {n} ELSE {other} END"
+CLAMP = lambda c: f"CAST(greatest(0, least(20, {c})) AS INT)"
+ORACLE |= {
+    "content_evaluation": rf"""WITH {ARTICLES}, x AS (SELECT article_id, title AS t, [{', '.join(f"'{c}'" for c in CLAIMS)}][length(text) % 7 + 1] || ' ' || text AS c, source_no % 2 = 0 AS secure, source_no % 3 AS tier, source_no % 5 = 0 AS known, quality IS NOT NULL AS dated, CASE WHEN quality IS NOT NULL THEN epoch(published_at) ELSE {NOW} END AS secs FROM articles),
+      b AS (SELECT *, t || chr(10) || c AS both_ FROM x),
+      r AS (SELECT *, CASE WHEN t = '' THEN 'missing_title' WHEN trim(regexp_replace(c, '(?i)<[^>]*>|&nbsp;', '', 'g')) = '' THEN 'empty_body' WHEN regexp_matches(both_, '{SPAM}') THEN 'spam' WHEN NOT regexp_matches(both_, '{SIGNALS}') THEN 'non_topic' WHEN floor(({NOW} - secs) / 86400) > 12 THEN 'stale_content' WHEN length(c) < 40 THEN 'too_short' ELSE 'eligible_content' END AS code FROM b),
+      f AS (SELECT *, CASE WHEN article_id % 41 <> 0 THEN CASE WHEN code IN ('stale_content', 'too_short') THEN 'review' WHEN code = 'eligible_content' THEN 'candidate' ELSE 'reject' END END AS d, article_id % 41 <> 0 AND length(t) % 13 <> 0 AS matches, len(regexp_extract_all(c, 'tion')) % 4 AS signals,
+        {', '.join(f"{TELL(n)} AS {n}" for n in TELLS)}, {EXCERPTS('t')} AS heads, {EXCERPTS('c')} AS bodies FROM r),
+      g AS (SELECT *, d IS NOT NULL AND d = 'candidate' AS cand, length(c) < 80 OR NOT detail AS thin, least(20, {IF('tier = 0', 17, IF('tier = 1', 6, 10))} + {IF('known', 1)} + 1 + {IF('secure', 1)} + {IF('dated', 1)}) AS cred FROM f),
+      e AS (SELECT *, {CLAMP(IF('cand AND matches', 14, IF("d = 'review'", 9, 2)) + " + least(6, 2 * " + IF('signals > 0', 'signals', IF('topic', 1)) + ")")} AS relevance,
+        {CLAMP("least(" + IF('novelty', 17, IF('cand', 9, 4)) + ", " + IF("code = 'stale_content'", 5, 99) + f") - {IF('negation', 3)} - {IF('rumour', 4)} - {IF('future', 4)} - {IF('marketing', 2)}")} AS nov, {CLAMP(f"cred - {IF('rumour', 7)} - {IF('marketing', 3)}")} AS credibility,
+        {CLAMP(f"{IF('impact', 13, 6)} + {IF('detail', 3)} - {IF('negation', 5)} - {IF('rumour', 4)} - {IF('future', 5)} - {IF('marketing', 3)}")} AS imp,
+        {CLAMP(f"least({IF('thin', 8, 99)}, 6 + {IF('secure', 2)} + {IF('dated', 2)} + {IF('detail', 4)} + {IF('novelty OR impact', 3)} + {IF('len(bodies) >= 2', 2)} + {IF('tier = 0', 2)} - {IF('negation', 2)} - {IF('rumour', 7)} - {IF('future', 3)} - {IF('marketing', 3)})")} AS verifiability FROM g),
+      o AS (SELECT *, relevance + nov + credibility + imp + verifiability AS overall FROM e),
+      p AS (SELECT *, cand AND matches AND NOT thin AND NOT (negation OR rumour OR future OR marketing) AND overall >= 70 AND relevance >= 12 AND credibility >= 10 AND verifiability >= 12 AS publish_eligible FROM o)
+      SELECT article_id, relevance, nov AS novelty, credibility, imp AS impact, verifiability, overall, CASE WHEN publish_eligible THEN 'pass' WHEN d = 'reject' THEN 'reject' ELSE 'review' END AS decision, publish_eligible,
+        concat_ws(',', CASE WHEN d IS NULL THEN 'missing_filter_result' WHEN NOT matches THEN 'filter_snapshot_mismatch' END, CASE WHEN d = 'reject' THEN 'filter_rejected' END, CASE WHEN d = 'review' THEN 'filter_requires_review' END, CASE WHEN code = 'stale_content' THEN 'stale_content' END, CASE WHEN negation THEN 'negated_claim' END, CASE WHEN rumour THEN 'rumor_or_hearsay' END, CASE WHEN future THEN 'future_or_planned' END,
+          CASE WHEN marketing THEN 'marketing_language' END, CASE WHEN thin THEN 'insufficient_evidence' END, CASE WHEN relevance < 12 THEN 'low_relevance' END, CASE WHEN credibility < 10 THEN 'low_credibility' END, CASE WHEN verifiability < 12 THEN 'low_verifiability' END, CASE WHEN overall < 70 THEN 'low_overall' END) AS reasons,
+        md5(concat_ws('|', {PICK('topic')}, {PICK('novelty')}, {PICK('detail', 'novelty')}, {PICK('impact', 'detail')}, {PICK('detail', 'impact')})) AS quotes_md5 FROM p""",
+}

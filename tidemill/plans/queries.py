@@ -261,8 +261,8 @@ def revalidation(spark, sf):
 
 @query
 def digest_day(spark, sf):
-    """Published and directed articles of each Shanghai day, as numbered lines of the best ten."""
-    return batch.digests(T.articles(spark, sf).where("status = 'published' AND direction IS NOT NULL AND score > 0"))
+    """Published and directed articles of each Shanghai day, as numbered lines behind a head."""
+    return batch.digests(T.articles(spark, sf).where("status = 'published'"))
 
 
 @query
@@ -438,11 +438,18 @@ def role_envelopes(spark, sf):
     return out.select("article_id", F.col("filter.outcome").alias("filter"), F.col("event.outcome").alias("event"), F.col("event.value").alias("kind"), F.col("summary.outcome").alias("summary"), F.col("filter.key").alias("key"))
 
 
+CLAIMS = ["", "The lab launched a new api with 12% lower latency in its report.", "传闻称该模型即将发布。", "It will be the most powerful product!\nNo results yet", "用户可用，论文结果公开。", "An unconfirmed release without users?", "GPT users deployed 3 billion tokens."]
+
+
 @query
 def content_evaluation(spark, sf):
-    a, t = T.articles(spark, sf), F.col("text")
-    flags = {"topic": t.contains("tion"), "tier": F.col("source_no") % 11, "has_number": t.rlike("[0-9]"), "has_name": t.rlike("[A-Z][a-z]+ [a-z]"), "has_url": t.contains("@"), "n_chars": F.length("text"), "n_impact": F.regexp_count("text", F.lit("ing ")), "negated": t.contains(" not "), "rumour": t.contains("moron"), "marketing": t.contains("!!")}
-    return a.select("article_id", roles.evaluation(flags).alias("e")).select("article_id", "e.*")
+    """Evaluation of all articles behind the content filter; what they claim goes by their length, so that copies claim the same."""
+    a = T.articles(spark, sf)
+    content = F.concat(T.chosen(CLAIMS, F.length("text") % 7), F.lit(" "), "text")
+    a = a.select("article_id", "title", content.alias("content"), F.concat(F.when(F.col("source_no") % 2 == 0, "https://").otherwise("http://"), "source_name", F.lit(".example/")).alias("url"), "source_name", T.chosen(["authoritative", "tier 3", "community"], F.col("source_no") % 3).alias("source_tier"), T.chosen(["research_papers", "lab"], F.col("source_no") % 5).alias("source_category"), F.when(F.col("quality").isNotNull(), F.col("published_at")).alias("published_at"))
+    d = scoring.filter_decision(F.col("title"), F.col("content"), F.coalesce("published_at", now()), now(), SIGNALS, SPAM, stale_days=12)
+    a = a.select("*", F.explode(F.array(d)).alias("d")).select("*", F.when(F.col("article_id") % 41 != 0, F.col("d.decision")).alias("decision"), F.col("d.reason_code").alias("reason_code"), (F.regexp_count("content", F.lit("tion")) % 4).alias("n_signals"), (F.length("title") % 13 != 0).alias("filter_matches"))
+    return roles.evaluated(a).select("article_id", *roles.PARTS, "overall", "decision", "publish_eligible", F.array_join("reasons", ",").alias("reasons"), F.md5(F.concat_ws("|", *(F.coalesce(F.col("quotes")[n], F.lit("")) for n in roles.PARTS))).alias("quotes_md5"))
 
 
 @query
