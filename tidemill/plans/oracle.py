@@ -442,3 +442,22 @@ ORACLE |= {
           CASE WHEN marketing THEN 'marketing_language' END, CASE WHEN thin THEN 'insufficient_evidence' END, CASE WHEN relevance < 12 THEN 'low_relevance' END, CASE WHEN credibility < 10 THEN 'low_credibility' END, CASE WHEN verifiability < 12 THEN 'low_verifiability' END, CASE WHEN overall < 70 THEN 'low_overall' END) AS reasons,
         md5(concat_ws('|', {PICK('topic')}, {PICK('novelty')}, {PICK('detail', 'novelty')}, {PICK('impact', 'detail')}, {PICK('detail', 'impact')})) AS quotes_md5 FROM p""",
 }
+
+FEED = f"""{SOURCES}, c AS (SELECT 'src' || (user_id % 24) AS k, event_id AS seq, CASE WHEN event_type = 'error' THEN 'patch' WHEN event_id % 97 = 0 THEN 'delete' WHEN event_id % 53 = 0 THEN 'create' WHEN event_id % 7 = 0 THEN 'toggle' WHEN event_id % 1009 = 1 THEN 'drop' ELSE 'patch' END AS op,
+    CASE WHEN event_id % 3 = 0 THEN 'n' || event_id END AS name, CASE WHEN event_id % 5 = 0 THEN event_type END AS category, event_id % 2 = 0 AS flag FROM events),
+  l AS (SELECT *, last_value(CASE WHEN op IN ('create', 'delete') THEN op END IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM c),
+  a AS (SELECT l.*, CASE WHEN op = 'drop' THEN NULL WHEN life IS NULL THEN s.source_name IS NOT NULL ELSE life = 'create' END AS there FROM l LEFT JOIN sources s ON s.source_name = k)"""
+ORACLE |= {
+    "source_change_outcomes": f"WITH {FEED} SELECT CASE WHEN op = 'drop' THEN 'unknown_op' WHEN op = 'create' THEN CASE WHEN there THEN 'conflict' ELSE 'applied' END WHEN there THEN 'applied' ELSE 'not_found' END AS outcome, op, count(*) AS n FROM a GROUP BY ALL",
+    "source_changes": f"""WITH RECURSIVE {FEED}, steps AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS n FROM a WHERE (op = 'create' AND NOT there) OR (op <> 'create' AND there)),
+      w(k, n, alive, name, category, enabled, next_fetch_at) AS (SELECT k, 0::BIGINT, s.source_name IS NOT NULL, 'old' || source_no, s.category, s.enabled, s.next_fetch_at FROM (SELECT DISTINCT k FROM c UNION SELECT source_name FROM sources) x LEFT JOIN sources s ON s.source_name = x.k
+        UNION ALL SELECT w.k, s.n, s.op <> 'delete', CASE WHEN s.op = 'create' THEN s.name WHEN s.op = 'patch' THEN coalesce(s.name, w.name) ELSE w.name END, CASE WHEN s.op = 'create' THEN s.category WHEN s.op = 'patch' THEN coalesce(s.category, w.category) ELSE w.category END,
+          CASE s.op WHEN 'create' THEN true WHEN 'toggle' THEN s.flag ELSE w.enabled END, CASE WHEN s.op = 'create' OR (s.op = 'toggle' AND s.flag) THEN NULL ELSE w.next_fetch_at END FROM w JOIN steps s ON s.k = w.k AND s.n = w.n + 1)
+      SELECT k AS source_name, name, category, enabled, {stamp('next_fetch_at')} AS next_fetch_at FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1) WHERE alive""",
+}
+
+ORACLE |= {
+    "hotlist_ladder": """WITH r AS (SELECT event_type AS kind, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INT) AS rank, 't ' || user_id AS title FROM events), k AS (SELECT kind FROM r UNION SELECT kind || '_new' FROM r)
+        SELECT kind, CASE WHEN length(kind) % 2 = 0 THEN 'live' ELSE 'snapshot' END AS origin, true AS ok, rank, title, 'https://search.example/?q=' || replace(title, ' ', '%20') AS url FROM r WHERE length(kind) % 2 = 0 OR kind <> 'click'
+        UNION ALL SELECT kind, 'none', false, NULL, NULL, NULL FROM k WHERE kind NOT IN (SELECT kind FROM r WHERE length(kind) % 2 = 0 OR kind <> 'click')""",
+}

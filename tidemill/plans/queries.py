@@ -11,7 +11,7 @@ from tidemill.operators import clusters, probes, roles, scoring, sources, store
 from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
-from tidemill.sources import folders, parse, ports, storage
+from tidemill.sources import folders, parse, ports, snapshots, storage
 
 NOW_SECONDS = T.DAY0 + 20 * 86400
 NEGATIONS = ["not", "no", "nicht", "pas", "never"]
@@ -420,6 +420,16 @@ def hotlist_rank(spark, sf):
     return parse.ranked_hotlist(e).where("rank <= 50")
 
 
+@query
+def hotlist_ladder(spark, sf):
+    """Hot lists of events' types: fetched just now, saved before, or neither."""
+    e = T.table(spark, sf, "events")
+    every = parse.ranked_hotlist(e.select(F.col("event_type").alias("kind"), F.col("event_id").alias("position"), F.concat(F.lit("t "), "user_id").alias("title"), F.lit(False).alias("is_ad")))
+    kinds = e.select(F.col("event_type").alias("kind")).unionByName(e.select(F.concat("event_type", F.lit("_new")).alias("kind")))
+    live = every.where(F.length("kind") % 2 == 0)
+    return snapshots.served(kinds, live, every.where("kind <> 'click'"))
+
+
 @query
 def source_categories(spark, sf):
     return T.sources(spark, sf).groupBy(F.coalesce("category", F.lit("none")).alias("category"), "tier").agg(F.count("*").alias("n"), F.count_if("enabled").alias("enabled"))
@@ -619,6 +629,26 @@ def source_validation(spark, sf):
     return p.select("page_id", sources.problem(cols).alias("problem"), sources.feed_url(F.col("url")).alias("feed_url"))
 
 
+def source_change_feed(spark, sf):
+    """Sources and changes to them that events make, some to sources that aren't there."""
+    e, i = T.table(spark, sf, "events"), F.col("event_id")
+    op = F.when(F.col("event_type") == "error", "patch").when(i % 97 == 0, "delete").when(i % 53 == 0, "create").when(i % 7 == 0, "toggle").when(i % 1009 == 1, "drop").otherwise("patch")
+    names = F.when(i % 3 == 0, F.concat(F.lit("n"), i))
+    changes = e.select(F.concat(F.lit("src"), F.col("user_id") % 24).alias("source_name"), i.alias("seq"), op.alias("op"), names.alias("name"), F.when(i % 5 == 0, F.col("event_type")).alias("category"), F.when(op == "toggle", i % 2 == 0).alias("enabled"))
+    old = T.sources(spark, sf).select("source_name", F.concat(F.lit("old"), "source_no").alias("name"), "category", "enabled", "next_fetch_at")
+    return sources.changed(old, changes, "source_name", ["name", "category"])
+
+
+@query
+def source_changes(spark, sf):
+    return source_change_feed(spark, sf)[0].withColumn("next_fetch_at", stamp(F.col("next_fetch_at")))
+
+
+@query
+def source_change_outcomes(spark, sf):
+    return source_change_feed(spark, sf)[1]
+
+
 @query
 def display_title(spark, sf):
     return T.articles(spark, sf).select("article_id", sources.display_title(F.col("title")).alias("shown"))
