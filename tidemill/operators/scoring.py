@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.plans.vocabulary import CAPPED, FULL, HALF, NAMES, complete, normalized_direction
+from tidemill.sources.storage import few
 
 
 def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
@@ -209,6 +210,61 @@ def origins(pages: DataFrame, static: str = r"(?i)\.(?:css|js|png|jpe?g|gif|svg|
     return best.select("page_id", F.col("x.url").alias("origin"), F.col("x.kind").alias("kind"), (F.col("x.kind") == "body_link").alias("needs_review"))
 
 
+#: Endings of files that are no articles, what domains are worth by kind, and parts of a URL that tell of an original.
+FILES = "jpg jpeg png gif svg webp ico bmp css js mjs cjs ts map woff woff2 ttf eot otf mp3 mp4 webm ogg wav avi pdf zip tar gz rar 7z xml rss atom json exe dmg apk deb rpm".split()
+DOMAINS = {
+    "authoritative": "github.com arxiv.org huggingface.co openai.com anthropic.com deepmind.com blog.google blogs.microsoft.com ai.meta.com research.google aws.amazon.com azure.microsoft.com nvidia.com distill.pub openreview.net paperswithcode.com".split(),
+    "research_media": "mit.edu stanford.edu nature.com science.org arstechnica.com wired.com ieee.org acm.org".split(),
+    "second_hand": "mp.weixin.qq.com news.google.com feedburner.com rsshub.app hnrss.org 36kr.com leiphone.com marktechpost.com venturebeat.com the-decoder.com techcrunch.com theverge.com latent.space lastweekin.ai producthunt.com".split(),
+}
+BOOSTS = ["/releases/", "/pull/", "/issues/", "arxiv.org/abs/", "/blog/", "/news/", "/changelog/"]
+WORTH = {"authoritative": 20, "research_media": 10, "other": 5, "second_hand": -30, "boost": 6}
+
+
+def untyped_candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, own, at, url): every URL that a page (page_id, url, html) names, once, in order: canonical links, og:url, then all in its text.
+
+    Attributes may stand in either order. What isn't fetched safely, leads to a file, to the page itself or to its own site goes;
+    redirects are looked through for that.
+    """
+    quoted = r"[\"']([^\"']+)[\"']"
+    patterns = [
+        rf"(?i)<link[^>]*rel=[\"']canonical[\"'][^>]*href={quoted}", rf"(?i)<link[^>]*href={quoted}[^>]*rel=[\"']canonical[\"']",
+        rf"(?i)<meta[^>]*(?:property|name)=[\"']og:url[\"'][^>]*content={quoted}", rf"(?i)<meta[^>]*content={quoted}[^>]*(?:property|name)=[\"']og:url[\"']", r"(?i)(https?://[^\s<>\"'`]+)",
+    ]
+    found = F.array_distinct(F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in patterns)))
+    each = pages.select("page_id", F.col("url").alias("own"), F.posexplode(found).alias("at", "url"))
+    each = each.select("*", F.explode(F.array(urls.resolved(F.col("own"), urls.unwrapped(F.col("url"))))).alias("whole"))
+    each = each.select("*", F.explode(F.array(urls.traced_url(F.col("whole")))).alias("clean"))
+    each = each.select("*", urls.host(F.col("clean")).alias("host"), urls.host(F.col("own")).alias("own_host"), urls.traced_url(urls.unwrapped(F.col("own"))).alias("own_clean"))
+    below = lambda a, b: F.endswith(F.col(a), F.concat(F.lit("."), F.col(b)))
+    own_site = F.coalesce((F.col("host") == F.col("own_host")) | below("host", "own_host") | below("own_host", "host"), F.lit(False))
+    file = F.lower(F.substring_index("clean", "?", 1)).rlike(rf"\.(?:{'|'.join(FILES)})\z")
+    fine = urls.unsafe_reason(F.col("whole")).isNull() & ~file & ~own_site & (F.coalesce("host", F.lit("")) != "") & F.coalesce(F.col("clean") != F.col("own_clean"), F.lit(True))
+    return each.where(fine).select("page_id", "own", "at", "url")
+
+
+def domain_table(spark) -> DataFrame:
+    """(domain, kind) of DOMAINS; other tables of the same columns do as well."""
+    return spark.createDataFrame([(d, kind) for kind, ds in DOMAINS.items() for d in ds], "domain string, kind string")
+
+
+def likeliest_origins(candidates: DataFrame, domains: DataFrame) -> DataFrame:
+    """(page_id, origin, points): of untyped_candidates() each page's best, the first of equals, if it is worth more than nothing.
+
+    domains: domain, kind (authoritative, research_media, second_hand); a host counts as any of its parent domains, which meet the table in an equality join.
+    """
+    host = urls.host(F.col("url"))
+    up = candidates.select("page_id", "at", F.explode(F.array_distinct(F.concat(urls.suffixes(host), F.array(host)))).alias("domain")).join(few(domains), "domain")
+    kinds = up.groupBy("page_id", "at").agg(F.collect_set("kind").alias("kinds"))
+    rated = candidates.join(kinds, ["page_id", "at"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    of = lambda kind: F.array_contains("kinds", kind)
+    points = F.when(of("authoritative"), WORTH["authoritative"]).when(of("research_media"), WORTH["research_media"]).otherwise(WORTH["other"]) + F.when(of("second_hand"), WORTH["second_hand"]).otherwise(0)
+    points = points + F.when(reduce(or_, (F.col("url").contains(b) for b in BOOSTS)), WORTH["boost"]).otherwise(0)
+    best = rated.withColumn("points", points).groupBy("page_id").agg(F.min(F.struct((-F.col("points")).alias("p"), "at", "url")).alias("x"))
+    return best.where("x.p < 0").select("page_id", F.col("x.url").alias("origin"), (-F.col("x.p")).cast("int").alias("points"))
+
+
 def merged_scores(rows: DataFrame) -> DataFrame:
     """(article_id, direction, total_score, dimension_scores): the greatest total and the greatest of each dimension; older names of a direction are merged into it."""
     rows = rows.withColumn("direction", F.coalesce(normalized_direction(F.col("direction")), F.col("direction")))

@@ -461,3 +461,14 @@ ORACLE |= {
         SELECT kind, CASE WHEN length(kind) % 2 = 0 THEN 'live' ELSE 'snapshot' END AS origin, true AS ok, rank, title, 'https://search.example/?q=' || replace(title, ' ', '%20') AS url FROM r WHERE length(kind) % 2 = 0 OR kind <> 'click'
         UNION ALL SELECT kind, 'none', false, NULL, NULL, NULL FROM k WHERE kind NOT IN (SELECT kind FROM r WHERE length(kind) % 2 = 0 OR kind <> 'click')""",
 }
+
+NAMED = ["https://github.com/o/r/releases/tag/", "https://sub.nature.com/a/", "https://techcrunch.com/news/", "https://plain.example.info/p/", "https://blog.google/x.pdf?q=", "http://10.0.0.1/blog/", "https://r.example.info/?url=https%3A%2F%2Farxiv.org%2Fabs%2F"]
+POINTS = [26, 10, -19, 5, 0, 0, 5]  # what each of these is worth; the fifth is a file, the sixth unsafe
+ORACLE |= {
+    "origin_heuristic": f"""WITH p AS (SELECT page_id, html, length(html) AS n, {host('url')} AS own FROM pages),
+        c AS (SELECT page_id, own, unnest(regexp_extract_all(html, '(?i)(https?://[^\\s<>"\\x27`]+)')) AS url, unnest(range(len(regexp_extract_all(html, '(?i)(https?://[^\\s<>"\\x27`]+)')))) AS no FROM p),
+        o AS (SELECT page_id, url, no, 5 + CASE WHEN contains(url, '/blog/') OR contains(url, '/news/') THEN 6 ELSE 0 END AS points FROM c WHERE {host('url')} <> own AND NOT ends_with({host('url')}, '.' || own) AND NOT ends_with(own, '.' || {host('url')}) AND NOT regexp_matches(lower(split_part(url, '?', 1)), '[.](css|js|png|jpg|svg|ico|pdf|json|xml)$')),
+        a AS (SELECT page_id, {texts(NAMED)}[(n + k) % 7 + 1] || page_id AS url, 100000 + k AS no, {POINTS}[(n + k) % 7 + 1] AS points, (n + k) % 7 AS kind FROM p, (SELECT unnest([0, 3]) AS k) WHERE n % 3 > 0 AND (k = 0 OR n % 3 > 1)),
+        e AS (SELECT page_id, url, no, points FROM o UNION ALL SELECT page_id, url, no, points FROM a WHERE kind NOT IN (4, 5))
+        SELECT page_id, url AS origin, CAST(points AS INT) AS points FROM e WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY points DESC, no) = 1""",
+}

@@ -339,6 +339,19 @@ def origin_trace(spark, sf):
     return scoring.origins(linked_pages(spark, sf))
 
 
+NAMED = ["https://github.com/o/r/releases/tag/", "https://sub.nature.com/a/", "https://techcrunch.com/news/", "https://plain.example.info/p/", "https://blog.google/x.pdf?q=", "http://10.0.0.1/blog/", "https://r.example.info/?url=https%3A%2F%2Farxiv.org%2Fabs%2F"]
+
+
+@query
+def origin_heuristic(spark, sf):
+    """The likeliest origin of each page by the domains and paths of the URLs that it names; which ones it names goes by its length."""
+    n = F.length("html")
+    link = lambda k: F.concat(F.lit(" <a href='"), T.chosen(NAMED, (n + k) % 7), F.col("page_id"), F.lit("'>x</a>"))
+    html = F.concat("html", F.when(n % 3 > 0, link(0)).otherwise(""), F.when(n % 3 > 1, link(3)).otherwise(""), F.lit("<link href='https://www."), urls.host(F.col("url")), F.lit("/own' rel='canonical'>"))
+    pages = T.table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
+    return scoring.likeliest_origins(scoring.untyped_candidates(pages), scoring.domain_table(spark))
+
+
 EVENTS = ["OpenAI GPT-5.2", "谷歌 Gemini 3 正式发布 大语言模型", "Anthropic claude-4 2025-03-01", "", "英伟达 2025年3月 12.5亿 订单", "Kimi K2 40%up 300m", "meta llama_3.1 カタカナ"]
 
 
