@@ -119,6 +119,10 @@ def sentences(c: str, marks: str = r"[。！？!?\n]+") -> str:
     return f"list_filter(list_transform(regexp_split_to_array({c}, '{marks}'), lambda s: {trimmed('s')}), lambda s: s <> '')"
 
 
+def plain(c: str) -> str:
+    return rf"regexp_replace(lower({c}), '[\s\p{{P}}\p{{S}}]', '', 'g')"
+
+
 ARTICLES = f"""articles AS (
   SELECT d.doc_id AS article_id, left(split_part(d.text, chr(10), 1), 80) AS title, d.text, d.source AS source_name, CAST(substr(d.source, 4) AS INT) AS source_no,
     {at(f'{DAY0} + d.doc_id * 977 % 2592000')} AS published_at, {at(f'{DAY0} + d.doc_id * 1511 % 2592000')} AS collected_at,
@@ -472,3 +476,15 @@ ORACLE |= {
         e AS (SELECT page_id, url, no, points FROM o UNION ALL SELECT page_id, url, no, points FROM a WHERE kind NOT IN (4, 5))
         SELECT page_id, url AS origin, CAST(points AS INT) AS points FROM e WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY points DESC, no) = 1""",
 }
+
+GIVEN = rf"""{ARTICLES}, a AS (SELECT article_id, text, title, {trimmed('title')} AS q, split_part(trim(title), ' ', 1) AS word, length(text) % 8 AS k FROM articles WHERE trim(title) <> ''),
+  b AS (SELECT *, strpos(text, q) AS p, {plain('word')} AS pw, {plain('q')} AS pq FROM a),
+  c AS (SELECT *, substr(text, greatest(p - 24, 1), least(p - 1, 24) + length(q) + 24) AS around FROM b),
+  e AS (SELECT *, CASE WHEN k = 4 THEN 'direction' WHEN k = 5 THEN 'dimension' WHEN k = 3 THEN 'score' WHEN k = 2 THEN 'not_in_text' WHEN article_id % 11 = 0 THEN 'subject' WHEN k = 6 THEN 'fields' END AS refused,
+    CASE WHEN pw = '' OR NOT contains(pq, pw) THEN 'tuple' WHEN k = 7 THEN 'required' WHEN k = 1 OR regexp_matches(around, '{SURE}') THEN 'uncertain' END AS capped FROM c),
+  f AS (SELECT *, CASE WHEN refused IS NULL THEN CASE WHEN capped IS NULL THEN 5.0::DOUBLE ELSE 2.5::DOUBLE END END AS score FROM e)"""
+ORACLE |= {
+    "given_evidence": f"""WITH {GIVEN} SELECT article_id, 0 AS at, CASE WHEN k <> 4 THEN 'model' END AS direction, CASE WHEN k = 5 THEN 'nope' ELSE 'entity' END AS dimension, score, md5(CASE WHEN refused IS NULL THEN q ELSE '' END) AS quote_md5, CASE WHEN k = 1 THEN 'rumor' ELSE 'fact' END AS certainty, coalesce(refused, capped) AS reason FROM f
+        UNION ALL SELECT article_id, 1, NULL, NULL, NULL, md5(''), NULL, 'not_object' FROM f""",
+    "given_chains": f"WITH {GIVEN} SELECT article_id, CASE WHEN k = 2 THEN 0 ELSE 1 END AS n_claims, k = 2 OR coalesce(score, 0) >= CASE WHEN k = 1 THEN 2.5 ELSE 5 END AS complete FROM f",
+}

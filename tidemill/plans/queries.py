@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.operators import articles as A
-from tidemill.operators import clusters, probes, roles, scoring, sources, store
+from tidemill.operators import clusters, given, probes, roles, scoring, sources, store
 from tidemill.plans import batch
 from tidemill.plans import tables as T
 from tidemill.plans import vocabulary as V
@@ -485,6 +485,36 @@ def evidence_validate(spark, sf):
     return roles.valid_evidence(items, a, rules).groupBy("direction", "score").agg(F.count("*").alias("n"), F.count("quote").alias("quoted"))
 
 
+def given_responses(spark, sf):
+    """Responses about articles that quote their first line, each wrong in another way by the text's length, with a second item that is none."""
+    a = T.articles(spark, sf).where("trim(title) <> ''").withColumn("word", F.substring_index(F.trim("title"), " ", 1)).withColumn("k", F.length("text") % 8)
+    k = F.col("k")
+    item = F.struct(
+        F.when(k == 4, "odd").otherwise("model").alias("direction"), F.when(k == 5, "nope").otherwise("entity").alias("dimension"), F.when(k == 3, 4.0).otherwise(5.0).alias("score"), F.when(k == 2, "absent from it").otherwise(F.col("title")).alias("quote"),
+        F.when(F.col("article_id") % 11 != 0, F.col("word")).alias("subject"), F.col("word").alias("predicate"), F.col("word").alias("object"), F.when(k == 1, "rumor").otherwise("fact").alias("certainty"),
+        F.when(k == 6, F.create_map(F.lit(""), F.lit(""))).otherwise(F.create_map(F.lit("model_name"), F.when(k == 7, "zzz#").otherwise(F.col("word")), F.lit("provider"), F.col("word"))).alias("fields"),
+    )
+    response = F.concat(F.lit('{"scores":{"model":{"entity":'), F.when(k == 1, "2.5").when(k == 2, "0").otherwise("5"), F.lit('},"odd":{"x":5}},"evidence":['), F.to_json(item), F.lit(',"x"]}'))
+    return a.select("article_id", "text", response.alias("response"))
+
+
+def given_evidence_of(spark, sf):
+    a = given_responses(spark, sf)
+    rules = spark.createDataFrame([("model", "entity", ["model_name", "provider"], [])], "direction string, dimension string, required array<string>, one_of array<string>")
+    return a, given.checked_evidence(a, a, V.dimensions(spark), rules)
+
+
+@query
+def given_evidence(spark, sf):
+    """Evidence items from outside: scores that are borne out, lowered or refused, and why."""
+    return given_evidence_of(spark, sf)[1].select("article_id", "at", "direction", "dimension", "score", F.md5(F.coalesce("quote", F.lit(""))).alias("quote_md5"), "certainty", "reason")
+
+
+@query
+def given_chains(spark, sf):
+    return given.complete_chains(*given_evidence_of(spark, sf))
+
+
 @query
 def review_actions(spark, sf):
     a = T.articles(spark, sf).select("article_id", "status", (F.col("article_id") % 10 == 2).alias("override"))
