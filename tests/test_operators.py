@@ -27,7 +27,7 @@ def test_urls(spark):
     }.items():
         assert one(spark, urls.canonical_url(F.col("u")), u=given) == want
     assert one(spark, urls.traced_url(F.col("u")), u="https://x.com/a?utm_id=1&z=2#k).") == "https://x.com/a?z=2#k"
-    bad = {"http://127.0.0.1/": "private_address", "http://a:b@x.com/": "userinfo", "gopher://x/": "scheme", "http://x.com:22/": "port", "http://[::1]/": "address_form", "https://ok.com/": None}
+    bad = {"http://127.0.0.1/": "private_address", "http://a:b@x.com/": "userinfo", "gopher://x/": "scheme", "http://x.com:22/": "port", "http://[::1]/": "private_address", "https://ok.com/": None}
     for given, want in bad.items():
         assert one(spark, urls.unsafe_reason(F.col("u")), u=given) == want, given
 
