@@ -116,14 +116,30 @@ def duplicate_gates(batch: DataFrame, history: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("article_id", "reason")
 
 
-def origin_policy(explicit: Column, url: Column, category: Column, bridges: list[str], authoritative: list[str], editorial: list[str]) -> Column:
-    """Whether a source speaks for itself, edits or collects; the lists are domains, matched with their subdomains."""
-    up = urls.suffixes(urls.host(url))
-    has = lambda domains: F.arrays_overlap(up, F.array(*map(F.lit, domains)))
-    return (
-        F.when(explicit.isin(*ORIGINS), explicit).when(urls.part(url, "HOST").isNull() | has(bridges), "aggregator")
-        .when(has(authoritative), "first_party").when((category == "media_analysis") | has(editorial), "editorial").otherwise("aggregator")
-    )
+#: What tells in a source's name or URL that it hands on what others publish, and domains that do.
+BRIDGE, BRIDGES = r"(?i)公众号桥接|桥接|rsshub|anyfeeder|聚合|转载", ["mp.weixin.qq.com"]
+EDITORIAL = "36kr.com jiqizhixin.com qbitai.com infoq.cn leiphone.com geekpark.net zhidx.com jazzyear.com deeptechchina.com huxiu.com latepost.com".split()
+
+
+def origin_policy(explicit: Column, url: Column, category: Column, authoritative: list[str], editorial: list[str] = EDITORIAL, source_url: Column | None = None, source_name: Column | None = None, bridges: list[str] = BRIDGES) -> Column:
+    """Whether a source speaks for itself, edits or collects; an explicit policy goes first.
+
+    url is where an article was found, source_url and source_name are its source's. Without a host of url, or where the source hands on what
+    others publish, it collects; else either domain may be authoritative or editorial (the lists are domains, matched with their subdomains), and what nothing tells of collects too.
+    """
+    source_url, source_name = (F.coalesce(c, F.lit("")) if c is not None else F.lit("") for c in (source_url, source_name))
+    hosts = [F.coalesce(urls.host(u), F.lit("")) for u in (url, source_url)]
+
+    def of(two: Column) -> Column:
+        up = F.array_union(urls.suffixes(two["found"]), urls.suffixes(two["source"]))
+        has = lambda domains: F.arrays_overlap(up, F.array(*map(F.lit, domains)))
+        bridge = F.concat_ws(" ", source_name, source_url).rlike(BRIDGE) | two["source"].isin(bridges)
+        return (
+            F.when(explicit.isin(*ORIGINS), explicit).when((two["found"] == "") | bridge, "aggregator").when(has(authoritative), "first_party")
+            .when(F.coalesce(category == "media_analysis", F.lit(False)) | has(editorial), "editorial").otherwise("aggregator")
+        )
+
+    return texts.bound(F.struct(hosts[0].alias("found"), hosts[1].alias("source")), of)
 
 
 def admitted(candidates: DataFrame, used: DataFrame, per_source: int, per_day: int) -> DataFrame:

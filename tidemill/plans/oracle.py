@@ -218,8 +218,6 @@ ORACLE = {
         SELECT a, g, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 1 AND b.u = k.u) AS ou, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 1 AND b.t = k.t AND k.t <> '') AS ot, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 0 AND b.u = k.u) AS nu, (SELECT arg_min(b.a, (b.c, b.a)) FROM k b WHERE b.g = 0 AND b.t = k.t AND k.t <> '') AS nt FROM k)
         SELECT a AS article_id, CASE WHEN ou <> a THEN 'same_url' WHEN ot <> a THEN 'same_title' WHEN nu <> a THEN 'same_batch_url' WHEN nt <> a THEN 'same_batch_title' END AS reason FROM o WHERE g = 0 AND (ou <> a OR ot <> a OR nu <> a OR nt <> a)""",
     "eligible_sources": f"WITH {SOURCES} SELECT source_name, tier, {stamp('next_fetch_at')} AS next_fetch_at FROM sources WHERE enabled AND (next_fetch_at IS NULL OR next_fetch_at <= {at(str(DAY0 + 9 * 86400))})",
-    "origin_policy": rf"""WITH h AS (SELECT page_id, {host('url')} AS h FROM pages), f AS (SELECT page_id, regexp_matches(h, '(^|\.)example\.net$') AS b, regexp_matches(h, '(^|\.)example\.com$') AS a, regexp_matches(h, '(^|\.)example\.org$') AS e FROM h)
-        SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'editorial' WHEN b THEN 'aggregator' WHEN a THEN 'first_party' WHEN page_id % 5 = 0 OR e THEN 'editorial' ELSE 'aggregator' END AS policy FROM f""",
     "hot_articles_page": f"WITH {ARTICLES}, {SOURCES}, page AS (SELECT * FROM articles WHERE status = 'published' AND score >= 75 AND direction IS NOT NULL ORDER BY score DESC, published_at DESC, article_id LIMIT 20 OFFSET 20) SELECT article_id, title, score, direction, tier, CASE WHEN cluster_id IS NULL THEN 1 ELSE (SELECT count(*) FROM articles b WHERE b.cluster_id = page.cluster_id) END AS cluster_size FROM page LEFT JOIN sources USING (source_name)",
     "workbench_overview": f"WITH {ARTICLES} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("published", "draft", "pending_review", "blocked")) + ", count(*) FILTER (ai_processed) AS ai_processed FROM articles",
     "workbench_articles": f"WITH {ARTICLES} SELECT article_id, title, score, {stamp('published_at')} AS published_at FROM (SELECT * FROM articles WHERE status = 'draft' AND direction = 'coding' ORDER BY published_at DESC, article_id LIMIT 50)",
@@ -488,3 +486,9 @@ ORACLE |= {
         UNION ALL SELECT article_id, 1, NULL, NULL, NULL, md5(''), NULL, 'not_object' FROM f""",
     "given_chains": f"WITH {GIVEN} SELECT article_id, CASE WHEN k = 2 THEN 0 ELSE 1 END AS n_claims, k = 2 OR coalesce(score, 0) >= CASE WHEN k = 1 THEN 2.5 ELSE 5 END AS complete FROM f",
 }
+
+ORACLE |= {
+    "origin_policy": rf"""WITH h AS (SELECT page_id, CASE WHEN length(html) % 17 <> 0 THEN {host('url')} END AS h, ['feeds.example.com', 'rsshub.app', 'mp.weixin.qq.com', 'plain.info', 'sub.huxiu.com', ''][length(html) % 6 + 1] AS s, length(html) % 3 = 1 AS named FROM pages),
+        f AS (SELECT *, regexp_matches(h, '(^|\.)example\.com$') OR regexp_matches(s, '(^|\.)example\.com$') AS a, page_id % 5 = 0 OR regexp_matches(h, '(^|\.)example\.org$') OR s = 'sub.huxiu.com' AS e FROM h)
+        SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'editorial' WHEN h IS NULL OR named OR s IN ('rsshub.app', 'mp.weixin.qq.com') THEN 'aggregator' WHEN a THEN 'first_party' WHEN e THEN 'editorial' ELSE 'aggregator' END AS policy FROM f""",
+}

@@ -184,7 +184,9 @@ def eligible_sources(spark, sf):
 def origin_policy(spark, sf):
     p = T.table(spark, sf, "pages")
     explicit = F.when(F.col("page_id") % 7 == 0, "editorial")
-    policy = A.origin_policy(explicit, F.col("url"), F.when(F.col("page_id") % 5 == 0, "media_analysis"), ["example.net"], ["example.com"], ["example.org"])
+    n = F.length("html")
+    source_url = T.chosen(["https://feeds.example.com/a", "https://rsshub.app/x", "https://mp.weixin.qq.com/s", "https://plain.info/", "https://sub.huxiu.com/f", None], n % 6)
+    policy = A.origin_policy(explicit, F.when(n % 17 != 0, F.col("url")), F.when(F.col("page_id") % 5 == 0, "media_analysis"), ["example.com"], [*A.EDITORIAL, "example.org"], source_url, T.chosen(["Daily", "AI 聚合", None], n % 3))
     return p.select("page_id", policy.alias("policy"))
 
 
