@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, least_linked, paired_blocks, small, stored
+from .common import BIN_ROWS, BLOCK, connected_components, least_linked, small, stored
 
 SHINGLE, LEAST, WORDS, SPAN, JACCARD = 5, 20, 20, 32, 0.8
 #: A paragraph has 10 bands of 3 MinHashes: a pair at Jaccard 0.8 shares one with 1 - 0.488^10 > 0.999.
@@ -208,7 +208,7 @@ def candidates(bands: DataFrame) -> DataFrame:
 
 
 def verified(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
-    """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, shingles) are similar by least."""
+    """(a, b): links that connect what those pairs of units in a band (unit, band, far) connect of which one is far at least and whose sets (unit, shingles) are similar by least."""
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("group", kind="stable")
@@ -230,7 +230,24 @@ def verified(members: DataFrame, sets: DataFrame, least: float, block: int | Non
                 b.append(low[low < ids[i:j]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return paired_blocks(members, ["band"], "unit", block, rows).join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
+    return far_blocks(members, block, rows).join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
+
+
+def far_blocks(members: DataFrame, block: int | None = None, rows: int | None = None) -> DataFrame:
+    """members (unit, band, far) with bin, group and side, as paired_blocks() gives them, for the pairs of a band of which one is far at least.
+
+    Far members are in blocks of their own, which come first; each of them meets every block, so that a band costs its members
+    times the blocks of its far ones and not of all.
+    """
+    size = block or BLOCK
+    sizes = members.groupBy("band").agg(F.ceil(F.count_if("far") / size).cast("int").alias("~far"), F.ceil(F.count_if(~F.col("far")) / size).cast("int").alias("~near"))
+    own = members.join(sizes, "band").withColumn("~own", F.when(F.col("far"), F.pmod(F.xxhash64("unit"), F.greatest("~far", F.lit(1)))).otherwise(F.col("~far") + F.pmod(F.xxhash64("unit"), F.greatest("~near", F.lit(1)))).cast("int"))
+    last = F.when(F.col("far"), F.col("~far") + F.col("~near")).otherwise(F.col("~far")) - 1
+    spread = own.where("`~far` > 0").withColumn("~against", F.explode(F.sequence(F.lit(0), last)))
+    low, high = F.least("~own", "~against"), F.greatest("~own", "~against")
+    side = F.when(low == high, F.lit(2)).when(F.col("~own") == low, F.lit(0)).otherwise(1)
+    spread = stored(spread.select("unit", "band", F.xxhash64("band", low, high).alias("group"), side.alias("side")), "blocks")
+    return spread.withColumn("bin", F.pmod("group", F.lit(max(1, spread.count() // (rows or BIN_ROWS)))))
 
 
 def clustered(members: DataFrame) -> DataFrame:
@@ -246,8 +263,8 @@ def clustered(members: DataFrame) -> DataFrame:
 def links(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
     """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, cluster, shingles) are similar by least.
 
-    Each unit meets the one that names its cluster. What is similar to that hangs together; only bands that hold a unit
-    which is not (of clusters of more than two) are compared member by member.
+    Each unit meets the one that names its cluster. What is similar to that hangs together; only the units that are not (of clusters of
+    more than two) are compared with all members of their bands.
     """
     pivots = sets.where("unit = cluster").select("cluster", F.col("shingles").alias("pivot"))
     shared = F.size(F.array_intersect("shingles", "pivot"))
@@ -255,8 +272,10 @@ def links(members: DataFrame, sets: DataFrame, least: float, block: int | None =
     told = stored(sets.where("unit <> cluster").join(pivots, "cluster").select("unit", "cluster", near.alias("near")), "told")
     open_ = told.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0 AND n > 1").select("cluster")
     far = told.where("NOT near").join(stored(open_, "open"), "cluster", "left_semi").select("unit")
-    asked = members.join(stored(far, "far"), "unit", "left_semi").select("band").distinct()
-    asked = stored(members.join(stored(asked, "asked"), "band", "left_semi"), "asked")
+    far = stored(far.distinct(), "far")
+    asked = members.join(far, "unit", "left_semi").select("band").distinct()
+    asked = members.join(stored(asked, "asked"), "band", "left_semi").join(far.withColumn("far", F.lit(True)), "unit", "left")
+    asked = stored(asked.withColumn("far", F.coalesce("far", F.lit(False))), "asked")
     own = stored(asked.select("unit").distinct(), "own")
     rest = verified(asked, sets.select("unit", "shingles").join(own, "unit"), least, block, rows)
     return told.where("near").select(F.col("unit").alias("a"), F.col("cluster").alias("b")).unionByName(rest)
