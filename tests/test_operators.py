@@ -55,9 +55,9 @@ def test_parsers(spark):
     feeds = [("a", "<rss><channel><item><title> T </title><link/><guid>g</guid><content:encoded>c</content:encoded></item></channel></rss>"), ("b", "<broken"), ("c", None)]
     got = parse.feed_items(spark.createDataFrame(feeds, "source_id string, xml string")).collect()
     assert [(r.source_id, r.title.strip(), r.url, r.content_kind) for r in got] == [("a", "T", "g", "full")]
-    payloads = [("a", '{"data":{"items":[{"name":"N","link":"l","content":{"rendered":"r"},"date":1704067200}]}}'), ("b", "[{\"title\":\"t\"}]"), ("c", "{")]
-    got = {r.source_id: (r.title, r.url, r.content) for r in parse.api_items(spark.createDataFrame(payloads, "source_id string, json string")).collect()}
-    assert got == {"a": ("N", "l", "r"), "b": ("t", None, None)}
+    payloads = [("a", '{"data":{"items":[{"name":"N","link":"https://x.org/l","content":{"rendered":"r"},"date":1704067200}]}}'), ("b", "[{\"title\":\"t\"}]"), ("c", "{")]
+    got = {r.source_id: (r.title, r.url, r.content, str(r.published_at)) for r in parse.api_items(spark.createDataFrame(payloads, "source_id string, json string")).collect()}
+    assert got == {"a": ("N", "https://x.org/l", "r", "2024-01-01 00:00:00")}  # an item without a link is skipped
     assert one(spark, parse.format_problem(F.col("d"), F.col("c"), F.col("b")), d=" RSS ", c="", b=' {"a":1}') == "format_mismatch"
     assert one(spark, parse.retry_after_ms(F.col("v"), F.timestamp_seconds(F.lit(0))), v="12") == 12000
     assert one(spark, parse.blocked(F.col("h")), h="<p>Please solve the CAPTCHA</p>") is True

@@ -73,9 +73,9 @@ def found_lists(payloads: DataFrame) -> DataFrame:
     return roots.select("row", "source_id", "base", valid.alias("valid")).join(first, "row", "left").select("row", "source_id", "base", "valid", F.col("x.list").alias("list"), F.coalesce("x.edges", F.lit(False)).alias("edges"))
 
 
-def said(item: Column, names: list[str]) -> Column:
-    """The first of an item's fields that is a text, trimmed and not empty, or an object whose rendered is one; '' if none is."""
-    texts_ = [F.trim(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))) for n in names for f in [F.try_variant_get(item, f"$['{n}']", "variant")] for v in (f, F.try_variant_get(f, "$.rendered", "variant"))]
+def said(item: Column, names: list[str], kinds: tuple[str, ...] = ("STRING",)) -> Column:
+    """The first of an item's fields that is a text (or of another of the kinds), trimmed and not empty, or an object whose rendered is one; '' if none is."""
+    texts_ = [F.trim(F.when(F.schema_of_variant(v).isin(*kinds), F.try_variant_get(v, "$", "string"))) for n in names for f in [F.try_variant_get(item, f"$['{n}']", "variant")] for v in (f, F.try_variant_get(f, "$.rendered", "variant"))]
     return F.coalesce(*(F.nullif(t, F.lit("")) for t in texts_), F.lit(""))
 
 
@@ -91,7 +91,7 @@ def api_parsed(payloads: DataFrame) -> DataFrame:
     item = lists.select("row", "source_id", "base", "edges", F.posexplode(F.from_json("list", "array<variant>")).alias("no", "i"))
     node = F.try_variant_get("i", "$.node", "variant")
     item = item.withColumn("i", F.when(F.col("edges") & node.isNotNull(), node).otherwise(F.col("i"))).withColumn("is_object", F.coalesce(F.schema_of_variant("i").startswith("OBJECT"), F.lit(False)))
-    cut = item.select("row", "source_id", "base", (F.col("no") + 1).alias("no"), "is_object", *(said(F.col("i"), names).alias(c) for c, names in (("t", TITLES), ("l", LINKS), ("full", BODIES), ("short", SUMMARIES), ("at", TIMES_))))
+    cut = item.select("row", "source_id", "base", (F.col("no") + 1).alias("no"), "is_object", *(said(F.col("i"), names).alias(c) for c, names in (("t", TITLES), ("l", LINKS), ("full", BODIES), ("short", SUMMARIES))), said(F.col("i"), TIMES_, ("STRING", "BIGINT")).alias("at"))
     clean = lambda c: F.when(c.rlike("[<&]"), texts.html_to_text(c)).otherwise(texts.collapsed(c))
     link = urls.resolved(F.col("base"), F.col("l")) if "base" in payloads.columns else F.col("l")
     cut = cut.withColumn("title", clean(F.col("t"))).withColumn("link", link)
