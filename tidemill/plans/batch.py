@@ -61,11 +61,11 @@ def run(items: DataFrame, history: DataFrame, lexicon: DataFrame, as_of: Column,
 
 
 def published(articles: DataFrame, clusters: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """What follows publication: the front page (article_id, rank, reason) and each Shanghai day's digest (day, article_count, summary).
+    """What follows publication: the front page (article_id, rank, reason) and each Shanghai day's digest, as digests() gives it.
 
-    articles: as run() gives them; clusters: article_id, cluster_key.
+    articles: as run() gives them; clusters: article_id, cluster_id, as clusters.planned() gives them.
     """
-    shown = articles.where("status = 'published'").withColumnRenamed("item_id", "article_id").join(clusters.select("article_id", F.col("cluster_key").alias("cluster_id")), "article_id", "left")
+    shown = articles.where("status = 'published'").withColumnRenamed("item_id", "article_id").join(clusters.select("article_id", "cluster_id"), "article_id", "left")
     return A.front_page(shown, limit), digests(shown if "collected_at" in shown.columns else shown.withColumn("collected_at", F.lit(None).cast("timestamp")))
 
 
