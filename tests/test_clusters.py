@@ -80,3 +80,29 @@ def test_clusters_are_named_by_what_all_share(spark):
     name = "evt_" + hashlib.sha256("cluster-v2:beats|benchmark|large|mistral".encode()).hexdigest()[:24]
     assert got == {1: (name, False), 2: (name, False), 3: ("old", True), 4: ("old", True), 6: ("lone", True)}
     assert clusters.planned(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "step"), [(4, 1), (5, 7), (6, 1000)])
+def test_rounds_of_any_step_equal_the_sequential_rule(spark, seed, step):
+    r = random.Random(seed)
+    n = 30
+    records = sorted(((i, f"k{r.randrange(4)}" if i % 6 == 0 else None, i % 6 != 0) for i in range(n)), key=lambda x: (x[2], x[0]))
+    rank = {i: k for k, (i, _, _) in enumerate(records)}
+    pairs = {tuple(sorted(r.sample(range(n), 2), key=lambda x: -rank[x])): r.choice([0.3, 0.5, 0.7]) for _ in range(150)}
+    found = spark.createDataFrame([(i, (new, i), c) for i, c, new in records], FOUND)
+    scored = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "later long, earlier long, score double")
+    groups = {}
+    for row in clusters.assigned(found, scored, part=0, step=step).collect():
+        groups.setdefault((row.first, row.cluster_id), []).append(row.article_id)
+    assert sorted((tuple(sorted(m)), c) for (_, c), m in groups.items()) == sequential([(i, c) for i, c, _ in records], pairs)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Records of which each is scored with the one before: a round for each of them before, one for all now."""
+    n, rounds = 400, []
+    plain = clusters.written
+    monkeypatch.setattr(clusters, "written", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    found = spark.createDataFrame([(i, (True, i), None) for i in range(n)], FOUND)
+    scored = spark.createDataFrame([(i, i - 1, 0.9) for i in range(1, n)], "later long, earlier long, score double")
+    got = {r.article_id: r.first for r in clusters.assigned(found, scored, part=0).collect()}
+    assert got == {i: i - i % 2 for i in range(n)} and rounds.count("open") <= 3
