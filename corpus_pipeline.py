@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts at Jaccard 0.8 or more over five-word shingles the document of the smallest doc_id."""
+    """Of each group of texts at Jaccard 0.8 or more over five-word shingles the document of the smallest doc_id; op7's ball hashing and bands propose, exact Jaccard decides."""
     return copies.without_copies(docs)
 
 

@@ -56,3 +56,26 @@ def test_near_duplicates_edges(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF).count() == 0
     many = spark.range(1500).select("id", F.concat(F.lit(" ".join(words)), F.lit(" x"), "id").alias("text")).withColumnRenamed("id", "doc_id")
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, many, SF).collect()] == [0]
+
+
+def test_balls_of_fingerprints_propose(spark, monkeypatch):
+    """op7's ball hashing is a step of the stage: it alone connects texts that differ in a word of many."""
+    from tidemill.llm import copies, simhash
+
+    called, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: (called.append(a[1]), plain(*a))[1])
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[::-1])), (4, "too short")], "doc_id long, text string")
+    table = copies.prints(docs).localCheckpoint()
+    bands = {r.doc_id: r.band for r in copies.balls(table).join(table, "unit").collect()}
+    assert called == [copies.RADIUS] and bands[1] == bands[2] != bands[3] and 4 not in bands
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).orderBy("doc_id").collect()] == [1, 3, 4] and len(called) == 2
+
+
+def test_a_group_that_shares_all_bands_has_a_link_for_each_unit(spark, monkeypatch):
+    from tidemill.llm import passages
+
+    links, plain = [], passages.connected_components
+    monkeypatch.setattr(passages, "connected_components", lambda edges: (links.append(edges.count()), plain(edges))[1])
+    members = spark.range(100).select(F.col("id").alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("band"))
+    assert passages.clustered(members).select("cluster").distinct().count() == 1 and links[0] <= 101

@@ -254,7 +254,10 @@ def clustered(members: DataFrame) -> DataFrame:
     """(unit, cluster) of candidates (unit, band): what bands connect. A cluster's name is the unit that has most in its bands: the text of which the others are edited copies, if there is one."""
     low = stored(members.groupBy("band").agg(F.min("unit").alias("low"), F.count("*").alias("size")), "lows")
     met = stored(members.join(low, "band").select("unit", "low", "size"), "met")
-    named = connected_components(met.select(F.col("unit").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("unit"), "component")
+    # A unit is linked with the least of its bands' lowest units, and these with each other: a group that shares all bands has a link for each unit and not one for each band of it.
+    least = stored(met.groupBy("unit").agg(F.min("low").alias("least")), "least")
+    tied = met.join(least, "unit").select(F.col("low").alias("a"), F.col("least").alias("b")).distinct()
+    named = connected_components(least.select(F.col("unit").alias("a"), F.col("least").alias("b")).unionByName(tied)).select(F.col("id").alias("unit"), "component")
     weighed = stored(named.join(met.groupBy("unit").agg(F.sum("size").alias("weight")), "unit"), "weighed")
     middle = weighed.groupBy("component").agg(F.max_by("unit", F.struct("weight", "unit")).alias("cluster"))
     return stored(weighed.join(stored(middle, "middle"), "component").select("unit", "cluster"), "clusters")
