@@ -36,3 +36,14 @@ def test_too_many_rules_are_refused(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x", 1)], DOCS)
     with pytest.raises(ValueError, match="more than 2"):
         scoring.phrase_evidence(docs, spark.range(3).select(F.lit("d").alias("direction"), F.lit("x").alias("dimension"), F.lit("weak").alias("kind"), F.col("id").cast("string").alias("pattern"), F.lit(None).cast("array<string>").alias("literals")))
+
+
+def test_tokens_meet_the_lexicon_without_a_shuffle_and_once(spark, monkeypatch):
+    """Tokens were dealt out by term, twice; now only what a document has for a dimension moves, and a term that is found twice is one weak term."""
+    plans, plain = {}, scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), plain(df, name))[1])
+    lexicon = spark.createDataFrame([("model", "cost", "strong", "cheap"), ("model", "entity", "weak", "gpt"), ("model", "entity", "weak", "llm")], "direction string, dimension string, kind string, term string")
+    docs = spark.createDataFrame([(1, "not cheap! a gpt\nso cheap. yes\ncheap again"), (2, "a gpt! the gpt"), (3, "a gpt! an llm"), (4, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in scoring.evidence(docs, lexicon, ["not"]).collect())
+    assert got == [(1, "model", "cost", 5.0, "so cheap. yes"), (3, "model", "entity", 2.5, None)]
+    assert "BroadcastHashJoin" in plans["found"] and "hashpartitioning(term" not in plans["found"]

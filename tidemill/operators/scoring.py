@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import texts, times, urls
 from tidemill.plans.vocabulary import CAPPED, FULL, HALF, NAMES, complete, normalized_direction
-from tidemill.sources.storage import few
+from tidemill.sources.storage import few, written
 
 
 def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
@@ -20,17 +20,26 @@ def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) ->
     different weak ones, no row for less.
 
     lexicon: direction, dimension, kind (strong, weak), term (one ASCII token in lower case); a table of a few thousand
-    rows whose size is the editors', not the data's. Sentences are cut once and their tokens meet all terms in one
-    equality join, so that work grows with the text and not with text times terms.
+    rows whose size is the editors', not the data's. Sentences are cut and their tokens found once, in a column of its own each, and meet all terms in one
+    equality join, so that work grows with the text and not with text times terms. The lexicon, written and counted, comes to the tokens if it
+    has few rows, and what is found is written once. A quote is cut again only of texts that have one.
     """
-    cut = documents.select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("no", "sentence"))
-    cut = cut.select("doc_id", "no", "sentence", texts.latin_tokens(F.col("sentence")).alias("tokens")).where(~F.arrays_overlap("tokens", F.array(*map(F.lit, negations))))
-    hits = cut.select("doc_id", "no", F.explode("tokens").alias("term")).join(lexicon, "term")  # ids only: a token's row holds no text
+    lexicon = few(written(lexicon, "lexicon"))
+    denied = F.array(*map(F.lit, negations))
+    cut = documents.select("doc_id", F.explode(F.array(texts.sentences(F.col("text")))).alias("sentences"))
+    tokens = F.transform("sentences", lambda s, no: F.struct(no.alias("no"), texts.latin_tokens(s).alias("tokens")))
+    cut = cut.select("doc_id", F.explode(F.array(tokens)).alias("cut")).select("doc_id", F.explode(F.filter("cut", lambda x: ~F.arrays_overlap(x["tokens"], denied))).alias("s"))
+    hits = cut.select("doc_id", F.col("s.no").alias("no"), F.explode("s.tokens").alias("term")).join(lexicon, "term")  # ids only: a token's row holds no text
     strong = F.col("kind") == "strong"
-    found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(~strong, F.col("term"))).alias("weak"), F.min(F.when(strong, F.col("no"))).alias("no"))
-    score = F.when(F.col("strong") > 0, FULL).when(F.col("weak") >= 2, HALF)
+    weak = F.when(~strong, F.xxhash64("term"))  # two different ones are a least and a greatest that differ: numbers, that tasks combine
+    found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.min(weak).alias("low"), F.max(weak).alias("high"), F.min(F.when(strong, F.col("no"))).alias("no"))
+    score = F.when(F.col("strong") > 0, FULL).when(F.col("low") < F.col("high"), HALF)
     found = found.withColumn("score", score).where(F.col("score").isNotNull()).select("doc_id", "direction", "dimension", "score", "no")
-    return found.join(cut.select("doc_id", "no", F.col("sentence").alias("quote")), ["doc_id", "no"], "left").select("doc_id", "direction", "dimension", "score", "quote")
+    found = written(found, "found")
+    told = found.where("no IS NOT NULL").groupBy("doc_id").agg(F.collect_set("no").alias("nos"))
+    quoted = documents.select("doc_id", "text").join(told, "doc_id").select("doc_id", "nos", F.explode(F.array(texts.sentences(F.col("text")))).alias("sentences"))
+    quoted = quoted.select("doc_id", F.explode(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get("sentences", n).alias("quote")))).alias("q")).select("doc_id", "q.no", "q.quote")
+    return found.join(quoted, ["doc_id", "no"], "left").select("doc_id", "direction", "dimension", "score", "quote")
 
 
 #: What denies, plans or doubts; a sentence with any of it is no evidence.
