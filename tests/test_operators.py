@@ -201,3 +201,13 @@ def test_addresses_in_other_forms_and_behind_redirects(spark):
 def test_edges_hold_items_in_nodes(spark):
     got = parse.api_items(spark.createDataFrame([(1, '{"data":{"edges":[{"node":{"title":{"rendered":"T"},"link":"https://x.com"}}]}}')], "source_id int, json string")).collect()
     assert [(r.title, r.url) for r in got] == [("T", "https://x.com")]
+
+
+def test_items_are_read_and_normalised_once(spark):
+    """Title and content were computed again for each place that names them."""
+    from tidemill.operators import articles
+    from tidemill.plans import tables
+
+    pages = articles.batch_winners(articles.normalized(tables.items(spark, "/root/testdata/sf0.001")).where("drop_reason IS NULL"))
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<template") == 1 and plan.count("<title[^>]") == 1

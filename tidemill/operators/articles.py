@@ -19,12 +19,12 @@ def rank_of(column: Column, ranks: dict[str, int], other: int) -> Column:
     return reduce(lambda at, x: at.when(column == x[0], x[1]), list(ranks.items())[1:], F.when(column == next(iter(ranks)), next(iter(ranks.values())))).otherwise(other)
 
 
-def drop_reason(title: Column, url: Column, content: Column) -> Column:
-    """The first test that an item fails, or null."""
+def drop_reason(title: Column, url: Column, content: Column, canonical: Column | None = None) -> Column:
+    """The first test that an item fails, or null. canonical: the URL's canonical form, if it is there already."""
     return (
         F.when(F.coalesce(texts.collapsed(title), F.lit("")) == "", "title")
         .when(F.coalesce(F.trim(url), F.lit("")) == "", "url_missing")
-        .when(urls.canonical_url(url) == "", "url_invalid")
+        .when((urls.canonical_url(url) if canonical is None else canonical) == "", "url_invalid")
         .when(F.coalesce(texts.collapsed(content), F.lit("")) == "", "content")
     )
 
@@ -41,9 +41,12 @@ def normalized(items: DataFrame) -> DataFrame:
         missing = F.col("content_status") == "missing" if "content_status" in items.columns else F.lit(False)
         content = F.coalesce(F.nullif(texts.collapsed(content), F.lit("")), F.when(~F.coalesce(missing, F.lit(False)), raw), F.lit(""))
     spoken = F.nullif(urls.canonical_url(F.col("canonical_url")), F.lit("")) if "canonical_url" in items.columns else F.lit(None).cast("string")
-    out = items.withColumn("title", texts.normalized_title(F.col("title"))).withColumn("content", content)
-    out = out.withColumn("drop_reason", drop_reason(F.col("title"), F.col("url"), F.col("content"))).withColumn("dedup_url", F.coalesce(spoken, urls.canonical_url(F.col("url"))))
-    return out.withColumn("content_hash", texts.content_hash(F.col("title"), F.col("dedup_url")))
+    # Each step is a column of its own, so that what later ones name is computed once for an item.
+    own = F.struct(texts.normalized_title(F.col("title")).alias("title"), content.alias("content"), urls.canonical_url(F.col("url")).alias("own_url"), spoken.alias("spoken"))
+    out = items.withColumn("~own", F.explode(F.array(own))).withColumn("title", F.col("~own.title")).withColumn("content", F.col("~own.content"))
+    told = F.struct(drop_reason(F.col("title"), F.col("url"), F.col("content"), F.col("~own.own_url")).alias("drop_reason"), F.coalesce("~own.spoken", "~own.own_url").alias("dedup_url"))
+    out = out.withColumn("~told", F.explode(F.array(told))).withColumn("drop_reason", F.col("~told.drop_reason")).withColumn("dedup_url", F.col("~told.dedup_url"))
+    return out.drop("~own", "~told").withColumn("content_hash", texts.content_hash(F.col("title"), F.col("dedup_url")))
 
 
 def batch_winners(items: DataFrame) -> DataFrame:
