@@ -106,3 +106,29 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     scored = spark.createDataFrame([(i, i - 1, 0.9) for i in range(1, n)], "later long, earlier long, score double")
     got = {r.article_id: r.first for r in clusters.assigned(found, scored, part=0).collect()}
     assert got == {i: i - i % 2 for i in range(n)} and rounds.count("open") <= 3
+
+
+def test_candidates_are_lists_and_pairs_are_not_sorted(spark):
+    """A record and a key made a row for each pair, and pairs carried both records' words through sorts; the first of equal keys and the limits are as before."""
+    r = random.Random(9)
+    keys = {i: r.sample("abcdefg", r.randrange(1, 5)) for i in range(60)}
+    order = sorted((i % 3 > 0, i) for i in keys)
+    want = set()
+    for place, (new, i) in enumerate(order):
+        met = {}
+        for at, key in enumerate(keys[i]):
+            for n, j in [(n, j) for n, (_, j) in enumerate(order) if key in keys[j]][:6]:
+                if n < place:
+                    met[j] = min(met.get(j, (at, n)), (at, n))
+        want |= {(i, j) for j in sorted(met, key=met.get)[:8]}
+    found = spark.createDataFrame([(i, (i % 3 > 0, i), k) for i, k in keys.items()], "article_id long, ord struct<new: boolean, article_id: long>, keys array<string>")
+    got = clusters.candidates(found, 6, 8)
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    rows = [(1, "openai gpt-5 alpha bravo 2025-01", None, None, True), (2, "OpenAI gpt-5 alpha delta", None, None, True), (3, "meta gpt-5 alpha bravo", None, None, True), (4, "alpha bravo charlie delta", None, None, True), (5, "alpha bravo charlie delta 2025-01", None, None, True), (6, "alpha zulu", None, None, True), (7, "gpt-5 alpha 2025-02", None, None, True)]
+    found = clusters.features(spark.createDataFrame(rows, SCHEMA))
+    out = clusters.pair_scores(found, clusters.candidates(found))
+    scores = {(x.later, x.earlier): round(x.score, 6) for x in out.collect()}
+    assert scores == {(2, 1): 0.632, (5, 4): 1.0, (7, 2): 0.5, (7, 3): 0.5}  # 3 of 5 terms and 5 of 7 anchors; all; half of both
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    pairs = clusters.pair_scores(found, spark.createDataFrame([], "later long, earlier long"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in pairs and "SortMergeJoin" not in pairs and "b.ord" not in plan
