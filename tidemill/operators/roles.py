@@ -30,23 +30,30 @@ def idempotency_key(role: str, article_id: Column, title: Column, text: Column)
     return F.substring(F.sha2(F.concat_ws("\n", F.lit(role), article_id.cast("string"), title, text), 256), 1, 32)
 
 
+def envelope(role: Role) -> Callable[[Column], Column]:
+    """What makes a role's struct of what it puts out."""
+    def told(out: Column) -> Column:
+        source = F.concat_ws("\n", "title", "text")
+        fine = texts.grounded(F.coalesce(out["quote"], F.lit("")), source) if role.needs_evidence else F.lit(True)
+        stopped = F.lit(False)
+        for before in role.after:
+            stopped = stopped | F.col(before)["outcome"].isin("rejected", "skipped")
+        outcome = F.when(stopped, "skipped").when(out["value"].isNull() | ~fine, FAILED[role.policy]).otherwise("accepted")
+        key = idempotency_key(role.name, F.col("article_id"), F.col("title"), F.col("text"))
+        return F.struct(outcome.alias("outcome"), out["value"].alias("value"), F.when(fine, out["quote"]).alias("quote"), key.alias("key"))
+
+    return told
+
+
 def run_roles(articles: DataFrame, roles: list[Role]) -> DataFrame:
     """articles with a struct column per role: outcome, value, quote, key. A quote has to stand in the title or text.
 
     Roles run in order of their dependencies; one after a role that was rejected is skipped. All are expressions over the
-    row, so that the whole graph is one projection without a shuffle.
+    row, so that the whole graph runs without a shuffle. What a role puts out and its outcome are computed once, however often they and later roles name them.
     """
     by = {r.name: r for r in roles}
     for name in TopologicalSorter({r.name: set(r.after) for r in roles}).static_order():
-        role, out = by[name], by[name].output()
-        source = F.concat_ws("\n", "title", "text")
-        fine = texts.grounded(F.coalesce(out["quote"], F.lit("")), source) if role.needs_evidence else F.lit(True)
-        stopped = F.lit(False)
-        for before in role.after:
-            stopped = stopped | F.col(before)["outcome"].isin("rejected", "skipped")
-        outcome = F.when(stopped, "skipped").when(out["value"].isNull() | ~fine, FAILED[role.policy]).otherwise("accepted")
-        column = F.struct(outcome.alias("outcome"), out["value"].alias("value"), F.when(fine, out["quote"]).alias("quote"), idempotency_key(name, F.col("article_id"), F.col("title"), F.col("text")).alias("key"))
-        articles = articles.withColumn(name, column)
+        articles = articles.withColumn(name, texts.bound(by[name].output(), envelope(by[name])))
     return articles
 
 
@@ -88,8 +95,7 @@ FEATURED, KEPT = ("来源", "，内容完整度", "分，事件证据已复核
 
 
 def event_kind(title: Column, text: Column) -> Column:
-    both = F.concat_ws("\n", title, text)
-    return F.coalesce(*(F.when(both.rlike(p), F.lit(k)) for k, p in EVENTS), F.lit("other"))
+    return F.coalesce(texts.first_rule(F.concat_ws("\n", title, text), [(k, texts.caseless(p.removeprefix("(?i)"))) for k, p in EVENTS]), F.lit("other"))
 
 
 def recognized(title: Column, text: Column) -> Column:
@@ -132,7 +138,8 @@ WORDS = {
     "future": (r"will|plans? to|aims? to|intends? to|expected to|upcoming|roadmap|would|could|may", "将于|将在|计划|拟于|预计划|有望|未来|将会|拟将"),
     "marketing": (r"revolutionary|groundbreaking|game[- ]changing|world[- ]class|industry[- ]leading|best[- ]in[- ]class|unmatched|unparalleled|ultimate|most powerful", "革命性|颠覆性|全球领先|行业领先|遥遥领先|最强|震撼|重磅|划时代"),
 }
-TOLD = {name: rf"(?i)(?<![A-Za-z0-9_])(?:{latin})(?![A-Za-z0-9_])|{others}" for name, (latin, others) in WORDS.items()}
+#: For Arrow's matcher. What a Latin alternative begins and ends with counts as a word's part, or has an end of a word within.
+TOLD = {name: rf"\b(?:{texts.caseless(latin)})\b|{texts.caseless(others)}" for name, (latin, others) in WORDS.items()}
 #: Tiers that are trusted and that are not, categories of sources that are, and what each kind of claim takes from four dimensions.
 TRUSTED, DOUBTED = r"(?i)authoritative|official|primary|validation|top|high|tier[\s_-]?[01]", r"(?i)unverified|unknown|low|tier[\s_-]?[34]"
 CATEGORIES = ["research_papers", "official_release", "evaluation_data", "policy_safety_governance"]
@@ -157,11 +164,14 @@ def evaluated(articles: DataFrame) -> DataFrame:
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     a = articles.select("*", F.explode(F.array(text)).alias("~text"))
-    a = a.select("*", *(F.col("~text").rlike(p).alias(f"~{n}") for n, p in TOLD.items()))
     bodies, heads = excerpts(F.coalesce("content", F.lit(""))), excerpts(F.coalesce("title", F.lit("")))
     a = a.select("*", F.explode(F.array(F.struct(heads.alias("heads"), bodies.alias("bodies")))).alias("~excerpts"))
+    every = F.concat("~excerpts.heads", "~excerpts.bodies")
+    quoted = dict.fromkeys(n for of in PARTS.values() for n in of)
+    a = a.select("*", texts.holding(F.col("~text"), TOLD).alias("~has"), texts.first_holding(every, {n: TOLD[n] for n in quoted}).alias("~first"))
+    a = a.select(*(c for c in a.columns if c != "~text"))
     yes = lambda test, n, other=0: F.when(test, n).otherwise(other)
-    has = {n: F.col(f"~{n}") for n in TOLD}
+    has = {n: F.col("~has")[n] for n in TOLD}
     decision, code = F.col("decision"), F.coalesce("reason_code", F.lit(""))
     matches = F.coalesce(decision.isNotNull() & F.col("filter_matches"), F.lit(False))
     candidate = F.coalesce(decision == "candidate", F.lit(False))
@@ -191,8 +201,8 @@ def evaluated(articles: DataFrame) -> DataFrame:
         F.when(decision.isNull(), "missing_filter_result").when(~matches, "filter_snapshot_mismatch"), F.when(decision == "reject", "filter_rejected"), F.when(decision == "review", "filter_requires_review"), F.when(code == "stale_content", "stale_content"),
         *(F.when(has[c], n) for c, n in NAMES_OF.items()), F.when(F.col("~thin"), "insufficient_evidence"), *(F.when(~test, n) for n, test in fine.items()),
     ]
-    every = F.concat("~excerpts.heads", "~excerpts.bodies")
-    picked = lambda of: F.coalesce(*(F.get(F.filter(every, lambda e: e.rlike(TOLD[n])), 0) for n in of), F.get("~excerpts.bodies", 0), F.get(every, 0))  # noqa: B023, E731
+    at = lambda n: F.coalesce(F.get("~excerpts.heads", n), F.get("~excerpts.bodies", n - F.size("~excerpts.heads")))
+    picked = lambda of: F.coalesce(*(at(F.col("~first")[n]) for n in of), F.get("~excerpts.bodies", 0), F.get("~excerpts.heads", 0))
     return a.select(
         "article_id", *PARTS, overall.cast("int").alias("overall"), F.when(eligible, "pass").when(decision == "reject", "reject").otherwise("review").alias("decision"), eligible.alias("publish_eligible"),
         F.array_compact(F.array(*reasons)).alias("reasons"), F.create_map(*(x for n, of in PARTS.items() for x in (F.lit(n), picked(of)))).alias("quotes"),

@@ -178,21 +178,38 @@ def rule_scores(articles: DataFrame, scores: DataFrame, order: DataFrame, organi
     return rated.withColumn("primary_score", score).withColumn("publish_score", F.least(F.lit(100), score * 2 + F.col("quality.total")))
 
 
-def filter_decision(title: Column, content: Column, published_at: Column, as_of: Column, signals: str, spam: str, stale_days: int = 365, least: int = 40) -> Column:
-    """struct(decision, reason_code, quote): the first rule that holds. signals and spam are patterns of a lexicon."""
+def filter_rules(title: Column, content: Column, published_at: Column, as_of: Column, signals: str, spam: str, stale_days: int, least: int) -> list[tuple]:
+    """The content filter's rules in order: test (None: always), decision, reason_code, quote."""
     both = F.concat(title, F.lit("\n"), content)
     bare = F.trim(F.regexp_replace(content, r"(?i)<[^>]*>|&nbsp;", ""))
     sentence = lambda pattern: F.substring(F.get(F.filter(texts.sentences(both), lambda s: s.rlike(pattern)), 0), 1, 280)
-    said = lambda decision, code, quote: F.struct(F.lit(decision).alias("decision"), F.lit(code).alias("reason_code"), quote.alias("quote"))
-    return (
-        F.when(F.coalesce(title, F.lit("")) == "", said("reject", "missing_title", F.substring(F.trim(content), 1, 280)))
-        .when(F.coalesce(bare, F.lit("")) == "", said("reject", "empty_body", F.substring(F.trim(title), 1, 280)))
-        .when(both.rlike(spam), said("reject", "spam", sentence(spam)))
-        .when(~both.rlike(signals), said("reject", "non_topic", F.substring(F.get(texts.sentences(content), 0), 1, 280)))
-        .when(times.age_days(published_at, as_of) > stale_days, said("review", "stale_content", sentence(signals)))
-        .when(F.length(content) < least, said("review", "too_short", F.substring(F.trim(content), 1, 280)))
-        .otherwise(said("candidate", "eligible_content", sentence(signals)))
-    )
+    return [
+        (F.coalesce(title, F.lit("")) == "", "reject", "missing_title", F.substring(F.trim(content), 1, 280)),
+        (F.coalesce(bare, F.lit("")) == "", "reject", "empty_body", F.substring(F.trim(title), 1, 280)),
+        (both.rlike(spam), "reject", "spam", sentence(spam)),
+        (~both.rlike(signals), "reject", "non_topic", F.substring(F.get(texts.sentences(content), 0), 1, 280)),
+        (times.age_days(published_at, as_of) > stale_days, "review", "stale_content", sentence(signals)),
+        (F.length(content) < least, "review", "too_short", F.substring(F.trim(content), 1, 280)),
+        (None, "candidate", "eligible_content", sentence(signals)),
+    ]
+
+
+def first_of_rules(rules: list[tuple], told: Callable[..., Column]) -> Column:
+    """told(decision, reason_code, quote) of the first rule that holds."""
+    *before, (_, *last) = rules
+    return F.coalesce(*(F.when(test, told(*said)) for test, *said in before), told(*last))
+
+
+def filter_decision(title: Column, content: Column, published_at: Column, as_of: Column, signals: str, spam: str, stale_days: int = 365, least: int = 40) -> Column:
+    """struct(decision, reason_code, quote): the first rule that holds. signals and spam are patterns of a lexicon."""
+    rules = filter_rules(title, content, published_at, as_of, signals, spam, stale_days, least)
+    return first_of_rules(rules, lambda decision, code, quote: F.struct(F.lit(decision).alias("decision"), F.lit(code).alias("reason_code"), quote.alias("quote")))
+
+
+def filter_outcome(title: Column, content: Column, published_at: Column, as_of: Column, signals: str, spam: str, stale_days: int = 365, least: int = 40) -> Column:
+    """filter_decision() without its quote, for which no sentence is cut."""
+    rules = filter_rules(title, content, published_at, as_of, signals, spam, stale_days, least)
+    return first_of_rules(rules, lambda decision, code, _: F.struct(F.lit(decision).alias("decision"), F.lit(code).alias("reason_code")))
 
 
 def link_candidates(pages: DataFrame) -> DataFrame:
