@@ -47,3 +47,12 @@ def test_tokens_meet_the_lexicon_without_a_shuffle_and_once(spark, monkeypatch):
     got = sorted(tuple(r) for r in scoring.evidence(docs, lexicon, ["not"]).collect())
     assert got == [(1, "model", "cost", 5.0, "so cheap. yes"), (3, "model", "entity", 2.5, None)]
     assert "BroadcastHashJoin" in plans["found"] and "hashpartitioning(term" not in plans["found"]
+
+
+def test_phrases_move_no_sentence(spark):
+    """Sentences were shuffled and sorted by document and dimension; a document is now decided where it stands."""
+    docs = spark.createDataFrame([(1, "one alpha\nnew model\nnew model x", 1), (2, "alpha beta", 1)], DOCS)
+    rules = spark.createDataFrame([("d", "x", "strong", "new model", ["new"]), ("d", "x", "weak", "alpha", None), ("d", "x", "weak", "beta", None)], RULES)
+    out = scoring.phrase_evidence(docs, rules)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "d", "x", 5.0, "new model"), (2, "d", "x", 2.5, None)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -53,20 +53,34 @@ UNCERTAIN = (
 RULES_MOST = 400_000
 
 
-def marked(literals: dict[str, list[int]]) -> Callable[[Column], Column]:
-    """A column function from texts in lower case to the numbers of the literals that stand in each, by one automaton and one pass."""
+def marked(literals: dict[str, list[int]], rules: list[tuple[int, bool, str]], always: list[int]) -> Callable[[Column, Column], Column]:
+    """A column function from sentences in lower case, and for each whether a rule of always may hold, to what each dimension may have: the number of different weak
+    phrases, and strong patterns to try with their sentence's number. One automaton over all literals reads each sentence once. rules: dimension, strong, pattern."""
 
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for literal, numbers in literals.items():
             automaton.add_word(literal, numbers)
         automaton.make_automaton()
-        for batch in batches:
-            yield batch.map(lambda texts_: [sorted({n for _, numbers in automaton.iter(t) for n in numbers}) for t in texts_], na_action="ignore")
 
-    return lambda texts_: F.pandas_udf(found, "array<array<int>>")(texts_)
+        def told(sentences, maybe) -> list[dict]:
+            weak, strong = {}, {}
+            for no, sentence in enumerate(sentences):
+                hit = {n for _, numbers in automaton.iter(sentence) for n in numbers} if literals else set()
+                for n in hit.union(always) if maybe is not None and maybe[no] else hit:
+                    dim, full, pattern = rules[n]
+                    if full:
+                        strong.setdefault(dim, []).append({"no": no, "pattern": pattern})
+                    else:
+                        weak.setdefault(dim, set()).add(pattern.lower())
+            return [{"dim": d, "weak": len(weak.get(d, ())), "strong": strong.get(d, [])} for d in sorted({*weak, *strong}) if d in strong or len(weak[d]) > 1]
+
+        for sentences, maybe in batches:
+            yield pd.Series([told(*x) for x in zip(sentences, maybe, strict=True)], dtype=object)
+
+    return lambda sentences, maybe: F.pandas_udf(found, "array<struct<dim: int, weak: int, strong: array<struct<no: int, pattern: string>>>>")(sentences, maybe)
 
 
 def phrase_evidence(documents: DataFrame, rules: DataFrame, uncertain: str = UNCERTAIN) -> DataFrame:
@@ -76,7 +90,7 @@ def phrase_evidence(documents: DataFrame, rules: DataFrame, uncertain: str = UNC
     where such sentences hold two different weak phrases, case aside; no row for less. A strong rule's literals are what
     its pattern can't hold without, one of them at least; its pattern is only tried where one stands. Without literals
     it is tried in every sentence. A weak rule's pattern is its phrase. An automaton over all literals reads each sentence once, so that work grows
-    with the text and what is found in it and not with the number of rules. Sentences are cut once and only found ones move. Rows that repeat a doc_id
+    with the text and what is found in it and not with the number of rules. Sentences are cut once; a document is decided where it stands, nothing moves. Rows that repeat a doc_id
     are documents of their own; null texts and empty phrases find nothing.
     """
     spark, listed = documents.sparkSession, rules.select("direction", "dimension", "kind", "pattern", "literals").distinct().limit(RULES_MOST + 1).collect()
@@ -90,19 +104,19 @@ def phrase_evidence(documents: DataFrame, rules: DataFrame, uncertain: str = UNC
             always.append(n)
         for literal in {x.lower() for x in told if x}:
             literals.setdefault(literal, []).append(n)
-    known = spark.createDataFrame([(n, r.direction, r.dimension, r.kind == "strong", r.pattern) for n, r in enumerate(listed)], "rule int, direction string, dimension string, strong boolean, pattern string")
-    sure = documents.select("doc_id", F.monotonically_increasing_id().alias("~row"), F.filter(texts.sentences(F.col("text")), lambda s: ~s.rlike(uncertain)).alias("sure")).where(F.size("sure") > 0)
-    found = marked(literals)(F.transform("sure", F.lower)) if literals else F.transform("sure", lambda _: F.array().cast("array<int>"))
-    each = sure.select("doc_id", "~row", F.posexplode(F.arrays_zip("sure", found.alias("rules"))).alias("no", "s")).select("doc_id", "~row", "no", F.col("s.sure").alias("sentence"), F.col("s.rules").alias("rules"))
-    if always:
-        some = F.col("sentence").rlike("|".join(f"(?:{listed[n].pattern})" for n in always))
-        each = each.withColumn("rules", F.concat("rules", F.when(some, F.array(*map(F.lit, always))).otherwise(F.array().cast("array<int>"))))
-    hits = each.where(F.size("rules") > 0).select("doc_id", "~row", "no", "sentence", F.explode("rules").alias("rule")).join(F.broadcast(known), "rule").where("NOT strong OR sentence RLIKE pattern")
-    first = F.min(F.when(F.col("strong"), F.struct("no", "sentence")))
-    weak = F.size(F.collect_set(F.when(~F.col("strong"), F.lower("pattern"))))
-    each = hits.groupBy("~row", "doc_id", "direction", "dimension").agg(first.alias("first"), weak.alias("weak"))
-    scored = each.withColumn("score", F.when(F.col("first").isNotNull(), FULL).when(F.col("weak") >= 2, HALF)).where("score IS NOT NULL")
-    return scored.select("doc_id", "direction", "dimension", "score", F.col("first.sentence").alias("quote"))
+    dims = sorted({(r.direction, r.dimension) for r in listed}, key=repr)
+    at = {d: n for n, d in enumerate(dims)}
+    told = [(at[r.direction, r.dimension], r.kind == "strong", r.pattern) for r in listed]
+    names = F.array(*(F.struct(F.lit(a).cast("string").alias("direction"), F.lit(b).cast("string").alias("dimension")) for a, b in dims)) if dims else F.array().cast("array<struct<direction:string,dimension:string>>")
+    sure = documents.select("doc_id", F.explode(F.array(F.filter(texts.sentences(F.col("text")), lambda s: ~s.rlike(uncertain)))).alias("sure")).where(F.size("sure") > 0)
+    some = "|".join(f"(?:{listed[n].pattern})" for n in always)
+    maybe = F.transform("sure", lambda s: s.rlike(some)) if always else F.lit(None).cast("array<boolean>")
+    each = sure.select("doc_id", "sure", F.explode(F.array(marked(literals, told, always)(F.transform("sure", F.lower), maybe))).alias("found"))
+    first = lambda x: F.array_min(F.transform(F.filter(x["strong"], lambda s: F.rlike(F.get("sure", s["no"]), s["pattern"])), lambda s: s["no"]))
+    scored = each.select("doc_id", "sure", F.explode(F.array(F.transform("found", lambda x: F.struct(x["dim"].alias("dim"), x["weak"].alias("weak"), first(x).alias("no"))))).alias("found"))
+    score = lambda x: F.when(x["no"].isNotNull(), FULL).when(x["weak"] >= 2, HALF)
+    rows = F.transform(F.filter("found", lambda x: score(x).isNotNull()), lambda x: F.struct(F.get(names, x["dim"]).alias("d"), score(x).alias("score"), F.get("sure", x["no"]).alias("quote")))
+    return scored.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.d.direction", "x.d.dimension", "x.score", "x.quote")
 
 
 def pattern_evidence(documents: DataFrame, rules: list[tuple[str, str, list, list[str]]], uncertain: str = UNCERTAIN) -> DataFrame:
