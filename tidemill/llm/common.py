@@ -32,15 +32,22 @@ def spent(table: DataFrame) -> None:
 
 #: Rows and bytes up to which a table goes to every executor. Beyond either the same join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
+#: Tasks that write a table of so few rows, at most.
+FEW_TASKS = 16
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows, counted, and their bytes, summed, are few enough."""
+def fits(df: DataFrame) -> bool:
+    """Whether df's rows, counted, and their bytes, summed, are few enough to go to every executor."""
     wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
     bytes_of = [F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) if kind == "array<bigint>" else F.octet_length(F.to_json(F.struct(c))) for c, kind in df.dtypes if c in wide]
     row = sum((F.coalesce(b, F.lit(0)) for b in bytes_of), F.lit(16 * len(df.columns)))
     held = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if held.n <= BROADCAST_ROWS and held.bytes <= BROADCAST_BYTES else df
+    return held.n <= BROADCAST_ROWS and held.bytes <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it fits()."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def lower_ascii(text: Column) -> Column:
@@ -52,18 +59,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
     Labels fall to the smallest neighbour's label, then jump to their label's label, so that rounds grow with the
-    logarithm of a chain's length. Each round is a written table; the one before is removed. Both joins are between plain
-    exchanges, which Spark splits where a component or a hub holds much of the rows; what follows is partial sums. Null ends
-    and loops are ignored; ids in no edge get no row.
+    logarithm of a chain's length. Each round is a written table; the one before is removed. Labels that fit() come to the edges,
+    and a round shuffles only partial minima; of more labels both joins are between plain exchanges, which Spark splits
+    where a component or a hub holds much of the rows; what follows is partial sums. Null ends and loops are ignored; ids
+    in no edge get no row.
     """
     edges = edges.select("a", "b").where("a <> b")
-    both = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    ends = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"]  # an id is its own neighbour, so that its label stands among those it takes the least of
+    both = stored(edges.select(F.explode(F.array(*ends)).alias("e")).select("e.*").distinct(), "edges")  # edges, computed again, may name their ends the other way round
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        fallen = stored(labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was")), "labels")
-        roots = fallen.select("component").distinct().join(fallen.select(F.col("id").alias("component"), F.col("component").alias("up")), "component")
-        jumped = stored(fallen.join(small(stored(roots, "roots")), "component").select("id", F.col("up").alias("component"), (F.col("up") != F.col("was")).alias("moved")), "labels")
+        near = labels.withColumnRenamed("id", "b")
+        met = both.join(F.broadcast(near) if (few := fits(near)) else near, "b").groupBy(F.col("a").alias("id"))
+        met = met.agg(F.min("component").alias("component"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"))
+        fallen = stored(met.coalesce(FEW_TASKS) if few else met, "labels")
+        up = fallen.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        up = F.broadcast(up) if fits(up) else small(stored(fallen.select("component").distinct().join(up, "component"), "roots"))
+        jumped = stored(fallen.join(up, "component").select("id", F.col("up").alias("component"), (F.col("up") != F.col("was")).alias("moved")), "labels")
         spent(labels)
         spent(fallen)
         labels = jumped.select("id", "component")

@@ -195,16 +195,17 @@ def similar(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: flo
     return shared >= least * (size[one][:, None] + size[two][None] - shared) - 1e-9
 
 
-#: Tables of bands and units grow with the texts. They are joined by shuffles at every size, so that a corpus of any size is handled alike.
+#: Tables of bands and units grow with the texts. Those of ids and numbers that fit() come to what they are joined with, so that a band or unit
+#: that is in a great part of the texts moves nowhere; larger ones are joined by shuffles.
 
 
 def candidates(bands: DataFrame) -> DataFrame:
-    """(unit, band) of bands (unit, band) that different units share; bands of the same units are one."""
+    """(unit, band, low, size) of bands (unit, band) that different units share, with a band's lowest unit and their number; bands of the same units are one."""
     mixed_bands = bands.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("band")
-    members = stored(bands.join(stored(mixed_bands, "bands"), "band").distinct(), "members")
-    alike = members.groupBy("band").agg(F.count("*").alias("n"), F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("sum"))
-    once = alike.groupBy("n", "low", "high", "sum").agg(F.min("band").alias("band")).select("band")  # bands of the same units are compared once
-    return stored(members.join(stored(once, "bands"), "band"), "members")
+    members = stored(bands.join(small(stored(mixed_bands, "bands")), "band").distinct(), "members")
+    alike = members.groupBy("band").agg(F.count("*").alias("size"), F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("sum"))
+    once = alike.groupBy("size", "low", "high", "sum").agg(F.min("band").alias("band")).select("band", "low", "size")  # bands of the same units are compared once
+    return stored(members.join(small(stored(once, "bands")), "band"), "members")
 
 
 def verified(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
@@ -241,7 +242,7 @@ def far_blocks(members: DataFrame, block: int | None = None, rows: int | None =
     """
     size = block or BLOCK
     sizes = members.groupBy("band").agg(F.ceil(F.count_if("far") / size).cast("int").alias("~far"), F.ceil(F.count_if(~F.col("far")) / size).cast("int").alias("~near"))
-    own = members.join(sizes, "band").withColumn("~own", F.when(F.col("far"), F.pmod(F.xxhash64("unit"), F.greatest("~far", F.lit(1)))).otherwise(F.col("~far") + F.pmod(F.xxhash64("unit"), F.greatest("~near", F.lit(1)))).cast("int"))
+    own = members.join(small(stored(sizes, "sizes")), "band").withColumn("~own", F.when(F.col("far"), F.pmod(F.xxhash64("unit"), F.greatest("~far", F.lit(1)))).otherwise(F.col("~far") + F.pmod(F.xxhash64("unit"), F.greatest("~near", F.lit(1)))).cast("int"))
     last = F.when(F.col("far"), F.col("~far") + F.col("~near")).otherwise(F.col("~far")) - 1
     spread = own.where("`~far` > 0").withColumn("~against", F.explode(F.sequence(F.lit(0), last)))
     low, high = F.least("~own", "~against"), F.greatest("~own", "~against")
@@ -251,20 +252,21 @@ def far_blocks(members: DataFrame, block: int | None = None, rows: int | None =
 
 
 def clustered(members: DataFrame) -> DataFrame:
-    """(unit, cluster) of candidates (unit, band): what bands connect. A cluster's name is the unit that has most in its bands: the text of which the others are edited copies, if there is one."""
-    low = stored(members.groupBy("band").agg(F.min("unit").alias("low"), F.count("*").alias("size")), "lows")
-    met = stored(members.join(low, "band").select("unit", "low", "size"), "met")
+    """(unit, cluster) of candidates (unit, band; low and size are counted where they are not given): what bands connect. A cluster's name is the unit that has most in its bands: the text of which the others are edited copies, if there is one."""
+    met = members
+    if not {"low", "size"} <= {*members.columns}:
+        met = stored(members.join(members.groupBy("band").agg(F.min("unit").alias("low"), F.count("*").alias("size")), "band"), "met")
     # A unit is linked with the least of its bands' lowest units, and these with each other: a group that shares all bands has a link for each unit and not one for each band of it.
-    least = stored(met.groupBy("unit").agg(F.min("low").alias("least")), "least")
-    tied = met.join(least, "unit").select(F.col("low").alias("a"), F.col("least").alias("b")).distinct()
+    least = stored(met.groupBy("unit").agg(F.min("low").alias("least"), F.sum("size").alias("weight")), "least")
+    tied = met.join(small(least), "unit").where("low <> least").select(F.col("low").alias("a"), F.col("least").alias("b"))
     named = connected_components(least.select(F.col("unit").alias("a"), F.col("least").alias("b")).unionByName(tied)).select(F.col("id").alias("unit"), "component")
-    weighed = stored(named.join(met.groupBy("unit").agg(F.sum("size").alias("weight")), "unit"), "weighed")
+    weighed = stored(least.join(small(named), "unit"), "weighed")
     middle = weighed.groupBy("component").agg(F.max_by("unit", F.struct("weight", "unit")).alias("cluster"))
-    return stored(weighed.join(stored(middle, "middle"), "component").select("unit", "cluster"), "clusters")
+    return stored(weighed.join(small(stored(middle, "middle")), "component").select("unit", "cluster"), "clusters")
 
 
 def links(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
-    """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, cluster, shingles) are similar by least.
+    """(a, b): links that connect what all pairs of units in a band (unit, band) connect whose sets (unit, cluster, shingles; one for each unit) are similar by least.
 
     Each unit meets the one that names its cluster. What is similar to that hangs together; only the units that are not (of clusters of
     more than two) are compared with all members of their bands.
@@ -272,15 +274,13 @@ def links(members: DataFrame, sets: DataFrame, least: float, block: int | None =
     pivots = sets.where("unit = cluster").select("cluster", F.col("shingles").alias("pivot"))
     shared = F.size(F.array_intersect("shingles", "pivot"))
     near = shared >= least * (F.size("shingles") + F.size("pivot") - shared) - 1e-9
-    told = stored(sets.where("unit <> cluster").join(pivots, "cluster").select("unit", "cluster", near.alias("near")), "told")
+    told = stored(sets.where("unit <> cluster").join(small(pivots), "cluster").select("unit", "cluster", near.alias("near")), "told")
     open_ = told.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0 AND n > 1").select("cluster")
-    far = told.where("NOT near").join(stored(open_, "open"), "cluster", "left_semi").select("unit")
-    far = stored(far.distinct(), "far")
-    asked = members.join(far, "unit", "left_semi").select("band").distinct()
-    asked = members.join(stored(asked, "asked"), "band", "left_semi").join(far.withColumn("far", F.lit(True)), "unit", "left")
+    far = stored(told.where("NOT near").join(small(stored(open_, "open")), "cluster", "left_semi").select("unit"), "far")
+    asked = members.join(small(far), "unit", "left_semi").select("band").distinct()
+    asked = members.join(small(stored(asked, "asked")), "band", "left_semi").join(small(far).withColumn("far", F.lit(True)), "unit", "left")
     asked = stored(asked.withColumn("far", F.coalesce("far", F.lit(False))), "asked")
-    own = stored(asked.select("unit").distinct(), "own")
-    rest = verified(asked, sets.select("unit", "shingles").join(own, "unit"), least, block, rows)
+    rest = verified(asked, sets.select("unit", "shingles").join(small(asked.select("unit")), "unit", "left_semi"), least, block, rows)
     return told.where("near").select(F.col("unit").alias("a"), F.col("cluster").alias("b")).unionByName(rest)
 
 
@@ -297,12 +297,13 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     clusters = clustered(members)
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     repeated = stored(again.union(clusters.select("unit")).distinct(), "repeated")  # a table of its own, so that a join with a unit that a third of the texts hold can be split
-    every = stored(table.select("doc_id", "start", "until", "unit").join(repeated, "unit"), "every")
-    wanted = every.join(clusters, "unit").groupBy("unit", "cluster").agg(F.min(F.struct("doc_id", "start", "until")).alias("at")).select("unit", "cluster", "at.*")
+    every = stored(table.select("doc_id", "start", "until", "unit").join(small(repeated), "unit"), "every")
+    first = every.groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at"))  # before the join, so that each task sends one place of a unit
+    wanted = first.join(small(clusters), "unit").select("unit", "cluster", "at.*")
     sets = shingles(documents, stored(wanted, "wanted"))
 
     named = connected_components(links(members, sets, least))
-    known = every.join(named.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    known = every.join(small(named).withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     within = Window.partitionBy("component", "doc_id")
     place = within.orderBy("until", "start")  # a text that repeats a line comes after its lines and joins none of them
     before = F.max("until").over(place.rowsBetween(Window.unboundedPreceding, -1))
@@ -312,7 +313,7 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     known = known.withColumn("most", islands).withColumn("kept", F.max(F.when(F.col("island") == 0, F.col("until"))).over(within))
     known = stored(known.withColumn("island", F.when(F.col("start") < F.col("kept"), F.lit(0)).otherwise(F.col("island"))).drop("kept"), "known")
     firsts = known.groupBy("component").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("across"), F.max("most").alias("islands"))
-    found = known.join(stored(firsts.where("across OR islands > 0").drop("islands"), "firsts"), "component")
+    found = known.join(small(stored(firsts.where("across OR islands > 0").drop("islands"), "firsts")), "component")
     return found.select("doc_id", "start", "until", "component", ((F.col("doc_id") == F.col("first_doc")) & (F.col("island") == 0)).alias("first"), "across", "first_doc")
 
 
