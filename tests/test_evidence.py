@@ -56,3 +56,14 @@ def test_phrases_move_no_sentence(spark):
     out = scoring.phrase_evidence(docs, rules)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "d", "x", 5.0, "new model"), (2, "d", "x", 2.5, None)]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_alone_read_no_text_again(spark):
+    """What asks for scores alone cut and moved every text with evidence once more for quotes that nothing read, and repeated a document's scores for each row that repeats its doc_id."""
+    from tidemill.plans.queries import QUERIES
+
+    lexicon = spark.createDataFrame([("model", "cost", "strong", "cheap")], "direction string, dimension string, kind string, term string")
+    docs = spark.createDataFrame([(1, "not cheap! so cheap"), (1, "so cheap. yes")], "doc_id long, text string")
+    assert [tuple(r)[:4] for r in scoring.evidence_scores(docs, lexicon, ["not"]).collect()] == [(1, "model", "cost", 5.0)]
+    for name in ("score_combine", "direction_scores", "classify"):
+        assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "documents.parquet" in f]

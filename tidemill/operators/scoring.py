@@ -15,14 +15,14 @@ from tidemill.plans.vocabulary import CAPPED, FULL, HALF, NAMES, complete, norma
 from tidemill.sources.storage import few, written
 
 
-def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
-    """(doc_id, direction, dimension, score, quote): 5 for a strong term in a sentence that denies nothing, 2.5 for two
-    different weak ones, no row for less.
+def evidence_scores(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
+    """(doc_id, direction, dimension, score, no): 5 for a strong term in a sentence that denies nothing, then with the first such sentence's
+    number, 2.5 for two different weak ones, no row for less. Rows hold no text: what asks for scores alone moves none.
 
     lexicon: direction, dimension, kind (strong, weak), term (one ASCII token in lower case); a table of a few thousand
     rows whose size is the editors', not the data's. Sentences are cut and their tokens found once, in a column of its own each, and meet all terms in one
     equality join, so that work grows with the text and not with text times terms. The lexicon, written and counted, comes to the tokens if it
-    has few rows, and what is found is written once. A quote is cut again only of texts that have one.
+    has few rows, and what is found is written once.
     """
     lexicon = few(written(lexicon, "lexicon"))
     denied = F.array(*map(F.lit, negations))
@@ -35,7 +35,12 @@ def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) ->
     found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.min(weak).alias("low"), F.max(weak).alias("high"), F.min(F.when(strong, F.col("no"))).alias("no"))
     score = F.when(F.col("strong") > 0, FULL).when(F.col("low") < F.col("high"), HALF)
     found = found.withColumn("score", score).where(F.col("score").isNotNull()).select("doc_id", "direction", "dimension", "score", "no")
-    found = written(found, "found")
+    return written(found, "found")
+
+
+def evidence(documents: DataFrame, lexicon: DataFrame, negations: list[str]) -> DataFrame:
+    """(doc_id, direction, dimension, score, quote): evidence_scores() with the sentences of their numbers. A quote is cut again only of texts that have one."""
+    found = evidence_scores(documents, lexicon, negations)
     told = found.where("no IS NOT NULL").groupBy("doc_id").agg(F.collect_set("no").alias("nos"))
     quoted = documents.select("doc_id", "text").join(told, "doc_id").select("doc_id", "nos", F.explode(F.array(texts.sentences(F.col("text")))).alias("sentences"))
     quoted = quoted.select("doc_id", F.explode(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get("sentences", n).alias("quote")))).alias("q")).select("doc_id", "q.no", "q.quote")
