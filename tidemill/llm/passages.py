@@ -195,14 +195,14 @@ def similar(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, least: flo
     return shared >= least * (size[one][:, None] + size[two][None] - shared) - 1e-9
 
 
-#: Tables of bands and units grow with the texts. Those of ids and numbers that fit() come to what they are joined with, so that a band or unit
-#: that is in a great part of the texts moves nowhere; larger ones are joined by shuffles.
+#: Tables of bands and units grow with the texts. Those of ids and numbers that fit() come to what they are joined with; larger ones are joined by
+#: shuffles. The joins that move most bytes, of all bands, all units and all sets, shuffle at every size, so that disk grows in proportion.
 
 
 def candidates(bands: DataFrame) -> DataFrame:
     """(unit, band, low, size) of bands (unit, band) that different units share, with a band's lowest unit and their number; bands of the same units are one."""
     mixed_bands = bands.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("band")
-    members = stored(bands.join(small(stored(mixed_bands, "bands")), "band").distinct(), "members")
+    members = stored(bands.join(stored(mixed_bands, "bands"), "band").distinct(), "members")
     alike = members.groupBy("band").agg(F.count("*").alias("size"), F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum(F.xxhash64("unit").cast("decimal(38,0)")).alias("sum"))
     once = alike.groupBy("size", "low", "high", "sum").agg(F.min("band").alias("band")).select("band", "low", "size")  # bands of the same units are compared once
     return stored(members.join(small(stored(once, "bands")), "band"), "members")
@@ -274,7 +274,7 @@ def links(members: DataFrame, sets: DataFrame, least: float, block: int | None =
     pivots = sets.where("unit = cluster").select("cluster", F.col("shingles").alias("pivot"))
     shared = F.size(F.array_intersect("shingles", "pivot"))
     near = shared >= least * (F.size("shingles") + F.size("pivot") - shared) - 1e-9
-    told = stored(sets.where("unit <> cluster").join(small(pivots), "cluster").select("unit", "cluster", near.alias("near")), "told")
+    told = stored(sets.where("unit <> cluster").join(pivots, "cluster").select("unit", "cluster", near.alias("near")), "told")
     open_ = told.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0 AND n > 1").select("cluster")
     far = stored(told.where("NOT near").join(small(stored(open_, "open")), "cluster", "left_semi").select("unit"), "far")
     asked = members.join(small(far), "unit", "left_semi").select("band").distinct()
@@ -297,7 +297,7 @@ def repeats(documents: DataFrame, least: float = JACCARD) -> DataFrame:
     clusters = clustered(members)
     again = table.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     repeated = stored(again.union(clusters.select("unit")).distinct(), "repeated")  # a table of its own, so that a join with a unit that a third of the texts hold can be split
-    every = stored(table.select("doc_id", "start", "until", "unit").join(small(repeated), "unit"), "every")
+    every = stored(table.select("doc_id", "start", "until", "unit").join(repeated, "unit"), "every")
     first = every.groupBy("unit").agg(F.min(F.struct("doc_id", "start", "until")).alias("at"))  # before the join, so that each task sends one place of a unit
     wanted = first.join(small(clusters), "unit").select("unit", "cluster", "at.*")
     sets = shingles(documents, stored(wanted, "wanted"))
