@@ -59,19 +59,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
     Labels fall to the smallest neighbour's label, then jump to their label's label, so that rounds grow with the
-    logarithm of a chain's length. Each round is a written table; the one before is removed. Labels that fit() come to the edges,
+    logarithm of a chain's length. A link that is named several times, either way round, counts once before its ends are written. Each round is a
+    written table; the one before is removed. Labels that fit() come to the edges,
     and a round shuffles only partial minima; of more labels both joins are between plain exchanges, which Spark splits
     where a component or a hub holds much of the rows; what follows is partial sums. Null ends and loops are ignored; ids
     in no edge get no row.
     """
-    edges = edges.select("a", "b").where("a <> b")
-    ends = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"]  # an id is its own neighbour, so that its label stands among those it takes the least of
-    both = stored(edges.select(F.explode(F.array(*ends)).alias("e")).select("e.*").distinct(), "edges")  # edges, computed again, may name their ends the other way round
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "labels")
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.select(F.explode(ends).alias("e")).select("e.*"), "edges")  # edges, computed again, may name their ends the other way round
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).withColumn("component", F.least("id", "component")), "labels")
     while True:
         near = labels.withColumnRenamed("id", "b")
-        met = both.join(F.broadcast(near) if (few := fits(near)) else near, "b").groupBy(F.col("a").alias("id"))
-        met = met.agg(F.min("component").alias("component"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("was"))
+        met = both.join(F.broadcast(near) if (few := fits(near)) else near, "b").select(F.col("a").alias("id"), "component", F.lit(None).cast(near.schema["component"].dataType).alias("was"))
+        met = met.union(labels.select("id", "component", F.col("component").alias("was"))).groupBy("id").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         fallen = stored(met.coalesce(FEW_TASKS) if few else met, "labels")
         up = fallen.select(F.col("id").alias("component"), F.col("component").alias("up"))
         up = F.broadcast(up) if fits(up) else small(stored(fallen.select("component").distinct().join(up, "component"), "roots"))

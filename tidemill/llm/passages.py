@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BIN_ROWS, BLOCK, connected_components, least_linked, small, stored
@@ -209,29 +209,41 @@ def candidates(bands: DataFrame) -> DataFrame:
 
 
 def verified(members: DataFrame, sets: DataFrame, least: float, block: int | None = None, rows: int | None = None) -> DataFrame:
-    """(a, b): links that connect what those pairs of units in a band (unit, band, far) connect of which one is far at least and whose sets (unit, shingles) are similar by least."""
+    """(a, b): links that connect what those pairs of units in a band (unit, band, far) connect of which one is far at least and whose sets (unit, cluster, shingles) are similar by least.
+
+    A unit that is not far goes by its cluster's name, with which it hangs together. Where a band has several blocks of far units, each such block is
+    compared in itself first, and what that connects goes by one name: two blocks then tell how names hang together and not, block by block, how every
+    unit does, so that links grow with a group's size and not with its square.
+    """
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("group", kind="stable")
-        group, ids, side, own = (frame[c].to_numpy() for c in ("group", "unit", "side", "shingles"))
+        group, names, side, own = (frame[c].to_numpy() for c in ("group", "name", "side", "shingles"))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [np.zeros((0, 2), np.int64)]
         for i, j in zip(cuts, cuts[1:], strict=False):
             if j - i == 2:
                 x, y = own[i], own[i + 1]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if shared >= least * (len(x) + len(y) - shared) - 1e-9:
-                    a.append(ids[i : i + 1])
-                    b.append(ids[i + 1 : j])
+                    found.append(names[i:j][None])
                 continue
             one, two = np.flatnonzero(side[i:j] != 1), np.flatnonzero(side[i:j] != 0)
-            if len(one) and len(two):
-                low = least_linked(similar(list(own[i:j]), one, two, least), one, two, ids[i:j])
-                a.append(ids[i:j][low < ids[i:j]])
-                b.append(low[low < ids[i:j]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            if len(one) and len(two) and (names[i:j] != names[i]).any():
+                low = least_linked(similar(list(own[i:j]), one, two, least), one, two, names[i:j])
+                found.append(np.unique(np.stack([names[i:j], low], axis=1)[low < names[i:j]], axis=0))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    def linked(blocks: DataFrame, name: Column) -> DataFrame:
+        return blocks.join(sets, "unit").select("bin", "group", "side", name.alias("name"), "shingles").groupBy("bin").applyInPandas(verify, "a long, b long")
 
-    return far_blocks(members, block, rows).join(sets, "unit").groupBy("bin").applyInPandas(verify, "a long, b long")
+    blocks = far_blocks(members, block, rows)
+    name = F.when(F.col("far"), F.col("unit")).otherwise(F.col("cluster"))
+    if blocks.where("far AND side = 1").isEmpty():
+        return linked(blocks, name)
+    within = stored(linked(blocks.where("side = 2"), name).distinct(), "within")
+    known = connected_components(within).withColumnRenamed("id", "unit")
+    return within.unionByName(linked(blocks.where("side <> 2").join(small(known), "unit", "left"), F.coalesce("component", name)))
 
 
 def far_blocks(members: DataFrame, block: int | None = None, rows: int | None = None) -> DataFrame:
@@ -247,7 +259,7 @@ def far_blocks(members: DataFrame, block: int | None = None, rows: int | None =
     spread = own.where("`~far` > 0").withColumn("~against", F.explode(F.sequence(F.lit(0), last)))
     low, high = F.least("~own", "~against"), F.greatest("~own", "~against")
     side = F.when(low == high, F.lit(2)).when(F.col("~own") == low, F.lit(0)).otherwise(1)
-    spread = stored(spread.select("unit", "band", F.xxhash64("band", low, high).alias("group"), side.alias("side")), "blocks")
+    spread = stored(spread.select("unit", "band", "far", F.xxhash64("band", low, high).alias("group"), side.alias("side")), "blocks")
     return spread.withColumn("bin", F.pmod("group", F.lit(max(1, spread.count() // (rows or BIN_ROWS)))))
 
 
@@ -280,7 +292,7 @@ def links(members: DataFrame, sets: DataFrame, least: float, block: int | None =
     asked = members.join(small(far), "unit", "left_semi").select("band").distinct()
     asked = members.join(small(stored(asked, "asked")), "band", "left_semi").join(small(far).withColumn("far", F.lit(True)), "unit", "left")
     asked = stored(asked.withColumn("far", F.coalesce("far", F.lit(False))), "asked")
-    rest = verified(asked, sets.select("unit", "shingles").join(small(asked.select("unit")), "unit", "left_semi"), least, block, rows)
+    rest = verified(asked, sets.join(small(asked.select("unit")), "unit", "left_semi"), least, block, rows)
     return told.where("near").select(F.col("unit").alias("a"), F.col("cluster").alias("b")).unionByName(rest)
 
 
