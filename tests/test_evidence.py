@@ -67,3 +67,15 @@ def test_scores_alone_read_no_text_again(spark):
     assert [tuple(r)[:4] for r in scoring.evidence_scores(docs, lexicon, ["not"]).collect()] == [(1, "model", "cost", 5.0)]
     for name in ("score_combine", "direction_scores", "classify"):
         assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "documents.parquet" in f]
+
+
+def test_a_task_gathers_numbers_only(spark, monkeypatch):
+    """What a task gathers for each document and dimension held both names of the dimension: its memory went with them. Names that are null are names."""
+    plans, plain = {}, scoring.written
+    monkeypatch.setattr(scoring, "written", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), plain(df, name))[1])
+    lexicon = spark.createDataFrame([("model", "cost", "strong", "cheap"), ("model", None, "weak", "gpt"), ("model", None, "weak", "llm"), (None, "cost", "strong", "gpt")], "direction string, dimension string, kind string, term string")
+    docs = spark.createDataFrame([(1, "a gpt\nso cheap and llm"), (2, "not gpt"), (None, "cheap! not cheap")], "doc_id long, text string")
+    got = {tuple(r) for r in scoring.evidence_scores(docs, lexicon, ["not"]).collect()}
+    assert got == {(1, None, "cost", 5.0, 0), (1, "model", "cost", 5.0, 1), (1, "model", None, 2.5, None), (None, "model", "cost", 5.0, 0)}
+    gathered = [line for line in plans["found"].splitlines() if "HashAggregate(keys=" in line]
+    assert gathered and not [line for line in gathered if "direction" in line or "dimension" in line]

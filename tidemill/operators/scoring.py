@@ -22,9 +22,13 @@ def evidence_scores(documents: DataFrame, lexicon: DataFrame, negations: list[st
     lexicon: direction, dimension, kind (strong, weak), term (one ASCII token in lower case); a table of a few thousand
     rows whose size is the editors', not the data's. Sentences are cut and their tokens found once, in a column of its own each, and meet all terms in one
     equality join, so that work grows with the text and not with text times terms. The lexicon, written and counted, comes to the tokens if it
-    has few rows, and what is found is written once.
+    has few rows, and what is found is written once. A dimension goes by a number until then, so that what a task gathers for a document holds numbers only.
     """
-    lexicon = few(written(lexicon, "lexicon"))
+    lexicon = written(lexicon, "lexicon")
+    slots = lexicon.select("direction", "dimension").distinct().withColumn("slot", F.row_number().over(Window.orderBy("direction", "dimension")))
+    slots = few(written(slots, "slots"))
+    named = [F.col(f"lexicon.{c}").eqNullSafe(F.col(f"slots.{c}")) for c in ("direction", "dimension")]
+    lexicon = few(lexicon.alias("lexicon").join(slots.alias("slots"), named).select("slot", "kind", "term"))
     denied = F.array(*map(F.lit, negations))
     cut = documents.select("doc_id", F.explode(F.array(texts.sentences(F.col("text")))).alias("sentences"))
     tokens = F.transform("sentences", lambda s, no: F.struct(no.alias("no"), texts.latin_tokens(s).alias("tokens")))
@@ -32,9 +36,9 @@ def evidence_scores(documents: DataFrame, lexicon: DataFrame, negations: list[st
     hits = cut.select("doc_id", F.col("s.no").alias("no"), F.explode("s.tokens").alias("term")).join(lexicon, "term")  # ids only: a token's row holds no text
     strong = F.col("kind") == "strong"
     weak = F.when(~strong, F.xxhash64("term"))  # two different ones are a least and a greatest that differ: numbers, that tasks combine
-    found = hits.groupBy("doc_id", "direction", "dimension").agg(F.count_if(strong).alias("strong"), F.min(weak).alias("low"), F.max(weak).alias("high"), F.min(F.when(strong, F.col("no"))).alias("no"))
-    score = F.when(F.col("strong") > 0, FULL).when(F.col("low") < F.col("high"), HALF)
-    found = found.withColumn("score", score).where(F.col("score").isNotNull()).select("doc_id", "direction", "dimension", "score", "no")
+    found = hits.groupBy("doc_id", "slot").agg(F.min(weak).alias("low"), F.max(weak).alias("high"), F.min(F.when(strong, F.col("no"))).alias("no"))
+    score = F.when(F.col("no").isNotNull(), FULL).when(F.col("low") < F.col("high"), HALF)
+    found = found.withColumn("score", score).where(F.col("score").isNotNull()).join(slots, "slot").select("doc_id", "direction", "dimension", "score", "no")
     return written(found, "found")
 
 
