@@ -58,7 +58,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     while True:
         most_words, free = most * F.col("source_size"), ~F.col("full")
         sums = state.agg(F.sum("source_size").alias("all"), F.sum(F.when(free, F.lit(0)).otherwise(most_words)).alias("held"), F.sum(F.when(free, F.col("weight")).otherwise(0)).alias("of")).first()
-        target = F.when(F.col("full") | F.lit(not sums["of"]), most_words.cast("double")).otherwise(F.lit((sums["all"] or 0) - (sums["held"] or 0)) * F.col("weight") / F.lit(sums["of"] or 1))
+        target = F.when(F.col("full") | F.lit(not sums["of"]), most_words.cast("double")).otherwise(F.lit((sums["all"] or 0) - (sums["held"] or 0)).cast("long") * F.col("weight") / F.lit(sums["of"] or 1))
         told = stored(state.withColumn("target", target).withColumn("now", F.col("full") | (F.col("target") >= most_words)), "targets")
         if told.where("now AND NOT full").isEmpty():
             return told.select("~key", "source_size", "weight", "target")
